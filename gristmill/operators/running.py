@@ -29,20 +29,16 @@ def range_splits(
 ) -> list[float]:
     """Cut points that spread the rows of ``df`` evenly over ranges of ``key``.
 
-    One pass over that single column; at most ``max_buckets`` numbers reach the
-    driver.  Quantiles, not equal widths, so clumped ids do not make a hot bucket.
+    A count, then one pass over that single column; fewer than ``max_buckets``
+    numbers reach the driver.  Quantiles, not equal widths, so clumped ids do
+    not make a hot bucket.
     """
-    grid = [i / max_buckets for i in range(1, max_buckets)]
-    number = F.col(key).cast("double")
-    row = df.agg(
-        F.count(number).alias("n"),
-        F.percentile_approx(number, grid, 10 * max_buckets).alias("cuts"),
-    ).first()
-    wanted = min(max_buckets, -(-row["n"] // rows_per_bucket))
+    wanted = min(max_buckets, -(-df.count() // rows_per_bucket))
     if wanted <= 1:
         return []
-    picks = (row["cuts"][max_buckets * i // wanted - 1] for i in range(1, wanted))
-    return sorted(set(picks))
+    number = df.select(F.col(key).cast("double").alias("k"))
+    grid = [i / wanted for i in range(1, wanted)]
+    return sorted(set(number.approxQuantile("k", grid, 1 / (8 * wanted))))
 
 
 def with_bucket(df: DataFrame, key: str, splits: Sequence[float], out: str = "bucket") -> DataFrame:
@@ -76,19 +72,19 @@ def running_total(
     null.  ``total`` names an optional column with the sum over the whole group.
     """
     keys = [*groups, bucket]
-    rows = df.withColumn("__value", F.lit(1).cast("bigint") if value is None else value)
-    sums = rows.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
+    rows = df.withColumn("__rt_value", F.lit(1).cast("bigint") if value is None else value)
+    sums = rows.groupBy(*keys).agg(F.sum("__rt_value").alias("__rt_sum"))
     before = Window.partitionBy(*groups).orderBy(bucket)
-    parts = [(F.sum("__sum").over(before) - F.col("__sum")).alias("__before")]
+    parts = [(F.sum("__rt_sum").over(before) - F.col("__rt_sum")).alias("__rt_before")]
     if total:
-        parts.append(F.sum("__sum").over(Window.partitionBy(*groups)).alias(total))
+        parts.append(F.sum("__rt_sum").over(Window.partitionBy(*groups)).alias(total))
     bases = sums.select(*keys, *parts)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("__upto", F.sum("__value").over(inside))
+        rows.withColumn("__rt_upto", F.sum("__rt_value").over(inside))
         .join(bases, keys)
-        .withColumn(start, F.col("__before") + F.col("__upto") - F.col("__value"))
-        .drop("__value", "__upto", "__before")
+        .withColumn(start, F.col("__rt_before") + F.col("__rt_upto") - F.col("__rt_value"))
+        .drop("__rt_value", "__rt_upto", "__rt_before")
     )
 
 

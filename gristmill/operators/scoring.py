@@ -84,7 +84,13 @@ def score_with_bigrams(positions: DataFrame, base: BigramModel, reference: Bigra
     pairs = base.pairs.withColumnRenamed("n", "n_base").join(
         reference.pairs.withColumnRenamed("n", "n_ref"), ["prev", "label"], "full_outer"
     )
-    pairs = pairs.withColumn("__weight", F.coalesce("n_base", F.lit(0)))
+    pairs = pairs.select(
+        F.col("prev").alias("__prev"),
+        F.col("label").alias("__label"),
+        "n_base",
+        "n_ref",
+        F.coalesce("n_base", F.lit(0)).alias("__weight"),
+    )
     contexts = (
         base.contexts.select("prev", F.col("total").alias("t_base"))
         .join(
@@ -92,11 +98,14 @@ def score_with_bigrams(positions: DataFrame, base: BigramModel, reference: Bigra
             "prev",
             "full_outer",
         )
+        .withColumnRenamed("prev", "__prev")
     )
-    rows = positions.withColumn("prev", F.col("prev") % vocab).withColumn("label", F.col("label") % vocab)
-    # Both sides of each lookup have a proven size; see lookup_join.
-    found = lookup_join(rows, pairs, ["prev", "label"], "__weight", vocab * vocab)
-    found = found.join(F.broadcast(contexts), "prev", "left")
+    # Ids are folded into the models' vocabulary for the lookup only.
+    rows = positions.withColumn("__prev", F.col("prev") % vocab)
+    rows = rows.withColumn("__label", F.col("label") % vocab)
+    # Both tables have a proven size; see lookup_join.
+    found = lookup_join(rows, pairs, ["__prev", "__label"], "__weight", vocab * vocab)
+    found = found.join(F.broadcast(contexts), "__prev", "left")
     scored = found.select(
         *positions.columns,
         base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),

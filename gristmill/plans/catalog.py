@@ -563,11 +563,11 @@ def flops_mfu(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_compare(spark: SparkSession, sf: str) -> DataFrame:
-    log = _log(spark, sf).withColumn("at", F.expr("step div 16"))
-    means = log.groupBy("run", "at").agg(F.avg("loss").alias("loss"))
-    compared = E.compare_runs(means.filter("run = 0"), means.filter("run = 1"), "at")
+    log = _log(spark, sf).withColumn("step_group", F.expr("step div 16"))
+    means = log.groupBy("run", "step_group").agg(F.avg("loss").alias("loss"))
+    compared = E.compare_runs(means.filter("run = 0"), means.filter("run = 1"), "step_group")
     for name in ("left_value", "right_value", "difference"):
-        compared = compared.withColumn(name, F.round(name, 6))
+        compared = compared.withColumn(name, F.round(name, 9))
     return compared
 
 

@@ -232,7 +232,7 @@ IDS = "md5(array_to_string(list(tok ORDER BY {0}), ' '))"
 
 _SUMMARY = """
     SELECT shard, batch_no, count(*) AS n_positions, count(*) FILTER (sel) AS n_selected,
-           sum(unit * 128 + pos) FILTER (sel) AS place_sum,
+           (sum(unit * 128 + pos) FILTER (sel))::BIGINT AS place_sum,
            round(sum(loss) FILTER (sel), 4) AS loss_sum
     FROM ({0}) GROUP BY shard, batch_no"""
 
@@ -407,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "repeat_subset": _with(
             f"""SELECT doc_id, n_tokens, pass_no FROM (
-                    SELECT *, unnest(range(b // t + (upto <= b % t)::INTEGER)) AS pass_no FROM (
+                    SELECT *, unnest(range((b // t + (upto <= b % t)::INTEGER)::BIGINT)) AS pass_no FROM (
                         SELECT *, t * 163 // 100 AS b FROM (
                             SELECT doc_id, n_tokens, sum(n_tokens) OVER (ORDER BY md5('{Q.SEED}:' || doc_id)) AS upto,
                                    sum(n_tokens) OVER () AS t FROM good_cnt)))"""
@@ -494,9 +494,9 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT run, step, {_SEQ_FLOPS}::DOUBLE * dt / ds AS f FROM back)"""
         ),
         "run_compare": _with(
-            """SELECT at, round(a.m, 6) AS left_value, round(b.m, 6) AS right_value, round(a.m - b.m, 6) AS difference
-               FROM (SELECT step // 16 AS at, avg(loss) AS m FROM log WHERE run = 0 GROUP BY 1) a
-               FULL JOIN (SELECT step // 16 AS at, avg(loss) AS m FROM log WHERE run = 1 GROUP BY 1) b USING (at)"""
+            """SELECT step_group, round(a.m, 9) AS left_value, round(b.m, 9) AS right_value, round(a.m - b.m, 9) AS difference
+               FROM (SELECT step // 16 AS step_group, avg(loss) AS m FROM log WHERE run = 0 GROUP BY 1) a
+               FULL JOIN (SELECT step // 16 AS step_group, avg(loss) AS m FROM log WHERE run = 1 GROUP BY 1) b USING (step_group)"""
         ),
         "run_log_lines": _with(
             f"""SELECT 'run' || run AS run, rnk + 1 AS step, {Q.MAX_STEPS}::BIGINT AS max_steps,
