@@ -32,8 +32,9 @@ def audit_shards(headers: DataFrame) -> DataFrame:
     same = (F.col("chunk_size") == F.col("first.chunk_size")) & (F.col("width") == F.col("first.width"))
     expected = F.lit(HEADER_BYTES) + F.col("chunk_size") * F.col("width")
     status = (
-        F.when(F.col("first.magic") != MAGIC, "bad_first_file")
+        F.when(~F.col("first.magic").eqNullSafe(MAGIC), "bad_first_file")
         .when(F.col("first.width").isNull(), "bad_first_file")
+        .when(F.col("magic").isNull(), "unreadable_header")
         .when(F.col("magic") != MAGIC, "bad_magic")
         .when(F.col("width").isNull(), "unknown_dtype")
         .when(~same, "header_differs")

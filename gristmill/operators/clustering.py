@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.seeded import seeded_hash
+from gristmill.operators.joins import bounded
 
 MAX_CENTROID_BYTES = 256 << 20
 
@@ -225,8 +226,8 @@ def assign_tree(points: DataFrame, tree: ClusterTree, vector: str = "embedding",
     leaves = assign(points, tree.centers[0], vector, "c1", distance)
     if tree.depth == 1:
         return leaves
-    # One row per finest centroid, bounded by check_centers.
-    return leaves.join(F.broadcast(tree.paths(points.sparkSession)), "c1")
+    paths = tree.paths(points.sparkSession)
+    return leaves.join(bounded(paths, len(tree.centers[0])), "c1")
 
 
 def cluster_profile(assigned: DataFrame, levels: Sequence[str], tokens: str = "n_tokens") -> DataFrame:

@@ -12,6 +12,11 @@ BROADCAST_ROWS = 1 << 20
 HOT_KEYS = 4096
 
 
+def bounded(table: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a table for broadcast if its proven row bound allows it; else leave it to Spark."""
+    return F.broadcast(table) if max_rows <= BROADCAST_ROWS else table
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -28,7 +33,7 @@ def lookup_join(
     """
     keys = list(keys)
     if max_table_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), keys, "left")
+        return rows.join(bounded(table, max_table_rows), keys, "left")
     total = table.agg(F.sum(weight).alias("w")).scalar()
     hot = table.filter(F.col(weight) * F.lit(HOT_KEYS) > total)
     cold = table.filter(F.col(weight) * F.lit(HOT_KEYS) <= total)

@@ -43,6 +43,7 @@ def stream_offsets(
         F.col("n_tokens"),
         start="start_pos",
         total="shard_tokens",
+        max_keys=n_shards * (len(splits) + 2),
     )
     return summed.withColumn("end_pos", F.col("start_pos") + F.col("n_tokens")).drop("bucket")
 
@@ -89,8 +90,10 @@ def _cut(offsets: DataFrame, unit: int, last_unit: Column | None) -> DataFrame:
         return F.struct(number.alias("unit"), at.alias("at"), part.alias("piece"))
 
     # Sliced before the explode: no exploded row carries the whole document.
+    # The outer form, because for the inner one the optimizer adds a filter on
+    # the array's size and so evaluates the array twice.
     units = F.when(first <= final, F.transform(F.sequence(first, final), piece))
-    return offsets.select("shard", F.inline(units))
+    return offsets.select("shard", F.inline_outer(units)).filter(F.col("unit").isNotNull())
 
 
 def pack_chunks(
@@ -198,7 +201,8 @@ def next_token_pairs(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     inputs = F.slice("tokens", F.lit(1), F.size("tokens") - 1)
     labels = F.slice("tokens", F.lit(2), F.size("tokens") - 1)
     zipped = F.arrays_zip(inputs.alias("prev"), labels.alias("label"))
-    return blocks.select(*keep, F.posexplode(zipped).alias("pos", "__pair")).select(
+    exploded = blocks.select(*keep, F.posexplode_outer(zipped).alias("pos", "__pair"))
+    return exploded.filter(F.col("pos").isNotNull()).select(
         *keep, "pos", F.col("__pair.prev").alias("prev"), F.col("__pair.label").alias("label")
     )
 
@@ -227,7 +231,7 @@ def rebuild_documents(chunks: DataFrame, eos_id: int = EOS_ID, chunks_per_bucket
         return F.struct((F.col("__first") + i).alias("ordinal"), part.alias("piece"))
 
     bounds = F.arrays_zip(starts.alias("start"), stops.alias("stop"))
-    pieces = counted.select("shard", F.col("chunk_no").alias("at"), F.inline(F.transform(bounds, piece)))
+    pieces = counted.select("shard", F.col("chunk_no").alias("at"), F.inline_outer(F.transform(bounds, piece)))
     rebuilt = _assemble(pieces.filter(F.size("piece") > 0), ["shard", "ordinal"])
     return rebuilt.filter(F.element_at("tokens", -1) == eos_id)
 
@@ -242,7 +246,9 @@ def roundtrip(docs: DataFrame, chunks: DataFrame, n_shards: int, rows_per_bucket
     splits = range_splits(docs, "doc_id", rows_per_bucket)
     placed = with_bucket(assign_shard(docs, n_shards), "doc_id", splits, "__bucket")
     slim = placed.select("doc_id", "shard", "__bucket", *digest)
-    source = row_rank(slim, ["shard"], "__bucket", ["doc_id"], "ordinal").drop("__bucket")
+    source = row_rank(
+        slim, ["shard"], "__bucket", ["doc_id"], "ordinal", max_keys=n_shards * (len(splits) + 2)
+    ).drop("__bucket")
     packed = rebuild_documents(chunks).select("shard", "ordinal", *digest)
     packed = packed.withColumnsRenamed({"digest": "digest_packed", "n": "n_packed"})
     same = (F.col("digest") == F.col("digest_packed")) & (F.col("n") == F.col("n_packed"))

@@ -32,7 +32,7 @@ def reader_assignment(files: DataFrame, seed: int, world_size: int, workers: int
     readers = world_size * workers
     hashed = files.withColumn("__h", seeded_hash(seed, "name"))
     hashed = hashed.withColumn("__b", hex_prefix("__h", 3))
-    ranked = row_rank(hashed, [], "__b", ["__h", "name"], "file_rank", "n_files")
+    ranked = row_rank(hashed, [], "__b", ["__h", "name"], "file_rank", "n_files", 16**3)
     return (
         ranked.drop("__h", "__b")
         .withColumn("kept", F.expr(f"file_rank < n_files div {readers} * {readers}"))

@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.joins import bounded
+
 MAX_BUCKETS = 4096
 ROWS_PER_BUCKET = 200_000
 SPAN = 100_000
@@ -65,11 +67,14 @@ def running_total(
     value: Column | None = None,
     start: str = "start",
     total: str | None = None,
+    max_keys: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, the row itself excluded.
 
     ``bucket`` must not decrease along ``order``; groups and buckets must not be
     null.  ``total`` names an optional column with the sum over the whole group.
+    ``max_keys`` is a proven bound on the number of (group, bucket) pairs; when it
+    is small the bucket sums are broadcast and the rows stay where they are.
     """
     keys = [*groups, bucket]
     rows = df.withColumn("__rt_value", F.lit(1).cast("bigint") if value is None else value)
@@ -79,6 +84,8 @@ def running_total(
     if total:
         parts.append(F.sum("__rt_sum").over(Window.partitionBy(*groups)).alias(total))
     bases = sums.select(*keys, *parts)
+    if max_keys is not None:
+        bases = bounded(bases, max_keys)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("__rt_upto", F.sum("__rt_value").over(inside))
@@ -95,9 +102,10 @@ def row_rank(
     order: Sequence[Column | str],
     out: str = "rank",
     total: str | None = None,
+    max_keys: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group; optionally the group's size."""
-    return running_total(df, groups, bucket, order, None, out, total)
+    return running_total(df, groups, bucket, order, None, out, total, max_keys)
 
 
 def with_halo(df: DataFrame, rank: str, reach: int, span: int = SPAN) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.seeded import hex_prefix, seeded_hash, unit_draw
+from gristmill.operators.joins import bounded
 from gristmill.operators.running import row_rank, running_total
 
 PREFIX_DIGITS = 3
@@ -56,7 +57,8 @@ def random_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) ->
     hashed = docs.withColumn("__h", seeded_hash(seed, key))
     hashed = hashed.withColumn("__b", hex_prefix("__h", PREFIX_DIGITS))
     summed = running_total(
-        hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens"
+        hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens",
+        max_keys=16**PREFIX_DIGITS,
     )
     return summed.filter(F.col("__start") + F.col("n_tokens") <= limit).drop(
         "__h", "__b", "__start", "all_tokens"
@@ -73,7 +75,8 @@ def repeat_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) ->
     hashed = docs.withColumn("__h", seeded_hash(seed, key))
     hashed = hashed.withColumn("__b", hex_prefix("__h", PREFIX_DIGITS))
     summed = running_total(
-        hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens"
+        hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens",
+        max_keys=16**PREFIX_DIGITS,
     )
     summed = summed.withColumn("__budget", limit.cast("bigint"))
     whole = F.expr("__budget div all_tokens")
@@ -127,8 +130,7 @@ def mixture(
     ranked = row_rank(hashed, [source], "__b", ["__h", key], "__slot", "__n_items").drop("__h", "__b")
     sizes = items.filter(F.col(source).isin(names)).groupBy(source).agg(F.count(F.lit(1)).alias("__size"))
     wanted = draws.groupBy(source).agg(F.count(F.lit(1)).alias("__drawn"))
-    # One row per source named in ``weights``.
-    drawn = draws.join(F.broadcast(sizes), source)
+    drawn = draws.join(bounded(sizes, len(names)), source)
     drawn = (
         drawn.withColumn("__slot", F.col("__k") % F.col("__size"))
         .withColumn("lap", F.expr("__k div __size"))
@@ -139,7 +141,7 @@ def mixture(
     # copy of an item serves LAPS_PER_COPY laps.
     last_copy = F.expr(f"(__drawn - 1) div __n_items div {LAPS_PER_COPY}")
     copies = (
-        ranked.join(F.broadcast(wanted), source)
+        ranked.join(bounded(wanted, len(names)), source)
         .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last_copy)))
         .drop("__drawn", "__n_items")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.losses import excess_loss
-from gristmill.operators.joins import lookup_join
+from gristmill.operators.joins import bounded, lookup_join
 
 SCORE_DIGITS = 9
 
@@ -46,13 +46,14 @@ class BigramModel:
         return totals.select("prev", "total", entropy.alias("entropy"))
 
     def loss(self, n: Column, total: Column) -> Column:
+        """Of a pair seen ``n`` times after a context seen ``total`` times; null means never."""
         p = (F.coalesce(n, F.lit(0)) + F.lit(self.alpha)) / (
             F.coalesce(total, F.lit(0)) + F.lit(self.alpha) * F.lit(float(self.vocab_size))
         )
-        return -F.log(p)
+        return F.round(-F.log(p), SCORE_DIGITS)
 
     def entropy(self, known: Column) -> Column:
-        return F.coalesce(known, F.log(F.lit(float(self.vocab_size))))
+        return F.round(F.coalesce(known, F.log(F.lit(float(self.vocab_size)))), SCORE_DIGITS)
 
 
 def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> BigramModel:
@@ -64,8 +65,8 @@ def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> Big
     n = F.size("tokens") - 1
     zipped = F.arrays_zip(F.slice("tokens", F.lit(1), n).alias("a"), F.slice("tokens", F.lit(2), n).alias("b"))
     pairs = (
-        sequences.filter(F.size("tokens") > 1)
-        .select(F.explode(zipped).alias("p"))
+        sequences.select(F.explode_outer(F.when(n > 0, zipped)).alias("p"))
+        .filter(F.col("p").isNotNull())
         .groupBy((F.col("p.a") % vocab_size).alias("prev"), (F.col("p.b") % vocab_size).alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -75,52 +76,54 @@ def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> Big
 def score_with_bigrams(positions: DataFrame, base: BigramModel, reference: BigramModel) -> DataFrame:
     """Add ``loss``, ``ref_loss``, ``ref_entropy`` and ``excess`` to positions.
 
-    Both models are folded into one lookup per pair and one per context.  The
-    context table is bounded by the vocabulary; the pair table by its square.
+    Every score is worked out once per distinct pair, and for pairs neither model
+    has seen once per context; a position only looks its scores up.  The
+    context table is bounded by the vocabulary, the pair table by its square.
     """
     if base.vocab_size != reference.vocab_size:
         raise ValueError("the two models must share a vocabulary")
     vocab = base.vocab_size
+    contexts = base.contexts.select("prev", F.col("total").alias("t_base")).join(
+        reference.contexts.select("prev", F.col("total").alias("t_ref"), "entropy"), "prev", "full_outer"
+    )
     pairs = base.pairs.withColumnRenamed("n", "n_base").join(
         reference.pairs.withColumnRenamed("n", "n_ref"), ["prev", "label"], "full_outer"
     )
-    pairs = pairs.select(
+    never = F.lit(None).cast("bigint")
+    unseen = contexts.select(
         F.col("prev").alias("__prev"),
-        F.col("label").alias("__label"),
-        "n_base",
-        "n_ref",
-        F.coalesce("n_base", F.lit(0)).alias("__weight"),
-    )
-    contexts = (
-        base.contexts.select("prev", F.col("total").alias("t_base"))
-        .join(
-            reference.contexts.select("prev", F.col("total").alias("t_ref"), "entropy"),
-            "prev",
-            "full_outer",
+        base.loss(never, F.col("t_base")).alias("__loss"),
+        reference.loss(never, F.col("t_ref")).alias("__ref_loss"),
+        reference.entropy(F.col("entropy")).alias("ref_entropy"),
+    ).withColumn("__excess", _rounded_excess("__loss", "__ref_loss"))
+    seen = (
+        pairs.join(bounded(contexts, vocab), "prev")
+        .select(
+            F.col("prev").alias("__prev"),
+            F.col("label").alias("__label"),
+            base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),
+            reference.loss(F.col("n_ref"), F.col("t_ref")).alias("ref_loss"),
+            F.coalesce("n_base", F.lit(0)).alias("__weight"),
         )
-        .withColumnRenamed("prev", "__prev")
+        .withColumn("excess", _rounded_excess("loss", "ref_loss"))
     )
     # Ids are folded into the models' vocabulary for the lookup only.
     rows = positions.withColumn("__prev", F.col("prev") % vocab)
     rows = rows.withColumn("__label", F.col("label") % vocab)
-    # Both tables have a proven size; see lookup_join.
-    found = lookup_join(rows, pairs, ["__prev", "__label"], "__weight", vocab * vocab)
-    found = found.join(F.broadcast(contexts), "__prev", "left")
-    scored = found.select(
+    found = lookup_join(rows, seen, ["__prev", "__label"], "__weight", vocab * vocab)
+    found = found.join(bounded(unseen, vocab), "__prev", "left")
+    uniform = base.entropy(never.cast("double"))
+    return found.select(
         *positions.columns,
-        base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),
-        reference.loss(F.col("n_ref"), F.col("t_ref")).alias("ref_loss"),
-        reference.entropy(F.col("entropy")).alias("ref_entropy"),
+        F.coalesce("loss", "__loss", uniform).alias("loss"),
+        F.coalesce("ref_loss", "__ref_loss", uniform).alias("ref_loss"),
+        F.coalesce("ref_entropy", uniform).alias("ref_entropy"),
+        F.coalesce("excess", "__excess", F.lit(0.0)).alias("excess"),
     )
-    return rounded(scored)
 
 
-def rounded(scored: DataFrame) -> DataFrame:
-    """Round to SCORE_DIGITS, so that a rank does not hang on summation order, and
-    add the excess loss (D3)."""
-    for name in ("loss", "ref_loss", "ref_entropy"):
-        scored = scored.withColumn(name, F.round(name, SCORE_DIGITS))
-    return scored.withColumn("excess", F.round(excess_loss("loss", "ref_loss"), SCORE_DIGITS))
+def _rounded_excess(loss: str, ref_loss: str) -> Column:
+    return F.round(excess_loss(loss, ref_loss), SCORE_DIGITS)
 
 
 # tokens [batch, length + 1] -> loss, ref_loss, ref_entropy, each [batch, length]
@@ -158,5 +161,5 @@ def score_blocks(
         *[F.col(name) for name in names],
     )
     keys = [f.name for f in kept]
-    flat = ran.select(*keys, F.posexplode(zipped).alias("pos", "__s"))
-    return rounded(flat.select(*keys, "pos", "__s.*"))
+    flat = ran.select(*keys, F.posexplode_outer(zipped).alias("pos", "__s"))
+    return flat.select(*keys, "pos", "__s.*").withColumn("excess", excess_loss("loss", "ref_loss"))

@@ -23,7 +23,7 @@ from gristmill.operators.running import range_splits, row_rank, running_total, w
 from gristmill.operators.tokenizing import tokenize
 from gristmill.plans import jobs as J
 from gristmill.sources import corpus, runlog
-from gristmill.sources.corpus import read_corpus, subset_of
+from gristmill.sources.corpus import read_corpus, spread, subset_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,13 +65,17 @@ def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return read_corpus(spark, f"{sf}/documents.parquet", columns or ("doc_id", "text"))
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(_docs(spark, sf), "doc_id")
+
+
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenize(_docs(spark, sf))
+    return tokenize(_texts(spark, sf))
 
 
 def _curated(spark: SparkSession, sf: str) -> DataFrame:
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
-    return subset_of(_docs(spark, sf), good)
+    return subset_of(_texts(spark, sf), good)
 
 
 def _ids_md5(tokens: str = "tokens") -> Column:
@@ -144,14 +148,14 @@ def packed_padded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def packed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = J.pack_corpus(_docs(spark, sf), LAYOUT)
+    blocks = J.pack_corpus(_texts(spark, sf), LAYOUT)
     return blocks.select("shard", "chunk_no", "block_no", _ids_md5())
 
 
 @query
 def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["shard", "chunk_no", "block_no"]
-    pairs = P.next_token_pairs(J.pack_corpus(_docs(spark, sf), LAYOUT), keys)
+    pairs = P.next_token_pairs(J.pack_corpus(_texts(spark, sf), LAYOUT), keys)
     weighted = (F.col("pos") + 1) * (F.col("prev").cast("bigint") * 3 + F.col("label"))
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.sum(weighted).alias("checksum"))
 
@@ -310,7 +314,7 @@ def cluster_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
-    found = J.with_token_counts(_paths(spark, sf), _docs(spark, sf), "vec_id")
+    found = J.with_token_counts(_paths(spark, sf), _texts(spark, sf), "vec_id")
     profile = C.cluster_profile(found, LEVELS)
     for name in ("doc_share", "token_share", "imbalance"):
         profile = profile.withColumn(name, F.round(name, 6))
@@ -361,7 +365,7 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return J.score_corpus(_docs(spark, sf), _curated(spark, sf), LAYOUT, SCORE_VOCAB)
+    return J.score_corpus(_texts(spark, sf), _curated(spark, sf), LAYOUT, SCORE_VOCAB)
 
 
 @query
@@ -448,7 +452,7 @@ def masked_ce_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     subset = _balanced(spark, sf, "random").select(F.col("vec_id").alias("doc_id"))
-    selected = J.hybrid(_docs(spark, sf), subset, _curated(spark, sf), LAYOUT, SCORE_VOCAB)
+    selected = J.hybrid(_texts(spark, sf), subset, _curated(spark, sf), LAYOUT, SCORE_VOCAB)
     return _selected_summary(selected)
 
 

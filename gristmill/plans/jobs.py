@@ -103,8 +103,13 @@ def hybrid(
     vocab_size: int,
     method: str = "self_reference_intersection",
 ) -> DataFrame:
-    """Token selection inside a curated subset."""
-    scores = score_corpus(subset_of(docs, subset), reference_docs, layout, vocab_size)
+    """Token selection inside a curated subset.
+
+    The subset is written first (A2): its plan holds the whole curation, and
+    packing and both passes over token counts would each run it again.
+    """
+    chosen = stage(subset_of(docs, subset), "subset")
+    scores = score_corpus(chosen, reference_docs, layout, vocab_size)
     return select_tokens(scores, method)
 
 

@@ -13,6 +13,16 @@ def read_corpus(spark: SparkSession, path: str, columns: Sequence[str] = ("doc_i
     return spark.read.parquet(path).select(*columns)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores.
+
+    Splitting and hashing words costs far more than moving the text once.  A
+    table with splits for everyone, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus_profile(docs: DataFrame, by: Sequence[str]) -> DataFrame:
     return docs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("docs"),

@@ -19,7 +19,7 @@ from gristmill.operators.audit import HEADER_BYTES, MAGIC, VERSION
 from gristmill.operators.reading import chunk_file_name
 
 # Fixed values of the packed file format.
-HEADER = struct.Struct("<7sQBQ")
+HEADER = "<7sQBQ"
 DTYPE_OF_CODE = {
     1: np.uint8,
     2: np.int8,
@@ -87,7 +87,7 @@ def export_bin(chunks: DataFrame, folder: str, vocab_size: int | None, prefix: s
                 target = f"{root}/{name}"
                 scratch = f"{target}.{uuid.uuid4().hex}.part"
                 with files.open_output_stream(scratch) as out:
-                    out.write(HEADER.pack(MAGIC.encode(), VERSION, code, len(values)))
+                    out.write(struct.pack(HEADER, MAGIC.encode(), VERSION, code, len(values)))
                     out.write(payload)
                 files.move(scratch, target)
                 length = HEADER_BYTES + len(payload)
@@ -111,7 +111,7 @@ def import_bin(spark: SparkSession, folder: str) -> DataFrame:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
-                magic, version, code, size = HEADER.unpack_from(content)
+                magic, version, code, size = struct.unpack_from(HEADER, content)
                 if magic != MAGIC.encode():
                     raise ValueError(f"{path}: not a packed file")
                 if version != VERSION:
@@ -142,7 +142,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
                 if len(head) < HEADER_BYTES:
                     rows.append((path, None, None, None, None, length))
                     continue
-                magic, version, code, size = HEADER.unpack(head)
+                magic, version, code, size = struct.unpack(HEADER, head)
                 # A damaged header may hold numbers no BIGINT takes.
                 limit = np.iinfo(np.int64).max
                 rows.append(
