@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.seeded import seeded_hash
-from gristmill.operators.joins import bounded
+from gristmill.operators.joins import BROADCAST_ROWS, bounded
 
 MAX_CENTROID_BYTES = 256 << 20
 
@@ -206,6 +206,8 @@ def build_tree(
     ``fit(points, k)`` returns centroids; upper levels hand it a DataFrame
     ``(id, embedding)`` of the centroids below, whose number is bounded.
     """
+    if ks[0] > BROADCAST_ROWS:
+        raise ValueError(f"at most {BROADCAST_ROWS} finest clusters are supported")
     if any(above >= below for below, above in zip(ks, ks[1:])):
         raise ValueError("each level must have fewer clusters than the one below")
     spark = points.sparkSession

@@ -160,34 +160,34 @@ def pack_blocks(
 ) -> DataFrame:
     """C5 + C7 in one step, without building megabyte-wide chunk rows.
 
-    With ``micro_batch`` each block also gets ``batch_no`` (its shard-wide block
-    number div the batch size) and the blocks of a batch are placed in one
+    ``shard_block`` numbers the blocks of a shard, ``block_no`` those of a chunk.
+    With ``micro_batch`` each block also gets ``batch_no`` (``shard_block`` div
+    the batch size) and the blocks of a batch are placed in one
     partition, so that later windows over (shard, batch_no) need no exchange.
     """
+    per_chunk = chunk_size // block_len
+    batch_no = F.expr(f"shard_block div {micro_batch}") if micro_batch else None
     if chunk_size % block_len:
         chunks = pack_chunks(docs, n_shards, chunk_size, rows_per_bucket=rows_per_bucket)
-        blocks = split_blocks(chunks, chunk_size, block_len)
-        if micro_batch is None:
-            return blocks
-        per_chunk = chunk_size // block_len
-        number = F.expr(f"(chunk_no * {per_chunk} + block_no) div {micro_batch}")
-        return blocks.withColumn("batch_no", number).repartition("shard", "batch_no")
-    per_chunk = chunk_size // block_len
+        blocks = split_blocks(chunks, chunk_size, block_len).withColumn(
+            "shard_block", F.col("chunk_no") * per_chunk + F.col("block_no")
+        )
+        if batch_no is not None:
+            blocks = blocks.withColumn("batch_no", batch_no).repartition("shard", "batch_no")
+        return blocks
     slim = docs.select("doc_id", "n_tokens", "tokens")
     splits = range_splits(docs, "doc_id", rows_per_bucket)
     offsets = stream_offsets(slim, n_shards, splits=splits).filter("n_tokens > 0")
     last = full_chunks(F.col("shard_tokens"), chunk_size) * per_chunk - 1
-    keys = ["shard", "unit"]
-    pieces = _cut(offsets, block_len, last)
-    if micro_batch is not None:
+    pieces = _cut(offsets, block_len, last).withColumnRenamed("unit", "shard_block")
+    keys = ["shard", "shard_block"]
+    if batch_no is not None:
         keys.insert(1, "batch_no")
-        pieces = pieces.withColumn("batch_no", F.expr(f"unit div {micro_batch}"))
-        pieces = pieces.repartition("shard", "batch_no")
-    named = [F.col(k) for k in keys if k != "unit"]
+        pieces = pieces.withColumn("batch_no", batch_no).repartition("shard", "batch_no")
     return _assemble(pieces, keys).select(
-        *named,
-        F.expr(f"unit div {per_chunk}").alias("chunk_no"),
-        (F.col("unit") % per_chunk).cast("int").alias("block_no"),
+        *keys,
+        F.expr(f"shard_block div {per_chunk}").alias("chunk_no"),
+        (F.col("shard_block") % per_chunk).cast("int").alias("block_no"),
         "tokens",
     )
 

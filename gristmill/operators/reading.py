@@ -107,3 +107,15 @@ def read_coverage(
         .withColumn("blocks", F.col("files") * blocks_per_file)
         .withColumn("supervised_tokens", F.col("blocks") * block_size)
     )
+
+
+def in_read_order(blocks: DataFrame, schedule: DataFrame, blocks_per_file: int) -> DataFrame:
+    """Blocks as the readers see them: with ``gpu_rank``, ``iter`` and ``step``.
+
+    Blocks are already placed by (shard, shard_block), so of the join's two sides
+    only the short schedule rows move; then every micro-batch goes to one
+    partition.
+    """
+    number = F.col("chunk_no") * blocks_per_file + F.col("block_no")
+    visits = schedule.select("shard", number.alias("shard_block"), "pass_no", "gpu_rank", "iter", "step")
+    return blocks.join(visits, ["shard", "shard_block"]).repartition("gpu_rank", "iter")

@@ -43,7 +43,9 @@ def balanced_sample(
     else:
         raise ValueError(f"order must be 'random' or 'nearest', got {order!r}")
     ranked = row_rank(hashed, list(levels), "__b", ordering, "__rank")
-    chosen = ranked.join(quotas.select(*levels, "quota"), list(levels)).filter("__rank < quota")
+    # One row per leaf; build_tree admits no more leaves than may be broadcast.
+    limits = F.broadcast(quotas.select(*levels, "quota"))
+    chosen = ranked.join(limits, list(levels)).filter("__rank < quota")
     return chosen.drop("__h", "__b", "__rank", "quota")
 
 

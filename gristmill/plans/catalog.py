@@ -180,17 +180,9 @@ def reader_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _schedule(spark: SparkSession, sf: str, shuffle: bool) -> DataFrame:
-    return R.read_schedule(
-        _assigned(spark, sf),
-        LAYOUT.blocks_per_chunk,
-        SEED,
-        LAYOUT.workers,
-        LAYOUT.micro_batch,
-        LAYOUT.grad_accum,
-        passes=2,
-        buffer_files=LAYOUT.buffer_files,
-        shuffle=shuffle,
-    ).select("reader", "gpu_rank", "pass_no", "name", "block_no", "read_pos", "iter", "step")
+    return J.plan_reads(_texts(spark, sf), LAYOUT, passes=2, shuffle=shuffle).select(
+        "reader", "gpu_rank", "pass_no", "name", "block_no", "read_pos", "iter", "step"
+    )
 
 
 @query
@@ -456,6 +448,20 @@ def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     return _selected_summary(selected)
 
 
+@query
+def read_order_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval totals over all ranks, each micro-batch masked as it is read."""
+    selected = J.select_in_read_order(
+        _texts(spark, sf), _curated(spark, sf), LAYOUT, SCORE_VOCAB, "excess_loss", passes=2
+    )
+    totals = L.interval_loss(L.masked_loss(selected, ["gpu_rank", "iter", "step"]), "step", 10)
+    return (
+        totals.withColumn("loss_sum", F.round("loss_sum", 4))
+        .withColumn("loss", F.round("loss", 6))
+        .withColumn("selected_ratio", F.round("selected_ratio", 6))
+    )
+
+
 # --- run analytics -----------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import clustering as C
 from gristmill.operators import packing as P
+from gristmill.operators import reading as R
 from gristmill.operators import sampling as S
 from gristmill.operators import scoring as K
 from gristmill.operators.running import ROWS_PER_BUCKET
@@ -46,11 +47,21 @@ class Layout:
 
 
 def pack_corpus(
-    docs: DataFrame, layout: Layout, codec: CodecFactory | None = None, batches: bool = False
+    docs: DataFrame,
+    layout: Layout,
+    codec: CodecFactory | None = None,
+    batches: bool = False,
+    staged: bool | None = None,
 ) -> DataFrame:
-    """Text to blocks.  A plug-in's tokens are staged, so that it runs once."""
+    """Text to blocks.
+
+    Offsets need the token counts before the tokens.  ``staged`` writes the
+    tokenized corpus once and reads the counts back as one narrow column; else
+    the text is read twice and its words are split, but not hashed, a second
+    time.  A plug-in's tokens are always staged unless told otherwise.
+    """
     tokens = tokenize(docs.select("doc_id", "text"), codec)
-    if codec is not None:
+    if codec is not None if staged is None else staged:
         tokens = stage(tokens, "tokens")
     return P.pack_blocks(
         tokens,
@@ -62,6 +73,24 @@ def pack_corpus(
     )
 
 
+def plan_reads(docs: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
+    """The schedule of every block, from token counts alone."""
+    tokens = tokenize(docs.select("doc_id", "text"))
+    files = P.chunk_manifest(tokens, layout.n_shards, layout.chunk_size)
+    files = files.withColumn("name", R.chunk_file_name())
+    return R.read_schedule(
+        R.reader_assignment(files, layout.seed, layout.world_size, layout.workers),
+        layout.blocks_per_chunk,
+        layout.seed,
+        layout.workers,
+        layout.micro_batch,
+        layout.grad_accum,
+        passes,
+        layout.buffer_files,
+        shuffle,
+    )
+
+
 def score_corpus(
     docs: DataFrame, reference_docs: DataFrame, layout: Layout, vocab_size: int, alpha: float = 0.1
 ) -> DataFrame:
@@ -72,12 +101,37 @@ def score_corpus(
     model reads the same exchange.
     """
     blocks = pack_corpus(docs, layout, batches=True)
-    base = K.fit_bigram(blocks, vocab_size, alpha)
-    reference = K.fit_bigram(tokenize(reference_docs.select("doc_id", "text")), vocab_size, alpha)
+    base, reference = fit_models(blocks, reference_docs, vocab_size, alpha)
     positions = P.next_token_pairs(blocks, ["shard", "batch_no", "chunk_no", "block_no"])
     return K.score_with_bigrams(positions, base, reference)
 
 
+def fit_models(
+    blocks: DataFrame, reference_docs: DataFrame, vocab_size: int, alpha: float
+) -> tuple[K.BigramModel, K.BigramModel]:
+    """The base model of all blocks and the reference model of a curated part."""
+    curated = tokenize(reference_docs.select("doc_id", "text"))
+    return K.fit_bigram(blocks, vocab_size, alpha), K.fit_bigram(curated, vocab_size, alpha)
+
+
+def select_in_read_order(
+    docs: DataFrame,
+    reference_docs: DataFrame,
+    layout: Layout,
+    vocab_size: int,
+    method: str = "self_reference_intersection",
+    passes: int = 1,
+    alpha: float = 0.1,
+) -> DataFrame:
+    """Plan the reads, score the blocks of every micro-batch and select its tokens."""
+    blocks = pack_corpus(docs, layout)
+    base, reference = fit_models(blocks, reference_docs, vocab_size, alpha)
+    read = R.in_read_order(blocks, plan_reads(docs, layout, passes), layout.blocks_per_chunk)
+    keys = ["gpu_rank", "iter", "step", "pass_no", "shard", "chunk_no", "block_no"]
+    scores = K.score_with_bigrams(P.next_token_pairs(read, keys), base, reference)
+    return select_tokens(scores, method, ["gpu_rank", "iter"])
+
+
 def curate(
     points: DataFrame,
     ks: Sequence[int],

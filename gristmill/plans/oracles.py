@@ -66,6 +66,17 @@ def _scored(pairs: str, base: str) -> str:
         LEFT JOIN ref_ctx rc ON rc.prev = p.prev % {V}"""
 
 
+def _schedule(order: str) -> str:
+    per_buffer = L.buffer_files * PER_CHUNK
+    return f"""
+    SELECT reader, gpu_rank, pass_no, name, block_no, read_pos,
+           read_pos // {L.micro_batch} * {L.workers} + worker AS iter,
+           (read_pos // {L.micro_batch} * {L.workers} + worker) // {L.grad_accum} AS step
+    FROM (SELECT *, (pass_no * groups + file_group) * {per_buffer} - 1
+                    + row_number() OVER (PARTITION BY reader, pass_no, file_group ORDER BY {order}) AS read_pos
+          FROM visits)"""
+
+
 _DIST = "list_distance(v.embedding::DOUBLE[], c.center)"
 
 
@@ -145,6 +156,9 @@ CTES: dict[str, str] = {
         SELECT r.*, p.pass_no, b.block_no FROM readable r,
             (SELECT unnest(range(2))::INTEGER AS pass_no) p,
             (SELECT unnest(range({PER_CHUNK}))::INTEGER AS block_no) b""",
+    "schedule": _schedule(
+        f"md5('{Q.SEED}:' || reader || ':' || pass_no || ':' || file_group || ':' || name || ':' || block_no)"
+    ),
     "headers": f"""
         SELECT name AS path, CASE WHEN f = 0 THEN 'XXXXXXX' ELSE 'LITPKDS' END AS magic,
                CASE WHEN f = 4 THEN 2 ELSE 1 END AS version, CASE WHEN f = 1 THEN 9 ELSE 8 END AS code,
@@ -237,10 +251,10 @@ _SUMMARY = """
     FROM ({0}) GROUP BY shard, batch_no"""
 
 
-def _top(score: str, ratio: float) -> str:
+def _top(score: str, ratio: float, batch: str = "shard, batch_no") -> str:
     return (
-        f"rank() OVER (PARTITION BY shard, batch_no ORDER BY {score} DESC) <= "
-        f"greatest(1, ceil(count(*) OVER (PARTITION BY shard, batch_no) * {ratio}::DOUBLE))"
+        f"rank() OVER (PARTITION BY {batch} ORDER BY {score} DESC) <= "
+        f"greatest(1, ceil(count(*) OVER (PARTITION BY {batch}) * {ratio}::DOUBLE))"
     )
 
 
@@ -268,17 +282,6 @@ def _accounting(files: str) -> str:
           FROM (SELECT count(*) AS total_files, {CHUNK}::BIGINT AS chunk_size FROM {files}))"""
 
 
-def _schedule(order: str) -> str:
-    per_buffer = L.buffer_files * PER_CHUNK
-    return f"""
-    SELECT reader, gpu_rank, pass_no, name, block_no, read_pos,
-           read_pos // {L.micro_batch} * {L.workers} + worker AS iter,
-           (read_pos // {L.micro_batch} * {L.workers} + worker) // {L.grad_accum} AS step
-    FROM (SELECT *, (pass_no * groups + file_group) * {per_buffer} - 1
-                    + row_number() OVER (PARTITION BY reader, pass_no, file_group ORDER BY {order}) AS read_pos
-          FROM visits)"""
-
-
 def _budget(planned: str) -> str:
     return f"""
     SELECT s AS pass_steps, ({planned})::BIGINT AS planned_steps,
@@ -356,11 +359,7 @@ def oracle_sql() -> dict[str, str]:
                              sum(n_tokens) OVER (PARTITION BY doc_id % {SHARDS}) AS t FROM cnt) GROUP BY shard"""
         ),
         "reader_assignment": _with("SELECT name, kept, reader, slot, gpu_rank, worker FROM assigned"),
-        "read_schedule": _with(
-            _schedule(
-                f"md5('{Q.SEED}:' || reader || ':' || pass_no || ':' || file_group || ':' || name || ':' || block_no)"
-            )
-        ),
+        "read_schedule": _with("SELECT * FROM schedule"),
         "read_schedule_natural": _with(_schedule("slot, block_no")),
         "read_coverage": _with(
             f"""SELECT status, count(*) AS files, count(*) * {PER_CHUNK} AS blocks,
@@ -448,6 +447,17 @@ def oracle_sql() -> dict[str, str]:
                       count(*) FILTER (label <> 2) AS n_kept, count(*) AS n_all FROM scores GROUP BY shard"""
         ),
         "hybrid_select": _with(_SUMMARY.format(_HYBRID)),
+        "read_order_loss": _with(
+            f"""SELECT step // 10 AS interval_no, round(sum(loss) FILTER (sel), 4) AS loss_sum,
+                       count(*) FILTER (sel) AS n_selected, count(*) AS n_positions,
+                       round(sum(loss) FILTER (sel) / count(*) FILTER (sel), 6) AS loss,
+                       round(count(*) FILTER (sel) / count(*), 6) AS selected_ratio
+                FROM (SELECT r.step, s.loss,
+                             {_top('s.excess', 0.6, 'r.gpu_rank, r.iter')} AS sel
+                      FROM scores s JOIN schedule r
+                      ON r.name = printf('shard-%05d_%010d.bin', s.shard, s.chunk_no) AND r.block_no = s.block_no)
+                GROUP BY ALL"""
+        ),
         "rolling_loss": _with(
             """SELECT run, step, round(m, 6) AS train_loss, round(exp(m), 6) AS train_ppl FROM (
                    SELECT run, step, avg(loss) OVER (PARTITION BY run ORDER BY step
