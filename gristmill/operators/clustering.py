@@ -80,7 +80,8 @@ def assign(
             [pa.array(best.astype(np.int32)), pa.array(np.sqrt(squared))], ["cluster", "distance"]
         )
 
-    found = points.withColumn("__near", nearest(F.col(vector)))
+    # Marked so that the optimizer does not evaluate it once more for a filter.
+    found = points.withColumn("__near", nearest.asNondeterministic()(F.col(vector)))
     found = found.withColumn(out, F.col("__near.cluster"))
     if distance:
         found = found.withColumn(distance, F.col("__near.distance"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="gristmill-")
+def _local_dir() -> tempfile.TemporaryDirectory:
+    """Kept until the interpreter ends."""
+    return tempfile.TemporaryDirectory(prefix="gristmill-", ignore_cleanup_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dir()
+    return _local_dir().name
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -73,9 +73,9 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize(_texts(spark, sf))
 
 
-def _curated(spark: SparkSession, sf: str) -> DataFrame:
-    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
-    return subset_of(_texts(spark, sf), good)
+def _good(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the curated part that the reference model is fitted on."""
+    return spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
 
 
 def _ids_md5(tokens: str = "tokens") -> Column:
@@ -148,14 +148,14 @@ def packed_padded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def packed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = J.pack_corpus(_texts(spark, sf), LAYOUT)
+    blocks = J.pack_corpus(_tokens(spark, sf), LAYOUT)
     return blocks.select("shard", "chunk_no", "block_no", _ids_md5())
 
 
 @query
 def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["shard", "chunk_no", "block_no"]
-    pairs = P.next_token_pairs(J.pack_corpus(_texts(spark, sf), LAYOUT), keys)
+    pairs = P.next_token_pairs(J.pack_corpus(_tokens(spark, sf), LAYOUT), keys)
     weighted = (F.col("pos") + 1) * (F.col("prev").cast("bigint") * 3 + F.col("label"))
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.sum(weighted).alias("checksum"))
 
@@ -180,7 +180,7 @@ def reader_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _schedule(spark: SparkSession, sf: str, shuffle: bool) -> DataFrame:
-    return J.plan_reads(_texts(spark, sf), LAYOUT, passes=2, shuffle=shuffle).select(
+    return J.plan_reads(_tokens(spark, sf), LAYOUT, passes=2, shuffle=shuffle).select(
         "reader", "gpu_rank", "pass_no", "name", "block_no", "read_pos", "iter", "step"
     )
 
@@ -271,7 +271,7 @@ def _tree(points: DataFrame) -> C.ClusterTree:
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     points = _points(spark, sf)
-    return C.assign_tree(points, _tree(points), distance="distance").drop("embedding")
+    return J.assignments(points, _tree(points))
 
 
 LEVELS = ["c1", "c2"]
@@ -342,7 +342,7 @@ def random_budget_subset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def repeat_subset(spark: SparkSession, sf: str) -> DataFrame:
-    counts = tokenize(_curated(spark, sf)).select("doc_id", "n_tokens")
+    counts = subset_of(_tokens(spark, sf), _good(spark, sf)).select("doc_id", "n_tokens")
     return S.repeat_subset(counts, F.expr("all_tokens * 163 div 100"), "doc_id", SEED)
 
 
@@ -357,7 +357,8 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return J.score_corpus(_texts(spark, sf), _curated(spark, sf), LAYOUT, SCORE_VOCAB)
+    tokens = J.tokens_of(_texts(spark, sf))
+    return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB)
 
 
 @query
@@ -371,7 +372,7 @@ def token_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ref_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    model = K.fit_bigram(tokenize(_curated(spark, sf)), SCORE_VOCAB)
+    model = K.fit_bigram(subset_of(_tokens(spark, sf), _good(spark, sf)), SCORE_VOCAB)
     return model.contexts.withColumn("entropy", F.round("entropy", 6))
 
 
@@ -444,15 +445,17 @@ def masked_ce_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     subset = _balanced(spark, sf, "random").select(F.col("vec_id").alias("doc_id"))
-    selected = J.hybrid(_texts(spark, sf), subset, _curated(spark, sf), LAYOUT, SCORE_VOCAB)
-    return _selected_summary(selected)
+    tokens = J.tokens_of(_texts(spark, sf))
+    reference = subset_of(tokens, _good(spark, sf))
+    return _selected_summary(J.hybrid(tokens, subset, reference, LAYOUT, SCORE_VOCAB))
 
 
 @query
 def read_order_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Interval totals over all ranks, each micro-batch masked as it is read."""
+    tokens = J.tokens_of(_texts(spark, sf))
     selected = J.select_in_read_order(
-        _texts(spark, sf), _curated(spark, sf), LAYOUT, SCORE_VOCAB, "excess_loss", passes=2
+        tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB, "excess_loss", passes=2
     )
     totals = L.interval_loss(L.masked_loss(selected, ["gpu_rank", "iter", "step"]), "step", 10)
     return (
@@ -613,7 +616,7 @@ def compute_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
     runs = accounts.select(F.inline(kinds), F.col("max_steps_nominal").alias("steps"), "tokens_per_step")
     whole = _tokens(spark, sf).agg(F.sum("n_tokens").alias("unique_tokens"))
-    part = tokenize(_curated(spark, sf)).agg(F.sum("n_tokens").alias("unique_tokens"))
+    part = subset_of(_tokens(spark, sf), _good(spark, sf)).agg(F.sum("n_tokens").alias("unique_tokens"))
     subsets = whole.withColumn("subset", F.lit("all")).unionByName(part.withColumn("subset", F.lit("curated")))
     kept = _batch_losses(spark, sf).agg(
         (F.sum("n_selected") / F.sum("n_positions")).alias("selected_ratio")

@@ -46,23 +46,19 @@ class Layout:
         return self.block_len * self.blocks_per_chunk
 
 
-def pack_corpus(
-    docs: DataFrame,
-    layout: Layout,
-    codec: CodecFactory | None = None,
-    batches: bool = False,
-    staged: bool | None = None,
-) -> DataFrame:
-    """Text to blocks.
+def tokens_of(docs: DataFrame, codec: CodecFactory | None = None) -> DataFrame:
+    """The tokenized corpus, written once as ``doc_id, n_tokens, tokens``.
 
-    Offsets need the token counts before the tokens.  ``staged`` writes the
-    tokenized corpus once and reads the counts back as one narrow column; else
-    the text is read twice and its words are split, but not hashed, a second
-    time.  A plug-in's tokens are always staged unless told otherwise.
+    Every later job needs the token counts before it needs the tokens.  From the
+    written table the counts are one narrow column; from the text, they would
+    cost another pass over all of it.
     """
-    tokens = tokenize(docs.select("doc_id", "text"), codec)
-    if codec is not None if staged is None else staged:
-        tokens = stage(tokens, "tokens")
+    coded = tokenize(docs.select("doc_id", "text"), codec)
+    return stage(coded.select("doc_id", "n_tokens", "tokens"), "tokens")
+
+
+def pack_corpus(tokens: DataFrame, layout: Layout, batches: bool = False) -> DataFrame:
+    """Tokens to blocks, with the blocks of a micro-batch placed together if asked."""
     return P.pack_blocks(
         tokens,
         layout.n_shards,
@@ -73,9 +69,8 @@ def pack_corpus(
     )
 
 
-def plan_reads(docs: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
+def plan_reads(tokens: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
     """The schedule of every block, from token counts alone."""
-    tokens = tokenize(docs.select("doc_id", "text"))
     files = P.chunk_manifest(tokens, layout.n_shards, layout.chunk_size)
     files = files.withColumn("name", R.chunk_file_name())
     return R.read_schedule(
@@ -92,31 +87,25 @@ def plan_reads(docs: DataFrame, layout: Layout, passes: int = 1, shuffle: bool =
 
 
 def score_corpus(
-    docs: DataFrame, reference_docs: DataFrame, layout: Layout, vocab_size: int, alpha: float = 0.1
+    tokens: DataFrame, reference_tokens: DataFrame, layout: Layout, vocab_size: int, alpha: float = 0.1
 ) -> DataFrame:
     """Pack a corpus and score every position with the count models.
 
-    The blocks of a micro-batch are shuffled once, as arrays.  Exploding them,
-    looking up both models and ranking all happen in that partitioning; the base
-    model reads the same exchange.
+    The base model is fitted on all blocks, the reference model on the documents
+    of a curated part.  The blocks of a micro-batch are shuffled once, as arrays.
+    Exploding them, looking up both models and ranking all happen in that
+    partitioning; the base model reads the same exchange.
     """
-    blocks = pack_corpus(docs, layout, batches=True)
-    base, reference = fit_models(blocks, reference_docs, vocab_size, alpha)
+    blocks = pack_corpus(tokens, layout, batches=True)
+    base = K.fit_bigram(blocks, vocab_size, alpha)
+    reference = K.fit_bigram(reference_tokens, vocab_size, alpha)
     positions = P.next_token_pairs(blocks, ["shard", "batch_no", "chunk_no", "block_no"])
     return K.score_with_bigrams(positions, base, reference)
 
 
-def fit_models(
-    blocks: DataFrame, reference_docs: DataFrame, vocab_size: int, alpha: float
-) -> tuple[K.BigramModel, K.BigramModel]:
-    """The base model of all blocks and the reference model of a curated part."""
-    curated = tokenize(reference_docs.select("doc_id", "text"))
-    return K.fit_bigram(blocks, vocab_size, alpha), K.fit_bigram(curated, vocab_size, alpha)
-
-
 def select_in_read_order(
-    docs: DataFrame,
-    reference_docs: DataFrame,
+    tokens: DataFrame,
+    reference_tokens: DataFrame,
     layout: Layout,
     vocab_size: int,
     method: str = "self_reference_intersection",
@@ -124,14 +113,24 @@ def select_in_read_order(
     alpha: float = 0.1,
 ) -> DataFrame:
     """Plan the reads, score the blocks of every micro-batch and select its tokens."""
-    blocks = pack_corpus(docs, layout)
-    base, reference = fit_models(blocks, reference_docs, vocab_size, alpha)
-    read = R.in_read_order(blocks, plan_reads(docs, layout, passes), layout.blocks_per_chunk)
+    blocks = pack_corpus(tokens, layout)
+    base = K.fit_bigram(blocks, vocab_size, alpha)
+    reference = K.fit_bigram(reference_tokens, vocab_size, alpha)
+    read = R.in_read_order(blocks, plan_reads(tokens, layout, passes), layout.blocks_per_chunk)
     keys = ["gpu_rank", "iter", "step", "pass_no", "shard", "chunk_no", "block_no"]
     scores = K.score_with_bigrams(P.next_token_pairs(read, keys), base, reference)
     return select_tokens(scores, method, ["gpu_rank", "iter"])
 
 
+def assignments(points: DataFrame, tree: C.ClusterTree) -> DataFrame:
+    """Each vector's clusters and distance, written once.
+
+    Quotas, profiles and samples read this narrow table several times; the
+    vectors are read, and compared with the centroids, only here.
+    """
+    return stage(C.assign_tree(points, tree, distance="distance").drop("embedding"), "assignments")
+
+
 def curate(
     points: DataFrame,
     ks: Sequence[int],
@@ -144,27 +143,21 @@ def curate(
     """Embeddings to a balanced subset: cluster tree, quotas, sample."""
     tree = C.build_tree(points, ks, fit)
     levels = [f"c{i + 1}" for i in range(tree.depth)]
-    found = C.assign_tree(points, tree, distance="distance").drop("embedding")
-    quotas = C.allocate(found, levels, target)
-    return S.balanced_sample(found, quotas, levels, key, seed, order)
+    found = assignments(points, tree)
+    return S.balanced_sample(found, C.allocate(found, levels, target), levels, key, seed, order)
 
 
 def hybrid(
-    docs: DataFrame,
+    tokens: DataFrame,
     subset: DataFrame,
-    reference_docs: DataFrame,
+    reference_tokens: DataFrame,
     layout: Layout,
     vocab_size: int,
     method: str = "self_reference_intersection",
 ) -> DataFrame:
-    """Token selection inside a curated subset.
-
-    The subset is written first (A2): its plan holds the whole curation, and
-    packing and both passes over token counts would each run it again.
-    """
-    chosen = stage(subset_of(docs, subset), "subset")
-    scores = score_corpus(chosen, reference_docs, layout, vocab_size)
-    return select_tokens(scores, method)
+    """Token selection inside a curated subset, which is written first (A2)."""
+    chosen = stage(subset_of(tokens, subset), "subset")
+    return select_tokens(score_corpus(chosen, reference_tokens, layout, vocab_size), method)
 
 
 def lloyd_fit(steps: int, seed: int, key: str, upper_key: str = "id") -> Callable[[DataFrame, int], np.ndarray]:
