@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.losses import excess_loss
+
 # Default ratios.
 EXCESS_RATIO = 0.6
 LOW_LOSS_RATIO = 0.7
@@ -23,18 +25,29 @@ def finite(score: Column) -> Column:
     return F.when(sound, score).otherwise(F.raise_error(F.lit("a token score is not finite")))
 
 
-def in_top_ratio(score: Column, ratio: float, batch: Sequence[str]) -> Column:
-    """True for the ``max(1, ceil(n * ratio))`` highest scores of the batch, ties included.
+def with_top_ratio(
+    scores: DataFrame, ranked: Sequence[tuple[Column, float]], batch: Sequence[str], out: str = "selected"
+) -> DataFrame:
+    """Mark the positions that are among the highest by *every* (score, ratio).
 
-    A batch has a fixed size, so its window is bounded.  The product is taken in
-    doubles: as a decimal, ``ceil(100 * 0.07)`` would be 7 and not 8.
+    Of a batch of n, the ``max(1, ceil(n * ratio))`` highest scores count, ties
+    included: those that reach the k-th highest, which is what ``percentile_disc``
+    over the descending scores returns.  The product is taken in doubles; as a
+    decimal, ``ceil(100 * 0.07)`` would be 7 and not 8.  All thresholds come from
+    one window without an order, and a batch has a fixed size.
     """
-    if not 0.0 < ratio <= 1.0:
-        raise ValueError(f"selection ratio must be in (0, 1], got {ratio}")
-    whole = Window.partitionBy(*batch)
-    size = F.count(F.lit(1)).over(whole).cast("double")
-    k = F.greatest(F.lit(1).cast("bigint"), F.ceil(size * F.lit(float(ratio))))
-    return F.rank().over(whole.orderBy(finite(score).desc())) <= k
+    over = ", ".join(f"`{name}`" for name in batch)
+    tests = []
+    for i, (score, ratio) in enumerate(ranked):
+        if not 0.0 < ratio <= 1.0:
+            raise ValueError(f"selection ratio must be in (0, 1], got {ratio}")
+        scores = scores.withColumn(f"__score{i}", finite(score))
+        tests.append(
+            f"__score{i} >= percentile_disc({float(ratio)!r}D) WITHIN GROUP (ORDER BY __score{i} DESC) "
+            f"OVER (PARTITION BY {over})"
+        )
+    marked = scores.withColumn(out, F.expr(" AND ".join(tests)))
+    return marked.drop(*[f"__score{i}" for i in range(len(ranked))])
 
 
 def select_tokens(
@@ -52,18 +65,21 @@ def select_tokens(
     ``high_intersection``: high reference loss and high reference entropy.
     ``excess_loss``: high loss minus reference loss.
     """
+    loss, entropy = F.col("ref_loss"), F.col("ref_entropy")
     if method == "excess_loss":
-        mask = in_top_ratio(F.col("loss") - F.col("ref_loss"), excess_ratio, batch)
-        if "excess" in scores.columns:
-            mask = in_top_ratio(F.col("excess"), excess_ratio, batch)
+        known = "excess" in scores.columns
+        excess = F.col("excess") if known else excess_loss("loss", "ref_loss")
+        ranked = [(excess, excess_ratio)]
     elif method == "self_reference_intersection":
-        mask = in_top_ratio(-F.col("ref_loss"), loss_ratio or LOW_LOSS_RATIO, batch) & in_top_ratio(
-            -F.col("ref_entropy"), entropy_ratio or LOW_ENTROPY_RATIO, batch
-        )
+        ratios = _default(loss_ratio, LOW_LOSS_RATIO), _default(entropy_ratio, LOW_ENTROPY_RATIO)
+        ranked = [(-loss, ratios[0]), (-entropy, ratios[1])]
     elif method == "high_intersection":
-        mask = in_top_ratio(F.col("ref_loss"), loss_ratio or HIGH_LOSS_RATIO, batch) & in_top_ratio(
-            F.col("ref_entropy"), entropy_ratio or HIGH_ENTROPY_RATIO, batch
-        )
+        ratios = _default(loss_ratio, HIGH_LOSS_RATIO), _default(entropy_ratio, HIGH_ENTROPY_RATIO)
+        ranked = [(loss, ratios[0]), (entropy, ratios[1])]
     else:
         raise ValueError(f"unknown selection method {method!r}; known: {', '.join(METHODS)}")
-    return scores.withColumn(out, mask)
+    return with_top_ratio(scores, ranked, batch, out)
+
+
+def _default(ratio: float | None, default: float) -> float:
+    return default if ratio is None else ratio

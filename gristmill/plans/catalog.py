@@ -392,8 +392,7 @@ def _selected_summary(selected: DataFrame) -> DataFrame:
 
 @query
 def top_ratio_mask(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _scores(spark, sf)
-    return _selected_summary(scores.withColumn("selected", D.in_top_ratio(F.col("loss"), 0.07, BATCH)))
+    return _selected_summary(D.with_top_ratio(_scores(spark, sf), [(F.col("loss"), 0.07)], BATCH))
 
 
 @query

@@ -6,12 +6,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gristmill.operators import losses as L
-from gristmill.operators.selection import in_top_ratio, select_tokens
+from gristmill.operators.selection import select_tokens, with_top_ratio
 
 
 def _kept(spark, scores, ratio):
     df = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate(scores)], "b int, i int, s double")
-    masked = df.withColumn("m", in_top_ratio(F.col("s"), ratio, ["b"]))
+    masked = with_top_ratio(df, [(F.col("s"), ratio)], ["b"], "m")
     return [r["m"] for r in masked.orderBy("i").collect()]
 
 
@@ -26,20 +26,29 @@ def test_ratio_is_taken_in_doubles(spark):
     assert sum(_kept(spark, range(100), 0.07)) == 8
 
 
-def test_threshold_law(spark):
+@pytest.mark.parametrize("ratio", [0.07, 0.29, 0.6, 0.7, 1 / 3, 1e-9, 1.0])
+def test_threshold_law(spark, ratio):
+    """Many batches at once, with ties, against the k-th largest score."""
     rng = random.Random(3)
-    for _ in range(5):
-        scores = [rng.randint(0, 20) for _ in range(rng.randint(1, 60))]
-        ratio = rng.random() or 1.0
-        k = max(1, math.ceil(len(scores) * ratio))
-        limit = sorted(scores, reverse=True)[k - 1]
-        assert _kept(spark, scores, ratio) == [s >= limit for s in scores]
+    batches = [[float(rng.randint(0, 20)) for _ in range(rng.randint(1, 130))] for _ in range(300)]
+    rows = [(b, s) for b, scores in enumerate(batches) for s in scores]
+    df = spark.createDataFrame(rows, "b int, s double")
+    got = with_top_ratio(df, [(F.col("s"), ratio)], ["b"]).filter("selected").groupBy("b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("limit")
+    )
+    want = {}
+    for b, scores in enumerate(batches):
+        limit = sorted(scores, reverse=True)[max(1, math.ceil(len(scores) * ratio)) - 1]
+        want[b] = (sum(s >= limit for s in scores), limit)
+    assert {r["b"]: (r["n"], r["limit"]) for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("ratio", [0.0, -1.0, 1.1])
-def test_ratio_out_of_range(ratio):
+def test_ratio_out_of_range(spark, ratio):
     with pytest.raises(ValueError):
-        in_top_ratio(F.lit(1.0), ratio, ["b"])
+        with_top_ratio(spark.range(3), [(F.col("id"), ratio)], ["id"])
+    with pytest.raises(ValueError):
+        select_tokens(_scores(spark), loss_ratio=ratio)
 
 
 @pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf")])
