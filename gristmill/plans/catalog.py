@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.seeded import hex_prefix, seeded_hash
-from gristmill.functions.text import EOS_ID
+from gristmill.functions.text import BOS_ID, EOS_ID, FIRST_WORD_ID, VOCAB_SIZE, WORD_PATTERN
 from gristmill.operators import audit as A
 from gristmill.operators import clustering as C
 from gristmill.operators import evals as V
@@ -20,10 +24,12 @@ from gristmill.operators import sampling as S
 from gristmill.operators import scoring as K
 from gristmill.operators import selection as D
 from gristmill.operators.running import range_splits, row_rank, running_total, with_bucket
-from gristmill.operators.tokenizing import tokenize
+from gristmill.operators.staging import shared_dir, stage
+from gristmill.operators.tokenizing import detokenize, tokenize
 from gristmill.plans import jobs as J
 from gristmill.sources import corpus, runlog
 from gristmill.sources.corpus import read_corpus, spread, subset_of
+from gristmill.sources.packed import export_bin, import_bin, read_headers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,9 +130,13 @@ def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _chunks(spark: SparkSession, sf: str, remainder: str) -> DataFrame:
+def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return J.tokens_of(_texts(spark, sf))
+
+
+def _chunks(tokens: DataFrame, remainder: str) -> DataFrame:
     return P.pack_chunks(
-        _tokens(spark, sf),
+        tokens,
         LAYOUT.n_shards,
         LAYOUT.chunk_size,
         remainder,
@@ -136,34 +146,92 @@ def _chunks(spark: SparkSession, sf: str, remainder: str) -> DataFrame:
 
 @query
 def packed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf, "drop")
+    chunks = _chunks(_written_tokens(spark, sf), "drop")
     return chunks.select("shard", "chunk_no", F.size("tokens").alias("n_tokens"), _ids_md5())
 
 
 @query
 def packed_padded(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf, "pad")
+    chunks = _chunks(_written_tokens(spark, sf), "pad")
     return chunks.select("shard", "chunk_no", F.size("tokens").alias("n_tokens"), _ids_md5())
 
 
 @query
 def packed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = J.pack_corpus(_tokens(spark, sf), LAYOUT)
+    blocks = J.pack_corpus(_written_tokens(spark, sf), LAYOUT)
     return blocks.select("shard", "chunk_no", "block_no", _ids_md5())
 
 
 @query
 def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["shard", "chunk_no", "block_no"]
-    pairs = P.next_token_pairs(J.pack_corpus(_tokens(spark, sf), LAYOUT), keys)
+    pairs = P.next_token_pairs(J.pack_corpus(_written_tokens(spark, sf), LAYOUT), keys)
     weighted = (F.col("pos") + 1) * (F.col("prev").cast("bigint") * 3 + F.col("label"))
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.sum(weighted).alias("checksum"))
 
 
 @query
 def roundtrip_check(spark: SparkSession, sf: str) -> DataFrame:
-    return P.roundtrip(
-        _tokens(spark, sf), _chunks(spark, sf, "drop"), LAYOUT.n_shards, LAYOUT.rows_per_bucket
+    tokens = _written_tokens(spark, sf)
+    return P.roundtrip(tokens, _chunks(tokens, "drop"), LAYOUT.n_shards, LAYOUT.rows_per_bucket)
+
+
+class _WordCodec:
+    """The built-in tokenizer's rule in Python, to run the plug-in path on whole texts."""
+
+    bos_id, eos_id = BOS_ID, EOS_ID
+
+    def encode(self, string: str) -> list[int]:
+        span = VOCAB_SIZE - FIRST_WORD_ID
+        found = re.findall(WORD_PATTERN, string)
+        return [FIRST_WORD_ID + int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % span for w in found]
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(str, ids))
+
+
+@query
+def tokenize_plugin(spark: SparkSession, sf: str) -> DataFrame:
+    coded = tokenize(_texts(spark, sf), _WordCodec)
+    return coded.select("doc_id", "n_tokens", _ids_md5())
+
+
+@query
+def detokenize_plugin(spark: SparkSession, sf: str) -> DataFrame:
+    coded = tokenize(_texts(spark, sf), _WordCodec, eos=False)
+    return detokenize(coded, _WordCodec).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def embed_plugin(spark: SparkSession, sf: str) -> DataFrame:
+    def embedder() -> Callable[[list[str]], np.ndarray]:
+        return lambda texts: np.array([[len(t.split(" ")), len(t)] for t in texts])
+
+    vectors = C.embed(_texts(spark, sf), embedder)
+    return vectors.select(
+        "doc_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(2)]
+    )
+
+
+def _exported(spark: SparkSession, sf: str) -> str:
+    """Write the chunks as ``.bin`` files; the manifest is staged beside them."""
+    folder = f"{shared_dir(spark).rstrip('/')}/bin-{uuid.uuid4().hex}"
+    chunks = _chunks(_written_tokens(spark, sf), "drop")
+    stage(export_bin(chunks, folder, VOCAB_SIZE), "manifest")
+    return folder
+
+
+@query
+def bin_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = import_bin(spark, _exported(spark, sf))
+    return chunks.select("shard", "chunk_no", F.size("tokens").alias("n_tokens"), _ids_md5())
+
+
+@query
+def bin_audit(spark: SparkSession, sf: str) -> DataFrame:
+    audited = A.audit_shards(read_headers(spark, _exported(spark, sf)))
+    return audited.groupBy("status", "usable", "version", "dtype_code", "chunk_size").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
 
 
@@ -357,7 +425,7 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = J.tokens_of(_texts(spark, sf))
+    tokens = _written_tokens(spark, sf)
     return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB)
 
 
@@ -410,6 +478,22 @@ def select_high_high(spark: SparkSession, sf: str) -> DataFrame:
     return _selected_summary(D.select_tokens(_scores(spark, sf), "high_intersection"))
 
 
+@query
+def select_plugin_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Selection on the scores of a caller's model, here a rule on the ids."""
+
+    def scorer() -> K.BlockScorer:
+        def score(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            prev, label = tokens[:, :-1], tokens[:, 1:]
+            return label % 97, label % 89, prev % 83
+
+        return score
+
+    blocks = J.pack_corpus(_written_tokens(spark, sf), LAYOUT, batches=True)
+    scores = K.score_blocks(blocks, scorer, ["shard", "batch_no", "chunk_no", "block_no"])
+    return _selected_summary(D.select_tokens(scores, "self_reference_intersection"))
+
+
 def _batch_losses(spark: SparkSession, sf: str) -> DataFrame:
     return L.masked_loss(D.select_tokens(_scores(spark, sf), "excess_loss"))
 
@@ -444,7 +528,7 @@ def masked_ce_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     subset = _balanced(spark, sf, "random").select(F.col("vec_id").alias("doc_id"))
-    tokens = J.tokens_of(_texts(spark, sf))
+    tokens = _written_tokens(spark, sf)
     reference = subset_of(tokens, _good(spark, sf))
     return _selected_summary(J.hybrid(tokens, subset, reference, LAYOUT, SCORE_VOCAB))
 
@@ -452,7 +536,7 @@ def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def read_order_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Interval totals over all ranks, each micro-batch masked as it is read."""
-    tokens = J.tokens_of(_texts(spark, sf))
+    tokens = _written_tokens(spark, sf)
     selected = J.select_in_read_order(
         tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB, "excess_loss", passes=2
     )
@@ -602,6 +686,21 @@ def run_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.parse_steps(printed)
 
 
+@query
+def checkpoint_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A save every 500 steps and one at the end, announced twice if both fall together."""
+    log = E.rank_steps(_log(spark, sf), ["run"], "step", 1000).withColumn("at", F.col("rank") + 1)
+    last = log.groupBy("run").agg(F.max("at").alias("last"))
+    regular = F.when(F.col("at") % 500 == 0, F.lit("save"))
+    final = F.when(F.col("at") == F.col("last"), F.array(F.lit("save"), F.lit("final")))
+    saves = log.join(last, "run").withColumn("save", F.explode(F.coalesce(final, F.array(regular))))
+    lines = saves.filter(F.col("save").isNotNull()).select(
+        F.concat(F.lit("run"), F.col("run").cast("string")).alias("run"),
+        F.concat(F.lit("[ckpt] saved -> /runs/a/step-"), F.col("at").cast("string")).alias("line"),
+    )
+    return E.checkpoint_steps(runlog.parse_checkpoints(lines))
+
+
 @query
 def compute_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs: all data once, the curated part repeated, all data with token selection."""

@@ -358,6 +358,16 @@ def oracle_sql() -> dict[str, str]:
                              sum(n_tokens) OVER (PARTITION BY doc_id % {SHARDS} ORDER BY doc_id) AS upto,
                              sum(n_tokens) OVER (PARTITION BY doc_id % {SHARDS}) AS t FROM cnt) GROUP BY shard"""
         ),
+        "detokenize_plugin": _with(
+            "SELECT doc_id, md5(array_to_string(tokens[:-2], ' ')) AS text_md5 FROM tok"
+        ),
+        "embed_plugin": """
+            SELECT doc_id, len(string_split(text, ' '))::DOUBLE AS v0, length(text)::DOUBLE AS v1 FROM documents""",
+        "bin_audit": _with(
+            f"""SELECT 'ok' AS status, true AS usable, 1::BIGINT AS version, 8 AS dtype_code,
+                       {CHUNK}::BIGINT AS chunk_size, count(*) AS files,
+                       (count(*) * {24 + 2 * CHUNK})::BIGINT AS bytes FROM manifest"""
+        ),
         "reader_assignment": _with("SELECT name, kept, reader, slot, gpu_rank, worker FROM assigned"),
         "read_schedule": _with("SELECT * FROM schedule"),
         "read_schedule_natural": _with(_schedule("slot, block_no")),
@@ -430,6 +440,13 @@ def oracle_sql() -> dict[str, str]:
         "select_excess_loss": _with(_SUMMARY.format(_EXCESS)),
         "select_self_reference": _with(_SUMMARY.format(_SELF)),
         "select_high_high": _with(_SUMMARY.format(_HIGH)),
+        "select_plugin_scores": _with(
+            _SUMMARY.format(
+                f"""SELECT *, {_top('-ref_loss', 0.7)} AND {_top('-ref_entropy', 0.7)} AS sel FROM (
+                    SELECT shard, unit // {L.micro_batch} AS batch_no, unit, pos, (label % 97)::DOUBLE AS loss,
+                           (label % 89)::DOUBLE AS ref_loss, (prev % 83)::DOUBLE AS ref_entropy FROM pairs)"""
+            )
+        ),
         "masked_loss": _with(
             f"""SELECT shard, batch_no, round(loss_sum, 4) AS loss_sum, n_selected, n_positions,
                        round(loss_sum / greatest(n_selected, 1), 6) AS loss FROM ({_BATCHES})"""
@@ -513,6 +530,11 @@ def oracle_sql() -> dict[str, str]:
                        round(loss, 4) AS loss, CASE WHEN run % 2 = 1 THEN 0.625::DOUBLE END AS selected,
                        {Q.PEAK_LR}::DOUBLE AS lr, 0.5::DOUBLE AS grad_norm, batch_tokens * 1000 AS tok_s FROM rlog"""
         ),
+        "checkpoint_events": _with(
+            """SELECT DISTINCT 'run' || run AS run, '/runs/a' AS folder, rnk + 1 AS step
+               FROM (SELECT *, max(rnk) OVER (PARTITION BY run) AS last FROM rlog)
+               WHERE (rnk + 1) % 500 = 0 OR rnk = last"""
+        ),
         "compute_ledger": _with(
             f"""SELECT run, u AS unique_tokens, fwd AS forward_tokens, round(fwd * kept)::BIGINT AS backward_tokens,
                        round(fwd / u, 6) AS passes
@@ -541,4 +563,6 @@ def oracle_sql() -> dict[str, str]:
                FROM res a JOIN res b USING (task) WHERE a.model = 'src1' AND b.model = 'src0'"""
         ),
     }
+    out["tokenize_plugin"] = out["tokenize_ids"]
+    out["bin_round_trip"] = out["packed_chunks"]
     return out
