@@ -33,7 +33,8 @@ def embed(docs: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarr
             vectors = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(vectors), dtype=object)
 
-    return docs.withColumn("embedding", run(F.col("text"))).drop("text")
+    # Marked so that a filter on the result does not run the model twice.
+    return docs.withColumn("embedding", run.asNondeterministic()(F.col("text"))).drop("text")
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:

@@ -57,7 +57,8 @@ def tokenize(
             ids = [head + list(tool.encode(t or "")) + tail for t in batch]
             yield pd.Series([x[:max_length] if max_length > 0 else x for x in ids], dtype=object)
 
-    coded = docs.withColumn("tokens", encode(F.col(text))).drop(text)
+    # Marked so that a filter on the result does not encode everything twice.
+    coded = docs.withColumn("tokens", encode.asNondeterministic()(F.col(text))).drop(text)
     return coded.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
@@ -70,7 +71,7 @@ def detokenize(df: DataFrame, codec: CodecFactory, tokens: str = "tokens", out:
         for batch in batches:
             yield pd.Series([tool.decode([int(i) for i in ids]) for ids in batch], dtype=object)
 
-    return df.withColumn(out, decode(F.col(tokens)))
+    return df.withColumn(out, decode.asNondeterministic()(F.col(tokens)))
 
 
 class _SentencePiece:

@@ -143,3 +143,10 @@ def test_builtin_tokens(spark):
     assert (first["n_tokens"], second["tokens"], second["n_tokens"]) == (5, [1, 2], 2)
     cut = tokenize(docs, max_length=2).filter("doc_id = 0").first()
     assert len(cut["tokens"]) == cut["n_tokens"] == 2 and 2 not in cut["tokens"]
+
+
+def test_a_plug_in_runs_once(spark, vocabulary):
+    docs = spark.createDataFrame([(0, "red blue")], "doc_id int, text string")
+    coded = tokenize(docs, codec_from_dir(vocabulary)).filter("n_tokens > 0")
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and coded.count() == 1
