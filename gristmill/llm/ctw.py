@@ -76,6 +76,8 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     if len(keys) == 1:
         return keys[0], counts[0]
     all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
+    if not len(all_keys):
+        return all_keys, all_counts
     order = np.argsort(all_keys)
     all_keys, all_counts = all_keys[order], all_counts[order]
     begin = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))

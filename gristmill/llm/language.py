@@ -21,7 +21,7 @@ from gristmill.llm.common import add_columns, raw_bytes, slices
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 512
-SMOOTHING = 0.5
+SMOOTHING = 0.02
 UNKNOWN = "und"
 # n-grams scored together; a long text is scored in such pieces.
 CHUNK = 1 << 20
