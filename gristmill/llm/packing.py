@@ -10,13 +10,13 @@ no sequence is saved.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,7 +34,11 @@ CACHED_WORDS = 300_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Texts with these go through the tokenizer whole: marked-up special tokens, characters
 # that lower-case by context, and separators that str.split() and the tokenizer see differently.
-_ODD = regex.compile("<\\|(?:startoftext|endoftext)\\|>|[Σİ\x1c-\x1f]")
+_ODD = ("<|startoftext|>", "<|endoftext|>", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _is_plain(text: str) -> bool:
+    return not any(x in text for x in _ODD) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
 
 class CachedEncoder:
@@ -57,7 +61,7 @@ class CachedEncoder:
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             cut = [j + 1 for j, x in enumerate(ids) if x in self.ends]
             if len(cut) == len(some):
                 raw, begin = np.array(ids, "<u4").tobytes(), 0
@@ -68,18 +72,17 @@ class CachedEncoder:
                 for w in some:
                     self.words[w] = self._whole(w)
 
-    def encode(self, text: str) -> bytes:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text) or _ODD.search(text):
-            return self._whole(text)
-        own = text.lower().split()
-        fresh = list(set(own).difference(self.chunks))
-        if fresh:
-            parts = [self.parts(c) for c in fresh]
-            unknown = list({w for p in parts for w in p if w not in self.words})
-            self._learn(unknown)
-            for c, p in zip(fresh, parts):
-                self.chunks[c] = b"".join([self.words[w] for w in p])
-        out = b"".join(map(self.chunks.__getitem__, own))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the new words of all of them are learned together."""
+        plain = [_is_plain(x) for x in texts]
+        chunks = [x.lower().split() if ok else [] for x, ok in zip(texts, plain)]
+        fresh = list(set().union(*chunks).difference(self.chunks))
+        parts = [self.parts(c) for c in fresh]
+        self._learn(list({w for p in parts for w in p}.difference(self.words)))
+        for c, p in zip(fresh, parts):
+            self.chunks[c] = self.words[p[0]] if len(p) == 1 else b"".join([self.words[w] for w in p])
+        known = self.chunks.__getitem__
+        out = [b"".join(map(known, c)) if ok else self._whole(x) for x, c, ok in zip(texts, chunks, plain)]
         if len(self.chunks) > CACHED_WORDS:
             self.chunks.clear()
         if len(self.words) > CACHED_WORDS:
@@ -112,8 +115,9 @@ def token_pieces(
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, columns, bodies = part.column("doc_id").to_pylist(), ([], [], [], [], []), []
-                for name, body in zip(ids, part.column("text").to_pylist()):
-                    raw = encoder.encode(body or "") + close
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                for name, raw in zip(ids, encoder.encode(texts)):
+                    raw += close
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]
                         for c, v in zip(columns, (name, piece, at // 4, len(own) // 4, zlib.crc32(own))):
