@@ -99,9 +99,9 @@ def with_next(
     after = heads.select("bucket", F.coalesce(F.lead("head").over(falling), first).alias("__after"))
     inside = Window.partitionBy("bucket").orderBy(F.desc("__place"))
     led = rows.withColumn("__lead", F.lead("text").over(inside))
-    last = led.filter("__lead is null").join(after, "bucket").withColumn("__lead", F.col("__after"))
-    joined = led.filter("__lead is not null").select("doc_id", "text", "__lead")
-    return joined.unionByName(last.select("doc_id", "text", "__lead")).withColumnRenamed("__lead", "next_text")
+    # Rows are dealt by range already, so only the heads move to meet them.
+    joined = led.join(after, "bucket")
+    return joined.select("doc_id", "text", F.coalesce("__lead", "__after").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:
