@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.common import add_columns, raw_bytes, slices
+from gristmill.operators.staging import stage
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -97,6 +98,7 @@ def matrix(counts: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.nda
 
     At most buckets x MAX_LANGUAGES numbers reach the driver; more languages are an error.
     """
+    counts = stage(counts, "ngrams")
     names = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
