@@ -51,7 +51,10 @@ def leaderboard(results: DataFrame, tasks: Sequence[str]) -> DataFrame:
 
 
 def baseline_delta(results: DataFrame, model: str, baseline: str) -> DataFrame:
-    """accuracy of a model minus that of the baseline, per task."""
+    """accuracy of a model minus that of the baseline, per task.
+
+    A task that one side lacks stays, with nulls there and no difference.
+    """
     ours = results.filter(F.col("model") == model).select("task", F.col("acc").alias("acc"))
     theirs = results.filter(F.col("model") == baseline).select("task", F.col("acc").alias("baseline_acc"))
-    return ours.join(theirs, "task").withColumn("delta", F.round(F.col("acc") - F.col("baseline_acc"), 1))
+    return ours.join(theirs, "task", "full").withColumn("delta", F.round(F.col("acc") - F.col("baseline_acc"), 1))

@@ -157,9 +157,13 @@ def pack_blocks(
     block_len: int,
     micro_batch: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    remainder: str = "drop",
 ) -> DataFrame:
     """C5 + C7 in one step, without building megabyte-wide chunk rows.
 
+    ``remainder='drop'`` leaves out the open chunk at the end of a shard (see
+    ``dropped_tokens``); ``'pad'`` keeps it, filled up as ``pack_chunks`` does.
+
     ``shard_block`` numbers the blocks of a shard, ``block_no`` those of a chunk.
     With ``micro_batch`` each block also gets ``batch_no`` (``shard_block`` div
     the batch size) and the blocks of a batch are placed in one
@@ -167,8 +171,8 @@ def pack_blocks(
     """
     per_chunk = chunk_size // block_len
     batch_no = F.expr(f"shard_block div {micro_batch}") if micro_batch else None
-    if chunk_size % block_len:
-        chunks = pack_chunks(docs, n_shards, chunk_size, rows_per_bucket=rows_per_bucket)
+    if chunk_size % block_len or remainder != "drop":
+        chunks = pack_chunks(docs, n_shards, chunk_size, remainder, rows_per_bucket=rows_per_bucket)
         blocks = split_blocks(chunks, chunk_size, block_len).withColumn(
             "shard_block", F.col("chunk_no") * per_chunk + F.col("block_no")
         )
@@ -192,6 +196,14 @@ def pack_blocks(
     )
 
 
+def dropped_tokens(docs: DataFrame, n_shards: int, chunk_size: int) -> DataFrame:
+    """Tokens of each shard that ``remainder='drop'`` leaves out; shards without documents have no row."""
+    sizes = assign_shard(docs.select("doc_id", "n_tokens"), n_shards).groupBy("shard").agg(
+        F.sum(F.col("n_tokens").cast("bigint")).alias("tokens")
+    )
+    return sizes.withColumn("dropped", F.col("tokens") - full_chunks(F.col("tokens"), chunk_size) * chunk_size)
+
+
 def next_token_pairs(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per supervised position: ``pos``, ``prev`` and ``label``.
 

@@ -212,7 +212,8 @@ def utilization(
 
     Needs ``rank``, ``elapsed`` and ``flops`` (one batch on one device).
     """
-    peak = DEVICE_PEAKS.get((device, precision))
+    # Some devices have one peak for every precision.
+    peak = DEVICE_PEAKS.get((device, precision), DEVICE_PEAKS.get((device, "any")))
     spans = with_halo(log, "rank", window)
     at = Window.partitionBy(*run, "span").orderBy("rank")
     seconds = F.nullif(F.col("elapsed") - _back("elapsed", window, run), F.lit(0.0))

@@ -6,6 +6,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,6 +163,19 @@ def packed_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.select("shard", "chunk_no", "block_no", _ids_md5())
 
 
+@query
+def packed_blocks_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of all tokens: the open chunks are filled up, none is left out."""
+    blocks = J.pack_corpus(_written_tokens(spark, sf), replace(LAYOUT, remainder="pad"))
+    return blocks.select("shard", "chunk_no", "block_no", _ids_md5())
+
+
+@query
+def packed_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each shard, and those that packing without a remainder leaves out."""
+    return P.dropped_tokens(_written_tokens(spark, sf), LAYOUT.n_shards, LAYOUT.chunk_size)
+
+
 @query
 def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["shard", "chunk_no", "block_no"]

@@ -35,6 +35,9 @@ class Layout:
     grad_accum: int = 4
     seed: int = 42
     rows_per_bucket: int = ROWS_PER_BUCKET
+    # What packing does with the open chunk at a shard's end: "drop" or "pad".
+    # Reading plans list full chunks only.
+    remainder: str = "drop"
 
     @property
     def block_len(self) -> int:
@@ -66,6 +69,7 @@ def pack_corpus(tokens: DataFrame, layout: Layout, batches: bool = False) -> Dat
         layout.block_len,
         layout.micro_batch if batches else None,
         layout.rows_per_bucket,
+        layout.remainder,
     )
 
 

@@ -346,6 +346,21 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT shard, unit // {PER_CHUNK} AS chunk_no, (unit % {PER_CHUNK})::INTEGER AS block_no,
                        {IDS.format('j')} AS ids_md5 FROM blk GROUP BY shard, unit"""
         ),
+        "packed_blocks_padded": _with(
+            f"""SELECT shard, p // {CHUNK} AS chunk_no, (p % {CHUNK} // {BLOCK})::INTEGER AS block_no,
+                       {IDS.format('p')} AS ids_md5 FROM (
+                    SELECT shard, p, tok FROM stream
+                    UNION ALL
+                    SELECT s.shard,
+                           unnest(range(coalesce(t, 0), (coalesce((t - 1) // {CHUNK}, 0) + 1) * {CHUNK})) AS p, 1 AS tok
+                    FROM (SELECT unnest(range({SHARDS}))::INTEGER AS shard) s
+                    LEFT JOIN (SELECT shard, count(*) AS t FROM stream GROUP BY shard) x USING (shard))
+                GROUP BY ALL"""
+        ),
+        "packed_dropped": _with(
+            f"""SELECT shard, count(*) AS tokens, count(*) - (count(*) - 1) // {CHUNK} * {CHUNK} AS dropped
+                FROM stream GROUP BY shard"""
+        ),
         "next_token_pairs": _with(
             f"""SELECT shard, unit // {PER_CHUNK} AS chunk_no, (unit % {PER_CHUNK})::INTEGER AS block_no,
                        count(*) AS pairs, sum((pos + 1) * (prev * 3 + label))::BIGINT AS checksum
@@ -559,8 +574,9 @@ def oracle_sql() -> dict[str, str]:
                    FROM res GROUP BY model)"""
         ),
         "baseline_delta": _with(
-            """SELECT a.task, a.acc, b.acc AS baseline_acc, round(a.acc - b.acc, 1) AS delta
-               FROM res a JOIN res b USING (task) WHERE a.model = 'src1' AND b.model = 'src0'"""
+            """SELECT task, a.acc, b.acc AS baseline_acc, round(a.acc - b.acc, 1) AS delta
+               FROM (SELECT * FROM res WHERE model = 'src1') a
+               FULL JOIN (SELECT * FROM res WHERE model = 'src0') b USING (task)"""
         ),
     }
     out["tokenize_plugin"] = out["tokenize_ids"]

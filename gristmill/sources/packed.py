@@ -105,7 +105,10 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def import_bin(spark: SparkSession, folder: str) -> DataFrame:
-    """A4: ``.bin`` files back to chunk rows; magic and version are checked."""
+    """A4: ``.bin`` files back to chunk rows; magic, version and dtype are checked.
+
+    Files of floats are refused: token ids are integers.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -118,6 +121,8 @@ def import_bin(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError(f"{path}: version {version}, expected {VERSION}")
                 if code not in DTYPE_OF_CODE:
                     raise ValueError(f"{path}: unknown dtype code {code}")
+                if np.dtype(DTYPE_OF_CODE[code]).kind == "f":
+                    raise ValueError(f"{path}: dtype code {code} holds floats, not token ids")
                 values = np.frombuffer(content, DTYPE_OF_CODE[code], count=size, offset=HEADER_BYTES)
                 rows.append((path, size, values.astype(np.int64)))
             yield pd.DataFrame(rows, columns=["path", "chunk_size", "tokens"])

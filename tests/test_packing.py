@@ -105,3 +105,15 @@ def test_remainder_must_be_known(spark):
     _, docs = _corpus(spark, [3])
     with pytest.raises(ValueError):
         P.pack_chunks(docs, 1, 16, "keep")
+
+
+def test_default_layout_keeps_a_small_corpus_when_padded(spark):
+    from gristmill.plans.jobs import Layout, pack_corpus
+
+    rows = [(i, 3, [5, 6, 2]) for i in range(40)]
+    tokens = spark.createDataFrame(rows, "doc_id long, n_tokens int, tokens array<int>")
+    layout = Layout(block_size=7, blocks_per_chunk=64, n_shards=2, remainder="pad")
+    blocks = pack_corpus(tokens, layout, batches=True).collect()
+    assert len(blocks) == 2 * 64 and sum(x in (5, 6) for b in blocks for x in b["tokens"]) == 80
+    assert pack_corpus(tokens, Layout(block_size=7, blocks_per_chunk=64, n_shards=2)).count() == 0
+    assert [r["dropped"] for r in P.dropped_tokens(tokens, 2, layout.chunk_size).collect()] == [60, 60]

@@ -124,3 +124,11 @@ def test_leaderboard(spark):
     assert got["a"]["average"] == 19.5 and got["b"]["average"] is None and got["b"]["t9"] is None
     delta = V.baseline_delta(df, "a", "b").filter("task = 't2'").first()
     assert (delta["acc"], delta["baseline_acc"], delta["delta"]) == (19.9, 1.0, 18.9)
+    lone = V.baseline_delta(df, "b", "a").filter("task = 't9'").collect()
+    assert [(r["acc"], r["baseline_acc"], r["delta"]) for r in lone] == [(None, 3.5, None)]
+
+
+def test_peak_of_a_device_with_one_precision(spark):
+    log = spark.createDataFrame([(0, i, float(i), 1e12, "a") for i in range(4)], "step long, rank long, elapsed double, flops double, run string")
+    got = E.utilization(log, ["run"], 1, "tpu-v4", "bf16-true", window=2).filter("rank = 3").first()
+    assert got["mfu"] is not None
