@@ -1,15 +1,16 @@
-"""Lookup join that keeps frequent keys out of the shuffle."""
+"""Lookup join that keeps frequent keys out of single tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A table of at most this many short rows may be sent to every executor.
 BROADCAST_ROWS = 1 << 20
-HOT_KEYS = 4096
+# Rows of one key that may meet in one task.
+ROWS_PER_KEY = 1 << 20
 
 
 def bounded(table: DataFrame, max_rows: int) -> DataFrame:
@@ -17,26 +18,23 @@ def bounded(table: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(table) if max_rows <= BROADCAST_ROWS else table
 
 
-def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    max_table_rows: int,
+def copies_for(heaviest: Column, rows_per_key: int = ROWS_PER_KEY) -> Column:
+    """Parts that a key with ``heaviest`` rows is divided into."""
+    return F.greatest(F.lit(1), F.ceil(F.coalesce(heaviest, F.lit(0)) / F.lit(rows_per_key))).cast("int")
+
+
+def salted_lookup(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], copies: str, spread: Sequence[str]
 ) -> DataFrame:
-    """Left join of ``rows`` to a table with unique keys and known frequencies.
+    """Left join of ``rows`` to a table with unique keys, the same plan at every size.
 
-    ``max_table_rows`` is a proven bound on the table (say, vocabulary squared).
-    Under BROADCAST_ROWS the table is broadcast.  Above it, only keys heavier
-    than 1/HOT_KEYS of the total weight are: fewer than HOT_KEYS keys can be.
-    The other rows are shuffled, and none of their keys is hot.
+    Both sides carry ``copies``, equal on matching keys (``copies_for``).  A row goes to
+    one of that many parts by a hash of its ``spread`` columns; the table's row is
+    repeated in each.  ``copies`` is left out of the result.
     """
     keys = list(keys)
-    if max_table_rows <= BROADCAST_ROWS:
-        return rows.join(bounded(table, max_table_rows), keys, "left")
-    total = table.agg(F.sum(weight).alias("w")).scalar()
-    hot = table.filter(F.col(weight) * F.lit(HOT_KEYS) > total)
-    cold = table.filter(F.col(weight) * F.lit(HOT_KEYS) <= total)
-    frequent = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
-    return frequent.unionByName(others)
+    part = "__part"
+    salted = rows.withColumn(part, F.pmod(F.xxhash64(*spread), F.col(copies)).cast("int")).drop(copies)
+    every = F.explode(F.sequence(F.lit(0), F.col(copies) - 1))
+    repeated = table.withColumn(part, every).drop(copies)
+    return salted.join(repeated, [*keys, part], "left").drop(part)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.losses import excess_loss
-from gristmill.operators.joins import bounded, lookup_join
+from gristmill.operators.joins import ROWS_PER_KEY, bounded, copies_for, salted_lookup
 
 SCORE_DIGITS = 9
 
@@ -38,12 +38,13 @@ class BigramModel:
         totals = self.pairs.groupBy("prev").agg(
             F.sum("n").alias("total"),
             F.count(F.lit(1)).alias("seen"),
+            F.max("n").alias("heaviest"),
             F.sum((F.col("n") + alpha) * F.log(F.col("n") + alpha)).alias("__plogp"),
         )
         mass = F.col("total") + alpha * vocab
         rest = (vocab - F.col("seen")) * alpha * F.log(alpha)
         entropy = F.log(mass) - (F.col("__plogp") + rest) / mass
-        return totals.select("prev", "total", entropy.alias("entropy"))
+        return totals.select("prev", "total", entropy.alias("entropy"), "heaviest")
 
     def loss(self, n: Column, total: Column) -> Column:
         """Of a pair seen ``n`` times after a context seen ``total`` times; null means never."""
@@ -56,8 +57,14 @@ class BigramModel:
         return F.round(F.coalesce(known, F.log(F.lit(float(self.vocab_size)))), SCORE_DIGITS)
 
 
+def _known_id(token: Column, vocab_size: int) -> Column:
+    """The id itself; one outside the vocabulary is an error."""
+    message = F.concat(F.lit(f"not an id of a vocabulary of {vocab_size}: "), token.cast("string"))
+    return F.when((token >= 0) & (token < vocab_size), token).otherwise(F.raise_error(message))
+
+
 def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> BigramModel:
-    """Count neighbouring tokens of every ``tokens`` array, ids taken modulo ``vocab_size``.
+    """Count neighbouring tokens of every ``tokens`` array; ids must be below ``vocab_size``.
 
     Pairs are combined on the map side, so a pair that makes up a third of the
     corpus reaches the shuffle as one row per task.
@@ -67,23 +74,31 @@ def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> Big
     pairs = (
         sequences.select(F.explode_outer(F.when(n > 0, zipped)).alias("p"))
         .filter(F.col("p").isNotNull())
-        .groupBy((F.col("p.a") % vocab_size).alias("prev"), (F.col("p.b") % vocab_size).alias("label"))
+        .select(
+            _known_id(F.col("p.a"), vocab_size).alias("prev"), _known_id(F.col("p.b"), vocab_size).alias("label")
+        )
+        .groupBy("prev", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return BigramModel(pairs, vocab_size, alpha)
 
 
-def score_with_bigrams(positions: DataFrame, base: BigramModel, reference: BigramModel) -> DataFrame:
+def score_with_bigrams(
+    positions: DataFrame, base: BigramModel, reference: BigramModel, rows_per_key: int = ROWS_PER_KEY
+) -> DataFrame:
     """Add ``loss``, ``ref_loss``, ``ref_entropy`` and ``excess`` to positions.
 
-    Every score is worked out once per distinct pair, and for pairs neither model
-    has seen once per context; a position only looks its scores up.  The
-    context table is bounded by the vocabulary, the pair table by its square.
+    Scores are worked out once per distinct pair, and for pairs neither model has seen
+    once per context.  The context table is bounded by the vocabulary.  Positions meet
+    the pair table in one shuffle by (prev, label), whatever its size; contexts whose
+    heaviest pair has more than ``rows_per_key`` rows in the base counts are divided.
+    A window by batch that follows shuffles them back.
     """
     if base.vocab_size != reference.vocab_size:
         raise ValueError("the two models must share a vocabulary")
     vocab = base.vocab_size
-    contexts = base.contexts.select("prev", F.col("total").alias("t_base")).join(
+    copies = copies_for(F.col("heaviest"), rows_per_key).alias("__copies")
+    contexts = base.contexts.select("prev", F.col("total").alias("t_base"), "heaviest").join(
         reference.contexts.select("prev", F.col("total").alias("t_ref"), "entropy"), "prev", "full_outer"
     )
     pairs = base.pairs.withColumnRenamed("n", "n_base").join(
@@ -91,27 +106,30 @@ def score_with_bigrams(positions: DataFrame, base: BigramModel, reference: Bigra
     )
     never = F.lit(None).cast("bigint")
     unseen = contexts.select(
-        F.col("prev").alias("__prev"),
+        "prev",
         base.loss(never, F.col("t_base")).alias("__loss"),
         reference.loss(never, F.col("t_ref")).alias("__ref_loss"),
         reference.entropy(F.col("entropy")).alias("ref_entropy"),
+        copies,
     ).withColumn("__excess", _rounded_excess("__loss", "__ref_loss"))
     seen = (
         pairs.join(bounded(contexts, vocab), "prev")
         .select(
-            F.col("prev").alias("__prev"),
-            F.col("label").alias("__label"),
+            "prev",
+            "label",
             base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),
             reference.loss(F.col("n_ref"), F.col("t_ref")).alias("ref_loss"),
-            F.coalesce("n_base", F.lit(0)).alias("__weight"),
+            copies,
         )
         .withColumn("excess", _rounded_excess("loss", "ref_loss"))
     )
-    # Ids are folded into the models' vocabulary for the lookup only.
-    rows = positions.withColumn("__prev", F.col("prev") % vocab)
-    rows = rows.withColumn("__label", F.col("label") % vocab)
-    found = lookup_join(rows, seen, ["__prev", "__label"], "__weight", vocab * vocab)
-    found = found.join(bounded(unseen, vocab), "__prev", "left")
+    rows = positions.withColumn("prev", _known_id(F.col("prev"), vocab))
+    rows = rows.withColumn("label", _known_id(F.col("label"), vocab))
+    # A context that neither model knows matches no pair; its rows may go anywhere.
+    parts = unseen.select("prev", "__copies")
+    found = rows.join(bounded(parts, vocab), "prev", "left").fillna(1, ["__copies"])
+    found = salted_lookup(found, seen, ["prev", "label"], "__copies", positions.columns)
+    found = found.join(bounded(unseen.drop("__copies"), vocab), "prev", "left")
     uniform = base.entropy(never.cast("double"))
     return found.select(
         *positions.columns,

@@ -48,7 +48,6 @@ LAYOUT = J.Layout(
     rows_per_bucket=250,
 )
 SEED = 42
-SCORE_VOCAB = 1024
 TREE_KS = (8, 3)
 KMEANS_STEPS = 2
 LANGS = ["de", "en", "es", "fr"]
@@ -440,7 +439,7 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _written_tokens(spark, sf)
-    return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB)
+    return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, VOCAB_SIZE)
 
 
 @query
@@ -454,8 +453,8 @@ def token_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ref_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    model = K.fit_bigram(subset_of(_tokens(spark, sf), _good(spark, sf)), SCORE_VOCAB)
-    return model.contexts.withColumn("entropy", F.round("entropy", 6))
+    model = K.fit_bigram(subset_of(_tokens(spark, sf), _good(spark, sf)), VOCAB_SIZE)
+    return model.contexts.select("prev", "total", F.round("entropy", 6).alias("entropy"))
 
 
 BATCH = ["shard", "batch_no"]
@@ -544,7 +543,7 @@ def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     subset = _balanced(spark, sf, "random").select(F.col("vec_id").alias("doc_id"))
     tokens = _written_tokens(spark, sf)
     reference = subset_of(tokens, _good(spark, sf))
-    return _selected_summary(J.hybrid(tokens, subset, reference, LAYOUT, SCORE_VOCAB))
+    return _selected_summary(J.hybrid(tokens, subset, reference, LAYOUT, VOCAB_SIZE))
 
 
 @query
@@ -552,7 +551,7 @@ def read_order_loss(spark: SparkSession, sf: str) -> DataFrame:
     """Interval totals over all ranks, each micro-batch masked as it is read."""
     tokens = _written_tokens(spark, sf)
     selected = J.select_in_read_order(
-        tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, SCORE_VOCAB, "excess_loss", passes=2
+        tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, VOCAB_SIZE, "excess_loss", passes=2
     )
     totals = L.interval_loss(L.masked_loss(selected, ["gpu_rank", "iter", "step"]), "step", 10)
     return (

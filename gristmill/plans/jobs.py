@@ -96,9 +96,9 @@ def score_corpus(
     """Pack a corpus and score every position with the count models.
 
     The base model is fitted on all blocks, the reference model on the documents
-    of a curated part.  The blocks of a micro-batch are shuffled once, as arrays.
-    Exploding them, looking up both models and ranking all happen in that
-    partitioning; the base model reads the same exchange.
+    of a curated part.  The blocks are shuffled once, as arrays; the base model reads
+    the same exchange.  Positions then go to the pair table by (prev, label), and a
+    selection brings them back by micro-batch.
     """
     blocks = pack_corpus(tokens, layout, batches=True)
     base = K.fit_bigram(blocks, vocab_size, alpha)

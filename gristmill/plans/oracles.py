@@ -15,7 +15,7 @@ CHUNK, BLOCK, SHARDS = L.chunk_size, L.block_len, L.n_shards
 PER_CHUNK = L.blocks_per_chunk
 READERS = L.world_size * L.workers
 PER_STEP = L.micro_batch * L.grad_accum * L.world_size
-V, ALPHA = Q.SCORE_VOCAB, "0.1::DOUBLE"
+V, ALPHA = Q.VOCAB_SIZE, "0.1::DOUBLE"
 K1, K2 = Q.TREE_KS
 
 
@@ -60,10 +60,10 @@ def _scored(pairs: str, base: str) -> str:
                round(-ln((coalesce(r.n, 0) + {ALPHA}) / (coalesce(rc.total, 0) + {ALPHA} * {V})), 9) AS ref_loss,
                round(coalesce(rc.entropy, ln({V}::DOUBLE)), 9) AS ref_entropy
         FROM {pairs} p
-        LEFT JOIN {base} b ON b.prev = p.prev % {V} AND b.label = p.label % {V}
-        LEFT JOIN (SELECT prev, sum(n) AS total FROM {base} GROUP BY prev) bc ON bc.prev = p.prev % {V}
-        LEFT JOIN ref_n r ON r.prev = p.prev % {V} AND r.label = p.label % {V}
-        LEFT JOIN ref_ctx rc ON rc.prev = p.prev % {V}"""
+        LEFT JOIN {base} b ON b.prev = p.prev AND b.label = p.label
+        LEFT JOIN (SELECT prev, sum(n) AS total FROM {base} GROUP BY prev) bc ON bc.prev = p.prev
+        LEFT JOIN ref_n r ON r.prev = p.prev AND r.label = p.label
+        LEFT JOIN ref_ctx rc ON rc.prev = p.prev"""
 
 
 def _schedule(order: str) -> str:
@@ -122,9 +122,9 @@ CTES: dict[str, str] = {
     "good": "SELECT d.* FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) g USING (doc_id)",
     "good_tok": _tokens("good"),
     "good_cnt": "SELECT doc_id, len(tokens)::BIGINT AS n_tokens FROM good_tok",
-    "base_n": f"SELECT prev % {V} AS prev, label % {V} AS label, count(*) AS n FROM pairs GROUP BY ALL",
+    "base_n": f"SELECT prev AS prev, label AS label, count(*) AS n FROM pairs GROUP BY ALL",
     "ref_n": f"""
-        SELECT prev % {V} AS prev, label % {V} AS label, count(*) AS n FROM (
+        SELECT prev AS prev, label AS label, count(*) AS n FROM (
             SELECT tok AS prev, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS label FROM (
                 SELECT doc_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM good_tok))
         WHERE label IS NOT NULL GROUP BY ALL""",
@@ -205,7 +205,7 @@ CTES: dict[str, str] = {
     "hyb_stream": _stream("hyb_tok"),
     "hyb_blk": _blocks("hyb_stream"),
     "hyb_pairs": _pairs("hyb_blk"),
-    "hyb_base": f"SELECT prev % {V} AS prev, label % {V} AS label, count(*) AS n FROM hyb_pairs GROUP BY ALL",
+    "hyb_base": f"SELECT prev AS prev, label AS label, count(*) AS n FROM hyb_pairs GROUP BY ALL",
     "hyb_scores": f"SELECT *, round(loss - ref_loss, 9) AS excess FROM ({_scored('hyb_pairs', 'hyb_base')})",
     "first_near": _nearest("embeddings", "km_0", "vec_id"),
     "log": f"""

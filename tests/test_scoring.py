@@ -62,17 +62,43 @@ def test_vocabularies_must_agree(spark):
         K.score_with_bigrams(next_token_pairs(seqs, []), K.fit_bigram(seqs, 7), K.fit_bigram(seqs, 8))
 
 
-def test_hot_keys_of_a_large_table(spark, monkeypatch):
-    """A third of the rows share a key; hot and cold keys together miss nothing."""
-    monkeypatch.setattr(joins, "HOT_KEYS", 20)
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
-    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("v")).filter("k <> 5")
-    want = rows.join(table, "k", "left").select("id", "v").collect()
-    large = joins.lookup_join(rows, table, ["k"], "n", 1 << 40)
-    assert "Union" in large._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(large.select("id", "v").collect(), key=str) == sorted(want, key=str)
-    small = joins.lookup_join(rows, table, ["k"], "n", 700)
-    assert sorted(small.select("id", "v").collect(), key=str) == sorted(want, key=str)
+def test_heavy_contexts_are_divided(spark):
+    """Any number of parts gives the same scores, and no part holds many rows of a pair."""
+    rows, seqs = _sequences(spark)
+    hot = spark.createDataFrame([(100, [3, 3] * 300)], seqs.schema)
+    seqs = seqs.unionByName(hot)
+    base, ref = K.fit_bigram(seqs, 32_000), K.fit_bigram(seqs.filter("block_no < 3"), 32_000)
+    positions = next_token_pairs(seqs, ["block_no"])
+    whole = K.score_with_bigrams(positions, base, ref).collect()
+    divided = K.score_with_bigrams(positions, base, ref, rows_per_key=50)
+    assert sorted(whole) == sorted(divided.collect()) and len(whole) == 30 * 39 + 599
+    keyed = positions.withColumn("copies", joins.copies_for(F.lit(610), 50))
+    table = spark.createDataFrame([(3, 3, 13, 1.0)], "prev int, label int, copies int, v double")
+    found = joins.salted_lookup(keyed, table, ["prev", "label"], "copies", positions.columns)
+    assert found.count() == len(whole)
+    assert found.filter("prev = 3 and label = 3 and v is null").count() == 0
+    part = F.pmod(F.xxhash64(*positions.columns), F.lit(13))
+    fullest = positions.filter("prev = 3 and label = 3").groupBy(part).count().agg(F.max("count")).first()[0]
+    assert fullest < 100
+
+
+def test_one_plan_whatever_the_vocabulary(spark):
+    """Positions are shuffled by pair once; there is no union of plans."""
+    _, seqs = _sequences(spark)
+    positions = next_token_pairs(seqs, ["block_no"])
+    plans = []
+    for vocab in (7, 32_000):
+        model = K.fit_bigram(seqs, vocab)
+        plan = K.score_with_bigrams(positions, model, model)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan
+        plans.append(plan.count("Join "))
+    assert plans[0] == plans[1]
+
+
+def test_ids_outside_the_vocabulary_are_an_error(spark):
+    _, seqs = _sequences(spark)
+    with pytest.raises(Exception, match="not an id of a vocabulary of 4"):
+        K.fit_bigram(seqs, 4).pairs.collect()
 
 
 def test_plug_in_scorer(spark):
