@@ -10,7 +10,8 @@ accumulated over a table of a few thousand rows, and only then is a window run
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +60,22 @@ def with_bucket(df: DataFrame, key: str, splits: Sequence[float], out: str = "bu
     return cut.transform(keyed).drop(number).withColumn(out, F.col(out).cast("bigint"))
 
 
+def value_buckets(df: DataFrame, key: str, rows_per_bucket: int, out: str, among_equals: Column, parts: int) -> DataFrame:
+    """Add buckets that follow ORDER BY ``key``, then ``among_equals`` (0 to ``parts`` - 1).
+
+    A key that holds more rows than a bucket is one of the quantiles.  Each quantile
+    is a bucket of its own, so equal keys are divided and all others keep their order.
+    """
+    edges: list[float] = []
+    for cut in range_splits(df, key, rows_per_bucket):
+        if not edges or cut > edges[-1]:
+            edges += [cut, math.nextafter(cut, math.inf)]
+    cut_up = with_bucket(df, key, edges, out)
+    # The buckets with odd numbers hold one key each.
+    inside = F.when(F.col(out) % 2 == 1, among_equals.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return cut_up.withColumn(out, F.col(out) * parts + inside)
+
+
 def running_total(
     df: DataFrame,
     groups: Sequence[str],
@@ -68,6 +85,7 @@ def running_total(
     start: str = "start",
     total: str | None = None,
     max_keys: int | None = None,
+    least: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, the row itself excluded.
 
@@ -75,14 +93,20 @@ def running_total(
     null.  ``total`` names an optional column with the sum over the whole group.
     ``max_keys`` is a proven bound on the number of (group, bucket) pairs; when it
     is small the bucket sums are broadcast and the rows stay where they are.
+    ``least`` names further columns with the group's smallest value of a column;
+    the bucket sums carry them, so no join by group alone is needed.
     """
+    least = least or {}
     keys = [*groups, bucket]
     rows = df.withColumn("__rt_value", F.lit(1).cast("bigint") if value is None else value)
-    sums = rows.groupBy(*keys).agg(F.sum("__rt_value").alias("__rt_sum"))
+    sums = rows.groupBy(*keys).agg(
+        F.sum("__rt_value").alias("__rt_sum"), *[F.min(column).alias(name) for name, column in least.items()]
+    )
     before = Window.partitionBy(*groups).orderBy(bucket)
     parts = [(F.sum("__rt_sum").over(before) - F.col("__rt_sum")).alias("__rt_before")]
     if total:
         parts.append(F.sum("__rt_sum").over(Window.partitionBy(*groups)).alias(total))
+    parts += [F.min(name).over(Window.partitionBy(*groups)).alias(name) for name in least]
     bases = sums.select(*keys, *parts)
     if max_keys is not None:
         bases = bounded(bases, max_keys)

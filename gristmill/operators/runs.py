@@ -68,10 +68,12 @@ DEVICE_PEAKS = {
 }
 
 
-def rank_steps(log: DataFrame, run: Sequence[str], step: str, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Add ``rank``, the 0-based position of each row in its run."""
+def rank_steps(
+    log: DataFrame, run: Sequence[str], step: str, rows_per_bucket: int = 200_000, total: str | None = None
+) -> DataFrame:
+    """Add ``rank``, the 0-based position of each row in its run; optionally the run's length."""
     bucketed = with_bucket(log, step, range_splits(log, step, rows_per_bucket), "__bucket")
-    return row_rank(bucketed, run, "__bucket", [step], "rank").drop("__bucket")
+    return row_rank(bucketed, run, "__bucket", [step], "rank", total).drop("__bucket")
 
 
 def _back(column: str, reach: int, run: Sequence[str]) -> Column:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.seeded import hex_prefix, seeded_hash, unit_draw
 from gristmill.operators.joins import bounded
-from gristmill.operators.running import row_rank, running_total
+from gristmill.operators.running import ROWS_PER_BUCKET, row_rank, running_total, value_buckets
 
 PREFIX_DIGITS = 3
-DISTANCE_STEP = 1.0 / 4096
 LAPS_PER_COPY = 1000
 
 
@@ -24,22 +23,23 @@ def balanced_sample(
     seed: int,
     order: str = "random",
     distance: str = "distance",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Take ``quota`` rows of every leaf, in seeded order or nearest first.
 
     Ranks come from counts per (leaf, hash prefix), so a leaf that holds most of
-    the corpus is ranked by thousands of tasks.  ``order='nearest'`` compares
-    distances on a grid of DISTANCE_STEP and breaks ties in seeded order, which
-    keeps a mass of equal copies divisible as well.
+    the corpus is ranked by thousands of tasks.  ``order='nearest'`` orders by
+    the distance itself, equal ones in seeded order.  Its buckets are quantiles of
+    the distance over the corpus; a distance that many rows share has a bucket of
+    its own, which the hash divides.
     """
     hashed = assigned.withColumn("__h", seeded_hash(seed, key))
     if order == "random":
         hashed = hashed.withColumn("__b", hex_prefix("__h", PREFIX_DIGITS))
         ordering = ["__h", key]
     elif order == "nearest":
-        grid = F.floor(F.col(distance) / F.lit(DISTANCE_STEP)).cast("bigint")
-        hashed = hashed.withColumn("__b", grid * 256 + hex_prefix("__h", 2))
-        ordering = ["__b", "__h", key]
+        hashed = value_buckets(hashed, distance, rows_per_bucket, "__b", hex_prefix("__h", 2), 256)
+        ordering = [distance, "__h", key]
     else:
         raise ValueError(f"order must be 'random' or 'nearest', got {order!r}")
     ranked = row_rank(hashed, list(levels), "__b", ordering, "__rank")

@@ -88,11 +88,15 @@ def _ids_md5(tokens: str = "tokens") -> Column:
     return F.md5(F.array_join(F.col(tokens).cast("array<string>"), " ")).alias("ids_md5")
 
 
-def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = P.chunk_manifest(_tokens(spark, sf), LAYOUT.n_shards, LAYOUT.chunk_size)
+def _files(tokens: DataFrame) -> DataFrame:
+    chunks = P.chunk_manifest(tokens, LAYOUT.n_shards, LAYOUT.chunk_size)
     return chunks.withColumn("name", R.chunk_file_name())
 
 
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return _files(_tokens(spark, sf))
+
+
 # --- corpus, tokens, packing -------------------------------------------------
 
 
@@ -124,12 +128,17 @@ def shard_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _tokens(spark, sf).select("doc_id", "n_tokens")
+    counts = _written_counts(spark, sf)
     return P.stream_offsets(counts, LAYOUT.n_shards, LAYOUT.rows_per_bucket).select(
         "doc_id", "shard", "start_pos", "end_pos", "shard_tokens"
     )
 
 
+def _written_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, n_tokens`` of every document, written once: the text is read once."""
+    return stage(_tokens(spark, sf).select("doc_id", "n_tokens"), "counts")
+
+
 def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return J.tokens_of(_texts(spark, sf))
 
@@ -401,7 +410,7 @@ def balanced_allocation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _balanced(spark: SparkSession, sf: str, order: str) -> DataFrame:
     fit = J.lloyd_fit(KMEANS_STEPS, SEED, "vec_id")
-    chosen = J.curate(_points(spark, sf), TREE_KS, fit, F.expr("total div 2"), "vec_id", SEED, order)
+    chosen = J.curate(_points(spark, sf), TREE_KS, fit, F.expr("total div 2"), "vec_id", SEED, order, LAYOUT.rows_per_bucket)
     return chosen.select("vec_id", *LEVELS)
 
 
@@ -417,13 +426,13 @@ def hier_nearest_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def random_budget_subset(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _tokens(spark, sf).select("doc_id", "n_tokens")
+    counts = _written_counts(spark, sf)
     return S.random_subset(counts, F.expr("all_tokens div 2"), "doc_id", SEED)
 
 
 @query
 def repeat_subset(spark: SparkSession, sf: str) -> DataFrame:
-    counts = subset_of(_tokens(spark, sf), _good(spark, sf)).select("doc_id", "n_tokens")
+    counts = subset_of(_written_counts(spark, sf), _good(spark, sf))
     return S.repeat_subset(counts, F.expr("all_tokens * 163 div 100"), "doc_id", SEED)
 
 
@@ -437,8 +446,8 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 # --- token scores and selection ----------------------------------------------
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _written_tokens(spark, sf)
+def _scores(spark: SparkSession, sf: str, tokens: DataFrame | None = None) -> DataFrame:
+    tokens = _written_tokens(spark, sf) if tokens is None else tokens
     return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, VOCAB_SIZE)
 
 
@@ -507,8 +516,8 @@ def select_plugin_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _selected_summary(D.select_tokens(scores, "self_reference_intersection"))
 
 
-def _batch_losses(spark: SparkSession, sf: str) -> DataFrame:
-    return L.masked_loss(D.select_tokens(_scores(spark, sf), "excess_loss"))
+def _batch_losses(spark: SparkSession, sf: str, tokens: DataFrame | None = None) -> DataFrame:
+    return L.masked_loss(D.select_tokens(_scores(spark, sf, tokens), "excess_loss"))
 
 
 @query
@@ -541,9 +550,11 @@ def masked_ce_mean(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def hybrid_select(spark: SparkSession, sf: str) -> DataFrame:
     subset = _balanced(spark, sf, "random").select(F.col("vec_id").alias("doc_id"))
-    tokens = _written_tokens(spark, sf)
-    reference = subset_of(tokens, _good(spark, sf))
-    return _selected_summary(J.hybrid(tokens, subset, reference, LAYOUT, VOCAB_SIZE))
+    subset, good = stage(subset, "curated"), _good(spark, sf)
+    # Documents outside both parts are not tokenized.
+    used = subset_of(_texts(spark, sf), subset.unionByName(good))
+    tokens = J.tokens_of(used)
+    return _selected_summary(J.hybrid(tokens, subset, subset_of(tokens, good), LAYOUT, VOCAB_SIZE))
 
 
 @query
@@ -579,13 +590,13 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked_log(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
-    begun = log.groupBy("run").agg(F.min("us").alias("first_us"))
     log = with_bucket(log, "step", range_splits(log, "step", 1000), "bucket")
     ranked = row_rank(log, ["run"], "bucket", ["step"])
-    ranked = running_total(ranked, ["run"], "bucket", ["step"], F.col("batch_tokens"), "tokens_before")
+    ranked = running_total(
+        ranked, ["run"], "bucket", ["step"], F.col("batch_tokens"), "tokens_before", least={"first_us": "us"}
+    )
     return (
-        ranked.join(begun, "run")
-        .withColumn("elapsed", (F.col("us") - F.col("first_us")) / F.lit(1e6))
+        ranked.withColumn("elapsed", (F.col("us") - F.col("first_us")) / F.lit(1e6))
         .withColumn("samples", (F.col("rank") + 1) * 16)
         .withColumn("lengths", F.col("tokens_before") + F.col("batch_tokens"))
         .drop("first_us", "tokens_before")
@@ -702,11 +713,10 @@ def run_log_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def checkpoint_events(spark: SparkSession, sf: str) -> DataFrame:
     """A save every 500 steps and one at the end, announced twice if both fall together."""
-    log = E.rank_steps(_log(spark, sf), ["run"], "step", 1000).withColumn("at", F.col("rank") + 1)
-    last = log.groupBy("run").agg(F.max("at").alias("last"))
+    log = E.rank_steps(_log(spark, sf), ["run"], "step", 1000, "last").withColumn("at", F.col("rank") + 1)
     regular = F.when(F.col("at") % 500 == 0, F.lit("save"))
     final = F.when(F.col("at") == F.col("last"), F.array(F.lit("save"), F.lit("final")))
-    saves = log.join(last, "run").withColumn("save", F.explode(F.coalesce(final, F.array(regular))))
+    saves = log.withColumn("save", F.explode(F.coalesce(final, F.array(regular))))
     lines = saves.filter(F.col("save").isNotNull()).select(
         F.concat(F.lit("run"), F.col("run").cast("string")).alias("run"),
         F.concat(F.lit("[ckpt] saved -> /runs/a/step-"), F.col("at").cast("string")).alias("line"),
@@ -717,7 +727,8 @@ def checkpoint_events(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def compute_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs: all data once, the curated part repeated, all data with token selection."""
-    accounts = _accounts(_manifest(spark, sf))
+    tokens = _written_tokens(spark, sf)
+    accounts = _accounts(_files(tokens))
     plans = [("full", "all", "none"), ("repeated", "curated", "none"), ("selected", "all", "excess_loss")]
     kinds = F.array(
         *[
@@ -726,10 +737,10 @@ def compute_ledger(spark: SparkSession, sf: str) -> DataFrame:
         ]
     )
     runs = accounts.select(F.inline(kinds), F.col("max_steps_nominal").alias("steps"), "tokens_per_step")
-    whole = _tokens(spark, sf).agg(F.sum("n_tokens").alias("unique_tokens"))
-    part = subset_of(_tokens(spark, sf), _good(spark, sf)).agg(F.sum("n_tokens").alias("unique_tokens"))
+    whole = tokens.agg(F.sum("n_tokens").alias("unique_tokens"))
+    part = subset_of(tokens, _good(spark, sf)).agg(F.sum("n_tokens").alias("unique_tokens"))
     subsets = whole.withColumn("subset", F.lit("all")).unionByName(part.withColumn("subset", F.lit("curated")))
-    kept = _batch_losses(spark, sf).agg(
+    kept = _batch_losses(spark, sf, tokens).agg(
         (F.sum("n_selected") / F.sum("n_positions")).alias("selected_ratio")
     )
     kept = kept.withColumn("subset", F.lit("all")).withColumn("method", F.lit("excess_loss"))

@@ -143,12 +143,13 @@ def curate(
     key: str,
     seed: int,
     order: str = "random",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Embeddings to a balanced subset: cluster tree, quotas, sample."""
     tree = C.build_tree(points, ks, fit)
     levels = [f"c{i + 1}" for i in range(tree.depth)]
     found = assignments(points, tree)
-    return S.balanced_sample(found, C.allocate(found, levels, target), levels, key, seed, order)
+    return S.balanced_sample(found, C.allocate(found, levels, target), levels, key, seed, order, rows_per_bucket=rows_per_bucket)
 
 
 def hybrid(

@@ -420,7 +420,7 @@ def oracle_sql() -> dict[str, str]:
         "hier_balanced_sample": _with("SELECT vec_id, c1, c2 FROM sampled"),
         "hier_nearest_sample": _with(
             f"""SELECT vec_id, c1, c2 FROM (
-                    SELECT p.*, q.quota, row_number() OVER (PARTITION BY c1, c2 ORDER BY floor(distance * 4096),
+                    SELECT p.*, q.quota, row_number() OVER (PARTITION BY c1, c2 ORDER BY distance,
                         md5('{Q.SEED}:' || vec_id), vec_id) AS r
                     FROM paths p JOIN quotas q USING (c1, c2)) WHERE r <= quota"""
         ),

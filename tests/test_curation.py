@@ -104,6 +104,20 @@ def test_embedder_plug_in(spark):
     assert sorted(map(tuple, vectors.collect())) == [(0, [2.0, 1.0]), (1, [0.0, 1.0])]
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+def test_nearest_is_exact_at_any_scale(spark, scale):
+    """The order is that of the distances, however close together or far apart."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(d) * scale) for i, d in enumerate(rng.random(2000))]
+    rows += [(2000 + i, 0, 0.5 * scale) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, c1 int, distance double")
+    quotas = spark.createDataFrame([(0, 300), (1, 77)], "c1 int, quota bigint")
+    got = S.balanced_sample(df, quotas, ["c1"], "vec_id", 5, "nearest", rows_per_bucket=100)
+    for leaf, quota in ((0, 300), (1, 77)):
+        nearest = sorted((d, i) for i, c, d in rows if c == leaf)[:quota]
+        assert sorted(r["vec_id"] for r in got.filter(f"c1 = {leaf}").collect()) == sorted(i for _, i in nearest)
+
+
 @pytest.mark.parametrize("order", ["random", "nearest"])
 def test_sample_from_a_hot_leaf(spark, order):
     """One leaf is nearly everything, all of it at one distance."""

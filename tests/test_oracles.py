@@ -31,3 +31,12 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "name", ["stream_offsets", "random_budget_subset", "repeat_subset", "compute_ledger", "hybrid_select"]
+)
+def test_the_text_is_read_once(spark, name):
+    """What follows the written tokens or counts has no scan of the text left."""
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan

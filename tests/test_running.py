@@ -5,7 +5,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.running import range_splits, row_rank, running_total, with_bucket, with_halo
+from gristmill.operators.running import (
+    range_splits,
+    row_rank,
+    running_total,
+    value_buckets,
+    with_bucket,
+    with_halo,
+)
 
 
 def _rows(n=2000, seed=1):
@@ -61,3 +68,23 @@ def test_halo_window_equals_plain_window(spark):
 def test_halo_must_be_shorter_than_its_span(spark):
     with pytest.raises(ValueError):
         with_halo(spark.range(3), "id", 10, span=10)
+
+
+def test_buckets_of_equal_values(spark):
+    """A value that half of the rows share is divided; the buckets follow the order."""
+    df = spark.range(4000).select(
+        "id", F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("v")
+    )
+    df = df.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(16)))
+    rows = value_buckets(df, "v", 100, "b", F.col("h"), 16).toPandas()
+    assert rows.groupby("b").size().max() < 400
+    assert rows.sort_values(["v", "h"])["b"].is_monotonic_increasing
+
+
+def test_running_total_carries_the_least(spark):
+    df = spark.createDataFrame(_rows(), "k bigint, g string, v bigint")
+    bucketed = with_bucket(df, "k", range_splits(df, "k", 50))
+    got = running_total(bucketed, ["g"], "bucket", ["k"], F.col("v"), least={"first": "k"})
+    want = df.groupBy("g").agg(F.min("k").alias("first"))
+    assert got.select("g", "first").distinct().exceptAll(want).isEmpty()
+    assert got.count() == df.count()
