@@ -29,6 +29,8 @@ SEPARATOR = 0
 PARTITION_PIECES = 1 << 16
 MAX_ROUNDS = 6
 CACHED_WORDS = 300_000
+# Text that is split into words at a time; the word lists take many times its size.
+SPLIT_BYTES = 2 << 20
 
 # The word pattern of the vocabulary file (fixed value); words never span white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -113,7 +115,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedEncoder(serialized)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SPLIT_BYTES):
                 ids, columns, bodies = part.column("doc_id").to_pylist(), ([], [], [], [], []), []
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 for name, raw in zip(ids, encoder.encode(texts)):
