@@ -251,7 +251,8 @@ def bin_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bin_audit(spark: SparkSession, sf: str) -> DataFrame:
-    audited = A.audit_shards(read_headers(spark, _exported(spark, sf)))
+    headers = stage(read_headers(spark, _exported(spark, sf)), "headers")
+    audited = A.audit_shards(headers)
     return audited.groupBy("status", "usable", "version", "dtype_code", "chunk_size").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
