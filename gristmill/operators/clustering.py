@@ -21,6 +21,8 @@ from gristmill.functions.seeded import seeded_hash
 from gristmill.operators.joins import BROADCAST_ROWS, bounded
 
 MAX_CENTROID_BYTES = 256 << 20
+# Distances that a task holds at a time, for one batch of vectors.
+TILE_DISTANCES = 4 << 20
 
 
 def embed(docs: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
@@ -45,11 +47,25 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def _nearest(vectors: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre (ties: lowest) and the squared distance."""
-    scores = (centers**2).sum(axis=1) - 2.0 * (vectors @ centers.T)
-    best = scores.argmin(axis=1)
-    squared = scores[np.arange(len(vectors)), best] + (vectors**2).sum(axis=1)
-    return best, np.maximum(squared, 0.0)
+    """Index of the nearest centre (ties: lowest) and the squared distance.
+
+    The centres are taken in tiles with a running least, so that memory does not grow
+    with vectors times centres.
+    """
+    rows = np.arange(len(vectors))
+    best = np.zeros(len(vectors), dtype=np.int64)
+    least = np.full(len(vectors), np.inf)
+    norms = (centers**2).sum(axis=1)
+    tile = max(1, TILE_DISTANCES // max(len(vectors), 1))
+    for begin in range(0, len(centers), tile):
+        part = slice(begin, begin + tile)
+        scores = norms[part] - 2.0 * (vectors @ centers[part].T)
+        found = scores.argmin(axis=1)
+        here = scores[rows, found]
+        closer = here < least
+        best[closer] = begin + found[closer]
+        least[closer] = here[closer]
+    return best, np.maximum(least + (vectors**2).sum(axis=1), 0.0)
 
 
 def check_centers(centers: np.ndarray) -> np.ndarray:
@@ -89,12 +105,29 @@ def assign(
     return found.drop("__near")
 
 
+PARTIAL_SUMS = "cluster int, n bigint, sums array<double>"
+
+
+def _sums_batch(clusters: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """One row per cluster that has vectors."""
+    ends = np.arange(len(clusters) + 1, dtype=np.int32) * sums.shape[1]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(clusters.astype(np.int32)),
+            pa.array(counts[clusters]),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sums[clusters].ravel())),
+        ],
+        ["cluster", "n", "sums"],
+    )
+
+
 def lloyd_step(points: DataFrame, centers: np.ndarray, vector: str = "embedding") -> np.ndarray:
     """One k-means update; an empty cluster keeps its centre.
 
     Each task sums its own vectors per cluster and emits at most one row per
     cluster, so a cluster holding most of the vectors costs no more to merge
-    than any other.
+    than any other.  The rows, whole sums as arrays, meet by cluster and are
+    added as they stream by.
     """
     centers = check_centers(centers)
     k, dim = centers.shape
@@ -111,29 +144,26 @@ def lloyd_step(points: DataFrame, centers: np.ndarray, vector: str = "embedding"
             seen, firsts = np.unique(best[order], return_index=True)
             sums[seen] += np.add.reduceat(vectors[order], firsts, axis=0)
             counts += np.bincount(best, minlength=k)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(used.astype(np.int32)),
-                pa.array(counts[used]),
-                pa.array(list(sums[used]), type=pa.list_(pa.float64())),
-            ],
-            ["cluster", "n", "sums"],
-        )
+        yield _sums_batch(np.flatnonzero(counts), counts, sums)
 
-    partial = points.select(vector).mapInArrow(partial_sums, "cluster int, n bigint, sums array<double>")
-    merged = (
-        partial.select("cluster", "n", F.posexplode("sums").alias("axis", "value"))
-        .groupBy("cluster", "axis")
-        .agg((F.sum("value") / F.sum("n")).alias("mean"))
-        .groupBy("cluster")
-        .agg(F.sort_array(F.collect_list(F.struct("axis", "mean"))).alias("means"))
-        .select("cluster", F.col("means.mean").alias("center"))
-    )
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k, dim))
+        counts = np.zeros(k, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cluster = batch.column(0).to_numpy()
+            np.add.at(counts, cluster, batch.column(1).to_numpy())
+            np.add.at(sums, cluster, _matrix(batch.column(2)))
+        yield _sums_batch(np.flatnonzero(counts), counts, sums)
+
+    partial = points.select(vector).mapInArrow(partial_sums, PARTIAL_SUMS)
+    # At most k rows, as arrays: the size was checked above.
+    found = partial.repartition("cluster").mapInArrow(merge, PARTIAL_SUMS).toArrow()
     updated = centers.copy()
-    # At most k rows: the size was checked above.
-    for row in merged.collect():
-        updated[row["cluster"]] = row["center"]
+    if found.num_rows:
+        counts = found["n"].to_numpy()
+        updated[found["cluster"].to_numpy()] = _matrix(found["sums"]) / counts[:, None]
     return updated
 
 
@@ -150,21 +180,30 @@ def first_vectors(points: DataFrame, k: int, seed: int, key: str, vector: str =
 
     A top-n by hash is cheap; it is widened while copies crowd the front.  Only
     if a bounded number of rows does not show ``k`` different vectors is the
-    whole column deduplicated.
+    whole column deduplicated, which gives the same vectors.  Fewer than ``k``
+    different vectors are an error.
     """
     hashed = points.select(vector, seeded_hash(seed, key).alias("h"))
+
+    def distinct(rows: pa.Table) -> np.ndarray:
+        """Different vectors, each where it first stands."""
+        matrix = _matrix(rows[vector]) if rows.num_rows else np.zeros((0, 1))
+        return matrix[np.sort(np.unique(matrix, axis=0, return_index=True)[1])]
+
     wanted = 2 * k
     while True:
-        rows = hashed.orderBy("h").limit(wanted).collect()
-        found = list(dict.fromkeys(tuple(r[vector]) for r in rows))
-        if len(found) >= k or len(rows) < wanted:
+        rows = hashed.orderBy("h").limit(wanted).toArrow()
+        found = distinct(rows)
+        if len(found) >= k or rows.num_rows < wanted:
             break
         wanted *= 4
-        if wanted * len(found[0]) * 8 > MAX_CENTROID_BYTES:
-            distinct = hashed.groupBy(vector).agg(F.min("h").alias("h"))
-            found = [tuple(r[vector]) for r in distinct.orderBy("h").limit(k).collect()]
+        if wanted * found.shape[1] * 8 > MAX_CENTROID_BYTES:
+            firsts = hashed.groupBy(vector).agg(F.min("h").alias("h"))
+            found = distinct(firsts.orderBy("h").limit(k).toArrow())
             break
-    return check_centers(np.array(found[:k], dtype=np.float64))
+    if len(found) < k:
+        raise ValueError(f"{k} centroids were asked for, but there are only {len(found)} different vectors")
+    return check_centers(found[:k])
 
 
 def fit_kmeans(points: DataFrame, k: int, seed: int, max_iter: int = 20, vector: str = "embedding") -> np.ndarray:
@@ -187,14 +226,11 @@ class ClusterTree:
 
     def paths(self, spark: SparkSession) -> DataFrame:
         """One row per finest cluster with its ancestors: ``c1, c2, ...``."""
-        rows = []
-        for leaf in range(len(self.centers[0])):
-            path = [leaf]
-            for parent in self.parents:
-                path.append(int(parent[path[-1]]))
-            rows.append(tuple(path))
-        columns = ", ".join(f"c{level + 1} int" for level in range(self.depth))
-        return spark.createDataFrame(rows, columns)
+        path = [np.arange(len(self.centers[0]))]
+        for parent in self.parents:
+            path.append(parent[path[-1]])
+        table = pa.table({f"c{i + 1}": level.astype(np.int32) for i, level in enumerate(path)})
+        return spark.createDataFrame(table)
 
 
 def build_tree(
@@ -217,8 +253,9 @@ def build_tree(
     parents: list[np.ndarray] = []
     for k in ks[1:]:
         below = centers[-1]
-        schema = f"id bigint, {vector} array<double>"
-        level = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(below)], schema)
+        ends = np.arange(len(below) + 1, dtype=np.int32) * below.shape[1]
+        rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(below).ravel()))
+        level = spark.createDataFrame(pa.table({"id": np.arange(len(below)), vector: rows}))
         above = fit(level, k)
         parents.append(_nearest(below, above)[0])
         centers.append(above)
@@ -298,8 +335,7 @@ def allocate(assigned: DataFrame, levels: Sequence[str], target: Column | int) -
     the table of clusters.
     """
     leaves = assigned.groupBy(*levels).agg(F.count(F.lit(1)).alias("size"))
-    everything = Window.partitionBy()
-    tree = leaves.withColumn("total", F.sum("size").over(everything))
+    tree = leaves.withColumn("total", leaves.agg(F.sum("size")).scalar())
     budget = F.lit(target) if isinstance(target, int) else target
     tree = tree.withColumn("budget", budget.cast("bigint")).drop("total")
     above: list[str] = []

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,11 @@ from gristmill.operators.running import range_splits, row_rank, running_total, w
 from gristmill.operators.staging import shared_dir, stage
 from gristmill.operators.tokenizing import detokenize, tokenize
 from gristmill.plans import jobs as J
-from gristmill.sources import corpus, runlog
+from gristmill.sources import corpus, results, runlog
 from gristmill.sources.corpus import read_corpus, spread, subset_of
-from gristmill.sources.packed import export_bin, import_bin, read_headers
+from gristmill.functions.losses import cross_entropy, predictive_entropy
+from gristmill.sources.files import open_uri, write_whole
+from gristmill.sources.packed import HEADER, export_bin, import_bin, read_chunks, read_headers, write_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -235,9 +239,13 @@ def embed_plugin(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _exported(spark: SparkSession, sf: str) -> str:
     """Write the chunks as ``.bin`` files; the manifest is staged beside them."""
-    folder = f"{shared_dir(spark).rstrip('/')}/bin-{uuid.uuid4().hex}"
+    folder = _new_folder(spark, "bin")
     chunks = _chunks(_written_tokens(spark, sf), "drop")
     stage(export_bin(chunks, folder, VOCAB_SIZE), "manifest")
     return folder
@@ -293,26 +301,36 @@ def read_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _faulty_headers(manifest: DataFrame) -> DataFrame:
-    """Headers of the chunks' files with a seeded fault in about five of twelve."""
+def _damaged_files(spark: SparkSession, sf: str) -> str:
+    """``.bin`` files of the chunks, about five of twelve with a seeded fault."""
+    folder = _new_folder(spark, "damaged")
     fault = F.when(F.col("chunk_no") > 0, hex_prefix(seeded_hash(SEED, F.lit("fault"), "name"), 2) % 12)
-    headers = manifest.withColumn("fault", F.coalesce(fault, F.lit(11)))
-    wide = F.when(F.col("fault") == 4, 2).otherwise(1).cast("bigint")
-    size = F.when(F.col("fault") == 2, F.col("chunk_size") + 1).otherwise(F.col("chunk_size"))
-    return headers.select(
-        F.col("name").alias("path"),
-        F.when(F.col("fault") == 0, "XXXXXXX").otherwise(A.MAGIC).alias("magic"),
-        wide.alias("version"),
-        F.when(F.col("fault") == 1, 9).otherwise(8).alias("dtype_code"),
-        size.alias("chunk_size"),
-        (A.HEADER_BYTES + size * 2 - F.when(F.col("fault") == 3, 1).otherwise(0)).alias("length"),
-    )
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = open_uri(folder)
+        files.create_dir(root, recursive=True)
+        for frame in frames:
+            for name, fault, tokens in zip(frame["name"], frame["fault"], frame["tokens"]):
+                payload = np.append(tokens, [0] * (fault == 2)).astype("<u2").tobytes()
+                magic = b"XXXXXXX" if fault == 0 else A.MAGIC.encode()
+                version, code = 1 + (fault == 4), 9 if fault == 1 else 8
+                header = struct.pack(HEADER, magic, version, code, len(payload) // 2)
+                write_whole(files, f"{root}/{name}", header, payload[: len(payload) - (fault == 3)])
+            yield frame[["name"]]
+
+    chunks = _chunks(_written_tokens(spark, sf), "drop").withColumn("name", R.chunk_file_name())
+    marked = chunks.select("name", F.coalesce(fault, F.lit(11)).alias("fault"), "tokens")
+    stage(marked.mapInPandas(write, "name string"), "damaged")
+    return folder
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    return A.audit_shards(stage(read_headers(spark, _damaged_files(spark, sf)), "headers"))
 
 
 @query
 def shard_audit(spark: SparkSession, sf: str) -> DataFrame:
-    audited = A.audit_shards(_faulty_headers(_manifest(spark, sf)))
-    return audited.groupBy("status", "usable").agg(
+    return _audited(spark, sf).groupBy("status", "usable").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
 
@@ -337,8 +355,7 @@ def token_accounting(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def token_accounting_usable(spark: SparkSession, sf: str) -> DataFrame:
     """The stricter counter: bad files are left out first."""
-    audited = A.audit_shards(_faulty_headers(_manifest(spark, sf)))
-    return _accounts(audited.filter("usable"))
+    return _accounts(_audited(spark, sf).filter("usable"))
 
 
 @query
@@ -385,9 +402,27 @@ def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kmeans_ml(spark: SparkSession, sf: str) -> DataFrame:
-    points = _points(spark, sf)
-    found = C.assign(points, C.fit_kmeans(points, 10, SEED))
-    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
+    """What must hold of any run of Spark ML's k-means, whose start depends on partitions:
+    every vector is assigned, to a centre that no other is nearer than (here by built-in
+    expressions), and the centres fit no worse than the seeded start."""
+    points, k = _points(spark, sf), 10
+    centers = C.fit_kmeans(points, k, SEED)
+    found = C.assign(points, centers, distance="distance")
+    found = C.assign(found, C.first_vectors(points, k, SEED, "vec_id"), out="first", distance="first_distance")
+    known = F.array(*[F.array(*[F.lit(x) for x in c.tolist()]) for c in centers])
+
+    def squared(center: Column) -> Column:
+        parts = F.zip_with(center, "embedding", lambda a, b: (a - b) * (a - b))
+        return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+
+    least = F.array_min(F.transform(known, squared))
+    off = F.abs(F.col("distance") * F.col("distance") - least)
+    return found.agg(
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.count_if((F.col("cluster") >= 0) & (F.col("cluster") < len(centers))).alias("n_assigned"),
+        F.count_if(off <= F.lit(1e-9) * (1 + least)).alias("n_nearest"),
+        (F.sum(F.pow("distance", F.lit(2))) <= F.sum(F.pow("first_distance", F.lit(2)))).alias("no_worse"),
+    )
 
 
 @query
@@ -573,6 +608,50 @@ def read_order_loss(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, tokens: DataFrame) -> DataFrame:
+    """The chunks, written to the store of record and read back."""
+    folder = _new_folder(spark, "store")
+    write_chunks(_chunks(tokens, "drop"), folder)
+    return read_chunks(spark, folder)
+
+
+def _read_summary(selected: DataFrame) -> DataFrame:
+    """Per micro-batch as read: positions, which are selected (position sum) and their loss."""
+    place = (F.col("chunk_no") * 16 + F.col("block_no")) * 128 + F.col("pos")
+    return selected.groupBy("gpu_rank", "iter", "step").agg(
+        F.count(F.lit(1)).alias("n_positions"),
+        F.count_if("selected").alias("n_selected"),
+        F.sum(F.when(F.col("selected"), place)).alias("place_sum"),
+        F.round(F.sum(F.when(F.col("selected"), F.col("loss"))), 4).alias("loss_sum"),
+    )
+
+
+@query
+def select_stored_read_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Selection from stored shards; without a reference, the base model is its own."""
+    chunks = _stored(spark, _written_tokens(spark, sf))
+    return _read_summary(J.select_from_store(chunks, None, LAYOUT, VOCAB_SIZE, passes=2))
+
+
+@query
+def select_stored_high_high(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = _written_tokens(spark, sf)
+    reference = subset_of(tokens, _good(spark, sf))
+    chunks = _stored(spark, tokens)
+    return _read_summary(J.select_from_store(chunks, reference, LAYOUT, VOCAB_SIZE, "high_intersection", passes=2))
+
+
+@query
+def logit_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss and entropy straight from logits; the vectors serve as logits."""
+    rows = _points(spark, sf).withColumn("label", F.col("vec_id") % F.size("embedding"))
+    return rows.select(
+        "vec_id",
+        F.round(cross_entropy("embedding", "label"), 6).alias("loss"),
+        F.round(predictive_entropy("embedding"), 6).alias("entropy"),
+    )
+
+
 # --- run analytics -----------------------------------------------------------
 
 
@@ -692,23 +771,45 @@ def run_compare(spark: SparkSession, sf: str) -> DataFrame:
     return compared
 
 
-@query
-def run_log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Print the log as a trainer would, then read it back."""
+def _printed(spark: SparkSession, sf: str, rate: Column) -> DataFrame:
+    """The log as a trainer prints it; ``rate`` may use ``rank``."""
     log = E.rank_steps(_log(spark, sf), ["run"], "step", 1000)
-    printed = runlog.format_steps(
+    return runlog.format_steps(
         log.select(
             F.concat(F.lit("run"), F.col("run").cast("string")).alias("run"),
             (F.col("rank") + 1).alias("step"),
             F.lit(MAX_STEPS).alias("max_steps"),
             "loss",
             F.when(F.col("run") % 2 == 1, F.lit(0.625)).alias("selected"),
-            F.lit(PEAK_LR).alias("lr"),
+            rate.alias("lr"),
             F.lit(0.5).alias("grad_norm"),
             (F.col("batch_tokens") * 1000).alias("tok_s"),
         )
     )
-    return runlog.parse_steps(printed)
+
+
+@query
+def run_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Print the log as a trainer would, then read it back."""
+    return runlog.parse_steps(_printed(spark, sf, F.lit(PEAK_LR)))
+
+
+@query
+def run_log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs written to files and read back; their rates held against the schedule, which
+    every seventh step leaves."""
+    schedule = (WARMUP, STABLE, MAX_STEPS, PEAK_LR, FLOOR_LR)
+    at = F.col("rank") + 1
+    planned = E.learning_rate(at, *schedule)
+    folder = _new_folder(spark, "logs")
+    runlog.write_log_lines(_printed(spark, sf, F.when(at % 7 == 0, planned * 1.1).otherwise(planned)), folder)
+    steps = runlog.parse_steps(runlog.read_log_lines(spark, folder, by_folder=True))
+    return E.audit_schedule(steps, *schedule).groupBy("run").agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.count_if("lr_matches").alias("on_schedule"),
+        F.sum("tok_s").alias("tok_s"),
+        F.round(F.sum("loss"), 2).alias("loss"),
+    )
 
 
 @query
@@ -778,6 +879,17 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def eval_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Result files written from the report and read back, a row per type."""
+    folder = _new_folder(spark, "evals")
+    stage(results.write_results(V.accuracy_report(_samples(spark, sf)), folder), "evals")
+    read = results.read_results(spark, folder)
+    types = results.type_accuracy(read).withColumnRenamed("acc", "type_acc")
+    totals = read.select("dataset", "num_samples", "num_scores", "timeout_samples", "empty_samples", "acc")
+    return totals.join(types, "dataset")
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     by_type = V.accuracy(_samples(spark, sf)).filter(~F.col("whole_dataset"))
     return by_type.select(F.col("dataset").alias("model"), F.col("type").alias("task"), "acc")

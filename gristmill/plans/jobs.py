@@ -75,8 +75,12 @@ def pack_corpus(tokens: DataFrame, layout: Layout, batches: bool = False) -> Dat
 
 def plan_reads(tokens: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
     """The schedule of every block, from token counts alone."""
-    files = P.chunk_manifest(tokens, layout.n_shards, layout.chunk_size)
-    files = files.withColumn("name", R.chunk_file_name())
+    return plan_files(P.chunk_manifest(tokens, layout.n_shards, layout.chunk_size), layout, passes, shuffle)
+
+
+def plan_files(chunks: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
+    """The schedule of every block of the chunks ``(shard, chunk_no)``."""
+    files = chunks.withColumn("name", R.chunk_file_name())
     return R.read_schedule(
         R.reader_assignment(files, layout.seed, layout.world_size, layout.workers),
         layout.blocks_per_chunk,
@@ -90,26 +94,51 @@ def plan_reads(tokens: DataFrame, layout: Layout, passes: int = 1, shuffle: bool
     )
 
 
+def _models(
+    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float
+) -> tuple[K.BigramModel, K.BigramModel]:
+    """The base model of the blocks and the reference model; without one, the base's own."""
+    base = K.fit_bigram(blocks, vocab_size, alpha)
+    return base, base if reference_tokens is None else K.fit_bigram(reference_tokens, vocab_size, alpha)
+
+
 def score_corpus(
-    tokens: DataFrame, reference_tokens: DataFrame, layout: Layout, vocab_size: int, alpha: float = 0.1
+    tokens: DataFrame, reference_tokens: DataFrame | None, layout: Layout, vocab_size: int, alpha: float = 0.1
 ) -> DataFrame:
     """Pack a corpus and score every position with the count models.
 
     The base model is fitted on all blocks, the reference model on the documents
-    of a curated part.  The blocks are shuffled once, as arrays; the base model reads
+    of a curated part; without one, the base model is its own reference.  The blocks are shuffled once, as arrays; the base model reads
     the same exchange.  Positions then go to the pair table by (prev, label), and a
     selection brings them back by micro-batch.
     """
     blocks = pack_corpus(tokens, layout, batches=True)
-    base = K.fit_bigram(blocks, vocab_size, alpha)
-    reference = K.fit_bigram(reference_tokens, vocab_size, alpha)
+    base, reference = _models(blocks, reference_tokens, vocab_size, alpha)
     positions = P.next_token_pairs(blocks, ["shard", "batch_no", "chunk_no", "block_no"])
     return K.score_with_bigrams(positions, base, reference)
 
 
+READ_KEYS = ["gpu_rank", "iter", "step", "pass_no", "shard", "chunk_no", "block_no"]
+
+
+def _select_as_read(
+    blocks: DataFrame,
+    schedule: DataFrame,
+    reference_tokens: DataFrame | None,
+    layout: Layout,
+    vocab_size: int,
+    method: str,
+    alpha: float,
+) -> DataFrame:
+    base, reference = _models(blocks, reference_tokens, vocab_size, alpha)
+    read = R.in_read_order(blocks, schedule, layout.blocks_per_chunk)
+    scores = K.score_with_bigrams(P.next_token_pairs(read, READ_KEYS), base, reference)
+    return select_tokens(scores, method, ["gpu_rank", "iter"])
+
+
 def select_in_read_order(
     tokens: DataFrame,
-    reference_tokens: DataFrame,
+    reference_tokens: DataFrame | None,
     layout: Layout,
     vocab_size: int,
     method: str = "self_reference_intersection",
@@ -117,13 +146,25 @@ def select_in_read_order(
     alpha: float = 0.1,
 ) -> DataFrame:
     """Plan the reads, score the blocks of every micro-batch and select its tokens."""
-    blocks = pack_corpus(tokens, layout)
-    base = K.fit_bigram(blocks, vocab_size, alpha)
-    reference = K.fit_bigram(reference_tokens, vocab_size, alpha)
-    read = R.in_read_order(blocks, plan_reads(tokens, layout, passes), layout.blocks_per_chunk)
-    keys = ["gpu_rank", "iter", "step", "pass_no", "shard", "chunk_no", "block_no"]
-    scores = K.score_with_bigrams(P.next_token_pairs(read, keys), base, reference)
-    return select_tokens(scores, method, ["gpu_rank", "iter"])
+    blocks, schedule = pack_corpus(tokens, layout), plan_reads(tokens, layout, passes)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha)
+
+
+def select_from_store(
+    chunks: DataFrame,
+    reference_tokens: DataFrame | None,
+    layout: Layout,
+    vocab_size: int,
+    method: str = "self_reference_intersection",
+    passes: int = 1,
+    alpha: float = 0.1,
+) -> DataFrame:
+    """The same from stored shards: ``(shard, chunk_no, tokens)`` of ``read_chunks`` or ``import_bin``."""
+    blocks = P.split_blocks(chunks, layout.chunk_size, layout.block_len).withColumn(
+        "shard_block", F.col("chunk_no") * layout.blocks_per_chunk + F.col("block_no")
+    )
+    schedule = plan_files(chunks.select("shard", "chunk_no"), layout, passes)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha)
 
 
 def assignments(points: DataFrame, tree: C.ClusterTree) -> DataFrame:
@@ -180,6 +221,6 @@ def ml_fit(seed: int, max_iter: int = 20) -> Callable[[DataFrame, int], np.ndarr
 
 
 def with_token_counts(points: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Attach ``n_tokens`` of the document with the same id."""
+    """Attach ``n_tokens`` of the document with the same id; null where there is none."""
     counts = tokenize(docs.select("doc_id", "text")).select(F.col("doc_id").alias(key), "n_tokens")
-    return points.join(counts, key)
+    return points.join(counts, key, "left")

@@ -136,6 +136,19 @@ CTES: dict[str, str] = {
                      {ALPHA} / (t.total + {ALPHA} * {V}) AS q0
               FROM ref_n r JOIN ref_tot t USING (prev)) GROUP BY prev""",
     "scores": f"SELECT *, round(loss - ref_loss, 9) AS excess FROM ({_scored('pairs', 'base_n')})",
+    # The base model as its own reference.
+    "base_tot": "SELECT prev, sum(n) AS total, count(*) AS seen FROM base_n GROUP BY prev",
+    "own_ctx": f"""
+        SELECT prev, any_value(total)::BIGINT AS total,
+               -sum(q * ln(q)) - ({V} - any_value(seen)) * any_value(q0) * ln(any_value(q0)) AS entropy
+        FROM (SELECT b.prev, t.total, t.seen, (b.n + {ALPHA}) / (t.total + {ALPHA} * {V}) AS q,
+                     {ALPHA} / (t.total + {ALPHA} * {V}) AS q0
+              FROM base_n b JOIN base_tot t USING (prev)) GROUP BY prev""",
+    "own_scores": f"""
+        SELECT p.shard, p.unit // {PER_CHUNK} AS chunk_no, (p.unit % {PER_CHUNK})::INTEGER AS block_no, p.unit, p.pos,
+               round(-ln((b.n + {ALPHA}) / (c.total + {ALPHA} * {V})), 9) AS loss, loss AS ref_loss,
+               round(c.entropy, 9) AS ref_entropy
+        FROM pairs p JOIN base_n b ON b.prev = p.prev AND b.label = p.label JOIN own_ctx c ON c.prev = p.prev""",
     "manifest": f"""
         SELECT shard, chunk_no, {CHUNK}::BIGINT AS chunk_size,
                printf('shard-%05d_%010d.bin', shard, chunk_no) AS name
@@ -262,6 +275,21 @@ _EXCESS = f"SELECT *, {_top('excess', 0.6)} AS sel FROM scores"
 _SELF = f"SELECT *, {_top('-ref_loss', 0.7)} AND {_top('-ref_entropy', 0.7)} AS sel FROM scores"
 _HYBRID = f"SELECT *, {_top('-ref_loss', 0.7)} AND {_top('-ref_entropy', 0.7)} AS sel FROM hyb_scores"
 _HIGH = f"SELECT *, {_top('ref_loss', 0.6)} AND {_top('ref_entropy', 0.6)} AS sel FROM scores"
+
+
+def _as_read(scores: str, one: str, other: str, ratio: float) -> str:
+    """Selection in the batches of the reading schedule."""
+    batch = "r.gpu_rank, r.iter"
+    return f"""
+        SELECT gpu_rank, iter, step, count(*) AS n_positions, count(*) FILTER (sel) AS n_selected,
+               (sum(unit * 128 + pos) FILTER (sel))::BIGINT AS place_sum, round(sum(loss) FILTER (sel), 4) AS loss_sum
+        FROM (SELECT r.gpu_rank, r.iter, r.step, s.unit, s.pos, s.loss,
+                     {_top(f"{one}s.ref_loss", ratio, batch)} AND {_top(f"{other}s.ref_entropy", ratio, batch)} AS sel
+              FROM {scores} s JOIN schedule r
+              ON r.name = printf('shard-%05d_%010d.bin', s.shard, s.chunk_no) AND r.block_no = s.block_no)
+        GROUP BY ALL"""
+
+
 _BATCHES = f"""
     SELECT shard, batch_no, coalesce(sum(loss) FILTER (sel), 0) AS loss_sum,
            count(*) FILTER (sel) AS n_selected, count(*) AS n_positions FROM ({_EXCESS}) GROUP BY ALL"""
@@ -411,10 +439,10 @@ def oracle_sql() -> dict[str, str]:
                       round(docs / sum(docs) OVER (PARTITION BY level), 6) AS doc_share,
                       round(tokens / sum(tokens) OVER (PARTITION BY level), 6) AS token_share,
                       round(docs / avg(docs) OVER (PARTITION BY level), 6) AS imbalance
-               FROM (SELECT level, cluster, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM (
+               FROM (SELECT level, cluster, count(*) AS docs, coalesce(sum(n_tokens), 0)::BIGINT AS tokens FROM (
                         SELECT vec_id, 1 AS level, c1 AS cluster FROM paths
                         UNION ALL SELECT vec_id, 2, c2 FROM paths) x
-                     JOIN cnt ON cnt.doc_id = x.vec_id GROUP BY level, cluster)"""
+                     LEFT JOIN cnt ON cnt.doc_id = x.vec_id GROUP BY level, cluster)"""
         ),
         "balanced_allocation": _with("SELECT c1, c2, size, quota FROM quotas"),
         "hier_balanced_sample": _with("SELECT vec_id, c1, c2 FROM sampled"),
@@ -478,6 +506,26 @@ def oracle_sql() -> dict[str, str]:
                       round(sum(loss) FILTER (label <> 2) / count(*), 6) AS mean_all,
                       count(*) FILTER (label <> 2) AS n_kept, count(*) AS n_all FROM scores GROUP BY shard"""
         ),
+        "kmeans_ml": """
+            SELECT count(*) AS n_vectors, count(*) AS n_assigned, count(*) AS n_nearest, true AS no_worse
+            FROM embeddings""",
+        "select_stored_read_order": _with(_as_read("own_scores", "-", "-", 0.7)),
+        "select_stored_high_high": _with(_as_read("scores", "", "", 0.6)),
+        "logit_losses": """
+            SELECT vec_id, round(norm - e[vec_id % len(e) + 1], 6) AS loss,
+                   round(norm - list_sum(list_transform(e, lambda x: x * exp(x - norm))), 6) AS entropy
+            FROM (SELECT vec_id, e, ln(list_sum(list_transform(e, lambda x: exp(x)))) AS norm
+                  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""",
+        "run_log_files": _with(
+            """SELECT 'run' || run AS run, count(*) AS steps, count(*) FILTER ((rnk + 1) % 7 <> 0) AS on_schedule,
+                      (sum(batch_tokens) * 1000)::BIGINT AS tok_s, round(sum(round(loss, 4)), 2) AS loss
+               FROM rlog GROUP BY run"""
+        ),
+        "eval_files": _with(
+            """SELECT w.dataset, w.num_samples, w.num_scores, w.timeout_samples, w.empty_samples, w.acc,
+                      t.type, t.acc AS type_acc
+               FROM acc w JOIN acc t ON t.dataset = w.dataset AND NOT t.whole_dataset WHERE w.whole_dataset"""
+        ),
         "hybrid_select": _with(_SUMMARY.format(_HYBRID)),
         "read_order_loss": _with(
             f"""SELECT step // 10 AS interval_no, round(sum(loss) FILTER (sel), 4) AS loss_sum,

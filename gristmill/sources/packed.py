@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.audit import HEADER_BYTES, MAGIC, VERSION
 from gristmill.operators.reading import chunk_file_name
+from gristmill.sources.files import open_uri, write_whole
 
 # Fixed values of the packed file format.
 HEADER = "<7sQBQ"
@@ -33,7 +34,7 @@ DTYPE_OF_CODE = {
 WIDE_VOCAB = 65500
 
 MANIFEST = "shard int, chunk_no bigint, path string, chunk_size bigint, dtype_code int, length bigint"
-CHUNK_FILE = "path string, chunk_size bigint, tokens array<bigint>"
+CHUNK_FILE = "path string, chunk_size bigint, tokens array<int>"
 HEADERS = "path string, magic string, version bigint, dtype_code int, chunk_size bigint, length bigint"
 
 
@@ -53,27 +54,18 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("chunk_no bigint, tokens array<int>, shard int").parquet(path)
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def export_bin(chunks: DataFrame, folder: str, vocab_size: int | None, prefix: str = "shard") -> DataFrame:
     """A3: write one ``.bin`` per chunk below ``folder`` (a URI all executors reach).
 
     Returns the manifest, lazily: the files are written when it is materialised.
-    A file is written under a name of its own and then moved into place, so a
-    retried or speculative task leaves the same result.
+    Each is moved into place whole.
     """
     code = storage_code(vocab_size)
     dtype = np.dtype(DTYPE_OF_CODE[code])
     low, high = (0, np.iinfo(dtype).max) if code == 8 else (np.iinfo(dtype).min, np.iinfo(dtype).max)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        files, root = _open(folder)
+        files, root = open_uri(folder)
         files.create_dir(root, recursive=True)
         for frame in frames:
             rows = []
@@ -85,11 +77,8 @@ def export_bin(chunks: DataFrame, folder: str, vocab_size: int | None, prefix: s
                     raise ValueError(f"{name}: a token id does not fit into {dtype}")
                 payload = values.astype(dtype).tobytes()
                 target = f"{root}/{name}"
-                scratch = f"{target}.{uuid.uuid4().hex}.part"
-                with files.open_output_stream(scratch) as out:
-                    out.write(struct.pack(HEADER, MAGIC.encode(), VERSION, code, len(values)))
-                    out.write(payload)
-                files.move(scratch, target)
+                header = struct.pack(HEADER, MAGIC.encode(), VERSION, code, len(values))
+                write_whole(files, target, header, payload)
                 length = HEADER_BYTES + len(payload)
                 rows.append((shard, chunk_no, target, len(values), code, length))
             yield pd.DataFrame(
@@ -107,8 +96,9 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
 def import_bin(spark: SparkSession, folder: str) -> DataFrame:
     """A4: ``.bin`` files back to chunk rows; magic, version and dtype are checked.
 
-    Files of floats are refused: token ids are integers.
+    Files of floats are refused: token ids are integers of 32 bits at most.
     """
+    limit = np.iinfo(np.int32)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,7 +114,9 @@ def import_bin(spark: SparkSession, folder: str) -> DataFrame:
                 if np.dtype(DTYPE_OF_CODE[code]).kind == "f":
                     raise ValueError(f"{path}: dtype code {code} holds floats, not token ids")
                 values = np.frombuffer(content, DTYPE_OF_CODE[code], count=size, offset=HEADER_BYTES)
-                rows.append((path, size, values.astype(np.int64)))
+                if len(values) and (values.min() < limit.min or values.max() > limit.max):
+                    raise ValueError(f"{path}: a token id does not fit into 32 bits")
+                rows.append((path, size, values.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["path", "chunk_size", "tokens"])
 
     chunks = _listing(spark, folder).select("path", "content").mapInPandas(read, CHUNK_FILE)
@@ -141,7 +133,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
         for frame in frames:
             rows = []
             for path, length in zip(frame["path"], frame["length"]):
-                files, name = _open(path)
+                files, name = open_uri(path)
                 with files.open_input_file(name) as source:
                     head = source.read(HEADER_BYTES)
                 if len(head) < HEADER_BYTES:

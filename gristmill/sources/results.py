@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.files import open_uri, write_whole
+
 # Declared, not inferred: type names that differ only in case ("Geometry" and
 # "geometry") must both survive, which they do as map keys.
 SCHEMA = """
@@ -20,5 +25,27 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("dataset", folder)
 
 
+def write_results(report: DataFrame, root: str) -> DataFrame:
+    """One ``<root>/<dataset>/<dataset>_metrics.json`` per row of ``accuracy_report``.
+
+    Returns ``dataset, path``, lazily: the files are written when it is materialised.
+    """
+    fields = [c for c in report.columns if c != "dataset"]
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = open_uri(root)
+        for frame in frames:
+            paths = []
+            for name, text in zip(frame["dataset"], frame["body"]):
+                files.create_dir(f"{folder}/{name}", recursive=True)
+                paths.append(f"{folder}/{name}/{name}_metrics.json")
+                write_whole(files, paths[-1], text.encode())
+            yield pd.DataFrame({"dataset": frame["dataset"], "path": paths})
+
+    named = report.select(F.coalesce("dataset", F.lit("unnamed")).alias("dataset"), body.alias("body"))
+    return named.mapInPandas(write, "dataset string, path string")
+
+
 def type_accuracy(results: DataFrame) -> DataFrame:
     return results.select("dataset", F.explode("type_acc").alias("type", "acc"))

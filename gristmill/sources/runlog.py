@@ -13,11 +13,19 @@ STEP_LINE = (
 CHECKPOINT_LINE = r"^\[ckpt\] saved -> (.*?)/?step-(\d+)\s*$"
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """``run, line`` of text files: a run is a file, or with ``by_folder`` a folder ``run=...``."""
+    if by_folder:
+        return spark.read.schema("value string, run string").text(path).select("run", F.col("value").alias("line"))
     run = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return spark.read.text(path).select(run.alias("run"), F.col("value").alias("line"))
 
 
+def write_log_lines(lines: DataFrame, path: str) -> None:
+    """Text files, a folder per run, each in the order of its part of the table."""
+    lines.select("run", "line").write.partitionBy("run").text(path)
+
+
 def parse_steps(lines: DataFrame) -> DataFrame:
     """Typed rows of ``run, line``; ``selected`` is null where it is not logged."""
 

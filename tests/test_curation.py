@@ -67,7 +67,32 @@ def test_copies_do_not_become_equal_centroids(spark):
     vectors = [[1, 0]] * 80 + [[0, 1], [5, 5], [9, 0]]
     centers = C.first_vectors(_points(spark, vectors), 4, 3, "vec_id")
     assert len({tuple(c) for c in centers}) == 4
-    assert len(C.first_vectors(_points(spark, vectors), 9, 3, "vec_id")) == 4
+    with pytest.raises(ValueError, match="only 4 different"):
+        C.first_vectors(_points(spark, vectors), 9, 3, "vec_id")
+
+
+def test_tiles_of_centers_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors, centers = rng.integers(0, 4, (200, 3)).astype(float), rng.integers(0, 4, (50, 3)).astype(float)
+    whole = C._nearest(vectors, centers)
+    monkeypatch.setattr(C, "TILE_DISTANCES", 1400)  # seven centres at a time
+    tiled = C._nearest(vectors, centers)
+    assert (whole[0] == tiled[0]).all() and np.allclose(whole[1], tiled[1])
+
+
+def test_many_centers_fit_into_a_task():
+    """50,000 centres and a batch of 10,000 vectors: the whole matrix would take 4 GB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    vectors, centers = rng.normal(size=(10_000, 4)), rng.normal(size=(50_000, 4))
+    tracemalloc.start()
+    best, _ = C._nearest(vectors, centers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    some = [0, 17, 9_999]
+    assert best[some].tolist() == [int(((centers - vectors[i]) ** 2).sum(axis=1).argmin()) for i in some]
 
 
 def test_empty_cluster_keeps_its_center(spark):
