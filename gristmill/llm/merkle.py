@@ -92,11 +92,12 @@ def with_next(
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = range_splits(plain, "doc_id", rows_per_bucket, MAX_BUCKETS)
     rows = with_bucket(plain, "doc_id", cuts).withColumn("__place", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    # One row for each bucket, at most MAX_BUCKETS.
-    heads = rows.groupBy("bucket").agg(F.max_by("text", "__place").alias("head"))
+    # One row for each bucket, at most MAX_BUCKETS; their order is found without texts.
+    heads = rows.groupBy(F.col("bucket").alias("__next")).agg(F.max_by("text", "__place").alias("__after"))
+    numbers = with_bucket(plain.select("doc_id"), "doc_id", cuts).select("bucket").distinct()
     falling = Window.orderBy(F.desc("bucket"))
-    first = F.first("head").over(falling)
-    after = heads.select("bucket", F.coalesce(F.lead("head").over(falling), first).alias("__after"))
+    following = F.coalesce(F.lead("bucket").over(falling), F.first("bucket").over(falling))
+    after = numbers.select("bucket", following.alias("__next")).join(heads, "__next").drop("__next")
     inside = Window.partitionBy("bucket").orderBy(F.desc("__place"))
     led = rows.withColumn("__lead", F.lead("text").over(inside))
     # Rows are dealt by range already, so only the heads move to meet them.
