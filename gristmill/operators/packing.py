@@ -103,6 +103,7 @@ def pack_chunks(
     remainder: str = "drop",
     pad_id: int = BOS_ID,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """Rows ``(shard, chunk_no, tokens)`` of exactly ``chunk_size`` tokens.
 
@@ -113,8 +114,7 @@ def pack_chunks(
     if remainder not in ("drop", "pad"):
         raise ValueError(f"remainder must be 'drop' or 'pad', got {remainder!r}")
     slim = docs.select("doc_id", "n_tokens", "tokens")
-    splits = range_splits(docs, "doc_id", rows_per_bucket)
-    offsets = stream_offsets(slim, n_shards, splits=splits).filter("n_tokens > 0")
+    offsets = stream_offsets(slim, n_shards, rows_per_bucket, splits).filter("n_tokens > 0")
     if remainder == "drop":
         last = full_chunks(F.col("shard_tokens"), chunk_size) - 1
         pieces = _cut(offsets, chunk_size, last)
@@ -180,8 +180,7 @@ def pack_blocks(
             blocks = blocks.withColumn("batch_no", batch_no).repartition("shard", "batch_no")
         return blocks
     slim = docs.select("doc_id", "n_tokens", "tokens")
-    splits = range_splits(docs, "doc_id", rows_per_bucket)
-    offsets = stream_offsets(slim, n_shards, splits=splits).filter("n_tokens > 0")
+    offsets = stream_offsets(slim, n_shards, rows_per_bucket).filter("n_tokens > 0")
     last = full_chunks(F.col("shard_tokens"), chunk_size) * per_chunk - 1
     pieces = _cut(offsets, block_len, last).withColumnRenamed("unit", "shard_block")
     keys = ["shard", "shard_block"]
@@ -248,14 +247,21 @@ def rebuild_documents(chunks: DataFrame, eos_id: int = EOS_ID, chunks_per_bucket
     return rebuilt.filter(F.element_at("tokens", -1) == eos_id)
 
 
-def roundtrip(docs: DataFrame, chunks: DataFrame, n_shards: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def roundtrip(
+    docs: DataFrame,
+    chunks: DataFrame,
+    n_shards: int,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    splits: Sequence[float] | None = None,
+) -> DataFrame:
     """Compare the rebuilt documents with the tokenized corpus, per shard.
 
     ``cut`` documents ended in the dropped remainder.  Tokens are compared by
     hash and length, so the join moves a few numbers per document.
     """
     digest = [F.xxhash64("tokens").alias("digest"), F.size("tokens").alias("n")]
-    splits = range_splits(docs, "doc_id", rows_per_bucket)
+    if splits is None:
+        splits = range_splits(docs, "doc_id", rows_per_bucket)
     placed = with_bucket(assign_shard(docs, n_shards), "doc_id", splits, "__bucket")
     slim = placed.select("doc_id", "shard", "__bucket", *digest)
     source = row_rank(

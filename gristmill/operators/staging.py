@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_area: ContextVar[str | None] = ContextVar("area", default=None)
+
+
 @cache
 def _local_dir() -> tempfile.TemporaryDirectory:
     """Kept until the interpreter ends."""
@@ -21,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, where driver and executors are one machine, falls back
     to a folder of its own.
     """
+    area = _area.get()
+    if area:
+        return area
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -29,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir().name
 
 
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all that is staged inside the block; it goes at the end,
+    so results must be written or collected by then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/area-{uuid.uuid4().hex}"
+    before = _area.set(folder)
+    try:
+        yield folder
+    finally:
+        _area.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back."""
     spark = df.sparkSession

@@ -147,13 +147,14 @@ def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return J.tokens_of(_texts(spark, sf))
 
 
-def _chunks(tokens: DataFrame, remainder: str) -> DataFrame:
+def _chunks(tokens: DataFrame, remainder: str, splits: list[float] | None = None) -> DataFrame:
     return P.pack_chunks(
         tokens,
         LAYOUT.n_shards,
         LAYOUT.chunk_size,
         remainder,
         rows_per_bucket=LAYOUT.rows_per_bucket,
+        splits=splits,
     )
 
 
@@ -199,7 +200,8 @@ def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def roundtrip_check(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _written_tokens(spark, sf)
-    return P.roundtrip(tokens, _chunks(tokens, "drop"), LAYOUT.n_shards, LAYOUT.rows_per_bucket)
+    splits = range_splits(tokens, "doc_id", LAYOUT.rows_per_bucket)
+    return P.roundtrip(tokens, _chunks(tokens, "drop", splits), LAYOUT.n_shards, splits=splits)
 
 
 class _WordCodec:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pandas as pd
@@ -13,6 +14,7 @@ from gristmill.operators.running import (
     with_bucket,
     with_halo,
 )
+from gristmill.operators.staging import shared_dir, stage, staging_area
 
 
 def _rows(n=2000, seed=1):
@@ -88,3 +90,11 @@ def test_running_total_carries_the_least(spark):
     want = df.groupBy("g").agg(F.min("k").alias("first"))
     assert got.select("g", "first").distinct().exceptAll(want).isEmpty()
     assert got.count() == df.count()
+
+
+def test_what_is_staged_in_an_area_goes_with_it(spark):
+    with staging_area(spark) as folder:
+        held = stage(spark.range(5).toDF("n"), "numbers")
+        assert held.count() == 5 and os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert folder not in shared_dir(spark)
