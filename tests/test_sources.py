@@ -1,5 +1,6 @@
 import json
 import os
+import struct
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import audit as A
 from gristmill.operators import runs as E
 from gristmill.operators.staging import shared_dir, stage
-from gristmill.sources import corpus, packed, results, runlog
+from gristmill.sources import corpus, files, packed, results, runlog
 
 
 def _chunks(spark):
@@ -134,3 +135,35 @@ def test_run_log(spark, tmp_path):
     assert all(r["lr_matches"] for r in audited)
     wrong = E.audit_schedule(steps, 300, 10928, 13952, 8e-5, 8e-6).collect()
     assert not any(r["lr_matches"] for r in wrong)
+
+
+def test_hadoop_schemes_become_those_of_arrow():
+    assert files.arrow_uri("s3a://bucket/a/b.bin") == "s3://bucket/a/b.bin"
+    assert files.arrow_uri("abfss://c@account/x") == "abfs://c@account/x"
+    for same in ("hdfs://name:1/x", "file:///tmp/x", "file:/tmp/x", "s3://b/x"):
+        assert files.arrow_uri(same) == same
+
+
+def test_wide_ids_are_refused(spark, tmp_path):
+    header = struct.pack(packed.HEADER, b"LITPKDS", 1, 5, 1)
+    (tmp_path / "shard-00000_0000000000.bin").write_bytes(header + struct.pack("<q", 1 << 40))
+    with pytest.raises(Exception, match="32 bits"):
+        packed.import_bin(spark, str(tmp_path)).collect()
+
+
+def test_results_survive_their_files(spark, tmp_path):
+    """A data set without scores keeps its nulls; type names may differ in case only."""
+    rows = [("a", 2, 1, 0, 1, 50.0, {"Geometry": 1.5, "geometry": None}), ("b", 1, 0, 0, 1, None, {})]
+    schema = """dataset string, num_samples bigint, num_scores bigint, timeout_samples bigint,
+        empty_samples bigint, acc double, type_acc map<string, double>"""
+    report = spark.createDataFrame(rows, schema)
+    assert results.write_results(report, str(tmp_path / "out")).count() == 2
+    read = results.read_results(spark, str(tmp_path / "out")).select(*report.columns).orderBy("dataset")
+    assert [tuple(r) for r in read.collect()] == rows
+
+
+def test_log_folders_name_the_runs(spark, tmp_path):
+    lines = spark.createDataFrame([("r1", "x"), ("07", "y"), ("r1", "z")], "run string, line string")
+    runlog.write_log_lines(lines, str(tmp_path / "logs"))
+    read = runlog.read_log_lines(spark, str(tmp_path / "logs"), by_folder=True)
+    assert sorted(map(tuple, read.collect())) == [("07", "y"), ("r1", "x"), ("r1", "z")]
