@@ -4,7 +4,8 @@ Patterns give the base spans.  Tokens with a digit, an @ or a + are the field's
 variables; all others are outside any entity.  Neighbouring variables share a chain
 potential, repeated or similar ones, however distant, a skip potential.  Tokens under
 base spans are observed; loopy message passing carries their labels along the links,
-and tokens that come out with an entity label add spans.
+and tokens that come out with an entity label add spans.  A text with nothing observed
+takes the same inference.
 
 Potentials are learned from the corpus in one pass of counts: labels by token shape,
 labels of neighbours, agreement of similar tokens.
@@ -39,7 +40,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@+]")
 _TOKEN = re.compile(r"[^\s]*[0-9@+][^\s]*")
 _DIGITS = re.compile(r"[0-9]+")
 # What stands around a token without belonging to it.
@@ -246,7 +247,7 @@ def _found(bodies: list[str], model: tuple) -> tuple[list[list], list[list]]:
     """Base and all spans of texts, one message-passing run for all of them."""
     unary, chain, skip = model
     bases = [base_spans(x) for x in bodies]
-    fields = [Variables(x, b) if b else None for x, b in zip(bodies, bases)]
+    fields = [Variables(x, b) if _HINT.search(x) else None for x, b in zip(bodies, bases)]
     scores, links, kinds, starts, n = [], [], [], [], 0
     for v in fields:
         starts.append(n)
@@ -293,8 +294,9 @@ def find_personal_data(docs: DataFrame, model: tuple, text: str = "text") -> Dat
     """Add ``base_spans`` and ``pii_spans``: (kind, start, end) by kind, then start.
 
     ``pii_spans`` has the base spans and those the field adds; an added span never
-    touches a token under a base span.  A text without base spans has nothing observed
-    and gets none.  Null and empty texts have none; repeated rows get equal spans;
+    touches a token under a base span.  A text without base spans has nothing observed;
+    its tokens are judged by shapes and links alone.  Null and empty texts have none;
+    repeated rows get equal spans;
     columns of the two names are replaced; an empty table stays empty.
     """
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -175,6 +175,19 @@ def test_pii_field_carries_labels_to_repeats(spark, edge, empty):
     assert pii.potentials(pii.learn(empty))[0].shape == (pii.SHAPES, pii.LABELS)
 
 
+def test_pii_field_runs_with_nothing_observed():
+    """A token alone and the same token far from an unrelated e-mail get the same answer."""
+    unary = np.log(np.full((pii.SHAPES, pii.LABELS), 0.05))
+    unary[:, 0] = np.log(0.8)
+    number = "4259072153119753"  # fails Luhn
+    unary[pii.shape(number)] = np.log([0.2, 0.05, 0.05, 0.65, 0.05])
+    tables = np.zeros((pii.LABELS, pii.LABELS))
+    bodies = [f"no {number} here", f"no {number} here, but a.b@c.org", "no 77 here", "only + here", ""]
+    bases, spans = pii._found(bodies, (unary, tables, tables))
+    assert bases == [[], [(0, 30, 39)], [], [], []]
+    assert spans == [[(2, 3, 19)], [(0, 30, 39), (2, 3, 19)], [], [], []]
+
+
 def test_message_passing_is_exact_on_a_tree():
     rng = np.random.default_rng(3)
     unary = rng.normal(size=(4, pii.LABELS))
