@@ -3,7 +3,8 @@
 Patterns give the base spans.  Tokens with a digit, an @ or a + are the field's
 variables; all others are outside any entity.  Neighbouring variables share a chain
 potential, repeated or similar ones, however distant, a skip potential.  Tokens under
-base spans are observed; loopy message passing carries their labels along the links,
+base spans are observed; loopy message passing carries their labels along the links
+until the messages settle,
 and tokens that come out with an entity label add spans.  A text with nothing observed
 takes the same inference.
 
@@ -27,12 +28,21 @@ from gristmill.llm.common import add_columns, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is outside
-ROUNDS = 12
 DAMPING = 0.5
+# A text's messages have settled when none moves by more than this; the rounds end a
+# text whose messages never do.
+SETTLED = 1e-6
+ROUNDS = 1000
 THRESHOLD = 0.5
 SMOOTHING = 0.5
-# Similar tokens have a key in common: this many digits at least, or a name before @.
+# Similar values have a key in common: this many digits at least, an IP address without
+# its port, or a name before @.  Phones have the last digits too: without the country,
+# without the area.
 KEY_DIGITS = 6
+PHONE_DIGITS = 15
+PHONE_TAILS = (10, 7)
+# No entity in several tokens has more digits.
+RUN_DIGITS = 19
 
 # The base patterns.  Atomic groups and look-behinds only save time.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,6 +53,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@+]")
 _TOKEN = re.compile(r"[^\s]*[0-9@+][^\s]*")
 _DIGITS = re.compile(r"[0-9]+")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+(?=@)")
 # What stands around a token without belonging to it.
 _AROUND = ".,;:!?\"'<>[]{}"
 
@@ -93,13 +104,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def value_keys(body: str, kind: int | None = None) -> list[str]:
+    """Keys of one value, the longest first; ``kind`` if a base pattern says what it is."""
+    name = _NAME.search(body) if kind in (None, 0) else None
+    if name:
+        return ["@" + name.group().lower()]
+    groups = _DIGITS.findall(body)
+    digits = "".join(groups)
+    keys = [digits] if len(digits) >= KEY_DIGITS else []
+    if kind == 3 or kind is None and len(digits) <= PHONE_DIGITS:
+        keys += [digits[-n:] for n in PHONE_TAILS if n < len(digits)]
+    if kind == 1 or kind is None and len(groups) >= 4:
+        parts = [g.lstrip("0") or "0" for g in groups[:4]]
+        if all(len(g) < 4 and int(g) <= 255 for g in parts):
+            keys.append(".".join(parts))
+    return keys
+
+
 class Variables:
-    """Field variables of one text: places, shapes, similarity keys, observed labels."""
+    """Field variables of one text: places, shapes, values with keys, observed labels."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]) -> None:
         self.places: list[tuple[int, int]] = []
         self.shapes: list[int] = []
-        self.keys: list[str] = []
         self.ordinals: list[int] = []
         last = 0
         for m in _TOKEN.finditer(text):
@@ -117,13 +144,9 @@ class Variables:
             last = end
             self.places.append((begin, end))
             self.shapes.append(shape(body))
-            digits = "".join(_DIGITS.findall(body))
-            if "@" in body[1:]:
-                key = "@" + body.partition("@")[0].lower()
-            else:
-                key = digits if len(digits) >= KEY_DIGITS else ""
-            self.keys.append(key)
         self.labels = np.zeros(len(self.places), np.int64)
+        # Values: (first variable, the one after the last, keys).
+        self.values: list[tuple[int, int, list[str]]] = []
         spans = sorted((a, b, k) for k, a, b in base)
         i = 0
         for j, (begin, end) in enumerate(self.places):
@@ -131,6 +154,40 @@ class Variables:
                 i += 1
             if i < len(spans) and spans[i][0] < end:
                 self.labels[j] = spans[i][2] + 1
+        j = 0
+        for begin, end, k in spans:
+            while j < len(self.places) and self.places[j][1] <= begin:
+                j += 1
+            after = j
+            while after < len(self.places) and self.places[after][0] < end:
+                after += 1
+            if j < after:
+                self.values.append((j, after, value_keys(text[begin:end], k)))
+        self._candidates(text)
+
+    def _candidates(self, text: str) -> None:
+        """Values of tokens outside base spans, and of runs of neighbours among them."""
+        bodies = [text[a:b] for a, b in self.places]
+        digits = ["".join(_DIGITS.findall(x)) for x in bodies]
+        free = self.labels == 0
+        joins = [bool(f) and not any(c.isalpha() or c == "@" for c in x) for f, x in zip(free, bodies)]
+        for i, body in enumerate(bodies):
+            if not free[i]:
+                continue
+            self.values.append((i, i + 1, value_keys(body)))
+            run = digits[i]
+            for j in range(i + 1, len(bodies)):
+                if not (joins[i] and joins[j] and self.ordinals[j] == self.ordinals[j - 1] + 1):
+                    break
+                run += digits[j]
+                if len(run) > RUN_DIGITS:
+                    break
+                keys = [run] if len(run) >= KEY_DIGITS else []
+                if len(run) <= PHONE_DIGITS:
+                    # A cut between tokens is a shorter run of its own.
+                    keys += [run[-n:] for n in PHONE_TAILS if len(run) - len(digits[i]) < n < len(run)]
+                if keys:
+                    self.values.append((i, j + 1, keys))
 
     def chain(self) -> list[int]:
         """Variables whose right neighbour is the next variable."""
@@ -138,15 +195,54 @@ class Variables:
         return [i for i in range(len(o) - 1) if o[i + 1] == o[i] + 1]
 
     def skips(self) -> list[tuple[int, int]]:
-        """Each variable and the one before with the same key: as many links as variables."""
-        before: dict[str, int] = {}
-        out = []
-        for i, key in enumerate(self.keys):
-            if key:
-                if key in before:
-                    out.append((before[key], i))
-                before[key] = i
-        return out
+        """Links of values that share a key: each with the one before, and with the first
+        that is observed.
+
+        Of values at one place that share a key the observed one counts, else the shortest.
+        A variable outside base spans has one link to a place: by the longest key.
+        """
+        by_key: dict[str, list[tuple[int, int]]] = {}
+        for first, after, keys in self.values:
+            for key in keys:
+                by_key.setdefault(key, []).append((first, after))
+        site, sites = 0, []
+        for i, o in enumerate(self.ordinals):
+            site = i if not i or o != self.ordinals[i - 1] + 1 else site
+            sites.append(site)
+        linked: set[tuple[int, int, int]] = set()
+        out: dict[tuple[int, int], None] = {}
+
+        def observed(value: tuple[int, int]) -> bool:
+            return self.labels[value[0]] > 0
+
+        def join(a: tuple[int, int], b: tuple[int, int]) -> None:
+            for one, other in ((a, b), (b, a)):
+                n, m = one[1] - one[0], other[1] - other[0]
+                for i in range(n):
+                    u, v = one[0] + i, other[0] + i * m // n
+                    # The other side links what this side knows to variables that don't.
+                    if self.labels[u] and not self.labels[v]:
+                        continue
+                    # One link a place and direction, apart from values in one stretch.
+                    seen = (u, sites[v], v if sites[u] == sites[v] else -1)
+                    if seen not in linked:
+                        linked.add(seen)
+                        out[min(u, v), max(u, v)] = None
+
+        for key in sorted((k for k, v in by_key.items() if len(v) > 1), key=lambda k: (-len(k), k)):
+            apart: list[tuple[int, int]] = []
+            for value in sorted(set(by_key[key])):
+                if not apart or value[0] >= apart[-1][1]:
+                    apart.append(value)
+                elif not observed(apart[-1]) and (observed(value) or value[1] - value[0] < apart[-1][1] - apart[-1][0]):
+                    apart[-1] = value
+            known = next((v for v in apart if observed(v)), None)
+            for before, value in zip(apart, apart[1:]):
+                join(before, value)
+            for value in apart if known else ():
+                if not observed(value):
+                    join(known, value)
+        return list(out)
 
 
 def shape(body: str) -> int:
@@ -215,25 +311,40 @@ def potentials(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def propagate(
-    unary: np.ndarray, links: np.ndarray, kinds: np.ndarray, pairwise: tuple[np.ndarray, np.ndarray]
+    unary: np.ndarray, links: np.ndarray, kinds: np.ndarray, pairwise: tuple[np.ndarray, np.ndarray],
+    owners: np.ndarray | None = None,
 ) -> np.ndarray:
-    """Marginals by damped loopy sum-product over all links at once."""
+    """Marginals by damped loopy sum-product over all links at once, until they settle.
+
+    ``owners``: the text of each link, in order.  A text whose messages have settled
+    takes no further rounds, so its marginals don't depend on the texts beside it.
+    """
     n, m = len(unary), len(links)
     belief = unary.copy()
     if m:
+        owner = np.zeros(m, np.int64) if owners is None else owners
+        owner = np.unique(owner, return_inverse=True)[1]
         source = np.concatenate([links[:, 0], links[:, 1]])
         target = np.concatenate([links[:, 1], links[:, 0]])
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
         tables = np.stack(pairwise)[kinds]
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
+        owner = np.concatenate([owner, owner])
         message = np.zeros((2 * m, LABELS))
+        active = np.arange(2 * m)
         for _ in range(ROUNDS):
             belief = unary.copy()
-            np.add.at(belief, target, message)
-            from_source = belief[source] - message[back]
-            fresh = np.logaddexp.reduce(from_source[:, :, None] + tables, axis=1)
+            np.add.at(belief, target[active], message[active])
+            from_source = belief[source[active]] - message[back[active]]
+            fresh = np.logaddexp.reduce(from_source[:, :, None] + tables[active], axis=1)
             fresh -= np.logaddexp.reduce(fresh, axis=1)[:, None]
-            message = DAMPING * message + (1 - DAMPING) * fresh
+            fresh = DAMPING * message[active] + (1 - DAMPING) * fresh
+            moved = np.zeros(owner.max() + 1)
+            np.maximum.at(moved, owner[active], np.abs(fresh - message[active]).max(axis=1))
+            message[active] = fresh
+            active = active[moved[owner[active]] > SETTLED]
+            if not len(active):
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
     belief -= np.logaddexp.reduce(belief, axis=1)[:, None] if n else 0
@@ -248,8 +359,8 @@ def _found(bodies: list[str], model: tuple) -> tuple[list[list], list[list]]:
     unary, chain, skip = model
     bases = [base_spans(x) for x in bodies]
     fields = [Variables(x, b) if _HINT.search(x) else None for x, b in zip(bodies, bases)]
-    scores, links, kinds, starts, n = [], [], [], [], 0
-    for v in fields:
+    scores, links, kinds, owners, starts, n = [], [], [], [], [], 0
+    for d, v in enumerate(fields):
         starts.append(n)
         if v is None or not v.places:
             continue
@@ -262,12 +373,14 @@ def _found(bodies: list[str], model: tuple) -> tuple[list[list], list[list]]:
         kinds += [0] * (len(links) - len(kinds))
         links += [(n + i, n + j) for i, j in v.skips()]
         kinds += [1] * (len(links) - len(kinds))
+        owners += [d] * (len(links) - len(owners))
         n += len(v.places)
     spans = [list(b) for b in bases]
     if not n:
         return bases, spans
     marginal = propagate(
-        np.concatenate(scores), np.array(links, np.int64).reshape(-1, 2), np.array(kinds, np.int64), (chain, skip)
+        np.concatenate(scores), np.array(links, np.int64).reshape(-1, 2), np.array(kinds, np.int64), (chain, skip),
+        np.array(owners, np.int64),
     )
     label = np.where(marginal[:, 1:].max(axis=1) > THRESHOLD, marginal[:, 1:].argmax(axis=1) + 1, 0)
     for d, v in enumerate(fields):

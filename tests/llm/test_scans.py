@@ -188,6 +188,50 @@ def test_pii_field_runs_with_nothing_observed():
     assert spans == [[(2, 3, 19)], [(0, 30, 39), (2, 3, 19)], [], [], []]
 
 
+def test_pii_skip_links_join_values_in_other_forms(spark):
+    """Spaced and unspaced, without a country or a port, in one token or in several."""
+    def linked(text):
+        v = pii.Variables(text, pii.base_spans(text))
+        at = [text[a:b] for a, b in v.places]
+        return {(at[i], at[j]) for i, j in v.skips()}
+
+    assert {b for _, b in linked("+1 (212) 555-0199 or so 212-555-0199")} == {"212-555-0199"}
+    assert {b for _, b in linked("+1 (212) 555-0199 in 2024 212 555 0199")} == {"212", "555", "0199"}
+    assert {b for _, b in linked("+1 (212) 555-0199 and x 555-0199")} == {"555-0199"}
+    assert linked("4259 0721 5311 9754 and 4259072153119754") >= {("4259", "4259072153119754")}
+    assert linked("4259 0721 5311 9753 not 4259072153119753") >= {(p, "4259072153119753") for p in ("4259", "0721", "5311", "9753")}
+    assert ("10.0.0.1", "10.0.0.1:80") in linked("host 10.0.0.1 or 10.0.0.1:80")
+    assert ("10.0.0.1", "10[.]0[.]0[.]1") in linked("host 10.0.0.1 or 10[.]0[.]0[.]1")
+    assert ("(a.b@c.org)", "a.b@host") in linked("me (a.b@c.org) or a.b@host")
+    assert linked("12 apples, 13 pears, 12 plums") == set()
+    many = [(i, f"call +1 ({200 + i}) 555-01{i:02d} or +1 ({200 + i}) 555-01{i:02d}") for i in range(40)]
+    body = "call +1 (212) 555-0199 today, " + "filler words here " * 50 + "or 212-555-0199 again; order 77 of 3.50"
+    docs = spark.createDataFrame([(-1, body), *many], "doc_id long, text string")
+    model = pii.potentials(pii.learn(docs))
+    row = pii.find_personal_data(docs.filter("doc_id < 0"), model).first()
+    at = body.index("212-555-0199")
+    assert [tuple(s) for s in row.pii_spans] == [*_naive_pii(body), (3, at, at + 12)]
+
+
+def test_messages_run_until_they_settle():
+    """A label reaches the far end of a long chain; texts don't depend on their neighbours."""
+    n = 60
+    unary = np.full((n, pii.LABELS), np.log(1 / pii.LABELS))
+    unary[0] = -pii.CLAMP
+    unary[0, 2] = 0.0
+    agree = np.zeros((pii.LABELS, pii.LABELS))
+    np.fill_diagonal(agree, 6.0)
+    links = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    kinds = np.zeros(n - 1, np.int64)
+    alone = pii.propagate(unary, links, kinds, (agree, agree))
+    assert alone[-1].argmax() == 2 and alone[-1, 2] > 0.5
+    both = pii.propagate(
+        np.concatenate([unary[:2], unary]), np.concatenate([links[:1], links + 2]), np.zeros(n, np.int64), (agree, agree),
+        np.array([0] + [1] * (n - 1)),
+    )
+    assert (both[2:] == alone).all()
+
+
 def test_message_passing_is_exact_on_a_tree():
     rng = np.random.default_rng(3)
     unary = rng.normal(size=(4, pii.LABELS))
