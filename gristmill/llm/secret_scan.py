@@ -6,7 +6,8 @@ and its symbols take three tests of uniform randomness (chi-squared uniformity o
 many cells as its length can fill, runs about the median, serial correlation).  Their
 combined p-values are held against each other inside strata of encoding and length by
 Benjamini and Hochberg's rule over the whole corpus: a candidate that the rule rejects
-is not random, the rest are reported.
+is not random, the rest are reported.  Every run that mixes letters and digits has an
+encoding; where base spans cover a part of a run, what they leave is tested.
 """
 
 from __future__ import annotations
@@ -27,10 +28,15 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 # Candidates of the battery: runs of 20 or more; a closing = belongs to the run.
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST = 20
+SEPARATORS = r"[+/_-]"
+# Between the separators of a run stand candidates of their own.
+SEGMENT = r"[A-Za-z0-9]{20,}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base38": "0123456789abcdefghijklmnopqrstuvwxyz-_",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 FALSE_DISCOVERY = 0.05
@@ -79,15 +85,28 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.coalesce(p, _no_spans()) for p in parts])
 
 
-def _encoding(run: Column) -> Column:
+def _mixed(run: Column) -> Column:
+    return run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+
+
+def _body(run: Column) -> Column:
+    """The characters that are tested.  In a run of one-case letters the separators are none
+    of its symbols and go, if enough is left."""
+    bare = F.regexp_replace(run, "=+$", "")
+    joined = F.regexp_replace(bare, SEPARATORS, "")
+    one_case = ~(bare.rlike("[A-Z]") & bare.rlike("[a-z]"))
+    return F.when(one_case & (F.char_length(joined) >= LEAST), joined).otherwise(bare)
+
+
+def _encoding(body: Column) -> Column:
     """The narrowest encoding that has all the characters; words and numbers are none."""
-    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
     return (
-        F.when(~mixed, F.lit(None).cast("string"))
-        .when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(run.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-        .when(run.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), F.lit("base36"))
-        .when(run.rlike("[A-Z]") & run.rlike("[a-z]"), F.lit("base64"))
+        F.when(~_mixed(body), F.lit(None).cast("string"))
+        .when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
+        .when(body.rlike("^[A-Z2-7]+$"), F.lit("base32"))
+        .when(body.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), F.lit("base36"))
+        .when(body.rlike("[A-Z]") & body.rlike("[a-z]"), F.lit("base64"))
+        .otherwise(F.lit("base38"))
     )
 
 
@@ -100,7 +119,7 @@ def _symbols(run: Column) -> Column:
     """Numbers of the characters in the alphabet of the inferred encoding."""
     def of(alphabet: str) -> Column:
         folded = run if len(alphabet) == 64 else F.upper(run) if alphabet[0] == "A" else F.lower(run)
-        same = F.translate(folded, "-_", "+/") if len(alphabet) == 64 else folded
+        same = {64: F.translate(folded, "-_", "+/"), 38: F.translate(folded, "+/", "-_")}.get(len(alphabet), folded)
         # split() by nothing gives the characters.
         return F.transform(F.split(same, ""), lambda c: F.call_function("instr", F.lit(alphabet), c) - 1)
 
@@ -123,9 +142,10 @@ def battery(candidates: DataFrame, run: str = "run") -> DataFrame:
     expected symbols in each, two at least.  ``p`` is three times the least of the three,
     one at most.
     """
-    body = F.regexp_replace(F.col(run), "=+$", "")
     base = _by_encoding(lambda a: F.lit(len(a)))
-    typed = candidates.select("*", _symbols(body).alias("__s"), base.alias("__k")).withColumn("__n", F.size("__s"))
+    typed = candidates.withColumn("__body", _body(F.col(run))).select(
+        *candidates.columns, _symbols(F.col("__body")).alias("__s"), base.alias("__k")
+    ).withColumn("__n", F.size("__s"))
     n, k = F.col("__n"), F.col("__k")
     cells = F.greatest(F.lit(2), F.least(k, F.floor(n / 5).cast("int")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -180,17 +200,70 @@ def not_rejected(tested: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     )
     rejected = ranked.filter(F.pow(F.lit(10.0), -F.col("__bin") / BINS_PER_DECADE) * F.col("of") <= F.col("rank") * q)
     limits = rejected.groupBy(*keys).agg(F.min("__bin").alias("__limit"))
-    # At most 4 encodings x 31 length classes.
+    # At most 5 encodings x 31 length classes.
     joined = binned.join(F.broadcast(limits), keys, "left")
     kept = joined.filter(F.col("__limit").isNull() | (F.col("__bin") < F.col("__limit")))
     return kept.select(*tested.columns)
 
 
+def _outside(place: Column, covering: Column) -> Column:
+    """The parts of a place that no span covers; spans by start."""
+    span = lambda a, b: F.array(F.struct(F.lit(KINDS.index("random")).alias("kind"), a.alias("start"), b.alias("end")))
+    begun = F.struct(place["start"].alias("at"), _no_spans().alias("parts"))
+
+    def step(held: Column, s: Column) -> Column:
+        before = F.when(s["start"] > held["at"], span(held["at"], s["start"])).otherwise(_no_spans())
+        return F.struct(
+            F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["parts"], before).cast(SPANS).alias("parts")
+        )
+
+    def done(held: Column) -> Column:
+        last = F.when(held["at"] < place["end"], span(held["at"], place["end"])).otherwise(_no_spans())
+        return F.concat(held["parts"], last).cast(SPANS)
+
+    return F.aggregate(covering, begun, step, done)
+
+
+def _candidates(scanned: DataFrame) -> DataFrame:
+    """(row, first, whole, place, run, encoding) of what the battery tests.
+
+    Of a run, the parts outside base spans, except a short prefix of an assignment's name.
+    Segments between the separators of a part (``whole`` false) count where it is rejected.
+    """
+    runs = scanned.filter(F.size("runs") > 0).select("row", "base", F.inline(F.arrays_zip("places", "runs")))
+    place, run = F.col("places"), F.col("runs")
+    touching = F.filter("base", lambda b: (b["start"] < place["end"]) & (b["end"] > place["start"]))
+    by_start = F.array_sort(F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    named = F.exists(touching, lambda b: b["kind"] == KINDS.index("assign"))
+    parted = runs.select("row", "places", "runs", named.alias("named"), by_start.alias("covering")).select(
+        "row", "places", "runs", "named", F.explode(_outside(place, F.col("covering"))).alias("place")
+    )
+    part = F.col("place")
+    parts = parted.select(
+        "row", "named", "place", F.substring(run, part["start"] - place["start"] + 1, part["end"] - part["start"]).alias("run")
+    ).filter(F.col("run").rlike(f"^{RUN}$") | ~F.col("named"))
+    piece = lambda whole, at, text: F.struct(F.lit(whole).alias("whole"), at.alias("place"), text.alias("run"))
+    first = F.col("place")["start"]
+    found = F.arrays_zip(
+        _spans(F.col("run"), SEGMENT, KINDS.index("random")).alias("at"),
+        F.regexp_extract_all("run", F.lit(SEGMENT), F.lit(0)).alias("text"),
+    )
+    moved = lambda at: F.struct(
+        at["kind"].alias("kind"), (at["start"] + first).alias("start"), (at["end"] + first).alias("end")
+    )
+    segments = F.transform(found, lambda x: piece(False, moved(x["at"]), x["text"]))
+    itself = F.array(piece(True, F.col("place"), F.col("run")))
+    both = F.when(F.col("run").rlike(SEPARATORS), F.concat(itself, segments)).otherwise(itself)
+    pieces = parts.select("row", first.alias("first"), F.inline(both))
+    typed = pieces.withColumn("__body", _body(F.col("run"))).withColumn("encoding", _encoding(F.col("__body")))
+    return typed.filter("encoding is not null").drop("__body").distinct()
+
+
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", q: float = FALSE_DISCOVERY) -> DataFrame:
     """(doc_id, base, spans) of every row: arrays of (kind, start, end) by start, then kind.
 
-    ``spans`` holds the base spans and those the battery adds: candidates that overlap no
-    base span and stand the tests.  Null and empty texts have none.  Repeated rows each
+    ``spans`` holds the base spans and those the battery adds: candidates that stand the
+    tests, without what base spans cover.  Null and empty texts have none.  Repeated rows each
     get the same result; rows that share an id but not the text are told apart by a hash
     of it.  Other columns are not looked at; an empty table gives an empty one.
     """
@@ -204,17 +277,13 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", q:
         F.when(F.col("text").rlike(RUN), _spans(F.col("text"), RUN, 3)).alias("places"),
         F.when(F.col("text").rlike(RUN), F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("runs"),
     ), "scanned")
-    candidates = (
-        scanned.filter(F.size("runs") > 0)
-        .select("row", "base", F.inline(F.arrays_zip("places", "runs")))
-        .select("row", "base", F.col("places").alias("place"), F.col("runs").alias("run"))
-        .filter(~F.exists("base", lambda b: (b["start"] < F.col("place")["end"]) & (b["end"] > F.col("place")["start"])))
-        .withColumn("encoding", _encoding(F.regexp_replace("run", "=+$", "")))
-        .filter("encoding is not null")
-        .select("row", "place", "run", "encoding")
-        .distinct()
+    stood = not_rejected(battery(_candidates(scanned)), q)
+    of_run = Window.partitionBy("row", "first")
+    added = (
+        stood.withColumn("__whole", F.max("whole").over(of_run))
+        .filter("whole or not __whole")
+        .groupBy("row").agg(F.collect_list("place").alias("added"))
     )
-    added = not_rejected(battery(candidates), q).groupBy("row").agg(F.collect_list("place").alias("added"))
     joined = scanned.select("doc_id", "row", "base").join(added, "row", "left")
     order = lambda spans: F.transform(
         F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))),
