@@ -39,15 +39,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id.  Rows that
-    repeat that id are one document and stay as one row; rows without an id belong to no
-    group and stay."""
-    rows = _documents(docs)
-    known = rows.filter("doc_id is not null")
-    groups = simhash.near_duplicates(known)
-    kept = groups.filter("doc_id = component_id").select("doc_id")
-    first = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return first.unionByName(rows.filter("doc_id is null"))
+    """One row of each near-duplicate group, the one with the smallest id; null ids come
+    last, and rows that share the id are told apart by a digest of the row."""
+    return simhash.one_of_each(_documents(docs))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

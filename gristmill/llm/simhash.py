@@ -229,6 +229,14 @@ def link_fingerprints(distinct: DataFrame, distance: int = DISTANCE, bucket_rows
             return found
 
 
+def _rooted(nodes: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+    """(fp, first, root) of a table (fp, first) of distinct fingerprints."""
+    roots = connected_components(link_fingerprints(nodes.select("fp"), distance, bucket_rows))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle: int = SHINGLE, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS,
@@ -244,14 +252,33 @@ def near_duplicates(
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stage(fingerprints(plain, "text", "simhash", shingle).select("doc_id", "simhash"), "simhash")
     nodes = marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first"))
-    roots = connected_components(link_fingerprints(nodes.select("fp"), distance, bucket_rows))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(nodes, distance, bucket_rows)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
     return marked.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    shingle: int = SHINGLE, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest id, null ids
+    last; of rows that share it, the one with the least digest of the whole row.
+
+    A row is known by that digest, not by its id, so a repeated or null id neither keeps
+    nor loses another component's row, and the choice is the same in every run.
+    """
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    keyed = docs.withColumn("__key", F.sha2(F.concat_ws("\n", others, F.sha2(F.col(text), 256)), 256))
+    plain = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "__key")
+    marked = stage(fingerprints(plain, "text", "simhash", shingle).select("doc_id", "__key", "simhash"), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")
+    nodes = marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(order).alias("first"))
+    least = _rooted(nodes, distance, bucket_rows).groupBy("root").agg(F.min("first").alias("first"))
+    kept = keyed.join(least.select("first.__key"), "__key", "left_semi")
+    # Rows that are equal in every column have one key.
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+
+
 def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

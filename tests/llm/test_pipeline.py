@@ -61,3 +61,15 @@ def test_stages_take_odd_and_empty_rows(spark, edge, empty):
             kept = apply(spark, docs, SF_DIR)
             assert kept.columns == list(pipeline.COLUMNS) and kept.count() <= most, name
         assert pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= most
+
+
+def test_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    """Repeated ids with different texts, null ids, exact copies."""
+    near, clean, other = "the cat sat on the mat today", "a wholly different line of text", "nothing like the rest at all here"
+    rows = [(1, near), (2, near), (2, clean), (None, near), (None, other), (None, other), (3, None), (None, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = [(1, near), (2, clean), (3, None), (None, other)]
+    for parts in (1, 5):
+        kept = pipeline.drop_near_copies(spark, docs.repartition(parts), SF_DIR)
+        assert kept.columns == list(pipeline.COLUMNS)
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
