@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import ctw
 from gristmill.llm import decontaminate as D
+from gristmill.llm import lexical
 from gristmill.llm import language as L
 from gristmill.llm import merkle as M
 from gristmill.llm import packing as P
 from gristmill.llm import pii
 from gristmill.llm import secret_scan as X
+from gristmill.llm import segment_search as N
 from gristmill.llm import simhash as S
 from gristmill.llm import warc
 from gristmill.llm.common import remainder
 from gristmill.llm.longest_match import token_counts
+from gristmill.llm.whitening import whiten
+from gristmill.operators.staging import stage
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -124,6 +128,24 @@ def op10_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", "n_words", "n_tokens")
 
 
+def op11_interval_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = stage(lexical.build_index(_table(spark, sf, "documents", "doc_id", "text")), "index")
+    return lexical.search(index, _table(spark, sf, "benchmark", "item_id", "text"), 50)
+
+
+def op12_polarised_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding on the eight leading whitened components."""
+    return whiten(_table(spark, sf, "embeddings", "vec_id", "embedding"))
+
+
+def op13_segment_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best neighbours of every fiftieth embedding among all others."""
+    vectors = _table(spark, sf, "embeddings", "vec_id", "embedding")
+    asked = vectors.filter(F.col("vec_id") % 50 == 0)
+    return N.top_k(vectors, asked, 5, sample=asked)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_context_tree,
@@ -136,5 +158,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_randomness_secrets,
         op9_pivot_simhash,
         op10_longest_match,
+        op11_interval_search,
+        op12_polarised_whitening,
+        op13_segment_search,
     )
     return {q.__name__: q for q in named}
