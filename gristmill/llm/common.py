@@ -48,6 +48,14 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(begin)
 
 
+def byte_spelling() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1
+    characters stand for themselves, the others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
 def add_columns(
     df: DataFrame,
     text: str,

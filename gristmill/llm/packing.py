@@ -10,33 +10,40 @@ no sequence is saved.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gristmill.llm.common import slices
+from gristmill.llm.common import byte_spelling, slices
 from gristmill.operators.staging import stage
 
 CAPACITY = 2048
 SEPARATOR = 0
 PARTITION_PIECES = 1 << 16
 MAX_ROUNDS = 6
-CACHED_WORDS = 300_000
-# Text that is split into words at a time; the word lists take many times its size.
-SPLIT_BYTES = 2 << 20
+# Words met since the cache was last turned over; as many older ones are kept too.
+CACHED_WORDS = 250_000
+# Text that is split into words at a time; words and places take many times its size.
+SPLIT_BYTES = 4 << 20
 
 # The word pattern of the vocabulary file (fixed value); words never span white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Texts with these go through the tokenizer whole: marked-up special tokens, characters
 # that lower-case by context, and separators that str.split() and the tokenizer see differently.
 _ODD = ("<|startoftext|>", "<|endoftext|>", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f")
+# What str.split() takes for white space beyond ASCII.
+_SPACES = regex.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _is_plain(text: str) -> bool:
@@ -46,50 +53,81 @@ def _is_plain(text: str) -> bool:
 class CachedEncoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
-    For vocabularies with word ends: every word is encoded once and remembered.  New
-    words are encoded many to a call; the ids that end a word part them again.
+    Every word is encoded once and remembered, until CACHED_WORDS newer ones have been
+    met since its last use.  A lower-case word in normal form is what a byte-level model
+    gets of it, spelled in the model's letters for bytes; with other models it takes the
+    whole way.
     """
 
     def __init__(self, serialized: str) -> None:
         self.tokenizer = Tokenizer.from_str(serialized)
-        self.ends = {i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")}
-        self.chunks: dict[str, bytes] = {}
+        last = (json.loads(serialized).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[-1]
+        plain = last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex")
+        self.spell = byte_spelling() if plain else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts = regex.compile(WORD_PATTERN).findall
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            cut = [j + 1 for j, x in enumerate(ids) if x in self.ends]
-            if len(cut) == len(some):
-                raw, begin = np.array(ids, "<u4").tobytes(), 0
-                for w, end in zip(some, cut):
-                    self.words[w] = raw[4 * begin : 4 * end]
-                    begin = end
+    def _learn(self, words: Iterable[str]) -> None:
+        for w in words:
+            if self.spell is None:
+                self.words[w] = self._whole(w)
             else:
-                for w in some:
-                    self.words[w] = self._whole(w)
+                shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.spell)
+                self.words[w] = array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _new(self, words: Iterable[str]) -> set[str]:
+        """The words not known yet; those used again count as new ones."""
+        out = set(words).difference(self.words)
+        again = out.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in again)
+        return out.difference(again)
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct lower-case pieces of text without white space."""
+        fresh = self._new(chunks)
+        single = {c for c in fresh if c.isalpha()}
+        several = {c: self.parts(c) for c in fresh.difference(single)}
+        single.update(w for p in several.values() for w in p if w not in several or p == [w])
+        self._learn(self._new(single))
+        for c, p in several.items():
+            if p != [c]:
+                self.words[c] = b"".join([self.words[w] for w in p])
+        out = list(map(self.words.__getitem__, chunks))
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the new words of all of them are learned together."""
+        """Ids of each text; each distinct word of all of them is looked up once."""
         plain = [_is_plain(x) for x in texts]
-        chunks = [x.lower().split() if ok else [] for x, ok in zip(texts, plain)]
-        fresh = list(set().union(*chunks).difference(self.chunks))
-        parts = [self.parts(c) for c in fresh]
-        self._learn(list({w for p in parts for w in p}.difference(self.words)))
-        for c, p in zip(fresh, parts):
-            self.chunks[c] = self.words[p[0]] if len(p) == 1 else b"".join([self.words[w] for w in p])
-        known = self.chunks.__getitem__
-        out = [b"".join(map(known, c)) if ok else self._whole(x) for x, c, ok in zip(texts, chunks, plain)]
-        if len(self.chunks) > CACHED_WORDS:
-            self.chunks.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        return out
+        spaced = [(x if x.isascii() else _SPACES.sub(" ", x)).lower() if ok else "" for x, ok in zip(texts, plain)]
+        split = pc.ascii_split_whitespace(pa.array(spaced, pa.large_string()))
+        row, flat = pc.list_parent_indices(split), split.flatten()
+        some = pc.greater(pc.binary_length(flat), 0)
+        coded = flat.filter(some).dictionary_encode()
+        parts = self._encoded(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        own = coded.indices.to_numpy()
+        n = sizes[own]
+        # Where each id of each occurrence stands among the ids of the distinct words.
+        shift = (np.cumsum(sizes) - sizes)[own] - (np.cumsum(n) - n)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(shift, n) + np.arange(n.sum())]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        np.add.at(ends, row.filter(some).to_numpy() + 1, n)
+        ends = np.cumsum(ends)
+        return [
+            ids[a:b].tobytes() if ok else self._whole(x) for x, ok, a, b in zip(texts, plain, ends, ends[1:])
+        ]
+
+
+@lru_cache(maxsize=1)
+def _encoder(serialized: str) -> CachedEncoder:
+    """Kept by a worker process for its next tasks."""
+    return CachedEncoder(serialized)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,7 +151,7 @@ def token_pieces(
     close = np.array([SEPARATOR], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(serialized)
+        encoder = _encoder(serialized)
         for batch in batches:
             for part in slices(batch, "text", SPLIT_BYTES):
                 ids, columns, bodies = part.column("doc_id").to_pylist(), ([], [], [], [], []), []
