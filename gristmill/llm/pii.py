@@ -4,7 +4,7 @@ Patterns give the base spans.  Tokens with a digit, an @ or a + are the field's
 variables; all others are outside any entity.  Neighbouring variables share a chain
 potential, repeated or similar ones, however distant, a skip potential.  Tokens under
 base spans are observed; loopy message passing carries their labels along the links
-until the messages settle,
+until the messages settle, for ROUNDS rounds at most,
 and tokens that come out with an entity label add spans.  A text with nothing observed
 takes the same inference.
 
@@ -29,8 +29,8 @@ from gristmill.llm.common import add_columns, slices
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is outside
 DAMPING = 0.5
-# A text's messages have settled when none moves by more than this; the rounds end a
-# text whose messages never do.
+# A text's messages have settled when none moves by more than this.  Where they still
+# move after so many rounds, as they may on loops, the last ones count.
 SETTLED = 1e-6
 ROUNDS = 1000
 THRESHOLD = 0.5
@@ -51,9 +51,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@+]")
-_TOKEN = re.compile(r"[^\s]*[0-9@+][^\s]*")
+# A word is entered at its first character only, and never walked back.
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*+")
 _DIGITS = re.compile(r"[0-9]+")
-_NAME = re.compile(r"[A-Za-z0-9._%+-]+(?=@)")
 # What stands around a token without belonging to it.
 _AROUND = ".,;:!?\"'<>[]{}"
 
@@ -104,11 +104,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _name(body: str) -> str:
+    """What stands before the first @ that has a name before it."""
+    at = body.find("@")
+    while at >= 0:
+        begin = at
+        while begin and body[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at:
+            return body[begin:at]
+        at = body.find("@", at + 1)
+    return ""
+
+
 def value_keys(body: str, kind: int | None = None) -> list[str]:
     """Keys of one value, the longest first; ``kind`` if a base pattern says what it is."""
-    name = _NAME.search(body) if kind in (None, 0) else None
+    name = _name(body) if kind in (None, 0) else ""
     if name:
-        return ["@" + name.group().lower()]
+        return ["@" + name.lower()]
     groups = _DIGITS.findall(body)
     digits = "".join(groups)
     keys = [digits] if len(digits) >= KEY_DIGITS else []
@@ -166,19 +179,29 @@ class Variables:
         self._candidates(text)
 
     def _candidates(self, text: str) -> None:
-        """Values of tokens outside base spans, and of runs of neighbours among them."""
+        """Values of tokens outside base spans, and of runs of neighbours among them.
+
+        Runs begin and end with digits: a longer one with the same digits would lose to
+        the shorter one wherever both have a key.
+        """
         bodies = [text[a:b] for a, b in self.places]
         digits = ["".join(_DIGITS.findall(x)) for x in bodies]
         free = self.labels == 0
         joins = [bool(f) and not any(c.isalpha() or c == "@" for c in x) for f, x in zip(free, bodies)]
+        # The next token with digits that a run can go on to, or -1.
+        ahead, upcoming = [-1] * len(bodies), -1
+        for i in range(len(bodies) - 1, -1, -1):
+            if i + 1 < len(bodies) and joins[i] and joins[i + 1] and self.ordinals[i + 1] == self.ordinals[i] + 1:
+                upcoming = i + 1 if digits[i + 1] else upcoming
+            else:
+                upcoming = -1
+            ahead[i] = upcoming
         for i, body in enumerate(bodies):
             if not free[i]:
                 continue
             self.values.append((i, i + 1, value_keys(body)))
-            run = digits[i]
-            for j in range(i + 1, len(bodies)):
-                if not (joins[i] and joins[j] and self.ordinals[j] == self.ordinals[j - 1] + 1):
-                    break
+            run, j = digits[i], ahead[i]
+            while run and j >= 0:
                 run += digits[j]
                 if len(run) > RUN_DIGITS:
                     break
@@ -188,6 +211,7 @@ class Variables:
                     keys += [run[-n:] for n in PHONE_TAILS if len(run) - len(digits[i]) < n < len(run)]
                 if keys:
                     self.values.append((i, j + 1, keys))
+                j = ahead[j]
 
     def chain(self) -> list[int]:
         """Variables whose right neighbour is the next variable."""

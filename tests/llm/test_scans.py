@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -213,6 +214,61 @@ def test_pii_skip_links_join_values_in_other_forms(spark):
     assert [tuple(s) for s in row.pii_spans] == [*_naive_pii(body), (3, at, at + 12)]
 
 
+def test_pii_tokens_and_names_equal_plain_expressions():
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "bc", "7", "@", "+", " ", "\n", "é", ".", "\u2003"], k=rng.randint(0, 14)))
+        plain = [m.span() for m in re.finditer(r"[^\s]*[0-9@+][^\s]*", text)]
+        assert [m.span() for m in pii._TOKEN.finditer(text)] == plain, text
+        name = re.search(r"[A-Za-z0-9._%+-]+(?=@)", text)
+        assert pii._name(text) == (name.group() if name else ""), text
+
+
+def test_pii_runs_link_as_all_runs_do():
+    """Leaving out runs that begin or end without digits changes no link."""
+    def every_run(v, text):
+        bodies = [text[a:b] for a, b in v.places]
+        digits = ["".join(re.findall("[0-9]+", x)) for x in bodies]
+        joins = [not x and not any(c.isalpha() or c == "@" for c in b) for x, b in zip(v.labels, bodies)]
+        out = []
+        for i in range(len(bodies)):
+            run = digits[i]
+            for j in range(i + 1, len(bodies)):
+                if not (joins[i] and joins[j] and v.ordinals[j] == v.ordinals[j - 1] + 1):
+                    break
+                run += digits[j]
+                if len(run) > pii.RUN_DIGITS:
+                    break
+                keys = [run] if len(run) >= pii.KEY_DIGITS else []
+                if len(run) <= pii.PHONE_DIGITS:
+                    keys += [run[-n:] for n in pii.PHONE_TAILS if len(run) - len(digits[i]) < n < len(run)]
+                if keys:
+                    out.append((i, j + 1, keys))
+        return out
+
+    rng = random.Random(12)
+    parts = ["+", "++", "123", "4567", "555-0199", "(212)", "+1", "x", "a@b.org", "4259072153119754", "  ", "12"]
+    for _ in range(2000):
+        text = " ".join(rng.choices(parts, k=rng.randint(0, 16)))
+        v = pii.Variables(text, pii.base_spans(text))
+        found = set(v.skips())
+        v.values += every_run(v, text)
+        assert set(v.skips()) == found, text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x" * 1_000_000 + " 1", "é" * 1_000_000 + " @", "1 " + "漢" * 1_000_000, "a" * 1_000_000 + "7", "+ " * 100_000,
+     "1 " + "+ " * 100_000 + "2", "+" * 200_000, "a@" * 200_000, "1 2 " * 12_000, "1." * 300_000, "+1" + " " * 500_000],
+    ids=range(11),
+)
+def test_pii_time_is_linear_in_the_text(text):
+    begun = time.process_time()
+    v = pii.Variables(text, pii.base_spans(text))
+    v.chain(), v.skips()
+    assert time.process_time() - begun < 10
+
+
 def test_messages_run_until_they_settle():
     """A label reaches the far end of a long chain; texts don't depend on their neighbours."""
     n = 60
