@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.losses import excess_loss
+from gristmill.functions.losses import excess_loss, logit_state, merged_state, state_entropy, state_normaliser
 from gristmill.operators.joins import ROWS_PER_KEY, bounded, copies_for, salted_lookup
 
 SCORE_DIGITS = 9
@@ -144,6 +144,30 @@ def _rounded_excess(loss: str, ref_loss: str) -> Column:
     return F.round(excess_loss(loss, ref_loss), SCORE_DIGITS)
 
 
+def score_logit_slices(
+    slices: DataFrame, keys: Sequence[str], label: str = "label", first_id: str = "first_id", logits: str = "logits"
+) -> DataFrame:
+    """``loss`` and ``entropy`` of every position from slices of its logits.
+
+    A row holds the logits of the ids from ``first_id`` on; a position's rows, one for
+    each part of the vocabulary, share ``keys`` and ``label``.  Logits are reduced where
+    they are read: only three sums, and the label's logit, of each slice are shuffled.
+    A position without logits has neither; one whose label is null or in no slice has no loss.
+    """
+    place = F.col(label) - F.col(first_id)
+    narrow = slices.select(
+        *keys,
+        logit_state(logits).alias("state"),
+        F.get(logits, F.when(place >= 0, place).cast("int")).cast("double").alias("own"),
+    )
+    # A position has as many slices as the vocabulary was cut into.
+    gathered = narrow.groupBy(*keys).agg(F.collect_list("state").alias("states"), F.max("own").alias("own"))
+    merged = gathered.withColumn("state", merged_state("states"))
+    return merged.select(
+        *keys, (state_normaliser("state") - F.col("own")).alias("loss"), state_entropy("state").alias("entropy")
+    )
+
+
 # tokens [batch, length + 1] -> loss, ref_loss, ref_entropy, each [batch, length]
 BlockScorer = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 

@@ -654,6 +654,19 @@ def logit_losses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def logit_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from logits that arrive in slices of the vocabulary, one row each."""
+    size = F.size("embedding")
+    rows = _points(spark, sf).withColumn("label", F.col("vec_id") % size)
+    part = F.explode(F.expr("sequence(0, size(embedding) - 1, 24)")).alias("first_id")
+    cut = rows.select("vec_id", "label", "embedding", part).withColumn(
+        "logits", F.slice("embedding", F.col("first_id") + 1, F.lit(24))
+    )
+    scored = K.score_logit_slices(cut, ["vec_id"])
+    return scored.select("vec_id", F.round("loss", 6).alias("loss"), F.round("entropy", 6).alias("entropy"))
+
+
 # --- run analytics -----------------------------------------------------------
 
 

@@ -335,6 +335,14 @@ def _mix_draw() -> str:
     return f"CASE{cases} ELSE '{names[-1]}' END"
 
 
+_LOGITS = """
+SELECT vec_id, round(norm - e[vec_id % len(e) + 1], 6) AS loss,
+       round(norm - list_sum(list_transform(e, lambda x: x * exp(x - norm))), 6) AS entropy
+FROM (SELECT vec_id, e, ln(list_sum(list_transform(e, lambda x: exp(x)))) AS norm
+      FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     shard_rows = f"SELECT doc_id, (doc_id % {SHARDS})::INTEGER AS shard FROM documents"
     out = {
@@ -511,11 +519,8 @@ def oracle_sql() -> dict[str, str]:
             FROM embeddings""",
         "select_stored_read_order": _with(_as_read("own_scores", "-", "-", 0.7)),
         "select_stored_high_high": _with(_as_read("scores", "", "", 0.6)),
-        "logit_losses": """
-            SELECT vec_id, round(norm - e[vec_id % len(e) + 1], 6) AS loss,
-                   round(norm - list_sum(list_transform(e, lambda x: x * exp(x - norm))), 6) AS entropy
-            FROM (SELECT vec_id, e, ln(list_sum(list_transform(e, lambda x: exp(x)))) AS norm
-                  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""",
+        "logit_losses": _LOGITS,
+        "logit_slices": _LOGITS,
         "run_log_files": _with(
             """SELECT 'run' || run AS run, count(*) AS steps, count(*) FILTER ((rnk + 1) % 7 <> 0) AS on_schedule,
                       (sum(batch_tokens) * 1000)::BIGINT AS tok_s, round(sum(round(loss, 4)), 2) AS loss

@@ -1,5 +1,6 @@
 import json
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -24,6 +25,58 @@ def test_losses_from_logits(spark):
         assert row["h"] == pytest.approx(-(np.exp(logp) * logp).sum(), abs=1e-12)
 
 
+def _plain(x, label):
+    x = np.array(x, float)
+    shifted = x - x.max()
+    logp = shifted - math.log(np.exp(shifted).sum())
+    share = np.exp(logp)
+    return -logp[label], -(share[share > 0] * logp[share > 0]).sum()
+
+
+def test_losses_at_a_real_vocabulary_and_in_slices(spark):
+    """32,000 logits, whole and in slices that arrive in any order, in seconds."""
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(60, 32_000)) * rng.choice([0.01, 1, 30], size=(60, 1))
+    labels = rng.integers(0, 32_000, 60)
+    edges = [0, 1, 9_000, 9_001, 24_000, 32_000]
+    whole = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(logits, labels))], "i int, x array<double>, y long")
+    cut = [(i, int(y), a, x[a:b].tolist()) for i, (x, y) in enumerate(zip(logits, labels)) for a, b in zip(edges, edges[1:])]
+    rng.shuffle(cut)
+    rows = [(int(i), int(y), int(a), list(x)) for i, y, a, x in cut]
+    slices = spark.createDataFrame(rows, "i int, label long, first_id int, logits array<double>")
+    begun = time.perf_counter()
+    one = whole.select("i", cross_entropy("x", "y").alias("l"), predictive_entropy("x").alias("h")).collect()
+    many = K.score_logit_slices(slices, ["i"]).collect()
+    assert time.perf_counter() - begun < 60
+    assert len(one) == len(many) == 60
+    for i, loss, entropy in [*map(tuple, one), *map(tuple, many)]:
+        assert (loss, entropy) == pytest.approx(_plain(logits[i], labels[i]), rel=1e-9, abs=1e-9)
+
+
+def test_logit_slices_edges(spark):
+    inf = float("inf")
+    rows = [
+        (1, 2, 0, [0.0, 1.0]), (1, 2, 2, [5.0]), (1, 2, 3, []), (1, 2, 3, None),  # empty and null slices
+        (2, 0, 0, None), (3, None, 0, [1.0, 1.0]), (4, 9, 0, [1.0, 1.0]),  # no logits, no label, label outside
+        (5, 1, 0, [-inf, -inf]), (5, 1, 2, [3.0, 3.0]), (6, 0, 0, [None, 700.0, 0.0]), (7, 1, 0, [900.0]), (7, 1, 1, [-900.0]),
+    ]
+    table = spark.createDataFrame(rows, "i int, label int, first_id int, logits array<double>").withColumn("loss", F.lit("x"))
+    got = {r.i: (r.loss, r.entropy) for r in K.score_logit_slices(table, ["i"]).collect()}
+    assert got[1] == pytest.approx(_plain([0, 1, 5], 2)) and got[2] == (None, None)
+    assert got[3] == (None, pytest.approx(math.log(2))) and got[4] == (None, pytest.approx(math.log(2)))
+    assert got[5][0] == inf and got[5][1] == pytest.approx(math.log(2))
+    assert got[6] == (None, pytest.approx(0, abs=1e-12))
+    assert got[7] == pytest.approx((1800.0, 0.0), abs=1e-12)
+    assert K.score_logit_slices(table.filter("i < 0"), ["i"]).count() == 0
+
+
+def test_masked_logits_have_no_weight(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([([-inf, 1.0, 1.0],), ([],), (None,), ([-inf, -inf],)], "x array<double>")
+    got = [r.h for r in df.select(predictive_entropy("x").alias("h")).collect()]
+    assert got == [pytest.approx(math.log(2)), None, None, None]
+
+
 def _sequences(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [int(t) for t in rng.integers(0, 5, 40)]) for i in range(30)]
