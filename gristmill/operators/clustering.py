@@ -121,6 +121,13 @@ def _sums_batch(clusters: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> p
     )
 
 
+def _add_by_cluster(sums: np.ndarray, counts: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> None:
+    order = own.argsort(kind="stable")
+    seen, firsts = np.unique(own[order], return_index=True)
+    sums[seen] += np.add.reduceat(vectors[order], firsts, axis=0)
+    counts += np.bincount(own, minlength=len(counts))
+
+
 def lloyd_step(points: DataFrame, centers: np.ndarray, vector: str = "embedding") -> np.ndarray:
     """One k-means update; an empty cluster keeps its centre.
 
@@ -139,13 +146,16 @@ def lloyd_step(points: DataFrame, centers: np.ndarray, vector: str = "embedding"
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column(0))
-            best, _ = _nearest(vectors, centers)
-            order = best.argsort(kind="stable")
-            seen, firsts = np.unique(best[order], return_index=True)
-            sums[seen] += np.add.reduceat(vectors[order], firsts, axis=0)
-            counts += np.bincount(best, minlength=k)
+            _add_by_cluster(sums, counts, _nearest(vectors, centers)[0], vectors)
         yield _sums_batch(np.flatnonzero(counts), counts, sums)
 
+    return merged_means(points.select(vector).mapInArrow(partial_sums, PARTIAL_SUMS), centers)
+
+
+def merged_means(partial: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Centroids from rows (cluster, n, sums) of any number of tasks."""
+    k, dim = centers.shape
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((k, dim))
         counts = np.zeros(k, dtype=np.int64)
@@ -157,8 +167,7 @@ def lloyd_step(points: DataFrame, centers: np.ndarray, vector: str = "embedding"
             np.add.at(sums, cluster, _matrix(batch.column(2)))
         yield _sums_batch(np.flatnonzero(counts), counts, sums)
 
-    partial = points.select(vector).mapInArrow(partial_sums, PARTIAL_SUMS)
-    # At most k rows, as arrays: the size was checked above.
+    # At most k rows, as arrays: the size was checked before.
     found = partial.repartition("cluster").mapInArrow(merge, PARTIAL_SUMS).toArrow()
     updated = centers.copy()
     if found.num_rows:

@@ -22,10 +22,12 @@ from gristmill.operators import evals as V
 from gristmill.operators import losses as L
 from gristmill.operators import packing as P
 from gristmill.operators import reading as R
+from gristmill.operators import routing
 from gristmill.operators import runs as E
 from gristmill.operators import sampling as S
 from gristmill.operators import scoring as K
 from gristmill.operators import selection as D
+from gristmill.operators.bounded_lloyd import lloyd_bounded
 from gristmill.operators.running import range_splits, row_rank, running_total, with_bucket
 from gristmill.operators.staging import shared_dir, stage
 from gristmill.operators.tokenizing import detokenize, tokenize
@@ -54,6 +56,7 @@ LAYOUT = J.Layout(
 SEED = 42
 TREE_KS = (8, 3)
 KMEANS_STEPS = 2
+ROUTES = 3
 LANGS = ["de", "en", "es", "fr"]
 MIX = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
 RUNS = 4
@@ -402,6 +405,25 @@ def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     return C.assign(points, centers).select("vec_id", "cluster")
 
 
+@query
+def kmeans_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same centroids and assignment with the centroids in a table, dealt to cells."""
+    points = _points(spark, sf)
+    centers = routing.seeded_centers(points, TREE_KS[0], SEED, "vec_id")
+    centers = routing.lloyd_routed(points, centers, ROUTES, KMEANS_STEPS, SEED)
+    routed = routing.route_centers(centers, routing.coarse_centers(centers, ROUTES, SEED))
+    found = routing.assign_routed(points, routed)
+    return found.select("vec_id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query
+def kmeans_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with bounds that skip distances."""
+    points = _points(spark, sf)
+    start = C.first_vectors(points, TREE_KS[0], SEED, "vec_id")
+    return C.assign(points, lloyd_bounded(points, start, KMEANS_STEPS).centers).select("vec_id", "cluster")
+
+
 @query
 def kmeans_ml(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of any run of Spark ML's k-means, whose start depends on partitions:

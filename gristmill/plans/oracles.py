@@ -441,6 +441,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT vec_id, cluster, round(distance, 6) AS distance FROM first_near"
         ),
         "kmeans_lloyd": _with("SELECT vec_id, cluster FROM leaf"),
+        "kmeans_routed": _with("SELECT vec_id, cluster FROM leaf"),
+        "kmeans_bounded": _with("SELECT vec_id, cluster FROM leaf"),
         "cluster_tree": _with("SELECT vec_id, c1, c2 FROM paths"),
         "cluster_profile": _with(
             """SELECT level, cluster, docs, tokens,
