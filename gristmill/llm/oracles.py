@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from gristmill.llm.decontaminate import WINDOW
-from gristmill.llm.merkle import LEAF_PATTERN
-from gristmill.llm.warc import BLOCK_TAG, CRLF, ENTITIES, OTHER_TAG, UNSEEN
-
-LEAF_SQL = LEAF_PATTERN.replace("\\x0B", "\\v")
+# Nothing is taken from the operators: what SQL needs is written out once more.
+WINDOW = 10
+LEAF_SQL = r"(?:[ \t\v\f\r]*[^ \t\n\v\f\r]{1,64}){1,4}|[ \t\n\v\f\r]+"
+UNSEEN = "(?is)" + "|".join(
+    ["<!--.*?-->"] + [f"<{t}[ \\t\\r\\n>].*?</{t}>" for t in ("head", "script", "style", "noscript", "template")]
+)
+BLOCK_TAG = (
+    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3"
+    r"|h4|h5|h6|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)(?:[ \t\r\n/][^<>]*)?>"
+)
+OTHER_TAG = r"<[A-Za-z/!?][^<>]*>"
+CRLF = "\r\n"
+# SQL has no table of references; these are the ones that the pages have, the ampersand last.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def _text(value: str) -> str:
@@ -56,7 +65,7 @@ FROM g
 
 
 def _resolved(text: str) -> str:
-    for name, shown in ENTITIES:
+    for name, shown in REFERENCES:
         text = f"replace({text}, {_text(name)}, {_text(shown)})"
     return text
 
@@ -83,7 +92,8 @@ s AS (
     'sha256:' || sha256(payload) AS source_digest,
     strlen(payload)::VARCHAR AS source_length,
     trim({_TITLE}, ' ') AS title,
-    regexp_extract_all(payload, '(?i)<a[ \\t\\r\\n][^<>]*?href="([^"<>]*)"', 1) AS links,
+    list_transform(
+      regexp_extract_all(payload, '(?i)<a[ \\t\\r\\n][^<>]*?href="([^"]*)"', 1), lambda x: {_resolved("x")}) AS links,
     trim({_LINES}, ' ' || chr(10)) AS body
   FROM p
 ),

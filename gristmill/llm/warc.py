@@ -2,12 +2,17 @@
 
 Every response gives two records that refer to it: a metadata record with what its page
 and its headers say, and a conversion record with its plain text.  Identifiers derive
-from the response's, so a retried task writes the same records.  Built-in expressions
-only, with no shuffle.
+from the response's, so a retried task writes the same records.  Built-in expressions,
+but for character references, whose table the standard library has; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import html as markup
+import re
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,34 +27,66 @@ UNSEEN = (
 )
 BLOCK_TAG = rf"(?i)</?(?:{BLOCK_TAGS})(?:[ \t\r\n/][^<>]*)?>"
 OTHER_TAG = r"<[A-Za-z/!?][^<>]*>"
-# The character references that are resolved; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+# A link's target as it stands in its tag, with the quotes.
+LINK = (
+    r"(?i)<a[ \t\r\n\f/](?:[^<>]*?[ \t\r\n\f\"'/])?href[ \t\r\n\f]*=[ \t\r\n\f]*"
+    r"(\"[^\"]*\"|'[^']*'|[^ \t\r\n\f>\"'][^ \t\r\n\f>]*)"
+)
 CRLF = "\r\n"
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
+
+
+def target(value: str) -> str:
+    """A link's target without quotes and white space around, references resolved.
+
+    In an attribute a name without its semicolon is no reference if a letter, a digit or
+    an equals sign follows: ``?a=1&copy=2`` stays.
+    """
+    if value[:1] in ("'", '"'):
+        value = value[1:-1]
+
+    def shown(found: re.Match) -> str:
+        name = found.group()[1:]
+        if name[0] == "#":
+            return markup.unescape(found.group())
+        follows = value[found.end() : found.end() + 1]
+        known = name.endswith(";") or follows != "="
+        return html5.get(name, found.group()) if known else found.group()
 
+    return _REFERENCE.sub(shown, value).strip(" \t\r\n\f")
 
-def _resolved(text: Column) -> Column:
-    for name, shown in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(shown))
-    return text
 
+def _resolved(title: Column, body: Column, links: Column) -> Column:
+    """The three with their character references resolved, named and numeric ones."""
 
-def plain_text(html: Column) -> Column:
-    """What a reader sees: no head, scripts, styles or comments; a line for each block."""
+    @F.arrow_udf("struct<title:string,body:string,links:array<string>>")
+    def resolve(titles: pa.Array, bodies: pa.Array, targets: pa.Array) -> pa.Array:
+        def plain(texts: pa.Array) -> pa.Array:
+            return pa.array([x if x is None or "&" not in x else markup.unescape(x) for x in texts.to_pylist()], pa.string())
+
+        found = [None if x is None else [target(t) for t in x] for x in targets.to_pylist()]
+        arrays = [plain(titles), plain(bodies), pa.array(found, pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(arrays, ["title", "body", "links"])
+
+    # Marked so that the three fields do not run it three times.
+    return resolve.asNondeterministic()(title, body, links)
+
+
+def raw_text(html: Column) -> Column:
+    """What a reader sees: no head, scripts, styles or comments; a line for each block.
+    Character references stand as written."""
     seen = F.regexp_replace(html, UNSEEN, "")
     lines = F.regexp_replace(seen, BLOCK_TAG, "\n")
-    bare = _resolved(F.regexp_replace(lines, OTHER_TAG, ""))
-    spaced = F.regexp_replace(bare, r"[ \t\r\f]+", " ")
-    return F.btrim(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.regexp_replace(lines, OTHER_TAG, "")
 
 
-def page_title(html: Column) -> Column:
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.btrim(F.regexp_replace(_resolved(found), r"[ \t\r\n\f]+", " "), F.lit(" "))
+def _lines(text: Column) -> Column:
+    spaced = F.regexp_replace(text, r"[ \t\r\f\u00a0]+", " ")
+    return F.btrim(F.regexp_replace(spaced, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def outlinks(html: Column) -> Column:
-    """Targets of links in page order, repeats included."""
-    return F.regexp_extract_all(html, F.lit(r"(?i)<a[ \t\r\n][^<>]*?href=\"([^\"<>]*)\""), F.lit(1))
+def _one_line(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[ \t\r\n\f\u00a0]+", " "), F.lit(" "))
 
 
 def record_id(seed: Column) -> Column:
@@ -94,7 +131,9 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
     The metadata block lists title, outlinks, each source header and the source's
     payload digest; the conversion block is the plain text.  Both records carry
     WARC-Refers-To, the response's address and date, and digests of their own block and
-    of the source.  An empty payload gives an empty text; null columns count as empty;
+    of the source.  All HTML character references are resolved; outlinks are the href
+    values of a elements in page order, repeats included, quoted or bare, found by
+    pattern, so a tag ends at its first < or >.  An empty payload gives an empty text; null columns count as empty;
     other input columns are not looked at.  An empty table gives an empty one.
     """
     html = F.coalesce(F.col("payload"), F.lit(""))
@@ -106,9 +145,14 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         F.coalesce("warc_date", F.lit("")).alias("date"),
         F.coalesce("http_headers", none).alias("source_headers"),
         digest(html).alias("source_digest"),
-        page_title(html).alias("title"),
-        outlinks(html).alias("links"),
-        plain_text(html).alias("body"),
+        _resolved(
+            F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), raw_text(html),
+            F.regexp_extract_all(html, F.lit(LINK), F.lit(1)),
+        ).alias("page"),
+    )
+    prepared = prepared.select(
+        key, "source_id", "uri", "date", "source_headers", "source_digest", F.col("page.links").alias("links"),
+        _one_line(F.col("page.title")).alias("title"), _lines(F.col("page.body")).alias("body"),
     )
     fields = F.concat(
         F.array(F.concat(F.lit("title: "), "title")),
