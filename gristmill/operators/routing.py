@@ -220,7 +220,7 @@ def seeded_centers(points: DataFrame, k: int, seed: int, key: str, vector: str =
     return table
 
 
-def coarse_centers(centers: DataFrame, k: int, seed: int, steps: int = 5) -> np.ndarray:
+def coarse_centers(centers: DataFrame, k: int, seed: int, steps: int = 2) -> np.ndarray:
     """Centres to route by: a few k-means steps over the centroids themselves."""
     return lloyd(centers, first_vectors(centers, k, seed, "id", "center"), steps, "center")
 
