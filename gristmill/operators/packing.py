@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import BOS_ID, EOS_ID
-from gristmill.operators.running import ROWS_PER_BUCKET, range_splits, row_rank, running_total, with_bucket
+from gristmill.operators.running import ROWS_PER_BUCKET, Cuts, range_cuts, row_rank, running_total, with_bucket
 
 
 def assign_shard(docs: DataFrame, n_shards: int) -> DataFrame:
@@ -26,15 +26,14 @@ def stream_offsets(
     docs: DataFrame,
     n_shards: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    splits: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """C4: adds ``shard``, ``start_pos``, ``end_pos`` and ``shard_tokens``.
 
     Needs ``doc_id`` and ``n_tokens``; other columns ride along.
     """
-    if splits is None:
-        splits = range_splits(docs, "doc_id", rows_per_bucket)
-    placed = with_bucket(assign_shard(docs, n_shards), "doc_id", splits)
+    cuts = cuts or range_cuts(docs, "doc_id", rows_per_bucket)
+    placed = with_bucket(assign_shard(docs, n_shards), "doc_id", cuts)
     summed = running_total(
         placed,
         ["shard"],
@@ -43,7 +42,9 @@ def stream_offsets(
         F.col("n_tokens"),
         start="start_pos",
         total="shard_tokens",
-        max_keys=n_shards * (len(splits) + 2),
+        max_keys=n_shards * cuts.buckets,
+        buckets=cuts.buckets,
+        fanout=cuts.fanout,
     )
     return summed.withColumn("end_pos", F.col("start_pos") + F.col("n_tokens")).drop("bucket")
 
@@ -103,7 +104,7 @@ def pack_chunks(
     remainder: str = "drop",
     pad_id: int = BOS_ID,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    splits: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Rows ``(shard, chunk_no, tokens)`` of exactly ``chunk_size`` tokens.
 
@@ -114,7 +115,7 @@ def pack_chunks(
     if remainder not in ("drop", "pad"):
         raise ValueError(f"remainder must be 'drop' or 'pad', got {remainder!r}")
     slim = docs.select("doc_id", "n_tokens", "tokens")
-    offsets = stream_offsets(slim, n_shards, rows_per_bucket, splits).filter("n_tokens > 0")
+    offsets = stream_offsets(slim, n_shards, rows_per_bucket, cuts).filter("n_tokens > 0")
     if remainder == "drop":
         last = full_chunks(F.col("shard_tokens"), chunk_size) - 1
         pieces = _cut(offsets, chunk_size, last)
@@ -252,7 +253,7 @@ def roundtrip(
     chunks: DataFrame,
     n_shards: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    splits: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Compare the rebuilt documents with the tokenized corpus, per shard.
 
@@ -260,12 +261,11 @@ def roundtrip(
     hash and length, so the join moves a few numbers per document.
     """
     digest = [F.xxhash64("tokens").alias("digest"), F.size("tokens").alias("n")]
-    if splits is None:
-        splits = range_splits(docs, "doc_id", rows_per_bucket)
-    placed = with_bucket(assign_shard(docs, n_shards), "doc_id", splits, "__bucket")
+    cuts = cuts or range_cuts(docs, "doc_id", rows_per_bucket)
+    placed = with_bucket(assign_shard(docs, n_shards), "doc_id", cuts, "__bucket")
     slim = placed.select("doc_id", "shard", "__bucket", *digest)
     source = row_rank(
-        slim, ["shard"], "__bucket", ["doc_id"], "ordinal", max_keys=n_shards * (len(splits) + 2)
+        slim, ["shard"], "__bucket", ["doc_id"], "ordinal", max_keys=n_shards * cuts.buckets, buckets=cuts.buckets
     ).drop("__bucket")
     packed = rebuild_documents(chunks).select("shard", "ordinal", *digest)
     packed = packed.withColumnsRenamed({"digest": "digest_packed", "n": "n_packed"})

@@ -4,22 +4,29 @@ A window without PARTITION BY, or one partitioned by a key that holds a third
 of the rows, sorts all those rows in a single task.  Every ordered computation
 of the package goes through this module instead: the order is first cut into
 buckets, each bucket is summed (map-side combined), the bucket sums are
-accumulated over a table of a few thousand rows, and only then is a window run
-*inside* each bucket.
+accumulated, and only then is a window run *inside* each bucket.  Buckets are a
+tree: a bucket with too many rows is cut again, and where there are more than a
+few thousand sums they are added up by the bucket above first.  So neither a
+bucket nor a window grows with the table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.joins import bounded
+from gristmill.operators.staging import stage
 
-MAX_BUCKETS = 4096
+# Buckets of the first cut, and sums that one window accumulates.
+FANOUT = 4096
+# Parts of a bucket that is cut again.
+BRANCH = 64
 ROWS_PER_BUCKET = 200_000
 SPAN = 100_000
 
@@ -28,7 +35,7 @@ def range_splits(
     df: DataFrame,
     key: str,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
+    max_buckets: int = FANOUT,
 ) -> list[float]:
     """Cut points that spread the rows of ``df`` evenly over ranges of ``key``.
 
@@ -44,20 +51,64 @@ def range_splits(
     return sorted(set(number.approxQuantile("k", grid, 1 / (8 * wanted))))
 
 
-def with_bucket(df: DataFrame, key: str, splits: Sequence[float], out: str = "bucket") -> DataFrame:
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points of a key: of the whole range, then of every bucket, level by level."""
+
+    first: list[float]
+    deeper: tuple[DataFrame, ...] = ()
+    fanout: int = FANOUT
+    branch: int = BRANCH
+
+    @property
+    def buckets(self) -> int:
+        """Bucket numbers are below this."""
+        return (len(self.first) + 2) * self.branch ** len(self.deeper)
+
+
+def range_cuts(
+    df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET, fanout: int = FANOUT, branch: int = BRANCH
+) -> Cuts:
+    """Cuts that leave about ``rows_per_bucket`` rows in a bucket, however many rows there are.
+
+    Quantiles of the whole column give the first ``fanout`` buckets; while that is not
+    enough, quantiles inside each bucket cut it in ``branch`` parts.  These stay in
+    written tables, a row for each bucket of the level above.
+    """
+    wanted = -(-df.count() // rows_per_bucket)
+    cuts = Cuts(range_splits(df, key, rows_per_bucket, fanout), (), fanout, branch)
+    reached = fanout
+    grid = F.array(*[F.lit(i / branch) for i in range(1, branch)])
+    while wanted > reached:
+        number = F.col(key).cast("double")
+        inside = with_bucket(df.select(key), key, cuts).groupBy("bucket")
+        table = inside.agg(F.percentile_approx(number, grid, 16 * branch).alias("cuts"))
+        cuts = Cuts(cuts.first, (*cuts.deeper, stage(table, "cuts")), fanout, branch)
+        reached *= branch
+    return cuts
+
+
+def with_bucket(df: DataFrame, key: str, splits: Sequence[float] | Cuts, out: str = "bucket") -> DataFrame:
     """Add the range number of ``key``; a non-decreasing function of the key."""
-    if not splits:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    number = "__key"
-    cut = Bucketizer(
-        splits=[float("-inf"), *splits, float("inf")],
-        inputCol=number,
-        outputCol=out,
-        handleInvalid="keep",
-    )
+    cuts = splits if isinstance(splits, Cuts) else Cuts(list(splits))
     # A missing key sorts first, as in ORDER BY ... ASC.
+    number = "__key"
     keyed = df.withColumn(number, F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
-    return cut.transform(keyed).drop(number).withColumn(out, F.col(out).cast("bigint"))
+    if cuts.first:
+        cut = Bucketizer(
+            splits=[float("-inf"), *cuts.first, float("inf")],
+            inputCol=number,
+            outputCol=out,
+            handleInvalid="keep",
+        )
+        keyed = cut.transform(keyed).withColumn(out, F.col(out).cast("bigint"))
+    else:
+        keyed = keyed.withColumn(out, F.lit(0).cast("bigint"))
+    for level, table in enumerate(cuts.deeper):
+        known = bounded(table.withColumnsRenamed({"bucket": out, "cuts": "__cuts"}), cuts.buckets // cuts.branch ** (len(cuts.deeper) - level))
+        below = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c <= F.col(number)))
+        keyed = keyed.join(known, out, "left").withColumn(out, F.col(out) * cuts.branch + below).drop("__cuts")
+    return keyed.select(*[c for c in df.columns if c != out], out)
 
 
 def value_buckets(df: DataFrame, key: str, rows_per_bucket: int, out: str, among_equals: Column, parts: int) -> DataFrame:
@@ -76,6 +127,35 @@ def value_buckets(df: DataFrame, key: str, rows_per_bucket: int, out: str, among
     return cut_up.withColumn(out, F.col(out) * parts + inside)
 
 
+def _bases(
+    sums: DataFrame, groups: Sequence[str], bucket: str, total: str | None, least: Sequence[str],
+    buckets: int | None, fanout: int,
+) -> DataFrame:
+    """Sum over the group's earlier buckets, and what holds for the whole group.
+
+    No window gets more than ``fanout`` buckets of a group: with more of them the sums
+    of ``fanout`` neighbours are accumulated first, by the same rule.
+    """
+    carried = [*([total] if total else []), *least]
+    if buckets is None or buckets <= fanout:
+        before, whole = Window.partitionBy(*groups).orderBy(bucket), Window.partitionBy(*groups)
+        parts = [(F.sum("__rt_sum").over(before) - F.col("__rt_sum")).alias("__rt_before")]
+        if total:
+            parts.append(F.sum("__rt_sum").over(whole).alias(total))
+        parts += [F.min(name).over(whole).alias(name) for name in least]
+        return sums.select(*groups, bucket, *parts)
+    above = f"__above{bucket}"
+    placed = sums.withColumn(above, F.floor(F.col(bucket) / fanout).cast("bigint"))
+    upper = placed.groupBy(*groups, above).agg(
+        F.sum("__rt_sum").alias("__rt_sum"), *[F.min(name).alias(name) for name in least]
+    )
+    upper = _bases(upper, groups, above, total, least, -(-buckets // fanout), fanout)
+    inside = F.sum("__rt_sum").over(Window.partitionBy(*groups, above).orderBy(bucket)) - F.col("__rt_sum")
+    own = placed.select(*groups, above, bucket, inside.alias("__rt_inside"))
+    start = (F.col("__rt_before") + F.col("__rt_inside")).alias("__rt_before")
+    return own.join(upper, [*groups, above]).select(*groups, bucket, start, *carried)
+
+
 def running_total(
     df: DataFrame,
     groups: Sequence[str],
@@ -86,6 +166,8 @@ def running_total(
     total: str | None = None,
     max_keys: int | None = None,
     least: Mapping[str, str] | None = None,
+    buckets: int | None = None,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group, the row itself excluded.
 
@@ -94,7 +176,8 @@ def running_total(
     ``max_keys`` is a proven bound on the number of (group, bucket) pairs; when it
     is small the bucket sums are broadcast and the rows stay where they are.
     ``least`` names further columns with the group's smallest value of a column;
-    the bucket sums carry them, so no join by group alone is needed.
+    the bucket sums carry them, so no join by group alone is needed.  ``buckets`` bounds
+    the bucket numbers; if they may exceed ``fanout``, the sums are accumulated in levels.
     """
     least = least or {}
     keys = [*groups, bucket]
@@ -102,12 +185,7 @@ def running_total(
     sums = rows.groupBy(*keys).agg(
         F.sum("__rt_value").alias("__rt_sum"), *[F.min(column).alias(name) for name, column in least.items()]
     )
-    before = Window.partitionBy(*groups).orderBy(bucket)
-    parts = [(F.sum("__rt_sum").over(before) - F.col("__rt_sum")).alias("__rt_before")]
-    if total:
-        parts.append(F.sum("__rt_sum").over(Window.partitionBy(*groups)).alias(total))
-    parts += [F.min(name).over(Window.partitionBy(*groups)).alias(name) for name in least]
-    bases = sums.select(*keys, *parts)
+    bases = _bases(sums, groups, bucket, total, list(least), buckets, fanout)
     if max_keys is not None:
         bases = bounded(bases, max_keys)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -127,9 +205,10 @@ def row_rank(
     out: str = "rank",
     total: str | None = None,
     max_keys: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its group; optionally the group's size."""
-    return running_total(df, groups, bucket, order, None, out, total, max_keys)
+    return running_total(df, groups, bucket, order, None, out, total, max_keys, buckets=buckets)
 
 
 def with_halo(df: DataFrame, rank: str, reach: int, span: int = SPAN) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.running import range_splits, row_rank, running_total, with_bucket, with_halo
+from gristmill.operators.running import range_cuts, row_rank, running_total, with_bucket, with_halo
 
 # Fixed values.
 WINDOW_BATCHES = 100
@@ -72,8 +72,9 @@ def rank_steps(
     log: DataFrame, run: Sequence[str], step: str, rows_per_bucket: int = 200_000, total: str | None = None
 ) -> DataFrame:
     """Add ``rank``, the 0-based position of each row in its run; optionally the run's length."""
-    bucketed = with_bucket(log, step, range_splits(log, step, rows_per_bucket), "__bucket")
-    return row_rank(bucketed, run, "__bucket", [step], "rank", total).drop("__bucket")
+    cuts = range_cuts(log, step, rows_per_bucket)
+    bucketed = with_bucket(log, step, cuts, "__bucket")
+    return row_rank(bucketed, run, "__bucket", [step], "rank", total, buckets=cuts.buckets).drop("__bucket")
 
 
 def _back(column: str, reach: int, run: Sequence[str]) -> Column:

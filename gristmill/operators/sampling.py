@@ -11,10 +11,19 @@ from gristmill.functions.seeded import hex_prefix, seeded_hash, unit_draw
 from gristmill.operators.joins import bounded
 from gristmill.operators.running import ROWS_PER_BUCKET, row_rank, running_total, value_buckets
 
+# Hex digits of the hash that number its buckets, at least.
 PREFIX_DIGITS = 3
 LAPS_PER_COPY = 1000
 
 
+def _prefix_digits(rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """So many that a bucket has about ``rows_per_bucket`` rows at most."""
+    wanted, digits = -(-rows.count() // rows_per_bucket), PREFIX_DIGITS
+    while 16**digits < wanted:
+        digits += 1
+    return digits
+
+
 def balanced_sample(
     assigned: DataFrame,
     quotas: DataFrame,
@@ -49,7 +58,9 @@ def balanced_sample(
     return chosen.drop("__h", "__b", "__rank", "quota")
 
 
-def random_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) -> DataFrame:
+def random_subset(
+    docs: DataFrame, budget: Column | int, key: str, seed: int, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Documents in seeded order while their tokens fit into ``budget``.
 
     ``budget`` may use ``all_tokens``, or be a scalar subquery such as the token
@@ -57,17 +68,20 @@ def random_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) ->
     """
     limit = F.lit(budget) if isinstance(budget, int) else budget
     hashed = docs.withColumn("__h", seeded_hash(seed, key))
-    hashed = hashed.withColumn("__b", hex_prefix("__h", PREFIX_DIGITS))
+    digits = _prefix_digits(docs, rows_per_bucket)
+    hashed = hashed.withColumn("__b", hex_prefix("__h", digits))
     summed = running_total(
         hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens",
-        max_keys=16**PREFIX_DIGITS,
+        max_keys=16**digits, buckets=16**digits,
     )
     return summed.filter(F.col("__start") + F.col("n_tokens") <= limit).drop(
         "__h", "__b", "__start", "all_tokens"
     )
 
 
-def repeat_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) -> DataFrame:
+def repeat_subset(
+    docs: DataFrame, budget: Column | int, key: str, seed: int, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Whole passes over the subset, then a seeded part of one more.
 
     Adds ``pass_no``.  Every pass has its own order, so the partial pass is a
@@ -75,10 +89,11 @@ def repeat_subset(docs: DataFrame, budget: Column | int, key: str, seed: int) ->
     """
     limit = F.lit(budget) if isinstance(budget, int) else budget
     hashed = docs.withColumn("__h", seeded_hash(seed, key))
-    hashed = hashed.withColumn("__b", hex_prefix("__h", PREFIX_DIGITS))
+    digits = _prefix_digits(docs, rows_per_bucket)
+    hashed = hashed.withColumn("__b", hex_prefix("__h", digits))
     summed = running_total(
         hashed, [], "__b", ["__h", key], F.col("n_tokens"), start="__start", total="all_tokens",
-        max_keys=16**PREFIX_DIGITS,
+        max_keys=16**digits, buckets=16**digits,
     )
     summed = summed.withColumn("__budget", limit.cast("bigint"))
     whole = F.expr("__budget div all_tokens")

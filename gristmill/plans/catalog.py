@@ -28,7 +28,7 @@ from gristmill.operators import sampling as S
 from gristmill.operators import scoring as K
 from gristmill.operators import selection as D
 from gristmill.operators.bounded_lloyd import lloyd_bounded
-from gristmill.operators.running import range_splits, row_rank, running_total, with_bucket
+from gristmill.operators.running import Cuts, range_cuts, row_rank, running_total, with_bucket
 from gristmill.operators.staging import shared_dir, stage
 from gristmill.operators.tokenizing import detokenize, tokenize
 from gristmill.plans import jobs as J
@@ -141,6 +141,15 @@ def stream_offsets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_offsets_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a tree of small buckets: several levels of cuts and of sums."""
+    counts = _written_counts(spark, sf)
+    cuts = range_cuts(counts, "doc_id", 8, fanout=4, branch=4)
+    offsets = P.stream_offsets(counts, LAYOUT.n_shards, cuts=cuts)
+    return offsets.select("doc_id", "shard", "start_pos", "end_pos", "shard_tokens")
+
+
 def _written_counts(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, n_tokens`` of every document, written once: the text is read once."""
     return stage(_tokens(spark, sf).select("doc_id", "n_tokens"), "counts")
@@ -150,14 +159,14 @@ def _written_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return J.tokens_of(_texts(spark, sf))
 
 
-def _chunks(tokens: DataFrame, remainder: str, splits: list[float] | None = None) -> DataFrame:
+def _chunks(tokens: DataFrame, remainder: str, cuts: Cuts | None = None) -> DataFrame:
     return P.pack_chunks(
         tokens,
         LAYOUT.n_shards,
         LAYOUT.chunk_size,
         remainder,
         rows_per_bucket=LAYOUT.rows_per_bucket,
-        splits=splits,
+        cuts=cuts,
     )
 
 
@@ -203,8 +212,8 @@ def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def roundtrip_check(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _written_tokens(spark, sf)
-    splits = range_splits(tokens, "doc_id", LAYOUT.rows_per_bucket)
-    return P.roundtrip(tokens, _chunks(tokens, "drop", splits), LAYOUT.n_shards, splits=splits)
+    cuts = range_cuts(tokens, "doc_id", LAYOUT.rows_per_bucket)
+    return P.roundtrip(tokens, _chunks(tokens, "drop", cuts), LAYOUT.n_shards, cuts=cuts)
 
 
 class _WordCodec:
@@ -707,7 +716,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ranked_log(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
-    log = with_bucket(log, "step", range_splits(log, "step", 1000), "bucket")
+    log = with_bucket(log, "step", range_cuts(log, "step", 1000), "bucket")
     ranked = row_rank(log, ["run"], "bucket", ["step"])
     ranked = running_total(
         ranked, ["run"], "bucket", ["step"], F.col("batch_tokens"), "tokens_before", least={"first_us": "us"}

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.running import (
+    range_cuts,
     range_splits,
     row_rank,
     running_total,
@@ -43,6 +44,36 @@ def test_running_total_equals_cumsum(spark, partitions):
     assert got["total"].tolist() == want["total"].tolist()
 
 
+@pytest.mark.parametrize("fanout,branch,levels", [(4, 4, 2), (6, 5, 2), (2, 2, 5), (64, 2, 0)])
+def test_prefix_sums_through_a_tree_of_buckets(spark, fanout, branch, levels):
+    """Three levels and more: buckets stay small, sums equal a plain running sum."""
+    rows = _rows() + [(None, "hot", 3), (7 * 10**12, "lone", 1)]
+    df = spark.createDataFrame(rows, "k bigint, g string, v bigint").repartition(5)
+    cuts = range_cuts(df, "k", 40, fanout, branch)
+    assert len(cuts.deeper) == levels
+    bucketed = with_bucket(df, "k", cuts)
+    sizes = [r["count"] for r in bucketed.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 100 and bucketed.agg(F.max("bucket")).first()[0] < cuts.buckets
+    got = running_total(
+        bucketed, ["g"], "bucket", [F.col("k").asc_nulls_first()], F.col("v"), total="total", least={"first": "k"},
+        buckets=cuts.buckets, fanout=fanout,
+    ).toPandas()
+    want = pd.DataFrame(rows, columns=["k", "g", "v"]).sort_values("k", na_position="first")
+    want["start"] = want.groupby("g")["v"].cumsum() - want["v"]
+    want["total"] = want.groupby("g")["v"].transform("sum")
+    want["first"] = want.groupby("g")["k"].transform("min")
+    assert len(got) == len(want)
+    for name in ("start", "total", "first"):
+        left = got.sort_values("k", na_position="first")[name].tolist()
+        assert left == want[name].tolist(), name
+
+
+def test_sums_in_levels_without_groups(spark):
+    df = spark.range(3000).withColumn("b", F.floor(F.col("id") / 3))
+    got = running_total(df, [], "b", ["id"], start="s", total="t", buckets=1000, fanout=7)
+    assert got.filter((F.col("s") != F.col("id")) | (F.col("t") != 3000)).count() == 0
+
+
 def test_buckets_stay_even_on_clumped_keys(spark):
     df = spark.createDataFrame(_rows(), "k bigint, g string, v bigint")
     splits = range_splits(df, "k", 100)
