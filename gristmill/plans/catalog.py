@@ -36,6 +36,7 @@ from gristmill.sources import corpus, results, runlog
 from gristmill.sources.corpus import read_corpus, spread, subset_of
 from gristmill.functions.losses import cross_entropy, predictive_entropy
 from gristmill.sources.files import open_uri, write_whole
+from gristmill.sources.packed_format import read_packed, write_packed
 from gristmill.sources.packed import HEADER, export_bin, import_bin, read_chunks, read_headers, write_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,8 +266,30 @@ def _exported(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+def _packed(spark: SparkSession, sf: str) -> str:
+    folder = _new_folder(spark, "packed")
+    write_packed(_chunks(_written_tokens(spark, sf), "drop"), folder, VOCAB_SIZE)
+    return folder
+
+
 @query
 def bin_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks written through the packed format and read back, a file as a row."""
+    chunks = read_packed(spark, _packed(spark, sf))
+    return chunks.select("shard", "chunk_no", F.size("tokens").alias("n_tokens"), _ids_md5())
+
+
+@query
+def bin_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files read block by block, by byte ranges."""
+    blocks = read_packed(spark, _packed(spark, sf), LAYOUT.block_len)
+    number = F.expr(f"int(begin div {LAYOUT.block_len})").alias("block_no")
+    return blocks.select("shard", "chunk_no", number, _ids_md5())
+
+
+@query
+def bin_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the export without the format's lists, as another program leaves them."""
     chunks = import_bin(spark, _exported(spark, sf))
     return chunks.select("shard", "chunk_no", F.size("tokens").alias("n_tokens"), _ids_md5())
 

@@ -642,5 +642,6 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     out["tokenize_plugin"] = out["tokenize_ids"]
-    out["bin_round_trip"] = out["packed_chunks"]
+    out["bin_round_trip"] = out["bin_import"] = out["packed_chunks"]
+    out["bin_blocks"] = out["packed_blocks"]
     return out
