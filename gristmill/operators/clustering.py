@@ -316,23 +316,26 @@ def _capped(sizes: DataFrame) -> DataFrame:
     With children sorted by size, sum(min(cap, size)) is linear between two
     sizes.  The cap lies on the first stretch that reaches the budget; of its
     two neighbouring integers the closer one is taken, the smaller on a tie.
+    Stretches come from how many clusters have each size, so the windows hold a
+    parent's different sizes and not its clusters.
     """
-    ordered = Window.partitionBy("parent").orderBy("size", "cluster")
-    whole = Window.partitionBy("parent")
-    below = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.count(F.lit(1)).over(whole) - F.row_number().over(ordered) + 1
-    placed = sizes.withColumn("__below", below).withColumn("__left", left)
-    low = F.expr("(budget - __below) div __left")
-    low_total = F.col("__below") + F.col("__left") * low
-    cap = F.when(
-        F.col("budget") - low_total <= low_total + F.col("__left") - F.col("budget"), low
-    ).otherwise(low + 1)
-    reached = F.col("__below") + F.col("__left") * F.col("size") >= F.col("budget")
-    placed = placed.withColumn("__cap", F.when(reached, cap))
+    counted = sizes.groupBy("parent", "size").agg(F.count(F.lit(1)).alias("n"), F.max("budget").alias("budget"))
+    ordered = Window.partitionBy("parent").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = lambda x: F.coalesce(F.sum(x).over(ordered), F.lit(0))
+    left = F.sum("n").over(Window.partitionBy("parent")) - smaller(F.col("n"))
+    stretches = counted.select(
+        "parent", "size", "budget", smaller(F.col("size") * F.col("n")).alias("below"), left.alias("left")
+    )
+    low = F.expr("(budget - below) div left")
+    low_total = F.col("below") + F.col("left") * low
+    cap = F.when(F.col("budget") - low_total <= low_total + F.col("left") - F.col("budget"), low).otherwise(low + 1)
     # Later stretches reach the budget too; the first one has the least size.
-    first_cap = F.min_by("__cap", F.when(reached, F.struct("size", "cluster"))).over(whole)
-    chosen = F.coalesce(first_cap, F.max("size").over(whole))
-    return placed.withColumn("quota", F.least(chosen, F.col("size"))).drop("__below", "__left", "__cap")
+    reached = F.col("below") + F.col("left") * F.col("size") >= F.col("budget")
+    caps = stretches.groupBy("parent").agg(
+        F.coalesce(F.min_by(cap, F.when(reached, F.col("size"))), F.max("size")).alias("cap")
+    )
+    # A row for each parent; where they are few Spark sends them to the clusters.
+    return sizes.join(caps, "parent").withColumn("quota", F.least("cap", "size")).drop("cap")
 
 
 def allocate(assigned: DataFrame, levels: Sequence[str], target: Column | int) -> DataFrame:

@@ -168,6 +168,39 @@ def merge_steps(rows: DataFrame, step: str, order: str, columns: Sequence[str])
     return rows.filter(F.col(step).isNotNull()).groupBy(step).agg(*latest)
 
 
+# Metric names that may become columns.
+MAX_METRICS = 2000
+
+
+def metric_maps(lines: DataFrame, line: str = "value", out: str = "metrics") -> DataFrame:
+    """Add the metrics of a JSON line as MAP<STRING, DOUBLE>; null for a line that is no object.
+
+    A value that is no number is present without a value.
+    """
+    texts = F.from_json(F.col(line), "map<string,string>")
+    return lines.withColumn(out, F.transform_values(texts, lambda _, v: v.try_cast("double")))
+
+
+def merge_metrics(rows: DataFrame, step: str, order: str, metrics: str = "metrics") -> DataFrame:
+    """E5 with the metrics found in the data: one row per step, one column per metric.
+
+    ``metrics`` is a MAP<STRING, DOUBLE>.  Of each metric the last row in ``order`` that
+    has the key wins, also without a value.  Columns are the union of all keys of rows
+    with a step, sorted; a key called like the step column is the step's own and left
+    out.  Rows without a step are dropped; one without metrics keeps its step.
+    """
+    known = rows.filter(F.col(step).isNotNull()).select(F.col(step).alias("__step"), F.col(order).alias("__order"), F.col(metrics).alias("__metrics"))
+    cells = known.select("__step", "__order", F.explode_outer("__metrics").alias("__name", "__value"))
+    last = cells.groupBy("__step", "__name").agg(F.max_by("__value", "__order").alias("__value"))
+    found = last.select("__name").filter(F.col("__name").isNotNull() & (F.col("__name") != step)).distinct()
+    names = sorted(r[0] for r in found.limit(MAX_METRICS + 1).collect())
+    if len(names) > MAX_METRICS:
+        raise ValueError(f"more than {MAX_METRICS} metrics; a table cannot have a column for each")
+    entries = F.collect_list(F.when(F.col("__name").isNotNull(), F.struct("__name", "__value")))
+    merged = last.groupBy("__step").agg(F.map_from_entries(entries).alias("__all"))
+    return merged.select(F.col("__step").alias(step), *[F.try_element_at("__all", F.lit(n)).alias(n) for n in names])
+
+
 def compute_ledger(runs: DataFrame, subsets: DataFrame, selections: DataFrame) -> DataFrame:
     """Unique, forward and backward tokens per run.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.seeded import hex_prefix, seeded_hash, unit_draw
 from gristmill.operators.joins import bounded
 from gristmill.operators.running import ROWS_PER_BUCKET, row_rank, running_total, value_buckets
+from gristmill.operators.staging import stage
 
 # Hex digits of the hash that number its buckets, at least.
 PREFIX_DIGITS = 3
@@ -52,8 +53,9 @@ def balanced_sample(
     else:
         raise ValueError(f"order must be 'random' or 'nearest', got {order!r}")
     ranked = row_rank(hashed, list(levels), "__b", ordering, "__rank")
-    # One row per leaf; build_tree admits no more leaves than may be broadcast.
-    limits = F.broadcast(quotas.select(*levels, "quota"))
+    # One row per leaf, sent to the rows if they are few enough.
+    limits = stage(quotas.select(*levels, "quota"), "quotas")
+    limits = bounded(limits, limits.count())
     chosen = ranked.join(limits, list(levels)).filter("__rank < quota")
     return chosen.drop("__h", "__b", "__rank", "quota")
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.losses import excess_loss
+from gristmill.operators.joins import bounded
+from gristmill.operators.staging import stage
 
 # Default ratios.
 EXCESS_RATIO = 0.6
@@ -50,6 +54,73 @@ def with_top_ratio(
     return marked.drop(*[f"__score{i}" for i in range(len(ranked))])
 
 
+# Bits of a score that one round of counting settles, from the highest down.
+SHIFTS = (52, 40, 28, 16, 4, 0)
+
+
+def ordered_bits(score: Column) -> Column:
+    """The 64 bits of a DOUBLE as a BIGINT in the order of the numbers; 0.0 and -0.0 agree."""
+
+    @F.arrow_udf("bigint")
+    def bits(column: pa.Array) -> pa.Array:
+        raw = (column.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
+        return pa.array(raw ^ ((raw >> 63) & np.int64((1 << 63) - 1)))
+
+    return bits(score.cast("double"))
+
+
+def _kth_highest(rows: DataFrame, ratio: float) -> DataFrame:
+    """(__batch, prefix): bits of the k-th highest score of each batch.
+
+    Each round counts, among the rows that share the bits settled so far, those with
+    each value of the next 12 bits, and goes on in the one that holds the k-th.
+    """
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(ratio)))).cast("bigint")
+    state = stage(rows.groupBy("__batch").agg(F.count(F.lit(1)).alias("n")).select("__batch", k.alias("k")), "kth")
+    batches = state.count()
+    above = None
+    for shift in SHIFTS:
+        near = rows.join(bounded(state, batches), "__batch")
+        if above is not None:
+            near = near.filter(F.shiftright("bits", above) == F.col("prefix"))
+        counted = near.groupBy("__batch", F.shiftright("bits", shift).alias("prefix")).agg(
+            F.count(F.lit(1)).alias("n"), F.first("k").alias("k")
+        )
+        # At most 4,096 rows of a batch.
+        upto = F.sum("n").over(Window.partitionBy("__batch").orderBy(F.desc("prefix")))
+        found = counted.withColumn("upto", upto).filter("upto >= k and upto - n < k")
+        state = stage(found.select("__batch", "prefix", (F.col("k") - F.col("upto") + F.col("n")).alias("k")), "kth")
+        above = shift
+    return state.select("__batch", "prefix")
+
+
+def with_top_ratio_spread(
+    scores: DataFrame, ranked: Sequence[tuple[Column, float]], batch: Sequence[str], out: str = "selected"
+) -> DataFrame:
+    """The mask of ``with_top_ratio`` for batches of any size, such as all positions.
+
+    No task gets a whole batch: thresholds come from counts over the bits of the scores,
+    exact and with ties, and meet the rows by batch.  ``scores`` is read twice, so write
+    it before.  Null batch keys are a batch; no ``batch`` at all is one of everything.
+    """
+    key = F.struct(*batch) if batch else F.struct(F.lit(0).alias("all"))
+    keyed = scores.withColumn("__batch", key)
+    marks = []
+    for i, (score, ratio) in enumerate(ranked):
+        if not 0.0 < ratio <= 1.0:
+            raise ValueError(f"cannot keep a share of {ratio}: give a number above 0 and at most 1")
+        keyed = keyed.withColumn(f"__bits{i}", ordered_bits(finite(score)))
+        marks.append(F.col(f"__bits{i}") >= F.col(f"__least{i}"))
+    for i, (_, ratio) in enumerate(ranked):
+        narrow = stage(keyed.select("__batch", F.col(f"__bits{i}").alias("bits")), "bits")
+        least = _kth_highest(narrow, ratio).withColumnRenamed("prefix", f"__least{i}")
+        keyed = keyed.join(bounded(least, least.count()), "__batch")
+    chosen = marks[0]
+    for mark in marks[1:]:
+        chosen = chosen & mark
+    return keyed.select(*[c for c in scores.columns if c != out], chosen.alias(out))
+
+
 def select_tokens(
     scores: DataFrame,
     method: str = "self_reference_intersection",

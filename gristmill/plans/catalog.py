@@ -577,6 +577,15 @@ def top_ratio_mask(spark: SparkSession, sf: str) -> DataFrame:
     return _selected_summary(D.with_top_ratio(_scores(spark, sf), [(F.col("loss"), 0.07)], BATCH))
 
 
+@query
+def top_ratio_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The highest scores of all positions as one batch, by two measures."""
+    scores = stage(_scores(spark, sf), "scores")
+    return _selected_summary(
+        D.with_top_ratio_spread(scores, [(F.col("loss"), 0.07), (-F.col("ref_entropy"), 0.7)], [])
+    )
+
+
 @query
 def select_excess_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _selected_summary(D.select_tokens(_scores(spark, sf), "excess_loss"))
@@ -809,6 +818,15 @@ def step_merge(spark: SparkSession, sf: str) -> DataFrame:
     return E.merge_steps(rows, "step", "event_id", kinds)
 
 
+@query
+def step_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from JSON lines, whose metrics are found in the data."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    line = F.to_json(F.create_map(F.col("event_type"), F.col("value"))).alias("line")
+    lines = events.select(F.expr("event_id div 7").alias("step"), "event_id", line)
+    return E.merge_metrics(E.metric_maps(lines, "line"), "step", "event_id")
+
+
 @query
 def elapsed_time(spark: SparkSession, sf: str) -> DataFrame:
     timed = E.elapsed_time(_ranked_log(spark, sf), ["run"], "bucket", "step", "hours")

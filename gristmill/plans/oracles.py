@@ -497,6 +497,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "ref_entropy": _with("SELECT prev, total, round(entropy, 6) AS entropy FROM ref_ctx"),
         "top_ratio_mask": _with(_SUMMARY.format(f"SELECT *, {_top('loss', 0.07)} AS sel FROM scores")),
+        "top_ratio_whole": _with(
+            _SUMMARY.format(f"SELECT *, {_top('loss', 0.07, '1')} AND {_top('-ref_entropy', 0.7, '1')} AS sel FROM scores")
+        ),
         "select_excess_loss": _with(_SUMMARY.format(_EXCESS)),
         "select_self_reference": _with(_SUMMARY.format(_SELF)),
         "select_high_high": _with(_SUMMARY.format(_HIGH)),
@@ -643,5 +646,6 @@ def oracle_sql() -> dict[str, str]:
     }
     out["tokenize_plugin"] = out["tokenize_ids"]
     out["bin_round_trip"] = out["bin_import"] = out["packed_chunks"]
+    out["step_metrics"] = out["step_merge"]
     out["bin_blocks"] = out["packed_blocks"]
     return out

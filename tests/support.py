@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import tempfile
 
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# The folder that staged tables go to; it goes when the tests end.
+_SHARED = tempfile.TemporaryDirectory(prefix="gristmill-tests-", ignore_cleanup_errors=True)
+
 
 def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
     return (
@@ -23,6 +27,7 @@ def local_session(cores: str = "8", shuffle: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", _SHARED.name)
         .getOrCreate()
     )
 

@@ -73,6 +73,21 @@ def test_elapsed(spark):
         E.elapsed_time(log, ["run"], "bucket", "rank", "weeks")
 
 
+def test_metrics_found_in_the_data(spark):
+    lines = [
+        (1, '{"step": 1, "loss": 2.0, "acc": 0.5}'), (2, '{"step": 1, "loss": 1.5, "lr": 1e-3}'), (3, '{"step": 2, "a b.c": 7}'),
+        (4, '{"loss": 9.0}'), (5, '{"step": 2, "loss": "none"}'), (6, "no json"), (7, '{"step": 3}'), (8, '{"step": 1, "acc": null}'),
+    ]
+    table = E.metric_maps(spark.createDataFrame(lines, "seq int, value string"))
+    table = table.withColumn("step", F.col("metrics")["step"].cast("int"))
+    merged = E.merge_metrics(table, "step", "seq")
+    assert merged.columns == ["step", "a b.c", "acc", "loss", "lr"]
+    rows = {r.step: tuple(r)[1:] for r in merged.collect()}
+    # The last line with the key wins, also where it has no value.
+    assert rows == {1: (None, None, 1.5, 1e-3), 2: (7.0, None, None, None), 3: (None, None, None, None)}
+    assert E.merge_metrics(table.filter("seq = 6"), "step", "seq").columns == ["step"]
+
+
 def test_step_merge(spark):
     rows = [(1, 0, 1.0, None), (0, 1, 5.0, 6.0), (1, 2, None, 2.0), (1, 3, 3.0, None), (None, 4, 9.0, 9.0)]
     df = spark.createDataFrame(rows, "step int, seq int, loss double, acc double")

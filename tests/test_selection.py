@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gristmill.operators import losses as L
-from gristmill.operators.selection import select_tokens, with_top_ratio
+from gristmill.operators.selection import select_tokens, with_top_ratio, with_top_ratio_spread
 
 
 def _kept(spark, scores, ratio):
@@ -92,3 +92,27 @@ def test_ignored_targets(spark):
     rows = [(0, 2.0, 5), (0, 4.0, 6), (0, 100.0, -1), (0, 100.0, -1)]
     row = L.masked_ce_mean(spark.createDataFrame(rows, "g int, loss double, target int"), ["g"]).first()
     assert (row["mean_kept"], row["mean_all"], row["n_kept"]) == (3.0, 1.5, 2)
+
+
+@pytest.mark.parametrize("ratio", [0.07, 0.5, 1.0, 1e-9])
+def test_spread_mask_equals_the_window(spark, ratio):
+    rng = random.Random(9)
+    values = [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, 1.0, 1.0, 1.0 + 2**-52, -3.5]
+    rows = [(rng.choice([None, 0, 0, 0, 1]), i, rng.choice(values) if rng.random() < 0.6 else rng.gauss(0, 10)) for i in range(800)]
+    df = spark.createDataFrame(rows, "g int, i int, s double").withColumn("prefix", F.lit("x")).repartition(4)
+    ranked = [(F.col("s"), ratio), (-F.col("s") * F.col("i") % 7, 0.8)]
+    want = {r.i: r.selected for r in with_top_ratio(df, ranked, ["g"]).collect()}
+    got = with_top_ratio_spread(df, ranked, ["g"])
+    assert got.columns == [*df.columns, "selected"]
+    assert {r.i: r.selected for r in got.collect()} == want
+    whole = with_top_ratio(df.withColumn("one", F.lit(1)), ranked, ["one"])
+    assert {r.i: r.selected for r in with_top_ratio_spread(df, ranked, []).collect()} == {r.i: r.selected for r in whole.collect()}
+
+
+def test_spread_mask_edges(spark):
+    df = spark.createDataFrame([(1, float("nan"))], "g int, s double")
+    with pytest.raises(Exception, match="not finite"):
+        with_top_ratio_spread(df, [(F.col("s"), 0.5)], ["g"]).collect()
+    with pytest.raises(ValueError):
+        with_top_ratio_spread(df, [(F.col("s"), 0.0)], ["g"])
+    assert with_top_ratio_spread(df.filter("g > 1"), [(F.col("s"), 0.5)], ["g"]).count() == 0
