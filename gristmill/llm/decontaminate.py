@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.common import add_columns, raw_bytes
+from gristmill.operators.staging import stage
 
 WINDOW = 10
 SAMPLE_RATE = 8
@@ -226,7 +227,8 @@ def find_contamination(
     item id is written as the empty string; an empty benchmark finds nothing.  Items that share an id or a window are each found;
     repeated documents each get their own result.  Input columns of the three names
     are replaced.  Test items are handled in blocks of BLOCK_BYTES, a pass over the
-    documents for each, so their number is not limited.
+    documents for each, so their number is not limited; with several blocks the
+    documents and what was found so far are written in between.
     """
     def one_pass(df: DataFrame, phrases: Phrases, held: bool) -> DataFrame:
         before = ["__spans", "__items"] if held else []
@@ -251,6 +253,9 @@ def find_contamination(
 
     done = None
     for block in _blocks(benchmark, item_id, item_text):
+        if done is not None:
+            # Written before the next block's pass, so that the driver and a task hold one block.
+            done = stage(done, "hits")
         done = one_pass(docs if done is None else done, Phrases(block, window), done is not None)
     return one_pass(docs, Phrases([], window), False) if done is None else done
 

@@ -119,7 +119,8 @@ def identify(
 
     The score is the share of the language in the posterior of the mean n-gram, so
     it doesn't saturate with length: exp of the mean log-probability, normalized over
-    languages with an exponent of 8.  Equal languages: the first by name.  Null, empty
+    languages with an exponent of 8.  Languages have equal priors: how often one was
+    labelled says nothing of a text.  Equal languages: the first by name.  Null, empty
     and letterless texts, and any text if nothing was learned, get ``und`` and 0.
     Only the text is looked at.  Input columns of the two names are replaced.
     """
