@@ -15,7 +15,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,9 @@ SEPARATOR = 0
 PARTITION_PIECES = 1 << 16
 MAX_ROUNDS = 6
 # Words met since the cache was last turned over; as many older ones are kept too.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 # Text that is split into words at a time; words and places take many times its size.
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 2 << 20
 
 # The word pattern of the vocabulary file (fixed value); words never span white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -124,12 +123,6 @@ class CachedEncoder:
         ]
 
 
-@lru_cache(maxsize=1)
-def _encoder(serialized: str) -> CachedEncoder:
-    """Kept by a worker process for its next tasks."""
-    return CachedEncoder(serialized)
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -151,7 +144,7 @@ def token_pieces(
     close = np.array([SEPARATOR], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(serialized)
+        encoder = CachedEncoder(serialized)
         for batch in batches:
             for part in slices(batch, "text", SPLIT_BYTES):
                 ids, columns, bodies = part.column("doc_id").to_pylist(), ([], [], [], [], []), []
