@@ -4,15 +4,19 @@ Built-in expressions only.  Patterns give the base spans.  Beside them, long run
 encoding characters are candidates: from its characters each gets an inferred encoding,
 and its symbols take three tests of uniform randomness (chi-squared uniformity over as
 many cells as its length can fill, runs about the median, serial correlation).  Their
-combined p-values are held against each other inside strata of encoding and length by
-Benjamini and Hochberg's rule over the whole corpus: a candidate that the rule rejects
-is not random, the rest are reported.  Every run that mixes letters and digits has an
-encoding; where base spans cover a part of a run, what they leave is tested.
+combined p-value has the null "random", a second one the null "harmless": a name made of
+numbers and words as the table's own texts have them, whose likelihood ratio against
+random symbols bounds the chance of as much evidence.  Both are held, inside strata of encoding and length, against
+Benjamini and Hochberg's rule over the whole corpus.  Reported is what the rule rejects
+as harmless, so that false reports are what it controls, and doesn't reject as random.
+Every run that mixes letters and digits has an encoding; where base spans cover a part
+of a run, what they leave is tested.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +43,39 @@ ALPHABETS = {
     "base38": "0123456789abcdefghijklmnopqrstuvwxyz-_",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# Frequencies of letters in English text, in percent.
+LETTERS = dict(zip(
+    "abcdefghijklmnopqrstuvwxyz",
+    (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4,
+     6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074),
+))
+# Common words, which tell what letter follows what before a text does.
+WORDS = (
+    "the of and to in is you that it he was for on are as with his they at be this have from or one had by word "
+    "but not what all were we when your can said there use an each which she do how their if will up other about "
+    "out many then them these so some her would make like him into time has look two more write go see number no "
+    "way could people my than first water been call who oil its now find long down day did get come made may part "
+    "report version final draft chapter section notes page header user profile project module util conference "
+    "program committee python setup tools file image index table value server client public private change"
+).split()
+# Their weight, and that of the letters alone, in pairs seen.
+LETTER_WEIGHT = 20.0
+# Share of letters that harmless names take evenly: other languages, initials.
+EVEN_LETTERS = 0.1
+# Parts of a text that may be words: nothing that a key could be made of stands at them.
+BETWEEN_TOKENS = r"[^A-Za-z0-9+/_=-]+"
+LONGEST_WORD = 32
+# What follows what in a harmless name: S a separator or the start; in runs of one case
+# A a letter, N a digit; in the others L and U a lower and an upper letter, D a digit.
+STEPS = {
+    "SA": 0.75, "SN": 0.25, "AA": 0.95, "AN": 0.05, "NN": 0.85, "NA": 0.15,
+    "SL": 0.55, "SU": 0.25, "SD": 0.2,
+    "LL": 0.91, "LU": 0.05, "LD": 0.04,
+    "UL": 0.47, "UU": 0.47, "UD": 0.06,
+    "DD": 0.85, "DL": 0.09, "DU": 0.06,
+}
+# Alphabets a random run may have, hex and base36 and base38 in either case.
+VARIANTS = 8
 FALSE_DISCOVERY = 0.05
 P_FLOOR_EXPONENT = 12
 BINS_PER_DECADE = 50
@@ -180,30 +217,125 @@ def battery(candidates: DataFrame, run: str = "run") -> DataFrame:
     return tested.withColumn("p", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial")))
 
 
-def not_rejected(tested: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
-    """Candidates that Benjamini and Hochberg's rule at level ``q`` doesn't reject.
+def learn_letters(docs: DataFrame, text: str = "text") -> list[float]:
+    """Log-probabilities of a letter or digit by the one before, from all words of all texts.
 
-    Strata: encoding, and length class by powers of two.  P-values are taken as bins of a
-    logarithmic scale, rounded up, so the rule works on counts: a bounded table of
-    strata x bins, pre-aggregated.  Its thresholds, one for each stratum, are broadcast.
+    Words are counted first, each of them gives its pairs once for all its occurrences, and
+    the pairs, at most 26 x 26, reach the driver.  Row 0 is for letters with none before;
+    in a row, place 0 is no symbol and has probability 1, then come letters and digits.
+    Null texts have no words.
     """
-    level = F.least(F.lit(float(P_FLOOR_EXPONENT)), -F.log10(F.greatest("p", F.lit(10.0**-P_FLOOR_EXPONENT))))
-    binned = tested.withColumn("__bin", F.floor(level * BINS_PER_DECADE).cast("int")).withColumn(
-        "__class", F.floor(F.log2(F.char_length("run"))).cast("int")
+    tokens = docs.select(F.explode(F.split(F.col(text), BETWEEN_TOKENS)).alias("token"))
+    counted = tokens.filter(F.char_length("token").between(2, LONGEST_WORD)).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    keys = ["encoding", "__class"]
-    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("m"))
-    smaller = Window.partitionBy(*keys).orderBy(F.desc("__bin"))
+    words = counted.filter(F.col("token").rlike("^[A-Za-z]+$")).select(F.lower("token").alias("word"), "n")
+    places = F.sequence(F.lit(1), F.char_length("word") - 1)
+    pairs = words.select(F.explode(F.transform(places, lambda i: F.col("word").substr(i, F.lit(2)))).alias("pair"), "n")
+    seen = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    return letter_table(seen)
+
+
+def letter_table(seen: dict[str, int]) -> list[float]:
+    """The table of ``learn_letters`` from counts of pairs of letters."""
+    names = list(LETTERS)
+    alone = {b: share / sum(LETTERS.values()) for b, share in LETTERS.items()}
+    known = dict(seen)
+    for word in WORDS:
+        for i in range(len(word) - 1):
+            known[word[i : i + 2]] = known.get(word[i : i + 2], 0) + 1
+    out = []
+    for a in ["", *names]:
+        total = sum(known.get(a + b, 0) for b in names) if a else 0
+        out.append(0.0)
+        for b in names:
+            n = known.get(a + b, 0) if a else 0
+            share = (n + LETTER_WEIGHT * alone[b]) / (total + LETTER_WEIGHT)
+            out.append(log((1 - EVEN_LETTERS) * share + EVEN_LETTERS / len(names)))
+        out += [log(0.1)] * 10
+    return out
+
+
+def harmless(candidates: DataFrame, letters: list[float], run: str = "run") -> DataFrame:
+    """Add ``p_harmless``: the chance, at most, that a harmless name looks as random.
+
+    A harmless name is a chain of letters and digits that seldom changes between the two
+    and begins anew behind a separator; letters follow each other as ``letters`` says
+    (``learn_letters``).  A random one has equal symbols.  Where separators stand is given
+    for both.  By Markov's inequality the likelihood ratio is a p-value, after division by
+    the number of alphabets that were tried.  Evidence adds up by the character, so short
+    runs have little.
+    """
+    symbols = "abcdefghijklmnopqrstuvwxyz0123456789"
+    mixed = F.col("encoding") == "base64"
+    kinds = F.translate(
+        F.when(mixed, F.translate(F.col(run), symbols + symbols[:26].upper(), "L" * 26 + "D" * 10 + "U" * 26)).otherwise(
+            F.translate(F.lower(run), symbols, "A" * 26 + "N" * 10)
+        ), "+/_-=", "S" * 5,
+    )
+    typed = candidates.select(
+        *candidates.columns, F.split(kinds, "").alias("__kinds"), F.split(F.lower(run), "").alias("__chars")
+    )
+    steps = F.create_map(*[F.lit(x) for k, v in STEPS.items() for x in (k, log(v))])
+    table = F.array(*[F.lit(x) for x in letters])
+    behind = lambda a: F.concat(F.array(F.lit("S")), F.slice(a, 1, F.size(a) - 1))
+    place = lambda c, of: F.call_function("instr", F.lit(of), c)
+    changes = F.zip_with(
+        behind("__kinds"), "__kinds", lambda a, b: F.coalesce(F.element_at(steps, F.concat(a, b)), F.lit(0.0))
+    )
+    # What stands at the start is no lower-case letter, as the capital S isn't.
+    drawn = F.zip_with(
+        behind("__chars"), "__chars",
+        lambda a, b: F.element_at(table, place(a, symbols[:26]) * (len(symbols) + 1) + place(b, symbols) + 1),
+    )
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    n = F.size(F.filter("__kinds", lambda x: x != "S"))
+    alike = _by_encoding(lambda a: F.lit(log(sum(c.isalnum() for c in a))))
+    ratio = total(changes) + total(drawn) + n * alike + log(VARIANTS)
+    return typed.select(*candidates.columns, F.exp(F.least(F.lit(0.0), ratio)).alias("p_harmless"))
+
+
+def _binned(p: str) -> Column:
+    """Bin of a p-value on a logarithmic scale; its edge is the larger end."""
+    level = F.least(F.lit(float(P_FLOOR_EXPONENT)), -F.log10(F.greatest(p, F.lit(10.0**-P_FLOOR_EXPONENT))))
+    return F.floor(level * BINS_PER_DECADE).cast("int")
+
+
+def _limits(binned: DataFrame, column: str, q: float) -> DataFrame:
+    """(encoding, length_class, limit): the rule rejects bins from the limit on.
+
+    It works on counts, a bounded table of strata x bins that is pre-aggregated.
+    """
+    keys = ["encoding", "length_class"]
+    counts = binned.groupBy(*keys, F.col(column).alias("bin")).agg(F.count(F.lit(1)).alias("m"))
+    smaller = Window.partitionBy(*keys).orderBy(F.desc("bin"))
     whole = Window.partitionBy(*keys)
-    ranked = counts.select(
-        *keys, "__bin", F.sum("m").over(smaller).alias("rank"), F.sum("m").over(whole).alias("of")
+    ranked = counts.select(*keys, "bin", F.sum("m").over(smaller).alias("rank"), F.sum("m").over(whole).alias("of"))
+    rejected = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE) * F.col("of") <= F.col("rank") * q)
+    return rejected.groupBy(*keys).agg(F.min("bin").alias(f"{column}_limit"))
+
+
+def discoveries(tested: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
+    """Candidates that Benjamini and Hochberg's rule at level ``q`` rejects as harmless
+    (``p_harmless``) and doesn't reject as random (``p``).
+
+    Strata: encoding, and length class by powers of two of ``run``, which is left out.
+    P-values are taken as bins of a logarithmic scale, rounded up.  The bins are written
+    once; the rule's limits, two for each of at most 5 x 31 strata, are broadcast.
+    """
+    others = [c for c in tested.columns if c not in ("run", "p_uniform", "p_runs", "p_serial", "p", "p_harmless")]
+    binned = stage(tested.select(
+        *others, F.floor(F.log2(F.char_length("run"))).cast("int").alias("length_class"),
+        _binned("p").alias("random_bin"), _binned("p_harmless").alias("harmless_bin"),
+    ), "tested")
+    keys = ["encoding", "length_class"]
+    judged = binned
+    for column in ("random_bin", "harmless_bin"):
+        judged = judged.join(F.broadcast(_limits(binned, column, q)), keys, "left")
+    kept = judged.filter("harmless_bin >= harmless_bin_limit").filter(
+        "random_bin_limit is null or random_bin < random_bin_limit"
     )
-    rejected = ranked.filter(F.pow(F.lit(10.0), -F.col("__bin") / BINS_PER_DECADE) * F.col("of") <= F.col("rank") * q)
-    limits = rejected.groupBy(*keys).agg(F.min("__bin").alias("__limit"))
-    # At most 5 encodings x 31 length classes.
-    joined = binned.join(F.broadcast(limits), keys, "left")
-    kept = joined.filter(F.col("__limit").isNull() | (F.col("__bin") < F.col("__limit")))
-    return kept.select(*tested.columns)
+    return kept.select(*others)
 
 
 def _outside(place: Column, covering: Column) -> Column:
@@ -259,25 +391,38 @@ def _candidates(scanned: DataFrame) -> DataFrame:
     return typed.filter("encoding is not null").drop("__body").distinct()
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", q: float = FALSE_DISCOVERY) -> DataFrame:
+def _row(doc_id, text) -> Column:
+    """128 bits that tell rows apart, equal rows aside."""
+    return F.struct(
+        F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), text, doc_id).alias("b")
+    )
+
+
+def find_secrets(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", q: float = FALSE_DISCOVERY,
+    letters: list[float] | None = None,
+) -> DataFrame:
     """(doc_id, base, spans) of every row: arrays of (kind, start, end) by start, then kind.
 
     ``spans`` holds the base spans and those the battery adds: candidates that stand the
     tests, without what base spans cover.  Null and empty texts have none.  Repeated rows each
-    get the same result; rows that share an id but not the text are told apart by a hash
-    of it.  Other columns are not looked at; an empty table gives an empty one.
+    get the same result; rows that share an id but not the text are told apart by two hashes
+    of it.  Other columns are not looked at; an empty table gives an empty one.  ``letters``
+    (``learn_letters``) are learned from the table itself unless given.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     marked = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     # Written once, narrow: both branches below read it.
     scanned = stage(marked.select(
         "doc_id",
-        F.xxhash64("doc_id", "text").alias("row"),
+        _row("doc_id", "text").alias("row"),
         base_spans(F.col("text")).alias("base"),
         F.when(F.col("text").rlike(RUN), _spans(F.col("text"), RUN, 3)).alias("places"),
         F.when(F.col("text").rlike(RUN), F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("runs"),
     ), "scanned")
-    stood = not_rejected(battery(_candidates(scanned)), q)
+    if letters is None:
+        letters = learn_letters(marked)
+    stood = discoveries(harmless(battery(_candidates(scanned)), letters), q)
     of_run = Window.partitionBy("row", "first")
     added = (
         stood.withColumn("__whole", F.max("whole").over(of_run))
@@ -303,9 +448,10 @@ def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     body = F.coalesce(F.col(text), F.lit(""))
     suspect = body.rlike(ASSIGN_HINT) | body.contains("AKIA") | body.rlike(HEX) | body.rlike(RUN)
-    found = find_secrets(docs.filter(suspect), doc_id, text, q).filter(F.size("spans") > 0)
+    letters = learn_letters(docs, text)
+    found = find_secrets(docs.filter(suspect), doc_id, text, q, letters).filter(F.size("spans") > 0)
     spans = found.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")).dropDuplicates(["__row"])
-    keyed = docs.filter(suspect).withColumn("__row", F.xxhash64(F.col(doc_id), body))
+    keyed = docs.filter(suspect).withColumn("__row", _row(F.col(doc_id), body))
     masked = keyed.join(spans, "__row", "left").withColumn(
         text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("__spans")))
     )

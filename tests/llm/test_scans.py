@@ -1,9 +1,11 @@
 """Operators that look at one text at a time, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -368,6 +370,156 @@ def test_battery_takes_every_mixed_run(spark):
     assert sum(tails) >= 8
 
 
+HARMLESS = [
+    "report-2023-final-version-b", "chapter-12-section-4-notes-draft", "conference2024programcommittee",
+    "python3-setuptools-scm-git", "user_profile_page_2_header", "com/example/project1/module2/util",
+    "ubuntu-22-04-desktop-amd64", "IMG_20230415_142233_edited", "getUserProfileById2Response",
+    "SECTION-2023-FINAL-REPORT-B", "meeting_notes_2024_03_14_v2", "src/main/java/com/acme/Http2Server",
+    "przeszczepienie-2023-wszystkich", "linux-image-6-1-0-13-amd64", "Figure3bSupplementaryMaterial",
+]
+
+
+def test_harmless_names_stay_and_keys_are_found(spark):
+    rng = random.Random(21)
+    base62 = secret_scan.ALPHABETS["base64"][:62]
+    keys = ["".join(rng.choices(base62, k=rng.choice((24, 32, 40)))) for _ in range(20)]
+    keys += ["".join(rng.choices(secret_scan.ALPHABETS["base36"], k=rng.choice((24, 32, 40)))) for _ in range(20)]
+    texts = HARMLESS + keys
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(texts)], "doc_id long, text string")
+    flagged = {r.doc_id for r in secret_scan.find_secrets(docs).collect() if any(s.kind == 3 for s in r.spans)}
+    assert not [texts[i] for i in flagged if i < len(HARMLESS)]
+    assert len(flagged) >= 34
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    assert all(masked[i] == f"see {t} there" for i, t in enumerate(HARMLESS))
+    # Alone, or among a thousand names of their kind, the names stay too.
+    many = [f"{t}-{rng.choice(HARMLESS)}" for t in HARMLESS for _ in range(70)]
+    alone = spark.createDataFrame([(i, t) for i, t in enumerate(many)], "doc_id long, text string")
+    assert not [r for r in secret_scan.find_secrets(alone).collect() if any(s.kind == 3 for s in r.spans)]
+
+
+def _plain_letters(texts):
+    """Probability of a letter by the one before (none: ""), by its definition."""
+    alone = {c: w / sum(secret_scan.LETTERS.values()) for c, w in secret_scan.LETTERS.items()}
+    words = [w.lower() for t in texts if t for w in re.split("[^A-Za-z0-9+/_=-]+", t) if re.fullmatch("[A-Za-z]{2,32}", w)]
+    pairs = Counter(a + b for w in words + secret_scan.WORDS for a, b in zip(w, w[1:]))
+
+    def of(before, now):
+        n = sum(pairs[before + c] for c in alone) if before else 0
+        seen = pairs[before + now] if before else 0
+        weight = secret_scan.LETTER_WEIGHT
+        even = secret_scan.EVEN_LETTERS
+        return (1 - even) * (seen + weight * alone[now]) / (n + weight) + even / 26
+
+    return of
+
+
+def _plain_battery(run, encoding, letter):
+    """The three tests and the likelihood ratio, by their definitions."""
+    alphabet = secret_scan.ALPHABETS[encoding]
+    body = run.rstrip("=")
+    joined = re.sub("[+/_-]", "", body)
+    if not (re.search("[A-Z]", body) and re.search("[a-z]", body)) and len(joined) >= 20:
+        body = joined
+    if encoding == "base32":
+        body = body.upper()
+    elif encoding != "base64":
+        body = body.lower()
+    body = body.translate(str.maketrans("-_", "+/")) if encoding == "base64" else body
+    body = body.translate(str.maketrans("+/", "-_")) if encoding == "base38" else body
+    s = np.array([alphabet.index(c) for c in body])
+    n, k = len(s), len(alphabet)
+    cells = max(2, min(k, n // 5))
+    seen = np.bincount(s * cells // k, minlength=cells)
+    expected = np.bincount(np.arange(k) * cells // k, minlength=cells) * n / k
+    chi, df = ((seen - expected) ** 2 / expected).sum(), cells - 1
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = s * 2 >= k
+    n1 = int(high.sum())
+    n0 = n - n1
+    spread = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+    runs = 1 + int((high[1:] != high[:-1]).sum())
+    p_runs = 2 * tail(abs(runs - 2 * n1 * n0 / n - 1) / math.sqrt(spread)) if spread > 0 else 0.0
+    c = s - (k - 1) / 2
+    serial = 2 * tail(abs((c[1:] * c[:-1]).sum() / (c * c).sum() * math.sqrt(n)))
+    ratio, before = math.log(secret_scan.VARIANTS), "S"
+    for at, x in enumerate(run):
+        if not x.isalnum():
+            before = "S"
+            continue
+        if encoding == "base64":
+            now = "D" if x.isdigit() else "L" if x.islower() else "U"
+        else:
+            now = "N" if x.isdigit() else "A"
+        follows = at > 0 and run[at - 1].isalpha()
+        drawn = 0.1 if x.isdigit() else letter(run[at - 1].lower() if follows else "", x.lower())
+        ratio += math.log(secret_scan.STEPS[before + now]) + math.log(drawn)
+        ratio += math.log({"hex": 16, "base32": 32, "base36": 36, "base38": 36, "base64": 62}[encoding])
+        before = now
+    return uniform, p_runs, serial, min(1.0, 3 * min(uniform, p_runs, serial)), math.exp(min(0.0, ratio))
+
+
+def _plain_rule(rows, q):
+    """Step-up rule by its definition on p-values rounded up to bins; flags of what it rejects."""
+    up = lambda p: 10.0 ** (-int(min(12.0, -math.log10(max(p, 1e-12))) * 50) / 50)
+    flags = [False] * len(rows)
+    for stratum in {r[:2] for r in rows}:
+        members = sorted((up(r[2]), i) for i, r in enumerate(rows) if r[:2] == stratum)
+        last = max((j for j, (p, _) in enumerate(members, 1) if p * len(members) <= j * q), default=0)
+        for _, i in members[:last]:
+            flags[i] = True
+    return flags
+
+
+def test_battery_and_rule_equal_their_definitions(spark):
+    rng = random.Random(33)
+    runs = [("base64", "".join(rng.choices(secret_scan.ALPHABETS["base64"], k=rng.randint(20, 90)))) for _ in range(60)]
+    runs += [("base36", "".join(rng.choices("abcdefghij0123456789z"[: rng.choice((9, 14, 21))], k=rng.randint(20, 60)))) for _ in range(60)]
+    runs += [("base36", "-".join(rng.choices(("alpha", "x1", "2023", "notes", "q7z"), k=rng.randint(9, 14)))) for _ in range(40)]
+    runs += [("hex", "".join(rng.choices("0123456789ABCDEF", k=rng.randint(20, 70)))) for _ in range(40)]
+    runs += [("base32", "".join(rng.choices(secret_scan.ALPHABETS["base32"], k=32))) for _ in range(20)]
+    runs = [(i, e, x) for i, (e, x) in enumerate(runs)]
+    texts = [None, "", "The quick brown fox; jumps over\nthe lazy dogs", "x1 y-z a_b qqq Qq é zz"] + ["jazz zap"] * 30
+    learned = secret_scan.learn_letters(spark.createDataFrame([(t,) for t in texts], "text string"))
+    table = spark.createDataFrame(runs, "at int, encoding string, run string")
+    tested = secret_scan.harmless(secret_scan.battery(table), learned)
+    letter = _plain_letters(texts)
+    plain = [_plain_battery(x, e, letter) for _, e, x in runs]
+    for r in tested.collect():
+        got = (r.p_uniform, r.p_runs, r.p_serial, r.p, r.p_harmless)
+        assert np.allclose(got, plain[r.at], rtol=1e-6, atol=2e-6), (r, plain[r.at])
+    # The rule on p-values of every size, harmless and random mixed.
+    drawn = [(i, e, x, 10 ** -rng.uniform(0, 5), 10 ** -(rng.uniform(0, 8) * rng.randint(0, 1))) for i, e, x in runs]
+    table = spark.createDataFrame(drawn, "at int, encoding string, run string, p double, p_harmless double")
+    for q in (0.01, 0.05, 0.3):
+        found = {r.at for r in secret_scan.discoveries(table, q).collect()}
+        strata = [(e, int(math.log2(len(x)))) for _, e, x, _, _ in drawn]
+        random_out = _plain_rule([(*s, d[3]) for s, d in zip(strata, drawn)], q)
+        harmless_out = _plain_rule([(*s, d[4]) for s, d in zip(strata, drawn)], q)
+        assert found == {d[0] for d, a, b in zip(drawn, harmless_out, random_out) if a and not b}
+        assert found
+
+
+def test_names_as_likely_as_the_model_says_are_seldom_reported(spark):
+    """Names drawn from the model of harmless ones: their p-values stay above what chance allows."""
+    rng = random.Random(8)
+    letter = _plain_letters([])
+    letters = list(secret_scan.LETTERS)
+    weights = {a: [letter(a, b) for b in letters] for a in ["", *letters]}
+    rows = []
+    for i in range(4000):
+        kind, run = "S", ""
+        while len(run) < 32:
+            kind = rng.choices("AN", (secret_scan.STEPS[kind + "A"], secret_scan.STEPS[kind + "N"]))[0]
+            before = run[-1] if run and run[-1].isalpha() else ""
+            run += rng.choices(letters, weights[before])[0] if kind == "A" else rng.choice("0123456789")
+        rows.append((i, "base36", run))
+    names = spark.createDataFrame(rows, "at int, encoding string, run string")
+    got = secret_scan.harmless(names, secret_scan.letter_table({})).collect()
+    for limit in (0.1, 0.01, 0.001):
+        assert sum(r.p_harmless <= limit for r in got) <= limit * len(got)
+
+
 def test_secret_edges_and_masks(edge, empty):
     rows = secret_scan.find_secrets(edge).collect()
     assert len(rows) == 9
