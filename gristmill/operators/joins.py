@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 20
 # Rows of one key that may meet in one task.
 ROWS_PER_KEY = 1 << 20
+# Keys that may be told apart as frequent, and rows of one key that are never divided.
+KEYS_APART = 4096
+LEAST_PART = 64
 
 
 def bounded(table: DataFrame, max_rows: int) -> DataFrame:
@@ -38,3 +41,25 @@ def salted_lookup(
     every = F.explode(F.sequence(F.lit(0), F.col(copies) - 1))
     repeated = table.withColumn(part, every).drop(copies)
     return salted.join(repeated, [*keys, part], "left").drop(part)
+
+
+def weighted_lookup(
+    rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: Sequence[str],
+    keys_apart: int = KEYS_APART, least_rows: int = LEAST_PART,
+) -> DataFrame:
+    """Inner join of ``rows`` to a table of unique keys that says how many rows each key has.
+
+    ``total`` is at least the number of rows.  A key with more than its part of them, a
+    ``keys_apart``-th, is divided, and its rows go to one part by a hash of ``spread``.
+    At most ``keys_apart`` keys can be so frequent: their list is broadcast, all other rows
+    are dealt by key alone.  ``count`` is left out of the result; null keys match nothing.
+    """
+    part = max(least_rows, -(-total // keys_apart))
+    copies = "__copies"
+    divided = F.ceil(F.col(count) / F.lit(part)).cast("int").alias(copies)
+    frequent = table.filter(F.col(count) > part).select(key, divided)
+    marked = rows.join(F.broadcast(frequent), key, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    weighed = table.select(*[c for c in table.columns if c != count], F.greatest(F.lit(1), divided).alias(copies))
+    # The left join of the lookup keeps rows without a match, which an inner one drops.
+    found = salted_lookup(marked, weighed.withColumn("__found", F.lit(True)), [key], copies, spread)
+    return found.filter("__found").drop("__found")

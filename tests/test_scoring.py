@@ -135,6 +135,17 @@ def test_heavy_contexts_are_divided(spark):
     assert fullest < 100
 
 
+def test_frequent_keys_are_divided(spark):
+    """Equals a plain inner join; keys with more than their part of the rows go to many parts."""
+    rows = spark.createDataFrame([(i % 7 if i % 2 else None if i % 10 == 0 else 3, i) for i in range(2000)], "k int, i int")
+    table = rows.filter("k < 6").groupBy("k").agg(F.max("i").alias("m"), F.count(F.lit(1)).alias("n"))
+    plain = rows.join(table.drop("n"), "k").select("k", "i", "m").collect()
+    for keys_apart, least in ((4096, 64), (4, 1), (4096, 1 << 20)):
+        found = joins.weighted_lookup(rows, table, "k", "n", 2000, ["i"], keys_apart, least)
+        assert found.columns == ["k", "i", "m"] and sorted(found.collect()) == sorted(plain)
+    assert joins.weighted_lookup(rows.limit(0), table.limit(0), "k", "n", 0, ["i"]).count() == 0
+
+
 def test_one_plan_whatever_the_vocabulary(spark):
     """Positions are shuffled by pair once; there is no union of plans."""
     _, seqs = _sequences(spark)
