@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.joins import weighted_lookup
 from gristmill.operators.staging import stage
 
 MAX_ROUNDS = 60
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    """(u, m, n): the smallest of each node and its neighbours, and the node's rows."""
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_smallest(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with the smallest of ``u``; a node with many of the ``total`` edges is divided."""
+    return weighted_lookup(edges, _smallest(edges), "u", "n", total, ["v"])
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_smallest(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_smallest(both, 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _smallest(down)
-    hung = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v")))
+    hung = _with_smallest(down, total).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(_smallest(down).select("u", F.col("m").alias("v")))
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -36,14 +42,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has two long columns ``u``, ``v``, in any direction and repeated at will;
     loops and nulls are left out.  Each round is two joins with per-node minima, which
     are pre-aggregated, written to the shared folder; only a count and a checksum reach
-    the driver.
+    the driver.  A node with many of the edges, such as the root of a large component, is
+    divided in these joins.
     """
     now = stage(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     seen = _digest(now)
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
-        following = stage(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
+        following = stage(_small_star(_large_star(now, seen[0]), seen[0]).filter("u <> v").distinct(), "edges")
         digest = _digest(following)
         now = following
         if digest == seen:

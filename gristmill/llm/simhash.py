@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from gristmill.llm.common import add_columns, raw_bytes
 from gristmill.llm.components import connected_components
+from gristmill.operators.joins import weighted_lookup
 from gristmill.operators.staging import stage
 
 SHINGLE = 4
@@ -230,10 +231,10 @@ def link_fingerprints(distinct: DataFrame, distance: int = DISTANCE, bucket_rows
 
 
 def _rooted(nodes: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
-    """(fp, first, root) of a table (fp, first) of distinct fingerprints."""
+    """A table with distinct fingerprints ``fp``, and their ``root``."""
     roots = connected_components(link_fingerprints(nodes.select("fp"), distance, bucket_rows))
     return nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        *nodes.columns, F.coalesce("root", "fp").alias("root")
     )
 
 
@@ -251,11 +252,15 @@ def near_duplicates(
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = stage(fingerprints(plain, "text", "simhash", shingle).select("doc_id", "simhash"), "simhash")
-    nodes = marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first"))
-    rooted = _rooted(nodes, distance, bucket_rows)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
-    return marked.join(named, "simhash").select("doc_id", "simhash", "component_id")
+    total = marked.count()
+    nodes = marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    # Written once: the roots are counted, looked up and looked up by.
+    rooted = stage(_rooted(nodes, distance, bucket_rows), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = weighted_lookup(rooted, least, "root", "n", total, ["fp"])
+    named = named.select(F.col("fp").alias("simhash"), "component_id", "rows")
+    # Texts that many rows share, the empty one too, are divided as large components are.
+    return weighted_lookup(marked, named, "simhash", "rows", total, ["doc_id"]).select("doc_id", "simhash", "component_id")
 
 
 def one_of_each(
