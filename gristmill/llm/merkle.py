@@ -1,10 +1,10 @@
 """Document fingerprints (operator 2): a Merkle tree over sections and paragraphs.
 
 Built-in expressions only.  Sections are parted by an empty line, paragraphs by a line
-break, so the tree determines the text; a node's hash covers its children's.  Equal
-roots mean equal texts, and the branches whose hashes differ locate an edit.  Below the
-paragraphs, runs of a few words are hashed; the share of them that two trees have in
-common is their likeness.
+break, runs of a few words are the leaves; a node's hash covers its children's, so the
+root determines the text.  Equal roots mean equal texts, and the branches whose hashes
+differ locate an edit.  The share of leaves that two trees have in common is their
+likeness: equal branches are counted whole, leaves are compared in differing ones only.
 """
 
 from __future__ import annotations
@@ -19,44 +19,107 @@ PARAGRAPH_BREAK = "\n"
 # Up to four words with the white space before them, or white space alone; very long
 # words are cut.  Every character is in one leaf, and no leaf goes on behind a line break.
 LEAF_PATTERN = r"(?:[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]{1,64}){1,4}|[ \t\n\x0B\f\r]+"
+# Of a leaf's hash; as many for each, so that their concatenation tells them apart.
+LEAF_DIGITS = 32
 ROWS_PER_BUCKET = 4096
 MAX_BUCKETS = 8192
 
 
-def paragraphs(section: Column) -> Column:
-    """Hashes of a section's paragraphs."""
-    return F.transform(F.split(section, PARAGRAPH_BREAK, -1), lambda p: F.sha2(p, 256))
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sections(text: Column) -> Column:
-    """Hashes of a text's sections."""
+def leaves(text: Column) -> Column:
+    """Hashes of the runs of words, by section and paragraph: 128 bits of SHA-256 each."""
+    runs = lambda p: F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0))
+    hashed = lambda p: F.transform(runs(p), lambda x: F.substring(F.sha2(x, 256), 1, LEAF_DIGITS))
     return F.transform(
-        F.split(text, SECTION_BREAK, -1), lambda s: F.sha2(F.concat_ws("", paragraphs(s)), 256)
+        F.split(text, SECTION_BREAK, -1), lambda s: F.transform(F.split(s, PARAGRAPH_BREAK, -1), hashed)
     )
 
 
-def root(text: Column) -> Column:
-    """The tree's root: equal if and only if the texts are (up to hash collisions)."""
-    return F.sha2(F.concat_ws("", sections(text)), 256)
+def _over(children: Column) -> Column:
+    """Hash of a node; its children's hashes have one width."""
+    return F.sha2(F.concat_ws("", children), 256)
 
 
 def tree(text: Column) -> Column:
-    """All nodes: root, section hashes, paragraph hashes of each section."""
-    by_section = F.transform(F.split(text, SECTION_BREAK, -1), paragraphs)
-    return F.struct(root(text).alias("root"), sections(text).alias("sections"), by_section.alias("paragraphs"))
+    """All nodes: root, section hashes, paragraph hashes of each section, leaves of each paragraph."""
+    paragraphs = lambda own: F.transform(own, lambda s: F.transform(s, _over))
+    nodes = lambda own, par, sec: F.struct(
+        _over(sec).alias("root"), sec.alias("sections"), par.alias("paragraphs"), own.alias("leaves")
+    )
+    return _with(
+        leaves(text),
+        lambda own: _with(paragraphs(own), lambda par: _with(F.transform(par, _over), lambda sec: nodes(own, par, sec))),
+    )
 
 
-def leaves(text: Column) -> Column:
-    """Distinct hashes of the runs of words."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(LEAF_PATTERN), F.lit(0)), lambda x: F.xxhash64(x))
-    )
+def _n_leaves(one: Column) -> Column:
+    """Of a tree."""
+    return F.aggregate(F.flatten(one["leaves"]), F.lit(0), lambda n, p: n + F.size(p))
+
+
+def differing(one: Column, other: Column) -> Column:
+    """Leaves of those paragraphs of a tree that the other doesn't have at the same place.
+
+    Only sections whose hashes differ are entered.
+    """
+    def of_section(own: Column, i: Column) -> Column:
+        theirs = F.try_element_at(other["paragraphs"], i + 1)
+        mine = F.element_at(one["paragraphs"], i + 1)
+        entered = F.flatten(F.transform(
+            own, lambda p, j: F.when(F.try_element_at(theirs, j + 1).eqNullSafe(F.element_at(mine, j + 1)), _no_leaves()).otherwise(p)
+        ))
+        same = F.try_element_at(other["sections"], i + 1).eqNullSafe(F.element_at(one["sections"], i + 1))
+        return F.when(same, _no_leaves()).otherwise(entered)
+
+    return F.flatten(F.transform(one["leaves"], of_section))
+
+
+def _no_leaves() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _in_common(one: Column, other: Column) -> Column:
+    """How many elements two arrays share, each as often as both have it: both sorted, then
+    one walk through them."""
+    begun = F.struct(
+        F.sort_array(one).alias("x"), F.sort_array(other).alias("y"),
+        F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("n"),
+    )
+
+    def step(held: Column, _: Column) -> Column:
+        x, y = F.try_element_at(held["x"], held["i"]), F.try_element_at(held["y"], held["j"])
+        on = lambda moved: F.coalesce(moved.cast("int"), F.lit(0))  # noqa: E731  # null behind the end of either
+        return F.struct(
+            held["x"].alias("x"), held["y"].alias("y"), (held["i"] + on(x <= y)).alias("i"),
+            (held["j"] + on(y <= x)).alias("j"), (held["n"] + on(x == y)).alias("n"),
+        )
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.size(one) + F.size(other)), begun, step, lambda held: held["n"])
+    return F.when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0)).otherwise(walk)
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Twice the shared leaves by the leaves of both; two trees without leaves are alike."""
-    total = F.size(one) + F.size(other)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(one, other)) / total)
+    """Twice the leaves that two trees share by the leaves of both, repeats included; two
+    trees without leaves are alike.
+
+    A branch that both have at the same place is shared whole and isn't entered, which
+    changes nothing: equal leaves go from both sides.
+    """
+    def of_rest(rest: Column) -> Column:
+        mine, theirs = rest["mine"], rest["theirs"]
+        total = rest["n"] + rest["m"]
+        shared = rest["n"] - F.size(mine) + _in_common(mine, theirs)
+        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * shared / total)
+
+    rest = F.struct(
+        differing(one, other).alias("mine"), differing(other, one).alias("theirs"),
+        _n_leaves(one).alias("n"), _n_leaves(other).alias("m"),
+    )
+    return F.when(one["root"] == other["root"], F.lit(1.0)).otherwise(_with(rest, of_rest))
 
 
 def edits(one: Column, other: Column) -> Column:

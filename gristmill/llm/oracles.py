@@ -27,13 +27,25 @@ def _text(value: str) -> str:
 
 
 def _root(text: str) -> str:
-    paragraphs = "list_transform(string_split(sec, chr(10)), lambda par: sha256(par))"
+    runs = f"regexp_extract_all(par, {_text(LEAF_SQL)})"
+    leaves = f"list_transform({runs}, lambda run: substr(sha256(run), 1, 32))"
+    paragraphs = f"list_transform(string_split(sec, chr(10)), lambda par: sha256(array_to_string({leaves}, '')))"
     sections = (
         f"list_transform(string_split({text}, chr(10) || chr(10)), lambda sec: sha256(array_to_string({paragraphs}, '')))"
     )
     return f"sha256(array_to_string({sections}, ''))"
 
 
+def _leaves(text: str) -> str:
+    """All runs of words of all lines, in order."""
+    return f"flatten(list_transform(string_split({text}, chr(10)), lambda par: regexp_extract_all(par, {_text(LEAF_SQL)})))"
+
+
+def _numbered(runs: str) -> str:
+    """Elements of a sorted list with how many equal ones stand before each."""
+    return f"list_transform({runs}, lambda x, i: x || chr(10) || (i - list_position({runs}, x)))"
+
+
 MERKLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (
@@ -48,19 +60,22 @@ f AS (
   SELECT *, substr(text, 1, n - third) || substr(next_text, 1, third) AS edited FROM e
 ),
 g AS (
-  SELECT *,
-    list_distinct(regexp_extract_all(text, {_text(LEAF_SQL)})) AS own,
-    list_distinct(regexp_extract_all(edited, {_text(LEAF_SQL)})) AS changed,
-    list_distinct(regexp_extract_all(next_text, {_text(LEAF_SQL)})) AS following
+  SELECT *, list_sort({_leaves("text")}) AS own, list_sort({_leaves("edited")}) AS changed,
+    list_sort({_leaves("next_text")}) AS following
   FROM f
+),
+h AS (
+  SELECT *, len(list_intersect({_numbered("own")}, {_numbered("changed")})) AS with_changed,
+    len(list_intersect({_numbered("own")}, {_numbered("following")})) AS with_following
+  FROM g
 )
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
   {_root("text")} AS fingerprint, {_root("edited")} AS edited_fingerprint,
   CASE WHEN len(own) + len(changed) = 0 THEN 1.0::DOUBLE
-    ELSE 2.0::DOUBLE * len(list_intersect(own, changed)) / (len(own) + len(changed)) END AS near_edited,
+    ELSE 2.0::DOUBLE * with_changed / (len(own) + len(changed)) END AS near_edited,
   CASE WHEN len(own) + len(following) = 0 THEN 1.0::DOUBLE
-    ELSE 2.0::DOUBLE * len(list_intersect(own, following)) / (len(own) + len(following)) END AS near_next
-FROM g
+    ELSE 2.0::DOUBLE * with_following / (len(own) + len(following)) END AS near_next
+FROM h
 """
 
 

@@ -44,16 +44,17 @@ def op2_merkle(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        M.root(F.col("text")).alias("fingerprint"),
-        M.root(F.col("edited")).alias("edited_fingerprint"),
-        M.leaves(F.col("text")).alias("own"),
-        M.leaves(F.col("edited")).alias("edited"),
-        M.leaves(F.col("next_text")).alias("next"),
+        M.tree(F.col("text")).alias("own"),
+        M.tree(F.col("edited")).alias("edited"),
+        M.tree(F.col("next_text")).alias("next"),
     )
+    own, edited, following = F.col("own"), F.col("edited"), F.col("next")
     return hashed.select(
-        *["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"],
-        M.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        M.likeness(F.col("own"), F.col("next")).alias("near_next"),
+        *["doc_id", "n_chars", "edited_sha256"],
+        own["root"].alias("fingerprint"),
+        edited["root"].alias("edited_fingerprint"),
+        M.likeness(own, edited).alias("near_edited"),
+        M.likeness(own, following).alias("near_next"),
     )
 
 

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -128,12 +130,38 @@ def test_merkle_edits_and_edges(spark, edge, empty):
     trees = one.select("a", "b", merkle.tree(F.col("a")).alias("x"), merkle.tree(F.col("b")).alias("y"))
     got = {r.a: ([tuple(e) for e in r.e], r.s) for r in trees.select("a", merkle.edits(F.col("x"), F.col("y")).alias("e"), (F.col("x.root") == F.col("y.root")).alias("s")).collect()}
     assert got == {"a b\n\nc\nd\n\ne": ([(1, 1)], False), "": ([], True), "x": ([], False)}
-    texts = one.select(merkle.leaves(F.col("a")).alias("x"), merkle.leaves(F.col("b")).alias("y"))
-    near = [r[0] for r in texts.select(merkle.likeness(F.col("x"), F.col("y"))).collect()]
-    assert near[1] == 1.0 and all(0 <= x <= 1 for x in near)
+    near = {r[0]: r[1] for r in trees.select("a", merkle.likeness(F.col("x"), F.col("y"))).collect()}
+    assert near == {"a b\n\nc\nd\n\ne": 0.75, "": 1.0, "x": 2 / 3}
     assert "merkle_tree" in merkle.fingerprint_trees(edge).columns
 
 
+def _slow_tree(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    runs = [[re.findall(merkle.LEAF_PATTERN, p) for p in s.split("\n")] for s in text.split("\n\n")]
+    sections = [sha("".join(sha("".join(sha(x)[:32] for x in p)) for p in s)) for s in runs]
+    return sha("".join(sections)), Counter(x for s in runs for p in s for x in p)
+
+
+def test_merkle_likeness_counts_repeats(spark):
+    """Against the leaves of whole trees as multisets, which entering only differing branches must equal."""
+    rng = random.Random(7)
+
+    def text():
+        words = lambda: " ".join(rng.choice(["a", "bb", "c"]) for _ in range(rng.randint(0, 9)))
+        return rng.choice(["", " ", "\t"]) + rng.choice(["\n", "\n\n", "\n\n\n"]).join(words() for _ in range(rng.randint(0, 6)))
+
+    pairs = [(text(), text()) for _ in range(150)] + [("same line\n" * 1000, "same line\n"), ("", "a"), ("", "")]
+    pairs += [(a, a[: len(a) // 2] + b) for a, b in pairs[:60]] + [("x " * 40_000, "x " * 30_000)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    trees = rows.select("i", merkle.tree(F.col("a")).alias("x"), merkle.tree(F.col("b")).alias("y"))
+    got = trees.select("i", "x.root", merkle.likeness(F.col("x"), F.col("y")).alias("near")).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        (root, one), (_, other) = (_slow_tree(t) for t in pairs[r.i])
+        total = one.total() + other.total()
+        assert r.root == root and r.near == pytest.approx(2 * (one & other).total() / total if total else 1.0)
+
+
 # --- SimHash --------------------------------------------------------------------
 
 
@@ -191,6 +219,18 @@ def test_near_duplicates(spark, edge, empty):
     assert simhash.near_duplicates(edge).count() == 9 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_hot_nodes_are_divided(spark):
+    """A star and texts that most rows share: the same groups, in any number of parts."""
+    star = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5300)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5301)}
+    docs = spark.createDataFrame([(i, "same words in all of them" if i % 3 else f"text {i} of its own {i * i}") for i in range(2000)], "doc_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(None, "same words in all of them")] * 300, docs.schema))
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 2300
+    assert {r.component_id for r in rows if r.doc_id is None or r.doc_id % 3} == {1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 299), (5, 5), (300, 298)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
