@@ -19,8 +19,6 @@ PARAGRAPH_BREAK = "\n"
 # Up to four words with the white space before them, or white space alone; very long
 # words are cut.  Every character is in one leaf, and no leaf goes on behind a line break.
 LEAF_PATTERN = r"(?:[ \t\x0B\f\r]*[^ \t\n\x0B\f\r]{1,64}){1,4}|[ \t\n\x0B\f\r]+"
-# Of a leaf's hash; as many for each, so that their concatenation tells them apart.
-LEAF_DIGITS = 32
 ROWS_PER_BUCKET = 4096
 MAX_BUCKETS = 8192
 
@@ -31,9 +29,9 @@ def _with(value: Column, use) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Hashes of the runs of words, by section and paragraph: 128 bits of SHA-256 each."""
+    """Hashes of the runs of words, by section and paragraph."""
     runs = lambda p: F.regexp_extract_all(p, F.lit(LEAF_PATTERN), F.lit(0))
-    hashed = lambda p: F.transform(runs(p), lambda x: F.substring(F.sha2(x, 256), 1, LEAF_DIGITS))
+    hashed = lambda p: F.transform(runs(p), lambda x: F.md5(x))
     return F.transform(
         F.split(text, SECTION_BREAK, -1), lambda s: F.transform(F.split(s, PARAGRAPH_BREAK, -1), hashed)
     )
@@ -82,13 +80,23 @@ def _no_leaves() -> Column:
     return F.array().cast("array<string>")
 
 
+def _repeats(values: Column) -> Column:
+    """Sorted elements without the first of each value."""
+    def of_sorted(x: Column) -> Column:
+        later = F.slice(x, 2, F.greatest(F.lit(0), F.size(x) - 1))
+        return F.filter(later, lambda v, i: v == F.element_at(x, i + 1))
+
+    return F.when(F.size(F.array_distinct(values)) == F.size(values), _no_leaves()).otherwise(
+        _with(F.sort_array(values), of_sorted)
+    )
+
+
 def _in_common(one: Column, other: Column) -> Column:
-    """How many elements two arrays share, each as often as both have it: both sorted, then
-    one walk through them."""
-    begun = F.struct(
-        F.sort_array(one).alias("x"), F.sort_array(other).alias("y"),
-        F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("n"),
-    )
+    """How many elements two arrays share, each as often as both have it: their distinct
+    values, and one walk through what repeats on either side."""
+    begun = lambda r: F.struct(
+        r["x"].alias("x"), r["y"].alias("y"), F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("n")
+    )
 
     def step(held: Column, _: Column) -> Column:
         x, y = F.try_element_at(held["x"], held["i"]), F.try_element_at(held["y"], held["j"])
@@ -98,8 +106,13 @@ def _in_common(one: Column, other: Column) -> Column:
             (held["j"] + on(y <= x)).alias("j"), (held["n"] + on(x == y)).alias("n"),
         )
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(one) + F.size(other)), begun, step, lambda held: held["n"])
-    return F.when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0)).otherwise(walk)
+    def walk(r: Column) -> Column:
+        through = F.sequence(F.lit(1), F.size(r["x"]) + F.size(r["y"]))
+        steps = F.aggregate(through, begun(r), step, lambda held: held["n"])
+        return F.when((F.size(r["x"]) == 0) | (F.size(r["y"]) == 0), F.lit(0)).otherwise(steps)
+
+    repeated = F.struct(_repeats(one).alias("x"), _repeats(other).alias("y"))
+    return F.size(F.array_intersect(one, other)) + _with(repeated, walk)
 
 
 def likeness(one: Column, other: Column) -> Column:

@@ -28,7 +28,7 @@ def _text(value: str) -> str:
 
 def _root(text: str) -> str:
     runs = f"regexp_extract_all(par, {_text(LEAF_SQL)})"
-    leaves = f"list_transform({runs}, lambda run: substr(sha256(run), 1, 32))"
+    leaves = f"list_transform({runs}, lambda run: md5(run))"
     paragraphs = f"list_transform(string_split(sec, chr(10)), lambda par: sha256(array_to_string({leaves}, '')))"
     sections = (
         f"list_transform(string_split({text}, chr(10) || chr(10)), lambda sec: sha256(array_to_string({paragraphs}, '')))"
