@@ -159,6 +159,8 @@ def pack_blocks(
     micro_batch: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     remainder: str = "drop",
+    region_batches: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """C5 + C7 in one step, without building megabyte-wide chunk rows.
 
@@ -169,16 +171,26 @@ def pack_blocks(
     With ``micro_batch`` each block also gets ``batch_no`` (``shard_block`` div
     the batch size) and the blocks of a batch are placed in one
     partition, so that later windows over (shard, batch_no) need no exchange.
+    With ``region_batches`` too, so many batches in a row are a ``region`` of the shard,
+    and whole regions are placed together, in ``parts`` partitions.
     """
     per_chunk = chunk_size // block_len
     batch_no = F.expr(f"shard_block div {micro_batch}") if micro_batch else None
+    region = F.expr(f"shard_block div {micro_batch * region_batches}") if micro_batch and region_batches else None
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("batch_no", batch_no)
+        if region is None:
+            return rows.repartition("shard", "batch_no")
+        return rows.withColumn("region", region).repartition(parts, "shard", "region")
+
     if chunk_size % block_len or remainder != "drop":
         chunks = pack_chunks(docs, n_shards, chunk_size, remainder, rows_per_bucket=rows_per_bucket)
         blocks = split_blocks(chunks, chunk_size, block_len).withColumn(
             "shard_block", F.col("chunk_no") * per_chunk + F.col("block_no")
         )
         if batch_no is not None:
-            blocks = blocks.withColumn("batch_no", batch_no).repartition("shard", "batch_no")
+            blocks = placed(blocks)
         return blocks
     slim = docs.select("doc_id", "n_tokens", "tokens")
     offsets = stream_offsets(slim, n_shards, rows_per_bucket).filter("n_tokens > 0")
@@ -186,8 +198,8 @@ def pack_blocks(
     pieces = _cut(offsets, block_len, last).withColumnRenamed("unit", "shard_block")
     keys = ["shard", "shard_block"]
     if batch_no is not None:
-        keys.insert(1, "batch_no")
-        pieces = pieces.withColumn("batch_no", batch_no).repartition("shard", "batch_no")
+        keys[1:1] = ["batch_no"] if region is None else ["region", "batch_no"]
+        pieces = placed(pieces)
     return _assemble(pieces, keys).select(
         *keys,
         F.expr(f"shard_block div {per_chunk}").alias("chunk_no"),
@@ -204,18 +216,18 @@ def dropped_tokens(docs: DataFrame, n_shards: int, chunk_size: int) -> DataFrame
     return sizes.withColumn("dropped", F.col("tokens") - full_chunks(F.col("tokens"), chunk_size) * chunk_size)
 
 
-def next_token_pairs(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
+def next_token_pairs(blocks: DataFrame, keep: Sequence[str], beside: Sequence[str] = ()) -> DataFrame:
     """One row per supervised position: ``pos``, ``prev`` and ``label``.
 
     The last token of a block is only ever a label; document boundaries are not
-    masked.
+    masked.  ``beside`` names arrays with an entry for each position.
     """
     inputs = F.slice("tokens", F.lit(1), F.size("tokens") - 1)
     labels = F.slice("tokens", F.lit(2), F.size("tokens") - 1)
-    zipped = F.arrays_zip(inputs.alias("prev"), labels.alias("label"))
+    zipped = F.arrays_zip(inputs.alias("prev"), labels.alias("label"), *[F.col(name) for name in beside])
     exploded = blocks.select(*keep, F.posexplode_outer(zipped).alias("pos", "__pair"))
     return exploded.filter(F.col("pos").isNotNull()).select(
-        *keep, "pos", F.col("__pair.prev").alias("prev"), F.col("__pair.label").alias("label")
+        *keep, "pos", *[F.col(f"__pair.{name}").alias(name) for name in ("prev", "label", *beside)]
     )
 
 

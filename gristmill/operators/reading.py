@@ -109,13 +109,19 @@ def read_coverage(
     )
 
 
-def in_read_order(blocks: DataFrame, schedule: DataFrame, blocks_per_file: int) -> DataFrame:
-    """Blocks as the readers see them: with ``gpu_rank``, ``iter`` and ``step``.
+def block_visits(schedule: DataFrame, blocks_per_file: int) -> DataFrame:
+    """``shard, shard_block, visits``: when each block is read, once for each pass."""
+    number = F.col("chunk_no") * blocks_per_file + F.col("block_no")
+    visit = F.struct("pass_no", "gpu_rank", "iter", "step")
+    return schedule.groupBy("shard", number.alias("shard_block")).agg(F.collect_list(visit).alias("visits"))
+
 
-    Blocks are already placed by (shard, shard_block), so of the join's two sides
-    only the short schedule rows move; then every micro-batch goes to one
-    partition.
+def in_read_order(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``visits`` as the readers see them: with ``gpu_rank``, ``iter`` and ``step``.
+
+    A row for each visit; blocks that are not read have none.  Every micro-batch goes to
+    one partition, where they are in order.
     """
-    number = F.col("chunk_no") * blocks_per_file + F.col("block_no")
-    visits = schedule.select("shard", number.alias("shard_block"), "pass_no", "gpu_rank", "iter", "step")
-    return blocks.join(visits, ["shard", "shard_block"]).repartition("gpu_rank", "iter")
+    kept = [c for c in blocks.columns if c != "visits"]
+    visited = blocks.select(*kept, F.inline("visits")).repartition("gpu_rank", "iter")
+    return visited.sortWithinPartitions("gpu_rank", "iter")

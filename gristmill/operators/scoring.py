@@ -7,11 +7,13 @@ batches of blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +53,17 @@ class BigramModel:
         p = (F.coalesce(n, F.lit(0)) + F.lit(self.alpha)) / (
             F.coalesce(total, F.lit(0)) + F.lit(self.alpha) * F.lit(float(self.vocab_size))
         )
-        return F.round(-F.log(p), SCORE_DIGITS)
+        return _rounded(-F.log(p))
 
     def entropy(self, known: Column) -> Column:
-        return F.round(F.coalesce(known, F.log(F.lit(float(self.vocab_size)))), SCORE_DIGITS)
+        return _rounded(F.coalesce(known, F.log(F.lit(float(self.vocab_size)))))
+
+
+def _rounded(score: Column) -> Column:
+    """To SCORE_DIGITS, halves away from zero, in doubles: ``round`` would write out and
+    parse every score as a decimal."""
+    scale = F.lit(10.0**SCORE_DIGITS)
+    return F.signum(score) * (F.floor(F.abs(score) * scale + F.lit(0.5)) / scale)
 
 
 def _known_id(token: Column, vocab_size: int) -> Column:
@@ -140,8 +149,155 @@ def score_with_bigrams(
     )
 
 
+def _pair_codes(tokens: pa.ChunkedArray, vocab_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``prev * vocab_size + label`` of all positions of the lists, and how many each list has."""
+    lists = tokens.combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(sizes)[sizes > 0] - 1] = False
+    at = np.flatnonzero(inner)
+    prev, label = flat[at], flat[at + 1]
+    for ids in (prev, label):
+        wrong = ids[(ids < 0) | (ids >= vocab_size)]
+        if len(wrong):
+            raise ValueError(f"not an id of a vocabulary of {vocab_size}: {wrong[0]}")
+    return prev * vocab_size + label, np.maximum(sizes - 1, 0)
+
+
+def _schema(rows: DataFrame, columns: Sequence[str], *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*[rows.schema[c] for c in columns], *[T.StructField(*m) for m in more]])
+
+
+PAIR_LISTS = [("pairs", T.ArrayType(T.LongType())), ("n", T.ArrayType(T.LongType()))]
+
+
+def pair_buckets(parts: int, vocab_size: int) -> int:
+    """At least ``parts``, and without a common factor with the vocabulary, so that the pairs
+    of a frequent token fall into all buckets ``pair % buckets``."""
+    while math.gcd(parts, vocab_size) > 1:
+        parts += 1
+    return parts
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy()
+
+
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().value_lengths().to_numpy()
+
+
+def count_pairs(blocks: DataFrame, near: Sequence[str], vocab_size: int, buckets: int) -> DataFrame:
+    """``near, bucket, pairs, n``: how often each pair of neighbours occurs in the blocks of
+    one ``near``, a region of bounded size, as a list for each bucket of pairs;
+    a pair is ``prev * vocab_size + label``."""
+    schema = _schema(blocks, near, ("bucket", T.LongType()), *PAIR_LISTS)
+
+    def count(table: pa.Table) -> pa.Table:
+        pairs, n = np.unique(_pair_codes(table["tokens"], vocab_size)[0], return_counts=True)
+        order = np.argsort(pairs % buckets, kind="stable")
+        pairs, n = pairs[order], n[order].astype(np.int64)
+        found, sizes = np.unique(pairs % buckets, return_counts=True)
+        own = [table[c].combine_chunks().take(pa.array(np.zeros(len(found), np.int64))) for c in near]
+        return pa.table([*own, pa.array(found), _lists(pairs, sizes), _lists(n, sizes)], names=schema.names)
+
+    return blocks.select(*near, "tokens").groupBy(*near).applyInArrow(count, schema)
+
+
+def total_pairs(counted: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, buckets: int) -> DataFrame:
+    """The lists of ``count_pairs`` with ``n_base``, a pair's count over all regions, and
+    ``n_ref``, that of the reference model, if there is one."""
+    names = ["n_base"] if reference is None else ["n_base", "n_ref"]
+    schema = _schema(counted, [*near, "pairs"], *[(name, T.ArrayType(T.LongType())) for name in names])
+
+    def total(left: pa.Table, known: pa.Table | None) -> pa.Table:
+        sizes = _sizes(left["pairs"])
+        pairs, inverse = np.unique(_flat(left["pairs"]), return_inverse=True)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, inverse, _flat(left["n"]))
+        found = [sums]
+        if known is not None:
+            theirs = known["pair"].to_numpy()
+            both = np.isin(theirs, pairs)
+            found.append(np.zeros(len(pairs), np.int64))
+            found[1][np.searchsorted(pairs, theirs[both])] = known["n_ref"].to_numpy()[both]
+        lists = [_lists(values[inverse], sizes) for values in found]
+        return pa.table([*[left[c] for c in [*near, "pairs"]], *lists], names=schema.names)
+
+    if reference is None:
+        return counted.groupBy("bucket").applyInArrow(lambda left: total(left, None), schema)
+    code = F.col("prev").cast("bigint") * vocab_size + F.col("label")
+    known = reference.pairs.select(code.alias("pair"), F.col("n").alias("n_ref"))
+    known = known.withColumn("bucket", F.col("pair") % buckets)
+    return counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, schema)
+
+
+def with_pair_counts(
+    blocks: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, parts: int
+) -> DataFrame:
+    """Add ``n_base`` to blocks, how often the pair of every position occurs in all blocks,
+    and ``n_ref``, how often in the reference model's counts, if there is one.
+
+    The blocks, placed by ``near`` in ``parts`` partitions, stay where they are.  What is
+    shuffled are lists of the distinct pairs of each region, to their totals and back, so
+    a frequent pair has no more entries than there are regions.
+    """
+    buckets = pair_buckets(parts, vocab_size)
+    counted = count_pairs(blocks, near, vocab_size, buckets)
+    totals = total_pairs(counted, reference, near, vocab_size, buckets).repartition(parts, *near)
+    columns, names = blocks.columns, [c for c in ("n_base", "n_ref") if c in totals.columns]
+    schema = _schema(blocks, columns, *[(name, T.ArrayType(T.LongType())) for name in names])
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, sizes = _pair_codes(left["tokens"], vocab_size)
+        pairs = _flat(right["pairs"])
+        order = np.argsort(pairs)
+        at = order[np.searchsorted(pairs, codes, sorter=order)]
+        found = [_lists(_flat(right[c])[at], sizes) for c in names]
+        return pa.table([*[left[c] for c in columns], *found], names=schema.names)
+
+    return blocks.groupBy(*near).cogroup(totals.groupBy(*near)).applyInArrow(look_up, schema)
+
+
+def score_counted(
+    positions: DataFrame, totals: DataFrame, base: BigramModel, reference: BigramModel
+) -> DataFrame:
+    """``score_with_bigrams`` for positions that carry ``n_base`` and, unless the reference
+    is the base model, ``n_ref``.
+
+    ``totals`` has ``prev, t_base``, the contexts of the base counts.  All that is looked
+    up is a context, in a table bounded by the vocabulary.
+    """
+    if base.vocab_size != reference.vocab_size:
+        raise ValueError("the two models must share a vocabulary")
+    contexts = totals.join(
+        reference.contexts.select("prev", F.col("total").alias("t_ref"), "entropy"), "prev", "left"
+    )
+    found = positions.join(bounded(contexts, base.vocab_size), "prev", "left")
+    keep = [c for c in positions.columns if c not in ("n_base", "n_ref")]
+    scored = found.select(
+        *keep,
+        base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),
+        reference.loss(F.col("n_ref" if "n_ref" in positions.columns else "n_base"), F.col("t_ref")).alias("ref_loss"),
+        reference.entropy(F.col("entropy")).alias("ref_entropy"),
+    )
+    return scored.withColumn("excess", _rounded_excess("loss", "ref_loss"))
+
+
+def context_totals(blocks: DataFrame) -> DataFrame:
+    """``prev, t_base``: how often each token of the blocks has a successor."""
+    inputs = F.slice("tokens", F.lit(1), F.size("tokens") - 1)
+    prev = F.explode_outer(F.when(F.size("tokens") > 1, inputs)).alias("prev")
+    return blocks.select(prev).filter("prev is not null").groupBy("prev").agg(F.count(F.lit(1)).alias("t_base"))
+
+
 def _rounded_excess(loss: str, ref_loss: str) -> Column:
-    return F.round(excess_loss(loss, ref_loss), SCORE_DIGITS)
+    return _rounded(excess_loss(loss, ref_loss))
 
 
 def score_logit_slices(

@@ -48,6 +48,11 @@ class Layout:
     def chunk_size(self) -> int:
         return self.block_len * self.blocks_per_chunk
 
+    @property
+    def region_batches(self) -> int:
+        """Micro-batches in a row whose pairs are counted together."""
+        return max(1, REGION_POSITIONS // (self.block_size * self.micro_batch))
+
 
 def tokens_of(docs: DataFrame, codec: CodecFactory | None = None) -> DataFrame:
     """The tokenized corpus, written once as ``doc_id, n_tokens, tokens``.
@@ -60,8 +65,11 @@ def tokens_of(docs: DataFrame, codec: CodecFactory | None = None) -> DataFrame:
     return stage(coded.select("doc_id", "n_tokens", "tokens"), "tokens")
 
 
-def pack_corpus(tokens: DataFrame, layout: Layout, batches: bool = False) -> DataFrame:
-    """Tokens to blocks, with the blocks of a micro-batch placed together if asked."""
+def pack_corpus(
+    tokens: DataFrame, layout: Layout, batches: bool = False, parts: int | None = None
+) -> DataFrame:
+    """Tokens to blocks, with the blocks of a micro-batch placed together if asked, and
+    with ``parts`` whole regions of them."""
     return P.pack_blocks(
         tokens,
         layout.n_shards,
@@ -70,9 +78,23 @@ def pack_corpus(tokens: DataFrame, layout: Layout, batches: bool = False) -> Dat
         layout.micro_batch if batches else None,
         layout.rows_per_bucket,
         layout.remainder,
+        layout.region_batches if parts else None,
+        parts,
     )
 
 
+# Supervised positions of a region, which one task holds at a time, and of a partition.
+REGION_POSITIONS = 1 << 19
+PART_POSITIONS = 1 << 21
+REGION = ["shard", "region"]
+
+
+def _parts(tokens: DataFrame) -> int:
+    """Partitions for the positions of a table with ``n_tokens``."""
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    return max(tokens.sparkSession.sparkContext.defaultParallelism, -(-total // PART_POSITIONS))
+
+
 def plan_reads(tokens: DataFrame, layout: Layout, passes: int = 1, shuffle: bool = True) -> DataFrame:
     """The schedule of every block, from token counts alone."""
     return plan_files(P.chunk_manifest(tokens, layout.n_shards, layout.chunk_size), layout, passes, shuffle)
@@ -108,14 +130,33 @@ def score_corpus(
     """Pack a corpus and score every position with the count models.
 
     The base model is fitted on all blocks, the reference model on the documents
-    of a curated part; without one, the base model is its own reference.  The blocks are shuffled once, as arrays; the base model reads
-    the same exchange.  Positions then go to the pair table by (prev, label), and a
-    selection brings them back by micro-batch.
+    of a curated part; without one, the base model is its own reference.  The blocks are
+    shuffled as arrays only, by region and then, with the counts of their pairs, by
+    micro-batch; the distinct pairs of each region go to their totals and back.  A
+    selection by (shard, batch_no) needs no further exchange.
     """
-    blocks = pack_corpus(tokens, layout, batches=True)
+    parts = _parts(tokens)
+    blocks = pack_corpus(tokens, layout, batches=True, parts=parts)
+    counted, score = _counted(blocks, reference_tokens, vocab_size, alpha, parts)
+    # Blocks in order spare the selection most of sorting their positions.
+    placed = counted.repartition("shard", "batch_no").sortWithinPartitions("shard", "batch_no")
+    return score(placed, ["shard", "batch_no", "chunk_no", "block_no"])
+
+
+def _counted(
+    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float, parts: int
+) -> tuple[DataFrame, Callable[[DataFrame, Sequence[str]], DataFrame]]:
+    """Blocks placed by region with the counts of their pairs, and what makes scored
+    positions of such blocks."""
     base, reference = _models(blocks, reference_tokens, vocab_size, alpha)
-    positions = P.next_token_pairs(blocks, ["shard", "batch_no", "chunk_no", "block_no"])
-    return K.score_with_bigrams(positions, base, reference)
+    other = None if reference_tokens is None else reference
+    counted = K.with_pair_counts(blocks, other, REGION, vocab_size, parts)
+
+    def score(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        positions = P.next_token_pairs(rows, keep, [c for c in ("n_base", "n_ref") if c in rows.columns])
+        return K.score_counted(positions, K.context_totals(blocks), base, reference)
+
+    return counted, score
 
 
 READ_KEYS = ["gpu_rank", "iter", "step", "pass_no", "shard", "chunk_no", "block_no"]
@@ -129,11 +170,17 @@ def _select_as_read(
     vocab_size: int,
     method: str,
     alpha: float,
+    parts: int,
 ) -> DataFrame:
-    base, reference = _models(blocks, reference_tokens, vocab_size, alpha)
-    read = R.in_read_order(blocks, schedule, layout.blocks_per_chunk)
-    scores = K.score_with_bigrams(P.next_token_pairs(read, READ_KEYS), base, reference)
-    return select_tokens(scores, method, ["gpu_rank", "iter"])
+    """Pairs are counted once for each block, however often it is read; a visit takes the
+    block's tokens and counts along."""
+    in_region = layout.micro_batch * layout.region_batches
+    visits = R.block_visits(schedule, layout.blocks_per_chunk)
+    visits = visits.withColumn("region", F.expr(f"shard_block div {in_region}")).repartition(parts, *REGION)
+    planned = blocks.join(visits, [*REGION, "shard_block"], "left")
+    counted, score = _counted(planned, reference_tokens, vocab_size, alpha, parts)
+    read = R.in_read_order(counted)
+    return select_tokens(score(read, READ_KEYS), method, ["gpu_rank", "iter"])
 
 
 def select_in_read_order(
@@ -146,8 +193,9 @@ def select_in_read_order(
     alpha: float = 0.1,
 ) -> DataFrame:
     """Plan the reads, score the blocks of every micro-batch and select its tokens."""
-    blocks, schedule = pack_corpus(tokens, layout), plan_reads(tokens, layout, passes)
-    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha)
+    parts = _parts(tokens)
+    blocks, schedule = pack_corpus(tokens, layout, True, parts), plan_reads(tokens, layout, passes)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts)
 
 
 def select_from_store(
@@ -160,11 +208,14 @@ def select_from_store(
     alpha: float = 0.1,
 ) -> DataFrame:
     """The same from stored shards: ``(shard, chunk_no, tokens)`` of ``read_chunks`` or ``import_bin``."""
+    parts = _parts(chunks.select(F.lit(layout.chunk_size).alias("n_tokens")))
     blocks = P.split_blocks(chunks, layout.chunk_size, layout.block_len).withColumn(
         "shard_block", F.col("chunk_no") * layout.blocks_per_chunk + F.col("block_no")
     )
+    in_region = layout.micro_batch * layout.region_batches
+    blocks = blocks.withColumn("region", F.expr(f"shard_block div {in_region}")).repartition(parts, *REGION)
     schedule = plan_files(chunks.select("shard", "chunk_no"), layout, passes)
-    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts)
 
 
 def assignments(points: DataFrame, tree: C.ClusterTree) -> DataFrame:
