@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ class TextCodec(Protocol):
 
 CodecFactory = Callable[[], TextCodec]
 
+# Rows whose results a worker holds at a time; Spark hands over many more.
+ROWS = 256
+
+
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
 
 def tokenize(
     docs: DataFrame,
@@ -46,16 +56,22 @@ def tokenize(
         count = T.token_count(text, bos, eos, max_length)
         return docs.withColumn("n_tokens", count).withColumn("tokens", ids).drop(text)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = codec()
         if bos and tool.bos_id is None:
             raise ValueError("this tokenizer defines no BOS token")
         head = [tool.bos_id] if bos else []
         tail = [tool.eos_id] if eos else []
-        for batch in batches:
-            ids = [head + list(tool.encode(t or "")) + tail for t in batch]
-            yield pd.Series([x[:max_length] if max_length > 0 else x for x in ids], dtype=object)
+
+        def ids(string: str | None) -> np.ndarray:
+            found = head + list(tool.encode(string or "")) + tail
+            return np.array(found[:max_length] if max_length > 0 else found, np.int32)
+
+        for part in _parts(batches):
+            found = [ids(string.as_py()) for string in part]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
 
     # Marked so that a filter on the result does not encode everything twice.
     coded = docs.withColumn("tokens", encode.asNondeterministic()(F.col(text))).drop(text)
@@ -65,11 +81,11 @@ def tokenize(
 def detokenize(df: DataFrame, codec: CodecFactory, tokens: str = "tokens", out: str = "text") -> DataFrame:
     """Ids back to text with the same plug-in."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = codec()
-        for batch in batches:
-            yield pd.Series([tool.decode([int(i) for i in ids]) for ids in batch], dtype=object)
+        for part in _parts(batches):
+            yield pa.array([tool.decode(ids.as_py()) for ids in part], pa.string())
 
     return df.withColumn(out, decode.asNondeterministic()(F.col(tokens)))
 
