@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,9 @@ from gristmill.functions.losses import excess_loss, logit_state, merged_state, s
 from gristmill.operators.joins import ROWS_PER_KEY, bounded, copies_for, salted_lookup
 
 SCORE_DIGITS = 9
+LOW_BITS = 15
+# Scores of a measure that a plug-in's worker gathers before it hands them on.
+SCORED_CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -166,7 +168,12 @@ def _pair_codes(tokens: pa.ChunkedArray, vocab_size: int) -> tuple[np.ndarray, n
 
 
 def _schema(rows: DataFrame, columns: Sequence[str], *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*[rows.schema[c] for c in columns], *[T.StructField(*m) for m in more]])
+    own = [T.StructField(c, rows.schema[c].dataType) for c in columns]
+    return T.StructType([*own, *[T.StructField(*m) for m in more]])
+
+
+def count_columns(rows: DataFrame) -> list[str]:
+    return [c for n in ("n_base", "n_ref") for c in (f"{n}_low", f"{n}_high") if c in rows.columns]
 
 
 PAIR_LISTS = [("pairs", T.ArrayType(T.LongType())), ("n", T.ArrayType(T.LongType()))]
@@ -240,8 +247,11 @@ def total_pairs(counted: DataFrame, reference: BigramModel | None, near: Sequenc
 def with_pair_counts(
     blocks: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, parts: int
 ) -> DataFrame:
-    """Add ``n_base`` to blocks, how often the pair of every position occurs in all blocks,
-    and ``n_ref``, how often in the reference model's counts, if there is one.
+    """Add the counts of ``n_base`` to blocks, how often the pair of every position occurs in
+    all blocks, and of ``n_ref``, how often in the reference model, if there is one.
+
+    A count is two columns, ``_low`` of LOW_BITS bits and ``_high``, which is mostly zeros,
+    and ids are SMALLINT where the vocabulary allows: what moves later is small.
 
     The blocks, placed by ``near`` in ``parts`` partitions, stay where they are.  What is
     shuffled are lists of the distinct pairs of each region, to their totals and back, so
@@ -251,15 +261,23 @@ def with_pair_counts(
     counted = count_pairs(blocks, near, vocab_size, buckets)
     totals = total_pairs(counted, reference, near, vocab_size, buckets).repartition(parts, *near)
     columns, names = blocks.columns, [c for c in ("n_base", "n_ref") if c in totals.columns]
-    schema = _schema(blocks, columns, *[(name, T.ArrayType(T.LongType())) for name in names])
+    halves = [(f"{c}_low", T.ArrayType(T.ShortType())) for c in names]
+    halves += [(f"{c}_high", T.ArrayType(T.LongType())) for c in names]
+    schema = _schema(blocks, columns, *halves)
+    narrow = vocab_size <= 1 << LOW_BITS
+    if narrow:
+        schema["tokens"].dataType = T.ArrayType(T.ShortType())
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, sizes = _pair_codes(left["tokens"], vocab_size)
         pairs = _flat(right["pairs"])
         order = np.argsort(pairs)
         at = order[np.searchsorted(pairs, codes, sorter=order)]
-        found = [_lists(_flat(right[c])[at], sizes) for c in names]
-        return pa.table([*[left[c] for c in columns], *found], names=schema.names)
+        counts = [_flat(right[c])[at] for c in names]
+        found = [_lists((n & ((1 << LOW_BITS) - 1)).astype(np.int16), sizes) for n in counts]
+        found += [_lists(n >> LOW_BITS, sizes) for n in counts]
+        ids = left["tokens"].cast(pa.list_(pa.int16())) if narrow else left["tokens"]
+        return pa.table([*[ids if c == "tokens" else left[c] for c in columns], *found], names=schema.names)
 
     return blocks.groupBy(*near).cogroup(totals.groupBy(*near)).applyInArrow(look_up, schema)
 
@@ -267,8 +285,8 @@ def with_pair_counts(
 def score_counted(
     positions: DataFrame, totals: DataFrame, base: BigramModel, reference: BigramModel
 ) -> DataFrame:
-    """``score_with_bigrams`` for positions that carry ``n_base`` and, unless the reference
-    is the base model, ``n_ref``.
+    """``score_with_bigrams`` for positions that carry the halves of ``n_base`` and, unless
+    the reference is the base model, of ``n_ref``.
 
     ``totals`` has ``prev, t_base``, the contexts of the base counts.  All that is looked
     up is a context, in a table bounded by the vocabulary.
@@ -278,12 +296,18 @@ def score_counted(
     contexts = totals.join(
         reference.contexts.select("prev", F.col("total").alias("t_ref"), "entropy"), "prev", "left"
     )
-    found = positions.join(bounded(contexts, base.vocab_size), "prev", "left")
-    keep = [c for c in positions.columns if c not in ("n_base", "n_ref")]
+    halves = count_columns(positions)
+    keep = [c for c in positions.columns if c not in halves]
+    wide = positions.withColumns({name: F.col(name).cast("int") for name in ("prev", "label")})
+    found = wide.join(bounded(contexts, base.vocab_size), "prev", "left")
+
+    def count(name: str) -> Column:
+        return F.shiftleft(f"{name}_high", LOW_BITS) + F.col(f"{name}_low")
+
     scored = found.select(
         *keep,
-        base.loss(F.col("n_base"), F.col("t_base")).alias("loss"),
-        reference.loss(F.col("n_ref" if "n_ref" in positions.columns else "n_base"), F.col("t_ref")).alias("ref_loss"),
+        base.loss(count("n_base"), F.col("t_base")).alias("loss"),
+        reference.loss(count("n_ref" if "n_ref_low" in halves else "n_base"), F.col("t_ref")).alias("ref_loss"),
         reference.entropy(F.col("entropy")).alias("ref_entropy"),
     )
     return scored.withColumn("excess", _rounded_excess("loss", "ref_loss"))
@@ -329,29 +353,55 @@ BlockScorer = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def score_blocks(
-    blocks: DataFrame, scorer: Callable[[], BlockScorer], keep: Sequence[str], batch_rows: int = 16
+    blocks: DataFrame,
+    scorer: Callable[[], BlockScorer],
+    keep: Sequence[str],
+    batch_rows: int = 16,
+    place: Sequence[str] = (),
 ) -> DataFrame:
     """Run a caller's model over blocks, ``batch_rows`` at a time.
 
     Returns ``keep`` plus one row per position.  Scores cross from Python as one
-    array per block and are exploded in the JVM.
+    array per block and are exploded in the JVM.  With ``place``, columns of ``keep``,
+    blocks that agree on them are put together before, as arrays, so that a selection
+    by them moves no positions.
     """
     names = ["loss", "ref_loss", "ref_entropy"]
     kept = [f for f in blocks.schema.fields if f.name in keep]
     arrays = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
     ints = T.StructField("tokens", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*kept, ints, *arrays])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for frame in frames:
-            for at in range(0, len(frame), batch_rows):
-                part = frame.iloc[at : at + batch_rows].copy()
-                results = score(np.stack(part["tokens"].to_numpy()))
-                for name, values in zip(names, results):
-                    part[name] = list(np.asarray(values, dtype=np.float64))
-                yield part
-
-    ran = blocks.select(*[f.name for f in kept], "tokens").mapInPandas(run, T.StructType([*kept, ints, *arrays]))
+
+        def scored(rows: pa.RecordBatch) -> list[np.ndarray]:
+            lists = rows["tokens"]
+            lengths = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+            if len(lengths) > 1:
+                raise ValueError("blocks that are scored together must have one length")
+            tokens = lists.flatten().to_numpy().reshape(len(lists), -1)
+            return [np.asarray(values, dtype=np.float64) for values in score(tokens)]
+
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                # Several calls of the model make one batch of scores of a bounded size.
+                parts, begin, cells = [], at, 0
+                while at < len(batch) and cells < SCORED_CELLS:
+                    parts.append(scored(batch.slice(at, batch_rows)))
+                    cells += parts[-1][0].size
+                    at += batch_rows
+                columns = []
+                for values in zip(*parts):
+                    sizes = np.concatenate([np.full(len(v), v.shape[1]) for v in values])
+                    columns.append(_lists(np.concatenate([v.ravel() for v in values]), sizes))
+                rows = batch.slice(begin, at - begin)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=schema.names)
+
+    ran = blocks.select(*[f.name for f in kept], "tokens").mapInArrow(run, schema)
+    if place:
+        ran = ran.repartition(*place).sortWithinPartitions(*place)
     n = F.size("tokens") - 1
     zipped = F.arrays_zip(
         F.slice("tokens", F.lit(1), n).alias("prev"),

@@ -613,7 +613,7 @@ def select_plugin_scores(spark: SparkSession, sf: str) -> DataFrame:
         return score
 
     blocks = J.pack_corpus(_written_tokens(spark, sf), LAYOUT, batches=True)
-    scores = K.score_blocks(blocks, scorer, ["shard", "batch_no", "chunk_no", "block_no"])
+    scores = K.score_blocks(blocks, scorer, ["shard", "batch_no", "chunk_no", "block_no"], place=BATCH)
     return _selected_summary(D.select_tokens(scores, "self_reference_intersection"))
 
 

@@ -84,7 +84,7 @@ def pack_corpus(
 
 
 # Supervised positions of a region, which one task holds at a time, and of a partition.
-REGION_POSITIONS = 1 << 19
+REGION_POSITIONS = 1 << 20
 PART_POSITIONS = 1 << 21
 REGION = ["shard", "region"]
 
@@ -153,7 +153,7 @@ def _counted(
     counted = K.with_pair_counts(blocks, other, REGION, vocab_size, parts)
 
     def score(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-        positions = P.next_token_pairs(rows, keep, [c for c in ("n_base", "n_ref") if c in rows.columns])
+        positions = P.next_token_pairs(rows, keep, K.count_columns(rows))
         return K.score_counted(positions, K.context_totals(blocks), base, reference)
 
     return counted, score

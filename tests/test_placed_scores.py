@@ -87,10 +87,24 @@ def test_odd_blocks(spark):
     blocks = spark.createDataFrame(rows, "shard int, region long, tokens array<int>")
     counted = K.with_pair_counts(blocks, None, ["shard", "region"], 5, 2)
     assert counted.count() == 5
-    got = next_token_pairs(counted.filter("size(tokens) > 0"), ["shard"], ["n_base"]).collect()
-    assert sorted((r.prev, r.label, r.n_base) for r in got) == [(1, 2, 3), (1, 2, 3), (1, 2, 3), (2, 1, 1)]
-    with pytest.raises(Exception, match="not an id of a vocabulary of 3"):
-        K.with_pair_counts(blocks, None, ["shard", "region"], 3, 2).collect()
+    got = next_token_pairs(counted.filter("size(tokens) > 0"), ["shard"], K.count_columns(counted)).collect()
+    assert sorted((r.prev, r.label, (r.n_base_high << 15) + r.n_base_low) for r in got) == [(1, 2, 3), (1, 2, 3), (1, 2, 3), (2, 1, 1)]
+    with pytest.raises(Exception, match="not an id of a vocabulary of 2"):
+        K.with_pair_counts(blocks, None, ["shard", "region"], 2, 2).collect()
+
+
+@pytest.mark.parametrize("vocab", [VOCAB, 100_000])
+def test_large_counts_and_vocabularies(spark, vocab):
+    """Counts beyond the low half, ids beyond SMALLINT."""
+    top = vocab - 1
+    blocks = spark.createDataFrame([(0, 0, [top] * 40_001)], "shard int, region long, tokens array<int>")
+    base = K.fit_bigram(blocks, vocab)
+    counted = K.with_pair_counts(blocks, None, ["shard", "region"], vocab, 2)
+    positions = next_token_pairs(counted, ["shard"], K.count_columns(counted))
+    got = K.score_counted(positions, K.context_totals(blocks), base, base).select("prev", "label", "loss").distinct()
+    assert dict(got.dtypes) == {"prev": "int", "label": "int", "loss": "double"}
+    loss = -math.log((40_000 + 0.1) / (40_000 + 0.1 * vocab))
+    assert [tuple(r) for r in got.collect()] == [(top, top, pytest.approx(loss, abs=1e-8))]
 
 
 def test_buckets_divide_frequent_tokens():
