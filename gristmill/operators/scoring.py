@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,15 @@ def _rounded(score: Column) -> Column:
     return F.signum(score) * (F.floor(F.abs(score) * scale + F.lit(0.5)) / scale)
 
 
+def shortened(score: Column, digits: int) -> Column:
+    """``round(score, digits)`` for a score of SCORE_DIGITS: its last digit is whole in these
+    doubles, so halves are seen as they are written."""
+    last = F.floor(F.abs(score) * F.lit(10.0**SCORE_DIGITS) + F.lit(0.5))
+    step = 10 ** (SCORE_DIGITS - digits)
+    kept = F.floor((last + F.lit(step // 2)) / F.lit(float(step)))
+    return F.signum(score) * (kept / F.lit(10.0**digits))
+
+
 def _known_id(token: Column, vocab_size: int) -> Column:
     """The id itself; one outside the vocabulary is an error."""
     message = F.concat(F.lit(f"not an id of a vocabulary of {vocab_size}: "), token.cast("string"))
@@ -80,14 +90,11 @@ def fit_bigram(sequences: DataFrame, vocab_size: int, alpha: float = 0.1) -> Big
     Pairs are combined on the map side, so a pair that makes up a third of the
     corpus reaches the shuffle as one row per task.
     """
-    n = F.size("tokens") - 1
-    zipped = F.arrays_zip(F.slice("tokens", F.lit(1), n).alias("a"), F.slice("tokens", F.lit(2), n).alias("b"))
+    following = F.get("tokens", F.col("at") + 1)
     pairs = (
-        sequences.select(F.explode_outer(F.when(n > 0, zipped)).alias("p"))
-        .filter(F.col("p").isNotNull())
-        .select(
-            _known_id(F.col("p.a"), vocab_size).alias("prev"), _known_id(F.col("p.b"), vocab_size).alias("label")
-        )
+        sequences.select("tokens", F.posexplode_outer("tokens").alias("at", "token"))
+        .filter(F.col("at") + 1 < F.size("tokens"))
+        .select(_known_id(F.col("token"), vocab_size).alias("prev"), _known_id(following, vocab_size).alias("label"))
         .groupBy("prev", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -199,14 +206,31 @@ def _sizes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().value_lengths().to_numpy()
 
 
-def count_pairs(blocks: DataFrame, near: Sequence[str], vocab_size: int, buckets: int) -> DataFrame:
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and how often each occurs; by hash, then sorted."""
+    found = pa.array(codes).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    n = np.bincount(found.indices.to_numpy(), minlength=len(distinct))
+    order = np.argsort(distinct)
+    return distinct[order], n[order]
+
+
+def count_pairs(
+    blocks: DataFrame, near: Sequence[str], vocab_size: int, buckets: int, contexts: bool = False
+) -> DataFrame:
     """``near, bucket, pairs, n``: how often each pair of neighbours occurs in the blocks of
     one ``near``, a region of bounded size, as a list for each bucket of pairs;
-    a pair is ``prev * vocab_size + label``."""
+    a pair is ``prev * vocab_size + label``.  With ``contexts`` the totals of each ``prev``
+    are counted too, as ``vocab_size ** 2 + prev``, which end the lists."""
     schema = _schema(blocks, near, ("bucket", T.LongType()), *PAIR_LISTS)
 
     def count(table: pa.Table) -> pa.Table:
-        pairs, n = np.unique(_pair_codes(table["tokens"], vocab_size)[0], return_counts=True)
+        pairs, n = _counted(_pair_codes(table["tokens"], vocab_size)[0])
+        if contexts and len(pairs):
+            prev = pairs // vocab_size
+            first = np.flatnonzero(np.diff(prev, prepend=-1))
+            pairs = np.concatenate([pairs, vocab_size**2 + prev[first]])
+            n = np.concatenate([n, np.add.reduceat(n, first)])
         order = np.argsort(pairs % buckets, kind="stable")
         pairs, n = pairs[order], n[order].astype(np.int64)
         found, sizes = np.unique(pairs % buckets, return_counts=True)
@@ -224,26 +248,152 @@ def total_pairs(counted: DataFrame, reference: BigramModel | None, near: Sequenc
 
     def total(left: pa.Table, known: pa.Table | None) -> pa.Table:
         sizes = _sizes(left["pairs"])
-        pairs, inverse = np.unique(_flat(left["pairs"]), return_inverse=True)
-        sums = np.zeros(len(pairs), np.int64)
-        np.add.at(sums, inverse, _flat(left["n"]))
+        pairs, inverse, sums = _summed(left)
         found = [sums]
         if known is not None:
-            theirs = known["pair"].to_numpy()
-            both = np.isin(theirs, pairs)
-            found.append(np.zeros(len(pairs), np.int64))
-            found[1][np.searchsorted(pairs, theirs[both])] = known["n_ref"].to_numpy()[both]
+            found.append(_matched(pairs, known["pair"], known["n_ref"], 0))
         lists = [_lists(values[inverse], sizes) for values in found]
         return pa.table([*[left[c] for c in [*near, "pairs"]], *lists], names=schema.names)
 
     if reference is None:
         return counted.groupBy("bucket").applyInArrow(lambda left: total(left, None), schema)
-    code = F.col("prev").cast("bigint") * vocab_size + F.col("label")
-    known = reference.pairs.select(code.alias("pair"), F.col("n").alias("n_ref"))
-    known = known.withColumn("bucket", F.col("pair") % buckets)
+    known = _pair_rows(reference, buckets).withColumnRenamed("n", "n_ref")
     return counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, schema)
 
 
+def _summed(counted: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the lists, where each entry stands among them, and their sums."""
+    found = pa.array(_flat(counted["pairs"])).dictionary_encode()
+    pairs, inverse = found.dictionary.to_numpy(), found.indices.to_numpy()
+    sums = np.zeros(len(pairs), np.int64)
+    np.add.at(sums, inverse, _flat(counted["n"]))
+    return pairs, inverse, sums
+
+
+def _matched(pairs: np.ndarray, theirs: pa.ChunkedArray, values: pa.ChunkedArray, missing: float) -> np.ndarray:
+    """The value that ``theirs`` has for each of the pairs."""
+    at = pc.index_in(pa.array(pairs), value_set=theirs.combine_chunks())
+    return pc.fill_null(values.combine_chunks().take(at), missing).to_numpy(zero_copy_only=False)
+
+
+def _pair_rows(model: BigramModel, buckets: int) -> DataFrame:
+    code = F.col("prev").cast("bigint") * model.vocab_size + F.col("label")
+    return model.pairs.select(code.alias("pair"), "n").withColumn("bucket", F.col("pair") % buckets)
+
+
+BATCH_SCORES = ("loss", "ref_loss", "ref_entropy", "excess")
+
+
+def score_batches(
+    blocks: DataFrame, base: BigramModel, reference: BigramModel, near: Sequence[str], batch: Sequence[str],
+    keep: Sequence[str], parts: int, columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """``score_with_bigrams`` for the positions of blocks that are placed by ``near``, regions of
+    whole micro-batches: a row per ``batch``, which has a fixed size, with a list per
+    column, ``keep`` of the blocks, ``pos``, ``prev``, ``label`` and the scores, entry by entry.
+
+    ``base`` is the model of these very blocks; its counts and context totals are taken
+    here, with those of the reference model beside, and return to the regions as lists.  A
+    score is worked out once for each distinct pair of a region, and no position is shuffled.
+    ``columns`` names the lists to return, all if not given; ``pos`` is always one of them.
+    """
+    vocab, alpha = base.vocab_size, base.alpha
+    if vocab != reference.vocab_size:
+        raise ValueError("the two models must share a vocabulary")
+    own = reference is base
+    buckets = pair_buckets(parts, vocab)
+    counted = count_pairs(blocks, near, vocab, buckets, contexts=True)
+    # Of a context: its total and entropy in the reference model.
+    context = F.col("prev").cast("bigint") + vocab**2
+    known = reference.contexts.select(context.alias("pair"), F.col("total").alias("n"), "entropy")
+    known = known.withColumn("bucket", F.col("pair") % buckets)
+    if not own:
+        known = known.unionByName(_pair_rows(reference, buckets), allowMissingColumns=True)
+    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+    lists = _schema(counted, [*near, "pairs"], ("n_base", longs), ("n_ref", longs), ("entropy", doubles))
+
+    def total(left: pa.Table, right: pa.Table) -> pa.Table:
+        sizes = _sizes(left["pairs"])
+        pairs, inverse, sums = _summed(left)
+        theirs = sums if own else _matched(pairs, right["pair"], right["n"], 0)
+        entropy = _matched(pairs, right["pair"], right["entropy"], np.nan)[inverse]
+        of_context = _flat(left["pairs"]) >= vocab**2
+        ends = np.concatenate([[0], np.cumsum(of_context)])[np.cumsum(sizes)]
+        found = [_lists(sums[inverse], sizes), _lists(theirs[inverse], sizes)]
+        found.append(_lists(entropy[of_context], np.diff(ends, prepend=0)))
+        return pa.table([*[left[c] for c in [*near, "pairs"]], *found], names=lists.names)
+
+    totals = counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, lists)
+    totals = totals.repartition(parts, *near)
+    ints = T.ArrayType(T.IntegerType())
+    kinds = {c: T.ArrayType(blocks.schema[c].dataType) for c in keep}
+    kinds |= {c: ints for c in ("pos", "prev", "label")} | {c: doubles for c in BATCH_SCORES}
+    asked = [c for c in kinds if columns is None or c == "pos" or c in columns]
+    schema = _schema(blocks, batch, *[(c, kinds[c]) for c in asked])
+
+    def rounded(score: np.ndarray) -> np.ndarray:
+        scale = 10.0**SCORE_DIGITS
+        return np.sign(score) * (np.floor(np.abs(score) * scale + 0.5) / scale)
+
+    def scores(right: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The region's pairs and their scores."""
+        codes = _flat(right["pairs"])
+        pair, seen = codes < vocab**2, codes >= vocab**2
+        pairs, prevs = codes[pair], codes[seen] - vocab**2
+        order = np.argsort(prevs)
+        at = order[np.searchsorted(prevs, pairs // vocab, sorter=order)]
+        found = []
+        for name in ("n_base", "n_ref"):
+            n = _flat(right[name])
+            p = (n[pair] + alpha) / (n[seen][at] + alpha * vocab)
+            found.append(rounded(-np.log(p)))
+        entropy = _flat(right["entropy"])
+        entropy = rounded(np.where(np.isnan(entropy), math.log(vocab), entropy))
+        return pairs, [*found, entropy[at], rounded(found[0] - found[1])]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = pa.table([left[c] for c in batch], names=[f"k{i}" for i in range(len(batch))])
+        order = keys.append_column("at", pa.array(np.arange(len(left)))).sort_by([(c, "ascending") for c in keys.column_names])
+        left = left.take(order["at"])
+        codes, sizes = _pair_codes(left["tokens"], vocab)
+        pairs, found = scores(right)
+        at = pc.index_in(pa.array(codes), value_set=pa.array(pairs)).to_numpy()
+        # Where the blocks of each batch begin and end among the rows, and their positions.
+        same = np.ones(max(0, len(left) - 1), bool)
+        for c in batch:
+            column = left[c].combine_chunks()
+            same &= pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False) | (
+                pc.is_null(column[1:]).to_numpy(zero_copy_only=False) & pc.is_null(column[:-1]).to_numpy(zero_copy_only=False)
+            )
+        first = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        cells = np.add.reduceat(sizes, first)
+        block = np.repeat(np.arange(len(left)), sizes)
+        pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(cells)]).astype(np.int32))
+        measures = dict(zip(BATCH_SCORES, found))
+
+        def values(name: str) -> pa.Array:
+            if name in keep:
+                return left[name].combine_chunks().take(pa.array(block))
+            if name in measures:
+                return pa.array(measures[name][at])
+            return pa.array((pos if name == "pos" else codes // vocab if name == "prev" else codes % vocab).astype(np.int32))
+
+        own = [left[c].take(pa.array(first)) for c in batch]
+        own += [pa.ListArray.from_arrays(offsets, values(c)) for c in asked]
+        return pa.table(own, names=schema.names).filter(pa.array(cells > 0))
+
+    return blocks.groupBy(*near).cogroup(totals.groupBy(*near)).applyInArrow(score, schema)
+
+
+def batch_positions(batches: DataFrame) -> DataFrame:
+    """One row per position of the rows of ``score_batches``; single values are repeated."""
+    lists = [f.name for f in batches.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    single = [c for c in batches.columns if c not in lists]
+    at = batches.select("*", F.posexplode_outer("pos").alias("__at", "__pos")).filter("__pos is not null")
+    return at.select(*single, *[F.col("__pos").alias(c) if c == "pos" else F.get(c, F.col("__at")).alias(c) for c in lists])
+
+
 def with_pair_counts(
     blocks: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, parts: int
 ) -> DataFrame:
@@ -270,9 +420,7 @@ def with_pair_counts(
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, sizes = _pair_codes(left["tokens"], vocab_size)
-        pairs = _flat(right["pairs"])
-        order = np.argsort(pairs)
-        at = order[np.searchsorted(pairs, codes, sorter=order)]
+        at = pc.index_in(pa.array(codes), value_set=pa.array(_flat(right["pairs"]))).to_numpy()
         counts = [_flat(right[c])[at] for c in names]
         found = [_lists((n & ((1 << LOW_BITS) - 1)).astype(np.int16), sizes) for n in counts]
         found += [_lists(n >> LOW_BITS, sizes) for n in counts]

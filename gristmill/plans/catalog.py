@@ -538,17 +538,18 @@ def mixture_draws(spark: SparkSession, sf: str) -> DataFrame:
 # --- token scores and selection ----------------------------------------------
 
 
-def _scores(spark: SparkSession, sf: str, tokens: DataFrame | None = None) -> DataFrame:
+def _scores(spark: SparkSession, sf: str, *columns: str, tokens: DataFrame | None = None) -> DataFrame:
+    """A row per micro-batch, with lists of the ``columns`` of its positions (all: none named)."""
     tokens = _written_tokens(spark, sf) if tokens is None else tokens
-    return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, VOCAB_SIZE)
+    return J.score_corpus(tokens, subset_of(tokens, _good(spark, sf)), LAYOUT, VOCAB_SIZE, by_batch=True, columns=columns or None)
 
 
 @query
 def token_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _scores(spark, sf)
+    scores = K.batch_positions(_scores(spark, sf))
     names = ("loss", "ref_loss", "ref_entropy", "excess")
     return scores.select(
-        "shard", "batch_no", "chunk_no", "block_no", "pos", "label", *[F.round(n, 6).alias(n) for n in names]
+        "shard", "batch_no", "chunk_no", "block_no", "pos", "label", *[K.shortened(F.col(n), 6).alias(n) for n in names]
     )
 
 
@@ -559,6 +560,7 @@ def ref_entropy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BATCH = ["shard", "batch_no"]
+PLACE = ["chunk_no", "block_no", "pos"]
 
 
 def _selected_summary(selected: DataFrame) -> DataFrame:
@@ -574,31 +576,34 @@ def _selected_summary(selected: DataFrame) -> DataFrame:
 
 @query
 def top_ratio_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected_summary(D.with_top_ratio(_scores(spark, sf), [(F.col("loss"), 0.07)], BATCH))
+    return _selected_summary(D.with_top_ratio(_scores(spark, sf, *PLACE, "loss"), [("loss", 0.07)], BATCH))
 
 
 @query
 def top_ratio_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The highest scores of all positions as one batch, by two measures."""
-    scores = stage(_scores(spark, sf), "scores")
+    # Read three times, so only what is needed is written.
+    scores = _scores(spark, sf, *PLACE, "loss", "ref_entropy")
     return _selected_summary(
-        D.with_top_ratio_spread(scores, [(F.col("loss"), 0.07), (-F.col("ref_entropy"), 0.7)], [])
+        D.with_top_ratio_spread(stage(scores, "scores"), [("loss", 0.07), ("-ref_entropy", 0.7)], [])
     )
 
 
 @query
 def select_excess_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected_summary(D.select_tokens(_scores(spark, sf), "excess_loss"))
+    return _selected_summary(D.select_tokens(_scores(spark, sf, *PLACE, "loss", "excess"), "excess_loss"))
 
 
 @query
 def select_self_reference(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected_summary(D.select_tokens(_scores(spark, sf), "self_reference_intersection"))
+    scores = _scores(spark, sf, *PLACE, "loss", "ref_loss", "ref_entropy")
+    return _selected_summary(D.select_tokens(scores, "self_reference_intersection"))
 
 
 @query
 def select_high_high(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected_summary(D.select_tokens(_scores(spark, sf), "high_intersection"))
+    scores = _scores(spark, sf, *PLACE, "loss", "ref_loss", "ref_entropy")
+    return _selected_summary(D.select_tokens(scores, "high_intersection"))
 
 
 @query
@@ -618,7 +623,7 @@ def select_plugin_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batch_losses(spark: SparkSession, sf: str, tokens: DataFrame | None = None) -> DataFrame:
-    return L.masked_loss(D.select_tokens(_scores(spark, sf, tokens), "excess_loss"))
+    return L.masked_loss(D.select_tokens(_scores(spark, sf, "loss", "excess", tokens=tokens), "excess_loss"))
 
 
 @query
@@ -642,7 +647,7 @@ def interval_loss(spark: SparkSession, sf: str) -> DataFrame:
 def masked_ce_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Document ends are the ignored targets."""
     target = F.when(F.col("label") == EOS_ID, -1).otherwise(F.col("label"))
-    means = L.masked_ce_mean(_scores(spark, sf).withColumn("target", target), ["shard"])
+    means = L.masked_ce_mean(K.batch_positions(_scores(spark, sf, "label", "loss")).withColumn("target", target), ["shard"])
     return means.withColumn("mean_kept", F.round("mean_kept", 6)).withColumn(
         "mean_all", F.round("mean_all", 6)
     )

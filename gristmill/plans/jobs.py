@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import hashed_ids
 from gristmill.operators import clustering as C
 from gristmill.operators import packing as P
 from gristmill.operators import reading as R
@@ -61,7 +62,11 @@ def tokens_of(docs: DataFrame, codec: CodecFactory | None = None) -> DataFrame:
     written table the counts are one narrow column; from the text, they would
     cost another pass over all of it.
     """
-    coded = tokenize(docs.select("doc_id", "text"), codec)
+    if codec is None:
+        coded = docs.select("doc_id", hashed_ids("text").alias("tokens"))
+        coded = coded.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    else:
+        coded = tokenize(docs.select("doc_id", "text"), codec)
     return stage(coded.select("doc_id", "n_tokens", "tokens"), "tokens")
 
 
@@ -125,7 +130,8 @@ def _models(
 
 
 def score_corpus(
-    tokens: DataFrame, reference_tokens: DataFrame | None, layout: Layout, vocab_size: int, alpha: float = 0.1
+    tokens: DataFrame, reference_tokens: DataFrame | None, layout: Layout, vocab_size: int, alpha: float = 0.1,
+    by_batch: bool = False, columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pack a corpus and score every position with the count models.
 
@@ -134,9 +140,16 @@ def score_corpus(
     shuffled as arrays only, by region and then, with the counts of their pairs, by
     micro-batch; the distinct pairs of each region go to their totals and back.  A
     selection by (shard, batch_no) needs no further exchange.
+
+    ``by_batch`` returns a row per micro-batch with lists of its positions' values, worked
+    out in the regions without the second shuffle of blocks (``K.score_batches``), and of
+    these lists those that ``columns`` names.
     """
     parts = _parts(tokens)
     blocks = pack_corpus(tokens, layout, batches=True, parts=parts)
+    if by_batch:
+        models = _models(blocks, reference_tokens, vocab_size, alpha)
+        return K.score_batches(blocks, *models, REGION, ["shard", "batch_no"], ["chunk_no", "block_no"], parts, columns)
     counted, score = _counted(blocks, reference_tokens, vocab_size, alpha, parts)
     # Blocks in order spare the selection most of sorting their positions.
     placed = counted.repartition("shard", "batch_no").sortWithinPartitions("shard", "batch_no")
@@ -254,7 +267,7 @@ def hybrid(
 ) -> DataFrame:
     """Token selection inside a curated subset, which is written first (A2)."""
     chosen = stage(subset_of(tokens, subset), "subset")
-    return select_tokens(score_corpus(chosen, reference_tokens, layout, vocab_size), method)
+    return select_tokens(score_corpus(chosen, reference_tokens, layout, vocab_size, by_batch=True), method)
 
 
 def lloyd_fit(steps: int, seed: int, key: str, upper_key: str = "id") -> Callable[[DataFrame, int], np.ndarray]:
