@@ -25,14 +25,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gristmill.llm.common import raw_bytes, slices
 from gristmill.llm.vectors import best_of
-from gristmill.operators.staging import stage
+from gristmill.operators.staging import small_batches, stage
 
 # Bytes that are no part of a term become spaces, A-Z lower case (fixed classes).
 _BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 )
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 WORD_BYTES = 4 << 20
+# What a row counts for beside its text, so that rows without any close a shard too.
+ROW_BYTES = 8
+# Bytes of rows that cross to a Python worker at a time.
+ARROW_BYTES = 4 << 20
 # Bytes of query text that one pass over the index takes along.
 BLOCK_BYTES = 4 << 20
 # Intervals that are split in one step, and cells of a table of ranks.
@@ -128,7 +132,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
-                n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                n = part.num_rows * ROW_BYTES + (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
                 if size + n > SHARD_BYTES:
                     yield from closed()
                     size = 0
@@ -139,6 +143,13 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, SHARD)
 
 
+def write_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``build_index``, written with a row group for each shard: whoever writes or reads it
+    holds one shard, however many a partition has."""
+    with small_batches(docs.sparkSession, ARROW_BYTES):
+        return stage(build_index(docs, doc_id, text), "index", row_group=1)
+
+
 @dataclass(frozen=True)
 class Totals:
     """Documents with a term, terms with repeats, and the documents of each asked term."""
@@ -311,8 +322,8 @@ def search(
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of every item.
 
-    ``index`` is the table of ``build_index``, best written before, since it is read twice
-    for each BLOCK_BYTES of query text.  A score sums the item's terms once each; only
+    ``index`` is the table of ``build_index``, best written before (``write_index``), since it
+    is read twice for each BLOCK_BYTES of query text, a shard at a time.  A score sums the item's terms once each; only
     documents with a score above 0 count.  Equal scores rank by id, null ids last;
     repeated documents are each ranked, repeated items each answered.  Null and empty
     items and documents have no terms; empty tables give no rows.  Other columns are not read.
@@ -325,7 +336,8 @@ def search(
     done = None
     for block in _blocks(stage(asked, "items")):
         words = sorted(set().union(*(terms for _, terms in block)))
-        found = totals(index, words)
+        with small_batches(index.sparkSession, ARROW_BYTES):
+            found = totals(index, words)
         held = [w for w in words if w in found.holders]
         numbers = {w: i for i, w in enumerate(held)}
         weights = np.array([found.weight(w) for w in held], np.int64)
@@ -362,7 +374,8 @@ def search(
         scored = shards.mapInArrow(run, schema)
         best = best_of(scored, "item", [F.desc("score"), F.asc_nulls_last("doc_id")], k, ["doc_id", "score"])
         # Written before the next block is read, so the driver holds one block.
-        ranked = stage(best.select("item_id", "rank", "doc_id", "score"), "ranked")
+        with small_batches(index.sparkSession, ARROW_BYTES):
+            ranked = stage(best.select("item_id", "rank", "doc_id", "score"), "ranked")
         done = ranked if done is None else done.unionByName(ranked)
     if done is None:
         schema = T.StructType(list(fields.fields)).add("rank", "integer").add("doc_id", "long").add("score", "long")

@@ -22,7 +22,6 @@ from gristmill.llm import warc
 from gristmill.llm.common import remainder
 from gristmill.llm.longest_match import token_counts
 from gristmill.llm.whitening import whiten
-from gristmill.operators.staging import stage
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -131,7 +130,7 @@ def op10_longest_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def op11_interval_search(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 best documents of every benchmark item."""
-    index = stage(lexical.build_index(_table(spark, sf, "documents", "doc_id", "text")), "index")
+    index = lexical.write_index(_table(spark, sf, "documents", "doc_id", "text"))
     return lexical.search(index, _table(spark, sf, "benchmark", "item_id", "text"), 50)
 
 

@@ -52,9 +52,31 @@ def staging_area(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back."""
+def stage(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    ``row_group`` is the most rows of a row group, for wide rows: Parquet looks at bytes
+    only every hundred rows, and readers decode a row group of few rows as one batch.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.row.count.limit", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of what runs inside the block close at ``most`` bytes, or hold one row."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
