@@ -110,18 +110,18 @@ def read_coverage(
 
 
 def block_visits(schedule: DataFrame, blocks_per_file: int) -> DataFrame:
-    """``shard, shard_block, visits``: when each block is read, once for each pass."""
+    """``shard, shard_block`` and when the block is read, a row for each pass."""
     number = F.col("chunk_no") * blocks_per_file + F.col("block_no")
-    visit = F.struct("pass_no", "gpu_rank", "iter", "step")
-    return schedule.groupBy("shard", number.alias("shard_block")).agg(F.collect_list(visit).alias("visits"))
+    return schedule.select("shard", number.alias("shard_block"), "pass_no", "gpu_rank", "iter", "step")
 
 
-def in_read_order(blocks: DataFrame) -> DataFrame:
+def in_read_order(blocks: DataFrame, parts: int) -> DataFrame:
     """Blocks with ``visits`` as the readers see them: with ``gpu_rank``, ``iter`` and ``step``.
 
     A row for each visit; blocks that are not read have none.  Every micro-batch goes to
-    one partition, where they are in order.
+    one of ``parts`` partitions, where they are in order; their number is given because
+    positions are made there, which take many times the room of the blocks.
     """
     kept = [c for c in blocks.columns if c != "visits"]
-    visited = blocks.select(*kept, F.inline("visits")).repartition("gpu_rank", "iter")
+    visited = blocks.select(*kept, F.inline("visits")).repartition(parts, "gpu_rank", "iter")
     return visited.sortWithinPartitions("gpu_rank", "iter")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gristmill.functions.losses import excess_loss, logit_state, merged_state, state_entropy, state_normaliser
 from gristmill.operators.joins import ROWS_PER_KEY, bounded, copies_for, salted_lookup
+from gristmill.operators.staging import stage
 
 SCORE_DIGITS = 9
 LOW_BITS = 15
@@ -29,11 +30,15 @@ SCORED_CELLS = 1 << 18
 
 @dataclass(frozen=True)
 class BigramModel:
-    """Add-alpha bigram counts: ``pairs(prev, label, n)`` and, per ``prev``, ``contexts``."""
+    """Add-alpha bigram counts: ``pairs(prev, label, n)`` and, per ``prev``, ``contexts``.
+
+    ``lists`` has the same counts as packed lists for each of ``buckets``, if they are at hand."""
 
     pairs: DataFrame
     vocab_size: int
     alpha: float
+    lists: DataFrame | None = None
+    buckets: int | None = None
 
     @property
     def contexts(self) -> DataFrame:
@@ -183,7 +188,9 @@ def count_columns(rows: DataFrame) -> list[str]:
     return [c for n in ("n_base", "n_ref") for c in (f"{n}_low", f"{n}_high") if c in rows.columns]
 
 
-PAIR_LISTS = [("pairs", T.ArrayType(T.LongType())), ("n", T.ArrayType(T.LongType()))]
+PAIR_LISTS = [("pairs", T.BinaryType()), ("n", T.BinaryType())]
+# Positions whose pairs are counted at a time where there are no regions.
+LISTED_POSITIONS = 1 << 21
 
 
 def pair_buckets(parts: int, vocab_size: int) -> int:
@@ -198,87 +205,231 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits as compressed planes of their bytes: the high ones are mostly zeros."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.Codec("zstd").decompress(data[8:], decompressed_size=8 * n, asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view(kind).ravel()
+
+
+def _joined(parts: Sequence[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+@dataclass
+class _Counted:
+    """The distinct pairs of some positions, ascending, then the contexts of them
+    as ``vocab_size ** 2 + prev``: how often each occurs, and where they stand."""
 
+    pairs: np.ndarray  # both, pairs first
+    n: np.ndarray
+    distinct: int  # how many are pairs
+    at: np.ndarray  # of every position, its pair
+    context: np.ndarray  # of every pair, its context among the contexts
 
-def _sizes(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().value_lengths().to_numpy()
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order by bucket, the buckets that have entries and where each begins."""
+        of = self.pairs % buckets
+        order = np.argsort(of, kind="stable")
+        return order, *np.unique(of[order], return_index=True)
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes, ascending, and how often each occurs; by hash, then sorted."""
+def _counted(codes: np.ndarray, vocab_size: int) -> _Counted:
+    """By hash, then sorted."""
     found = pa.array(codes).dictionary_encode()
-    distinct = found.dictionary.to_numpy()
-    n = np.bincount(found.indices.to_numpy(), minlength=len(distinct))
+    distinct, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+    n = np.bincount(at, minlength=len(distinct))
     order = np.argsort(distinct)
-    return distinct[order], n[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pairs, n = distinct[order].astype(np.int64), n[order].astype(np.int64)
+    prev = pairs // vocab_size
+    first = np.diff(prev, prepend=-1) > 0
+    totals = np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
+    both = np.concatenate([pairs, vocab_size**2 + prev[first]])
+    return _Counted(both, np.concatenate([n, totals]), len(pairs), rank[at], np.cumsum(first) - 1)
 
 
-def count_pairs(
-    blocks: DataFrame, near: Sequence[str], vocab_size: int, buckets: int, contexts: bool = False
-) -> DataFrame:
+def _bucket_rows(counted: _Counted, buckets: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Buckets with their packed lists: steps of ``pair // buckets``, and counts."""
+    order, found, first = counted.dealt(buckets)
+    pairs = [_packed(np.diff(x // buckets, prepend=0)) for x in np.split(counted.pairs[order], first[1:])]
+    return found, pairs[: len(found)], [_packed(x) for x in np.split(counted.n[order], first[1:])][: len(found)]
+
+
+def _of_bucket(table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs and counts of all lists of one bucket, and the length of each list."""
+    pairs = [np.cumsum(_unpacked(x)) for x in table["pairs"].to_pylist()]
+    sizes = np.array([len(x) for x in pairs], np.int64)
+    own = table["bucket"][0].as_py() if len(table) else 0
+    return _joined(pairs) * buckets + own, _joined([_unpacked(x) for x in table["n"].to_pylist()]), sizes
+
+
+def count_pairs(blocks: DataFrame, near: Sequence[str], vocab_size: int, buckets: int) -> DataFrame:
     """``near, bucket, pairs, n``: how often each pair of neighbours occurs in the blocks of
-    one ``near``, a region of bounded size, as a list for each bucket of pairs;
-    a pair is ``prev * vocab_size + label``.  With ``contexts`` the totals of each ``prev``
-    are counted too, as ``vocab_size ** 2 + prev``, which end the lists."""
+    one ``near``, a region of bounded size, as packed lists for each bucket of pairs;
+    a pair is ``prev * vocab_size + label``.  The totals of each ``prev``
+    are counted too, as ``vocab_size ** 2 + prev``."""
     schema = _schema(blocks, near, ("bucket", T.LongType()), *PAIR_LISTS)
 
     def count(table: pa.Table) -> pa.Table:
-        pairs, n = _counted(_pair_codes(table["tokens"], vocab_size)[0])
-        if contexts and len(pairs):
-            prev = pairs // vocab_size
-            first = np.flatnonzero(np.diff(prev, prepend=-1))
-            pairs = np.concatenate([pairs, vocab_size**2 + prev[first]])
-            n = np.concatenate([n, np.add.reduceat(n, first)])
-        order = np.argsort(pairs % buckets, kind="stable")
-        pairs, n = pairs[order], n[order].astype(np.int64)
-        found, sizes = np.unique(pairs % buckets, return_counts=True)
+        found, pairs, n = _bucket_rows(_counted(_pair_codes(table["tokens"], vocab_size)[0], vocab_size), buckets)
         own = [table[c].combine_chunks().take(pa.array(np.zeros(len(found), np.int64))) for c in near]
-        return pa.table([*own, pa.array(found), _lists(pairs, sizes), _lists(n, sizes)], names=schema.names)
+        return pa.table([*own, pa.array(found, pa.int64()), pa.array(pairs, pa.binary()), pa.array(n, pa.binary())], names=schema.names)
 
-    return blocks.select(*near, "tokens").groupBy(*near).applyInArrow(count, schema)
+    # All columns are read, as by the step that looks counts up, so that both share a shuffle.
+    return blocks.groupBy(*near).applyInArrow(count, schema)
 
 
-def total_pairs(counted: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, buckets: int) -> DataFrame:
-    """The lists of ``count_pairs`` with ``n_base``, a pair's count over all regions, and
-    ``n_ref``, that of the reference model, if there is one."""
-    names = ["n_base"] if reference is None else ["n_base", "n_ref"]
-    schema = _schema(counted, [*near, "pairs"], *[(name, T.ArrayType(T.LongType())) for name in names])
+def fit_listed(sequences: DataFrame, vocab_size: int, alpha: float, buckets: int) -> BigramModel:
+    """``fit_bigram`` by lists: a task's pairs are counted many sequences at a time and go to
+    their buckets packed.  The model is written once."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(*f) for f in PAIR_LISTS]])
 
-    def total(left: pa.Table, known: pa.Table | None) -> pa.Table:
-        sizes = _sizes(left["pairs"])
-        pairs, inverse, sums = _summed(left)
-        found = [sums]
-        if known is not None:
-            found.append(_matched(pairs, known["pair"], known["n_ref"], 0))
-        lists = [_lists(values[inverse], sizes) for values in found]
-        return pa.table([*[left[c] for c in [*near, "pairs"]], *lists], names=schema.names)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch["tokens"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            turns = np.unique(ends // LISTED_POSITIONS, return_index=True)[1]
+            for begin, end in zip(turns, [*turns[1:], len(batch)]):
+                tokens = pa.chunked_array([batch["tokens"].slice(begin, end - begin)])
+                found, pairs, n = _bucket_rows(_counted(_pair_codes(tokens, vocab_size)[0], vocab_size), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(pairs, pa.binary()), pa.array(n, pa.binary())], names=schema.names)
 
-    if reference is None:
-        return counted.groupBy("bucket").applyInArrow(lambda left: total(left, None), schema)
-    known = _pair_rows(reference, buckets).withColumnRenamed("n", "n_ref")
-    return counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, schema)
+    lists = stage(_summed_lists(sequences.select("tokens").mapInArrow(count, schema), buckets), "pairs")
+    return BigramModel(listed_pairs(lists, vocab_size, buckets), vocab_size, alpha, lists, buckets)
+
+
+def _summed_lists(lists: DataFrame, buckets: int) -> DataFrame:
+    """One row for each bucket."""
+    schema = _schema(lists, ["bucket", "pairs", "n"])
+
+    def total(left: pa.Table) -> pa.Table:
+        pairs, _, sums, _ = _summed(left, buckets)
+        order = np.argsort(pairs)
+        packed = [[_packed(np.diff(pairs[order] // buckets, prepend=0))], [_packed(sums[order])]]
+        return pa.table([left["bucket"].slice(0, 1), *[pa.array(x, pa.binary()) for x in packed]], names=schema.names)
+
+    return lists.groupBy("bucket").applyInArrow(total, schema)
+
+
+def listed_pairs(lists: DataFrame, vocab_size: int, buckets: int) -> DataFrame:
+    """``prev, label, n`` of lists that have each pair once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                pairs, n, _ = _of_bucket(pa.Table.from_batches([batch.slice(i, 1)]), buckets)
+                pair = pairs < vocab_size**2
+                ids = [pa.array(x.astype(np.int32)) for x in np.divmod(pairs[pair], vocab_size)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n[pair])], names=["prev", "label", "n"])
 
+    return lists.select("bucket", "pairs", "n").mapInArrow(rows, "prev int, label int, n long")
 
-def _summed(counted: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of the lists, where each entry stands among them, and their sums."""
-    found = pa.array(_flat(counted["pairs"])).dictionary_encode()
+
+def own_model(counted: DataFrame, vocab_size: int, alpha: float, buckets: int) -> BigramModel:
+    """The model of the blocks of ``count_pairs``."""
+    lists = _summed_lists(counted.select("bucket", "pairs", "n"), buckets)
+    return BigramModel(listed_pairs(lists, vocab_size, buckets), vocab_size, alpha, lists, buckets)
+
+
+def listed_totals(counted: DataFrame, vocab_size: int, buckets: int) -> DataFrame:
+    """``context_totals`` of the blocks of ``count_pairs``."""
+
+    def total(left: pa.Table) -> pa.Table:
+        pairs, _, sums, _ = _summed(left, buckets)
+        prev = pairs >= vocab_size**2
+        return pa.table([pa.array((pairs[prev] - vocab_size**2).astype(np.int32)), pa.array(sums[prev])], names=["prev", "t_base"])
+
+    return counted.groupBy("bucket").applyInArrow(total, "prev int, t_base long")
+
+
+def _known_lists(model: BigramModel, buckets: int) -> DataFrame:
+    """``bucket, pairs, n`` of a model that may have been counted without lists."""
+    if model.lists is not None and model.buckets == buckets:
+        return model.lists
+    vocab = model.vocab_size
+    context = model.pairs.groupBy("prev").agg(F.sum("n").alias("n"))
+    rows = model.pairs.select((F.col("prev").cast("bigint") * vocab + F.col("label")).alias("pair"), "n").unionByName(
+        context.select((F.col("prev").cast("bigint") + vocab**2).alias("pair"), "n")
+    )
+    schema = T.StructType([T.StructField("bucket", T.LongType()), *[T.StructField(*f) for f in PAIR_LISTS]])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pair")
+        steps = np.diff(table["pair"].to_numpy() // buckets, prepend=0)
+        lists = [pa.array([_packed(x)], pa.binary()) for x in (steps, table["n"].to_numpy())]
+        return pa.table([table["bucket"].slice(0, 1), *lists], names=schema.names)
+
+    return rows.withColumn("bucket", F.col("pair") % buckets).groupBy("bucket").applyInArrow(pack, schema)
+
+
+def _summed(table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the lists of a bucket, where each entry stands among them, their
+    sums, and the length of each list."""
+    entries, n, sizes = _of_bucket(table, buckets)
+    found = pa.array(entries).dictionary_encode()
     pairs, inverse = found.dictionary.to_numpy(), found.indices.to_numpy()
     sums = np.zeros(len(pairs), np.int64)
-    np.add.at(sums, inverse, _flat(counted["n"]))
-    return pairs, inverse, sums
+    np.add.at(sums, inverse, n)
+    return pairs, inverse, sums, sizes
 
 
-def _matched(pairs: np.ndarray, theirs: pa.ChunkedArray, values: pa.ChunkedArray, missing: float) -> np.ndarray:
+def _matched(pairs: np.ndarray, theirs: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
     """The value that ``theirs`` has for each of the pairs."""
-    at = pc.index_in(pa.array(pairs), value_set=theirs.combine_chunks())
-    return pc.fill_null(values.combine_chunks().take(at), missing).to_numpy(zero_copy_only=False)
+    at = pc.index_in(pa.array(pairs), value_set=pa.array(theirs))
+    return pc.fill_null(pa.array(values).take(at), missing).to_numpy(zero_copy_only=False)
 
 
-def _pair_rows(model: BigramModel, buckets: int) -> DataFrame:
-    code = F.col("prev").cast("bigint") * model.vocab_size + F.col("label")
-    return model.pairs.select(code.alias("pair"), "n").withColumn("bucket", F.col("pair") % buckets)
+def total_pairs(
+    counted: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, buckets: int,
+    entropy: bool = False,
+) -> DataFrame:
+    """For each list of ``count_pairs``, entry by entry, packed: ``n_base``, the count over all
+    regions, and ``n_ref``, that of the reference model, if there is one; the
+    pairs themselves are known where the list comes from.  With ``entropy`` that of the
+    reference model for the contexts of the list, NaN where it has none."""
+    names = ["n_base"] if reference is None else ["n_base", "n_ref"]
+    names += ["entropy"] if entropy else []
+    schema = _schema(counted, [*near, "bucket"], *[(name, T.BinaryType()) for name in names])
+
+    def total(left: pa.Table, known: pa.Table | None) -> pa.Table:
+        pairs, inverse, sums, sizes = _summed(left, buckets)
+        ends = np.cumsum(sizes)
+        found = [(sums[inverse], ends)]
+        if known is not None:
+            listed = known.filter(pc.is_valid(known["pairs"]))
+            theirs, n, _ = _of_bucket(listed, buckets)
+            found.append((_matched(pairs, theirs, n, 0)[inverse], ends))
+        if entropy:
+            contexts = known.filter(pc.is_valid(known["code"]))
+            values = _matched(pairs, contexts["code"].to_numpy(), contexts["entropy"].to_numpy(), np.nan)
+            own = (pairs >= vocab_size**2)[inverse]
+            found.append((values[inverse][own], np.concatenate([[0], np.cumsum(own)])[ends]))
+        lists = [pa.array([_packed(x) for x in np.split(v, e)[: len(e)]], pa.binary()) for v, e in found]
+        return pa.table([*[left[c] for c in [*near, "bucket"]], *lists], names=schema.names)
+
+    if reference is None:
+        return counted.groupBy("bucket").applyInArrow(lambda left: total(left, None), schema)
+    known = _known_lists(reference, buckets)
+    if entropy:
+        context = F.col("prev").cast("bigint") + vocab_size**2
+        rows = reference.contexts.select((context % buckets).alias("bucket"), context.alias("code"), "entropy")
+        known = known.unionByName(rows, allowMissingColumns=True)
+    return counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, schema)
+
+
+def _returned(totals: pa.Table, name: str, order: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    """Values of the lists that came back to a region, by bucket, for its pairs as they were counted."""
+    values = np.empty(len(order), kind)
+    values[order] = _joined([_unpacked(x, kind) for x in totals[name].to_pylist()], kind)
+    return values
 
 
 BATCH_SCORES = ("loss", "ref_loss", "ref_entropy", "excess")
@@ -293,38 +444,19 @@ def score_batches(
     column, ``keep`` of the blocks, ``pos``, ``prev``, ``label`` and the scores, entry by entry.
 
     ``base`` is the model of these very blocks; its counts and context totals are taken
-    here, with those of the reference model beside, and return to the regions as lists.  A
+    here, with those of the reference model beside, and return to the regions as packed lists.  A
     score is worked out once for each distinct pair of a region, and no position is shuffled.
     ``columns`` names the lists to return, all if not given; ``pos`` is always one of them.
     """
     vocab, alpha = base.vocab_size, base.alpha
     if vocab != reference.vocab_size:
         raise ValueError("the two models must share a vocabulary")
-    own = reference is base
     buckets = pair_buckets(parts, vocab)
-    counted = count_pairs(blocks, near, vocab, buckets, contexts=True)
-    # Of a context: its total and entropy in the reference model.
-    context = F.col("prev").cast("bigint") + vocab**2
-    known = reference.contexts.select(context.alias("pair"), F.col("total").alias("n"), "entropy")
-    known = known.withColumn("bucket", F.col("pair") % buckets)
-    if not own:
-        known = known.unionByName(_pair_rows(reference, buckets), allowMissingColumns=True)
-    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
-    lists = _schema(counted, [*near, "pairs"], ("n_base", longs), ("n_ref", longs), ("entropy", doubles))
-
-    def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        sizes = _sizes(left["pairs"])
-        pairs, inverse, sums = _summed(left)
-        theirs = sums if own else _matched(pairs, right["pair"], right["n"], 0)
-        entropy = _matched(pairs, right["pair"], right["entropy"], np.nan)[inverse]
-        of_context = _flat(left["pairs"]) >= vocab**2
-        ends = np.concatenate([[0], np.cumsum(of_context)])[np.cumsum(sizes)]
-        found = [_lists(sums[inverse], sizes), _lists(theirs[inverse], sizes)]
-        found.append(_lists(entropy[of_context], np.diff(ends, prepend=0)))
-        return pa.table([*[left[c] for c in [*near, "pairs"]], *found], names=lists.names)
-
-    totals = counted.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(total, lists)
-    totals = totals.repartition(parts, *near)
+    counted = count_pairs(blocks, near, vocab, buckets)
+    if reference is base:
+        reference = own_model(counted, vocab, alpha, buckets)
+    totals = total_pairs(counted, reference, near, vocab, buckets, entropy=True).repartition(parts, *near)
+    doubles = T.ArrayType(T.DoubleType())
     ints = T.ArrayType(T.IntegerType())
     kinds = {c: T.ArrayType(blocks.schema[c].dataType) for c in keep}
     kinds |= {c: ints for c in ("pos", "prev", "label")} | {c: doubles for c in BATCH_SCORES}
@@ -335,29 +467,27 @@ def score_batches(
         scale = 10.0**SCORE_DIGITS
         return np.sign(score) * (np.floor(np.abs(score) * scale + 0.5) / scale)
 
-    def scores(right: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The region's pairs and their scores."""
-        codes = _flat(right["pairs"])
-        pair, seen = codes < vocab**2, codes >= vocab**2
-        pairs, prevs = codes[pair], codes[seen] - vocab**2
-        order = np.argsort(prevs)
-        at = order[np.searchsorted(prevs, pairs // vocab, sorter=order)]
+    def scores(mine: _Counted, right: pa.Table) -> list[np.ndarray]:
+        """Of each of the region's pairs."""
+        right = right.sort_by("bucket")
+        order = mine.dealt(buckets)[0]
         found = []
         for name in ("n_base", "n_ref"):
-            n = _flat(right[name])
-            p = (n[pair] + alpha) / (n[seen][at] + alpha * vocab)
+            n = _returned(right, name, order)
+            p = (n[: mine.distinct] + alpha) / (n[mine.distinct :][mine.context] + alpha * vocab)
             found.append(rounded(-np.log(p)))
-        entropy = _flat(right["entropy"])
+        known = order[order >= mine.distinct]
+        entropy = _returned(right, "entropy", known - mine.distinct, np.float64)
         entropy = rounded(np.where(np.isnan(entropy), math.log(vocab), entropy))
-        return pairs, [*found, entropy[at], rounded(found[0] - found[1])]
+        return [*found, entropy[mine.context], rounded(found[0] - found[1])]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = pa.table([left[c] for c in batch], names=[f"k{i}" for i in range(len(batch))])
         order = keys.append_column("at", pa.array(np.arange(len(left)))).sort_by([(c, "ascending") for c in keys.column_names])
         left = left.take(order["at"])
         codes, sizes = _pair_codes(left["tokens"], vocab)
-        pairs, found = scores(right)
-        at = pc.index_in(pa.array(codes), value_set=pa.array(pairs)).to_numpy()
+        mine = _counted(codes, vocab)
+        found, at = scores(mine, right), mine.at
         # Where the blocks of each batch begin and end among the rows, and their positions.
         same = np.ones(max(0, len(left) - 1), bool)
         for c in batch:
@@ -395,7 +525,8 @@ def batch_positions(batches: DataFrame) -> DataFrame:
 
 
 def with_pair_counts(
-    blocks: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, parts: int
+    blocks: DataFrame, reference: BigramModel | None, near: Sequence[str], vocab_size: int, parts: int,
+    visits: DataFrame | None = None, key: str = "shard_block", counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add the counts of ``n_base`` to blocks, how often the pair of every position occurs in
     all blocks, and of ``n_ref``, how often in the reference model, if there is one.
@@ -404,28 +535,54 @@ def with_pair_counts(
     and ids are SMALLINT where the vocabulary allows: what moves later is small.
 
     The blocks, placed by ``near`` in ``parts`` partitions, stay where they are.  What is
-    shuffled are lists of the distinct pairs of each region, to their totals and back, so
+    shuffled are packed lists of the distinct pairs of each region, to their totals and back, so
     a frequent pair has no more entries than there are regions.
+
+    With ``visits``, rows of ``near``, ``key`` and more columns, a block gets a list of the
+    latter, ``visits``: both meet in the region, without a join.
+    ``counted`` are the rows of ``count_pairs``, if they are at hand.
     """
     buckets = pair_buckets(parts, vocab_size)
-    counted = count_pairs(blocks, near, vocab_size, buckets)
-    totals = total_pairs(counted, reference, near, vocab_size, buckets).repartition(parts, *near)
+    counted = count_pairs(blocks, near, vocab_size, buckets) if counted is None else counted
+    totals = total_pairs(counted, reference, near, vocab_size, buckets)
     columns, names = blocks.columns, [c for c in ("n_base", "n_ref") if c in totals.columns]
+    by_visit = visits is not None
+    more = [c for c in visits.columns if c not in columns] if by_visit else []
+    if by_visit:
+        totals = totals.unionByName(visits.select(*near, key, *more), allowMissingColumns=True)
+    totals = totals.repartition(parts, *near)
     halves = [(f"{c}_low", T.ArrayType(T.ShortType())) for c in names]
     halves += [(f"{c}_high", T.ArrayType(T.LongType())) for c in names]
-    schema = _schema(blocks, columns, *halves)
+    listed = [("visits", T.ArrayType(_schema(visits, more)))] if by_visit else []
+    schema = _schema(blocks, columns, *halves, *listed)
     narrow = vocab_size <= 1 << LOW_BITS
     if narrow:
         schema["tokens"].dataType = T.ArrayType(T.ShortType())
 
+    def visited(left: pa.Table, right: pa.Table) -> pa.Array:
+        """The visits of each block."""
+        theirs, keys = right[key].to_numpy(), left[key].to_numpy()
+        order = np.argsort(theirs, kind="stable")
+        low, high = (np.searchsorted(theirs, keys, side, sorter=order) for side in ("left", "right"))
+        sizes = high - low
+        index = order[np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        rows = right.select(more).take(pa.array(index, pa.int64()))
+        visit = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in more], fields=list(rows.schema))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), visit)
+
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, sizes = _pair_codes(left["tokens"], vocab_size)
-        at = pc.index_in(pa.array(codes), value_set=pa.array(_flat(right["pairs"]))).to_numpy()
-        counts = [_flat(right[c])[at] for c in names]
+        mine = _counted(codes, vocab_size)
+        order = mine.dealt(buckets)[0]
+        lists = right.filter(pc.is_valid(right["bucket"])).sort_by("bucket")
+        counts = [_returned(lists, c, order)[mine.at] for c in names]
         found = [_lists((n & ((1 << LOW_BITS) - 1)).astype(np.int16), sizes) for n in counts]
         found += [_lists(n >> LOW_BITS, sizes) for n in counts]
         ids = left["tokens"].cast(pa.list_(pa.int16())) if narrow else left["tokens"]
-        return pa.table([*[ids if c == "tokens" else left[c] for c in columns], *found], names=schema.names)
+        own = [ids if c == "tokens" else left[c] for c in columns]
+        if by_visit:
+            found.append(visited(left, right.filter(pc.is_null(right["bucket"]))))
+        return pa.table([*own, *found], names=schema.names)
 
     return blocks.groupBy(*near).cogroup(totals.groupBy(*near)).applyInArrow(look_up, schema)
 

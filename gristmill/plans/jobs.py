@@ -122,11 +122,13 @@ def plan_files(chunks: DataFrame, layout: Layout, passes: int = 1, shuffle: bool
 
 
 def _models(
-    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float
+    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float, parts: int
 ) -> tuple[K.BigramModel, K.BigramModel]:
     """The base model of the blocks and the reference model; without one, the base's own."""
     base = K.fit_bigram(blocks, vocab_size, alpha)
-    return base, base if reference_tokens is None else K.fit_bigram(reference_tokens, vocab_size, alpha)
+    if reference_tokens is None:
+        return base, base
+    return base, K.fit_listed(reference_tokens, vocab_size, alpha, K.pair_buckets(parts, vocab_size))
 
 
 def score_corpus(
@@ -148,7 +150,7 @@ def score_corpus(
     parts = _parts(tokens)
     blocks = pack_corpus(tokens, layout, batches=True, parts=parts)
     if by_batch:
-        models = _models(blocks, reference_tokens, vocab_size, alpha)
+        models = _models(blocks, reference_tokens, vocab_size, alpha, parts)
         return K.score_batches(blocks, *models, REGION, ["shard", "batch_no"], ["chunk_no", "block_no"], parts, columns)
     counted, score = _counted(blocks, reference_tokens, vocab_size, alpha, parts)
     # Blocks in order spare the selection most of sorting their positions.
@@ -157,17 +159,20 @@ def score_corpus(
 
 
 def _counted(
-    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float, parts: int
+    blocks: DataFrame, reference_tokens: DataFrame | None, vocab_size: int, alpha: float, parts: int,
+    visits: DataFrame | None = None,
 ) -> tuple[DataFrame, Callable[[DataFrame, Sequence[str]], DataFrame]]:
-    """Blocks placed by region with the counts of their pairs, and what makes scored
-    positions of such blocks."""
-    base, reference = _models(blocks, reference_tokens, vocab_size, alpha)
-    other = None if reference_tokens is None else reference
-    counted = K.with_pair_counts(blocks, other, REGION, vocab_size, parts)
+    """Blocks placed by region with the counts of their pairs and, if given, lists of their
+    ``visits``, and what makes scored positions of such blocks."""
+    base, other = _models(blocks, reference_tokens, vocab_size, alpha, parts)
+    buckets = K.pair_buckets(parts, vocab_size)
+    lists = K.count_pairs(blocks, REGION, vocab_size, buckets)
+    reference = K.own_model(lists, vocab_size, alpha, buckets) if other is base else other
+    counted = K.with_pair_counts(blocks, None if other is base else other, REGION, vocab_size, parts, visits, counted=lists)
 
     def score(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         positions = P.next_token_pairs(rows, keep, K.count_columns(rows))
-        return K.score_counted(positions, K.context_totals(blocks), base, reference)
+        return K.score_counted(positions, K.listed_totals(lists, vocab_size, buckets), base, reference)
 
     return counted, score
 
@@ -184,15 +189,15 @@ def _select_as_read(
     method: str,
     alpha: float,
     parts: int,
+    passes: int,
 ) -> DataFrame:
     """Pairs are counted once for each block, however often it is read; a visit takes the
     block's tokens and counts along."""
     in_region = layout.micro_batch * layout.region_batches
     visits = R.block_visits(schedule, layout.blocks_per_chunk)
-    visits = visits.withColumn("region", F.expr(f"shard_block div {in_region}")).repartition(parts, *REGION)
-    planned = blocks.join(visits, [*REGION, "shard_block"], "left")
-    counted, score = _counted(planned, reference_tokens, vocab_size, alpha, parts)
-    read = R.in_read_order(counted)
+    visits = visits.withColumn("region", F.expr(f"shard_block div {in_region}"))
+    counted, score = _counted(blocks, reference_tokens, vocab_size, alpha, parts, visits)
+    read = R.in_read_order(counted, parts * passes)
     return select_tokens(score(read, READ_KEYS), method, ["gpu_rank", "iter"])
 
 
@@ -208,7 +213,7 @@ def select_in_read_order(
     """Plan the reads, score the blocks of every micro-batch and select its tokens."""
     parts = _parts(tokens)
     blocks, schedule = pack_corpus(tokens, layout, True, parts), plan_reads(tokens, layout, passes)
-    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts, passes)
 
 
 def select_from_store(
@@ -228,7 +233,7 @@ def select_from_store(
     in_region = layout.micro_batch * layout.region_batches
     blocks = blocks.withColumn("region", F.expr(f"shard_block div {in_region}")).repartition(parts, *REGION)
     schedule = plan_files(chunks.select("shard", "chunk_no"), layout, passes)
-    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts)
+    return _select_as_read(blocks, schedule, reference_tokens, layout, vocab_size, method, alpha, parts, passes)
 
 
 def assignments(points: DataFrame, tree: C.ClusterTree) -> DataFrame:
